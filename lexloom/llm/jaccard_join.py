@@ -8,6 +8,7 @@ sets always share one. Rows are shuffled by signature, never paired with all oth
 1. equal sets collapse to one representative (an aggregation with map-side combine);
 2. each bucket of a signature is tested against its member with most shared buckets (a star, linear);
 3. buckets that still hold several components are tested between the components, so no link is missed;
+   parity sketches, which never overstate the difference of two sets, rule out most of these pairs;
 4. every candidate pair is verified on the whole shingle sets.
 """
 
@@ -26,6 +27,8 @@ from lexloom.llm.words import WordHashes, mixed, shingle_set
 from lexloom.plans.components import components
 from lexloom.plans.scratch import Scratch
 
+#: 64-bit words of a set's parity sketch. Sketches differ in no more bits than their sets in elements.
+SKETCH = 8
 #: Shingle sets that a verifying task keeps for centres it meets again.
 KEPT_SETS = 256
 
@@ -84,6 +87,13 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, np.uint64)
 
 
+def sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements that hash to each bit."""
+    place = (mixed(elements ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(x).cast(pa.binary()).to_pylist() if pa.types.is_string(batch.schema.field(x).type) else batch.column(x).to_pylist() for x in names]
 
@@ -96,7 +106,9 @@ def _digests(n: int):
             sets = [shingle_set(t, n, known) for t in texts]
             raw = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"\0" * 16 for s in sets]
             halves = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "n_shingles", "d0", "d1"])
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
+            arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(pa.array(bits[:, i]) for i in range(SKETCH))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d0", "d1", *(f"k{i}" for i in range(SKETCH))])
 
     return run
 
@@ -170,10 +182,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, d0 long, d1 long"))
+    sets = scratch.save(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"k{i} long" for i in range(SKETCH))))
     classes = scratch.save(sets.where("n_shingles > 0").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
     of_class = scratch.save(sets.join(classes, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    scratch.drop(sets, classes)
+    scratch.drop(classes)
 
     by_sig = Window.partitionBy("sig")
     rows = docs.mapInArrow(_signed(words, percent), "sig long, doc_id long")
@@ -191,11 +203,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     links = _verify(scratch, docs, tested, words, percent)
     found = scratch.save(components(scratch, links))
 
-    # Between components that still share a bucket: all pairs that no star has tested.
+    # Between components that still share a bucket: all pairs that no star has tested and no sketch rules out.
     known = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     apart = scratch.save(known.withColumns({"lo": F.min("component").over(by_sig), "hi": F.max("component").over(by_sig)}).where("lo < hi").select("sig", "rep", "n_shingles", "component"))
-    x, y = apart.alias("x"), apart.alias("y")
-    cross = x.join(y, F.col("x.sig") == F.col("y.sig")).where("x.component < y.component").where(fits(F.col("x.n_shingles"), F.col("y.n_shingles")))
+    bits = [f"k{i}" for i in range(SKETCH)]
+    sketches = scratch.save(sets.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), *bits).dropDuplicates(["rep"]))
+    drawn = apart.join(sketches, "rep")
+    x, y = drawn.alias("x"), drawn.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in bits), F.lit(0))
+    near = differ * (100 + percent) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent)
+    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & near)
     cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     rest = scratch.save(cross.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
@@ -203,7 +220,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
         found = scratch.save(components(scratch, links))
     counts = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     final = scratch.save(found.withColumnRenamed("node", "rep").join(counts, "rep", "left"))
-    scratch.drop(buckets, tested, apart, rest)
+    scratch.drop(sets, buckets, tested, apart, sketches, rest)
     return of_class.join(final, "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
