@@ -3,11 +3,13 @@
 A block of ids is coded on its own: its models start empty and it carries a checksum. Five predictors are
 asked in turn: the id that last followed the same two ids (order 2), the same id (order 1), the last id of a
 slot in a small and in a larger cache (order 0), and none. Which of them is right is one event; its
-probabilities mix (add) the adaptive counts of two contexts, the event before and the agreement of the
-predictions. Cache slots and unpredicted ids follow as equally likely digits. All goes through one range
-coder with 16-bit digits and carries.
+probabilities mix (add) the adaptive distributions of two contexts: the two events before, and the agreement
+of the predictions with the event before. Cache slots and unpredicted ids follow as equally likely digits.
+All goes through one range coder with 64 bits of state, 32-bit digits and carries.
 
-Blocks share nothing, so many of them are coded in step, one array operation for all of them at a time.
+Blocks share nothing, so many of them are coded in step, one array operation for all of them at a time. A
+distribution is one 64-bit number: the four inner bounds of the five events, 16 bits each, so that mixing
+is one addition and learning a subtraction and an addition.
 """
 
 from __future__ import annotations
@@ -18,157 +20,169 @@ import numpy as np
 
 BLOCK = 2048
 #: Blocks that are coded in step, at most.
-LANES = 2048
-SLOTS1, SLOTS2, SMALL, LARGE = 1024, 2048, 64, 1024
-EVENTS, STEP, LIMIT = 5, 24, 3000
-BITS = np.array([0, 0, 6, 10, 16])
-U32 = np.uint64(0xFFFFFFFF)
+LANES = 1024
+SLOTS1, SLOTS2, SMALL, LARGE = 512, 1024, 64, 1024
+EVENTS = 5
+#: Bits of the total of one distribution; two are mixed.
+TOTAL = 14
+#: Shifts by which the two contexts learn.
+RATES = 5, 4
+#: Of each event: bits of the digit that follows, its mask, and the places of its bounds (64: none).
+BITS = np.array([0, 0, 6, 10, 16], np.uint64)
+MASKS = (np.uint64(1) << BITS) - np.uint64(1)
+LOWER, UPPER = np.array([64, 0, 16, 32, 48], np.uint64), np.array([0, 16, 32, 48, 64], np.uint64)
+EACH, TOP = 0x0001000100010001, 0x8000800080008000
+
+
+def _fields(bounds: list[int]) -> int:
+    return sum(b << 16 * i for i, b in enumerate(bounds))
+
+
+#: Of each rate: the mask of what a shift moves into the field below, and what each event adds to the bounds.
+#: A bound moves by its distance over 2**rate; the steps of 1 keep every event possible.
+MOVED = [EACH * ((1 << 16 - r) - 1) for r in RATES]
+ADDED = [np.array([_fields([i if i <= e else (1 << TOTAL - r) - EVENTS + i for i in range(1, EVENTS)]) for e in range(EVENTS)], np.uint64) for r in RATES]
+START = _fields([i * (1 << TOTAL) // EVENTS for i in range(1, EVENTS)])
 
 
 class _Models:
-    """Predictors and event counts of ``n`` blocks; ids are below ``none``."""
+    """Predictors and event distributions of ``n`` blocks; ids are below ``none``."""
 
     def __init__(self, n: int, wide: bool):
-        kind = np.uint32 if wide else np.uint16
-        self.none = kind(0xFFFFFFFF if wide else 0xFFFF)
-        self.order1, self.order2 = (np.full(n * s, self.none, kind) for s in (SLOTS1, SLOTS2))
-        self.small, self.large = np.full(n * SMALL, self.none, kind), np.full(n * LARGE, self.none, kind)
-        self.lane = np.arange(n, dtype=np.int64)
-        self.one, self.two = self.lane * SLOTS1, self.lane * SLOTS2
-        self.cache, self.caches = self.lane * SMALL, self.lane * LARGE
-        start = np.array([60, 40, 60, 60, 60], np.int32)
-        self.by_last, self.by_agreement = np.tile(start, (n * EVENTS, 1)), np.tile(start, (n * 3, 1))
-        self.last = np.full(n, 4, np.int64)
+        self.kind = np.uint32 if wide else np.uint16
+        self.none = self.kind(0xFFFFFFFF if wide else 0xFFFF)
+        self.order1, self.order2, self.small, self.large = (np.full(n * s, self.none, self.kind) for s in (SLOTS1, SLOTS2, SMALL, LARGE))
+        lane = np.arange(n, dtype=np.int64)
+        self.one, self.two, self.cache, self.caches = (lane * s for s in (SLOTS1, SLOTS2, SMALL, LARGE))
+        self.by_events, self.events = np.full(n * EVENTS * EVENTS, START, np.uint64), lane * (EVENTS * EVENTS)
+        self.by_agreement, self.agreements = np.full(n * 3 * EVENTS, START, np.uint64), lane * (3 * EVENTS)
+        self.last = self.before = np.full(n, EVENTS - 1, np.int64)
         self.prev1 = self.prev2 = np.zeros(n, np.int64)
 
-    def predict(self, m: int):
-        """Places and predictions for the first ``m`` blocks, and the counts of the events."""
-        self.at1 = self.one[:m] + self.prev1[:m] % SLOTS1
-        self.at2 = self.two[:m] + (self.prev1[:m] * 0x9E5 + self.prev2[:m] * 0x3C6F) % SLOTS2
-        p1, p2 = self.order1[self.at1], self.order2[self.at2]
-        agreement = np.where(p2 == self.none, 0, np.where(p1 == p2, 1, 2))
-        self.row1, self.row2 = self.lane[:m] * EVENTS + self.last[:m], self.lane[:m] * 3 + agreement
-        return p1, p2, self.by_last[self.row1] + self.by_agreement[self.row2]
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predictions of orders 1 and 2 for the first ``m`` blocks, and the mixed bounds of the events."""
+        prev1, last = self.prev1[:m], self.last[:m]
+        self.at1 = self.one[:m] + (prev1 & (SLOTS1 - 1))
+        self.at2 = self.two[:m] + ((prev1 * 0x9E5 + self.prev2[:m] * 0x3C6F) & (SLOTS2 - 1))
+        p1, p2 = self.order1.take(self.at1), self.order2.take(self.at2)
+        agreement = (p2 != self.none) * ((p1 != p2) + np.int64(1))
+        self.row1 = self.events[:m] + (self.before[:m] * EVENTS + last)
+        self.row2 = self.agreements[:m] + (agreement * EVENTS + last)
+        self.c1, self.c2 = self.by_events.take(self.row1), self.by_agreement.take(self.row2)
+        return p1, p2, self.c1 + self.c2
 
     def learn(self, m: int, ids: np.ndarray, event: np.ndarray) -> None:
-        for counts, row in ((self.by_last, self.row1), (self.by_agreement, self.row2)):
-            counts[row, event] += STEP
-            full = row[counts[row, 4] + counts[row, event] > LIMIT] if counts is None else row[counts[row].sum(axis=1) > LIMIT]
-            if len(full):
-                counts[full] = (counts[full] + 1) >> 1
-        kind = ids.astype(self.order1.dtype)
-        self.order1[self.at1] = kind
-        self.order2[self.at2] = kind
-        self.small[self.cache[:m] + ids % SMALL] = kind
-        self.large[self.caches[:m] + ids % LARGE] = kind
-        self.prev2, self.prev1, self.last = self.prev1[:m], ids, event
+        self.by_events[self.row1] = self.c1 - ((self.c1 >> RATES[0]) & MOVED[0]) + ADDED[0].take(event)
+        self.by_agreement[self.row2] = self.c2 - ((self.c2 >> RATES[1]) & MOVED[1]) + ADDED[1].take(event)
+        kept = ids.astype(self.kind)
+        self.order1[self.at1] = kept
+        self.order2[self.at2] = kept
+        self.small[self.cache[:m] + (ids & (SMALL - 1))] = kept
+        self.large[self.caches[:m] + (ids & (LARGE - 1))] = kept
+        self.prev2, self.prev1, self.before, self.last = self.prev1, ids, self.last, event
+
+
+def _interval(bounds: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the events; the total is 2**(TOTAL + 1)."""
+    start = (bounds >> LOWER.take(event)) & 0xFFFF
+    return start, ((bounds >> UPPER.take(event)) - start) & 0x7FFF
 
 
 def _encode_lanes(ids: np.ndarray, lengths: np.ndarray, wide: bool) -> list[bytes]:
     """Blocks as rows of ``ids``, longest first."""
     n, most = ids.shape
     models = _Models(n, wide)
-    low, width = np.zeros(n, np.uint64), np.full(n, 0xFFFFFFFF, np.uint64)
-    room = most * (4 if wide else 3) + 8
-    out, at = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
-
-    def put(lanes, start, size, total):
-        step = width[lanes] // total
-        value = low[lanes] + start * step
-        over = value > U32
+    by_place = np.ascontiguousarray(ids.T)
+    low, width = np.zeros(n, np.uint64), np.full(n, 1 << 63, np.uint64)
+    room = most * (2 if wide else 1) + 4
+    out, begin = np.zeros(n * room, np.uint32), np.arange(n) * room
+    at = begin.copy()
+
+    def narrow(lanes, offset, size):
+        value = low[lanes] + offset
+        over = value < offset
         if over.any():
-            where = lanes[over]
-            place = at[where] - 1
-            while len(where):
-                out[where, place] += np.uint16(1)
-                again = out[where, place] == 0
-                where, place = where[again], place[again] - 1
-            value &= U32
-        step = step * size
-        short = step < 65536
-        if short.any():
-            where = lanes[short]
-            out[where, at[where]] = (value[short] >> np.uint64(16)).astype(np.uint16)
+            place = at[lanes][over] - 1
+            while len(place):
+                out[place] += np.uint32(1)
+                place = place[out[place] == 0] - 1
+        low[lanes], width[lanes] = value, size
+        short = np.flatnonzero(size < 1 << 32)
+        if len(short):
+            where = short if isinstance(lanes, slice) else lanes[short]
+            value = low[where]
+            out[at[where]] = value >> 32
             at[where] += 1
-            value[short] = (value[short] << np.uint64(16)) & U32
-            step[short] <<= np.uint64(16)
-        low[lanes], width[lanes] = value, step
-
-    for t in range(most):
-        m = int(np.searchsorted(-lengths, -t, "left"))  # blocks longer than t
-        now = ids[:m, t].astype(np.int64)
-        p1, p2, counts = models.predict(m)
-        small, large = models.small[models.cache[:m] + now % SMALL], models.large[models.caches[:m] + now % LARGE]
-        event = np.where(p2 == now, 0, np.where(p1 == now, 1, np.where(small == now, 2, np.where(large == now, 3, 4))))
-        ends = np.cumsum(counts, axis=1)
-        every = models.lane[:m]
-        end, size = ends[every, event], counts[every, event]
-        put(every, (end - size).astype(np.uint64), size.astype(np.uint64), ends[:, 4].astype(np.uint64))
-        rest = np.flatnonzero(event >= 2)
-        if len(rest):
-            kind = event[rest]
-            if wide and len(full := rest[kind == 4]):
-                put(full, (now[full] >> 16).astype(np.uint64), np.uint64(1), np.uint64(65536))
-            total = np.uint64(1) << BITS[kind].astype(np.uint64)
-            put(rest, now[rest].astype(np.uint64) & (total - np.uint64(1)), np.uint64(1), total)
+            low[where] = value << 32
+            width[where] = size[short] << 32
+
+    longer = np.searchsorted(-lengths, -np.arange(most), "left")  # number of blocks longer than each place
+    for t, m in enumerate(longer.tolist()):
+        now = by_place[t, :m].astype(np.int64)
+        same = now.astype(models.kind)
+        p1, p2, bounds = models.predict(m)
+        small, large = models.small.take(models.cache[:m] + (now & (SMALL - 1))), models.large.take(models.caches[:m] + (now & (LARGE - 1)))
+        event = np.where(p2 == same, 0, np.where(p1 == same, 1, np.where(small == same, 2, 4 - (large == same))))
+        start, size = _interval(bounds, event)
+        step = width[:m] >> (TOTAL + 1)
+        size = (step * size) >> BITS.take(event)
+        narrow(slice(0, m), step * start + size * (now.view(np.uint64) & MASKS.take(event)), size)
+        if wide and len(full := np.flatnonzero(event == 4)):
+            step = width[full] >> 16
+            narrow(full, step * (now[full] >> 16).astype(np.uint64), step)
         models.learn(m, now, event)
     for _ in range(2):
-        out[np.arange(n), at] = (low >> np.uint64(16)).astype(np.uint16)
+        out[at] = low >> 32
         at += 1
-        low = (low << np.uint64(16)) & U32
-    return [out[i, : at[i]].astype("<u2").tobytes() for i in range(n)]
+        low <<= np.uint64(32)
+    return [out[i:j].astype("<u4").tobytes() for i, j in zip(begin, at, strict=True)]
 
 
 def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, wide: bool) -> np.ndarray:
     n, most = len(payloads), int(lengths[0]) if len(lengths) else 0
-    digits = [np.frombuffer(p, "<u2") for p in payloads]
-    data = np.zeros((n, max(map(len, digits), default=0) + 4), np.uint16)
-    for i, d in enumerate(digits):
-        data[i, : len(d)] = d
+    room = max(map(len, payloads), default=0) // 4 + 4
+    data = np.frombuffer(b"".join(p.ljust(4 * room, b"\0") for p in payloads), "<u4")
+    at = np.arange(n) * room
     models = _Models(n, wide)
-    code = (data[:, 0].astype(np.uint64) << np.uint64(16)) | data[:, 1]
-    width, at = np.full(n, 0xFFFFFFFF, np.uint64), np.full(n, 2, np.int64)
-    out = np.zeros((n, most), np.uint32)
-
-    def take(lanes, start, size, step):
-        value, step = code[lanes] - start * step, step * size
-        short = step < 65536
-        if short.any():
-            where = lanes[short]
-            value[short] = (value[short] << np.uint64(16)) | data[where, np.minimum(at[where], data.shape[1] - 1)]
+    code = (data[at].astype(np.uint64) << 32) | data[at + 1]
+    at, width = at + 2, np.full(n, 1 << 63, np.uint64)
+    out = np.zeros((most, n), np.uint32)
+
+    def narrow(lanes, rest, size):
+        code[lanes], width[lanes] = rest, size
+        short = np.flatnonzero(size < 1 << 32)
+        if len(short):
+            where = short if isinstance(lanes, slice) else lanes[short]
+            code[where] = (rest[short] << 32) | data.take(at[where], mode="clip")
             at[where] += 1
-            step[short] <<= np.uint64(16)
-        code[lanes], width[lanes] = value, step
-
-    def digit(lanes, total):
-        step = width[lanes] // total
-        value = np.minimum(code[lanes] // step, total - np.uint64(1))
-        take(lanes, value, np.uint64(1), step)
-        return value.astype(np.int64)
-
-    for t in range(most):
-        m = int(np.searchsorted(-lengths, -t, "left"))
-        p1, p2, counts = models.predict(m)
-        ends = np.cumsum(counts, axis=1)
-        every = models.lane[:m]
-        step = width[:m] // ends[:, 4].astype(np.uint64)
-        target = np.minimum((code[:m] // step).astype(np.int64), ends[:, 4] - 1)
-        event = (ends[:, :4] <= target[:, None]).sum(axis=1)
-        end, size = ends[every, event], counts[every, event]
-        take(every, (end - size).astype(np.uint64), size.astype(np.uint64), step)
+            width[where] = size[short] << 32
+
+    longer = np.searchsorted(-lengths, -np.arange(most), "left")
+    for t, m in enumerate(longer.tolist()):
+        p1, p2, bounds = models.predict(m)
+        step = width[:m] >> (TOTAL + 1)
+        target = np.minimum(code[:m] // step, (1 << TOTAL + 1) - 1)
+        event = np.bitwise_count((((target * EACH) | TOP) - bounds) & TOP).astype(np.int64)
+        start, size = _interval(bounds, event)
+        left, size = code[:m] - step * start, (step * size) >> BITS.take(event)
         now = np.where(event == 0, p2, p1).astype(np.int64)
-        rest = np.flatnonzero(event >= 2)
-        if len(rest):
-            kind = event[rest]
-            high = np.zeros(m, np.int64)
-            if wide and len(full := rest[kind == 4]):
-                high[full] = digit(full, np.uint64(65536)) << 16
-            value = digit(rest, np.uint64(1) << BITS[kind].astype(np.uint64))
-            small, large = models.small[models.cache[rest] + value % SMALL], models.large[models.caches[rest] + value % LARGE]
-            now[rest] = np.where(kind == 2, small, np.where(kind == 3, large, value + high[rest]))
-        out[:m, t] = now
+        drawn = np.flatnonzero(event >= 2)
+        if len(drawn):
+            kind, part = event[drawn], size[drawn]
+            digit = np.minimum(left[drawn] // part, MASKS[kind])
+            left[drawn] -= digit * part
+            value = digit.astype(np.int64)
+            small, large = models.small.take(models.cache[drawn] + (value & (SMALL - 1))), models.large.take(models.caches[drawn] + (value & (LARGE - 1)))
+            now[drawn] = np.where(kind == 2, small, np.where(kind == 3, large, value))
+        narrow(slice(0, m), left, size)
+        if wide and len(full := np.flatnonzero(event == 4)):
+            step = width[full] >> 16
+            digit = np.minimum(code[full] // step, 65535)
+            narrow(full, code[full] - digit * step, step)
+            now[full] += digit.astype(np.int64) << 16
+        out[t, :m] = now
         models.learn(m, now, event)
-    return out
+    return out.T
 
 
 def encode(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, bool]:

@@ -6,8 +6,11 @@ payload, block ends and checksums of ``token_coder``; a document never crosses a
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +21,8 @@ from lexloom.llm import token_coder
 
 #: Ids after which a frame is closed.
 FRAME = token_coder.BLOCK * 1024
-#: Distinct words whose ids a task keeps before it starts afresh.
-KEPT_WORDS = 300_000
+#: Distinct words whose ids a Python worker keeps before it starts afresh.
+KEPT_WORDS = 500_000
 FRAMES = "part int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, wide boolean, ends array<long>, checksums array<long>, payload binary"
 
 
@@ -31,6 +34,7 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core already
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -40,36 +44,53 @@ class WordIds(dict):
     def start(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(KEPT_WORDS + 1, np.int64)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = place = len(self)
         self.new.append(word)
         return place
 
+    def _encode_new(self) -> None:
+        """Append the ids of the new words to the store."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
+        first, last = len(self) - len(found), len(self)
+        if last >= len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(last, np.int64)])
+        self.ends[first + 1 : last + 1] = self.ends[first] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        begin, end = int(self.ends[first]), int(self.ends[last])
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(end, np.uint32)])
+        self.flat[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - begin)
+        self.new = []
+
     def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the number of each."""
         if len(self) > KEPT_WORDS:
             self.start()
-        places = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in ((t or b"").split() for t in texts)]
+        words = [(t or b"").split() for t in texts]
+        counts = np.array([len(w) for w in words], np.int64)
+        place = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.new:
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
-            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
-            self.size = np.concatenate([self.size, size])
-            self.flat = np.concatenate([self.flat, *found])
-            self.new = []
-        place = np.concatenate(places) if places else np.zeros(0, np.int64)
-        size = self.size[place]
+            self._encode_new()
+        begin = self.ends[place]
+        size = self.ends[place + 1] - begin
         ends = np.cumsum(size)
-        source = np.repeat(self.begin[place] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        of_text = np.concatenate([[0], ends])[np.cumsum([0, *(len(p) for p in places)])]
+        source = np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
         return self.flat[source], np.diff(of_text)
 
 
+@lru_cache(1)
+def word_ids(path: str) -> WordIds:
+    """The store of a Python worker, for all its tasks."""
+    return WordIds(path)
+
+
 def _frames(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, frame = WordIds(path), TaskContext.get().partitionId(), 0
+        words, part, frame = word_ids(path), TaskContext.get().partitionId(), 0
         docs: list[int] = []
         lengths: list[int] = []
         held: list[np.ndarray] = []
