@@ -39,6 +39,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        upper, lower = self.tokenizer.encode_batch(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"], add_special_tokens=False)
+        self.fold = upper.ids == lower.ids  # it lower-cases, so spellings that differ in case are one word
         self.start()
 
     def start(self) -> None:
@@ -69,7 +71,7 @@ class WordIds(dict):
         """Ids of all texts one after another, and the number of each."""
         if len(self) > KEPT_WORDS:
             self.start()
-        words = [(t or b"").split() for t in texts]
+        words = [(t or b"").lower().split() if self.fold else (t or b"").split() for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         place = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.new:
