@@ -14,6 +14,7 @@ sets always share one. Rows are shuffled by signature, never paired with all oth
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -69,12 +70,10 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
             continue  # such sets link only when they are equal, and equal sets have collapsed before
         spread = mixed(elements + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         part = (spread % np.uint64(n1 * n2)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        counts = np.bincount(part, minlength=n1 * n2)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(spread[order], dtype=np.uint64)])
-        ends = np.cumsum(counts)
-        parts = (sums[ends] - sums[ends - counts]).reshape(n1, n2)
-        counts = counts.reshape(n1, n2)
+        counts = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
+        sums = np.zeros(n1 * n2, np.uint64)
+        np.add.at(sums, part, spread)
+        parts = sums.reshape(n1, n2)
         for which, chosen in enumerate(combinations(range(n2), n2 - errors)):
             total = np.zeros(n1, np.uint64)
             for c in chosen:
@@ -94,6 +93,11 @@ def sketch(elements: np.ndarray) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def _digest(elements: np.ndarray) -> tuple[int, int]:
+    """A set's 128 bits as two signed numbers; zeros for the empty set."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(elements.tobytes())) if len(elements) else (0, 0)
+
+
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(x).cast(pa.binary()).to_pylist() if pa.types.is_string(batch.schema.field(x).type) else batch.column(x).to_pylist() for x in names]
 
@@ -104,8 +108,7 @@ def _digests(n: int):
         for batch in batches:
             ids, texts = _columns(batch, "doc_id", "text")
             sets = [shingle_set(t, n, known) for t in texts]
-            raw = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else b"\0" * 16 for s in sets]
-            halves = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
+            halves = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
             arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(pa.array(bits[:, i]) for i in range(SKETCH))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d0", "d1", *(f"k{i}" for i in range(SKETCH))])
@@ -117,22 +120,22 @@ def _signed(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, met = WordHashes(), set()
         for batch in batches:
-            ids, texts = _columns(batch, "doc_id", "text")
+            (texts,) = _columns(batch, "text")
             sig, own, size = [], [], 0
-            for i, t in zip(ids, texts, strict=True):
+            for t in texts:
                 s = shingle_set(t, n, known)
-                if len(s) == 0 or (digest := xxhash.xxh3_64_intdigest(s.tobytes())) in met:
+                if len(s) == 0 or (digest := _digest(s)[0]) in met:
                     continue
                 if len(met) < 1 << 20:
                     met.add(digest)
                 sig.append(signatures(s, percent))
-                own.append(np.full(len(sig[-1]), i, np.int64))
+                own.append(np.full(len(sig[-1]), digest, np.int64))
                 size += len(sig[-1])
                 if size > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "doc_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "d0"])
                     sig, own, size = [], [], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).view(np.int64)), pa.array(np.concatenate(own))], ["sig", "d0"])
 
     return run
 
@@ -183,17 +186,17 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     scratch = Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = scratch.save(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"k{i} long" for i in range(SKETCH))))
-    classes = scratch.save(sets.where("n_shingles > 0").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1"))
-    of_class = scratch.save(sets.join(classes, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
-    scratch.drop(classes)
+    classes = scratch.save(sets.where("n_shingles > 0").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    copied = classes.where("copies > 1").drop("copies")
+    of_class = scratch.save(sets.join(copied, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
 
+    # Rows carry a digest of their set, so copies in other tasks fall together in the shuffle by signature
+    # and only buckets of different sets remain.
     by_sig = Window.partitionBy("sig")
-    rows = docs.mapInArrow(_signed(words, percent), "sig long, doc_id long")
-    shared = scratch.save(rows.withColumns({"lo": F.min("doc_id").over(by_sig), "hi": F.max("doc_id").over(by_sig)}).where("lo < hi").select("sig", "doc_id"))
-    named = shared.join(of_class, "doc_id").select("sig", "rep", "n_shingles").distinct()
-    named = named.withColumns({"lo": F.min("rep").over(by_sig), "hi": F.max("rep").over(by_sig)}).where("lo < hi").select("sig", "rep", "n_shingles")
-    buckets = scratch.save(named)
-    scratch.drop(shared)
+    rows = docs.mapInArrow(_signed(words, percent), "sig long, d0 long")
+    shared = scratch.save(rows.withColumns({"lo": F.min("d0").over(by_sig), "hi": F.max("d0").over(by_sig)}).where("lo < hi").select("sig", "d0").distinct())
+    buckets = scratch.save(shared.join(classes.select("d0", "rep", "n_shingles"), "d0").select("sig", "rep", "n_shingles"))
+    scratch.drop(shared, classes)
 
     degrees = buckets.groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = buckets.join(degrees, "rep").withColumn("centre", F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "n_shingles")).over(by_sig))
