@@ -60,6 +60,15 @@ def scheme(percent: int, band: int) -> tuple[int, int, int, int]:
     return n1 + spare, 3 if percent >= 85 else 2, 1, spare
 
 
+@lru_cache(4096)
+def subsets(percent: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subsets of second-level parts, one a row, and a tag for each first-level part (row) and subset (column)."""
+    n1, n2, errors, _ = scheme(percent, band)
+    chosen = np.array(list(combinations(range(n2), n2 - errors)), np.int64)
+    place = np.arange(n1 * len(chosen), dtype=np.uint64).reshape(n1, len(chosen))
+    return chosen, mixed(place + np.uint64(band << 48 | 1))
+
+
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     """Signatures of a set in the instances of its own band and of the next."""
     found = []
@@ -68,22 +77,20 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
         n1, n2, errors, spare = scheme(percent, band)
         if errors == 0:
             continue  # such sets link only when they are equal, and equal sets have collapsed before
+        chosen, tags = subsets(percent, band)
         spread = mixed(elements + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         part = (spread % np.uint64(n1 * n2)).astype(np.int64)
         counts = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
         sums = np.zeros(n1 * n2, np.uint64)
         np.add.at(sums, part, spread)
-        parts = sums.reshape(n1, n2)
-        for which, chosen in enumerate(combinations(range(n2), n2 - errors)):
-            total = np.zeros(n1, np.uint64)
-            for c in chosen:
-                total += mixed(parts[:, c] + np.uint64(c + 1))
-            tag = np.arange(n1, dtype=np.uint64) * np.uint64(64) + np.uint64(which) + np.uint64(band) * np.uint64(1 << 48)
-            found.append((mixed(total + mixed(tag + np.uint64(1))), counts[:, list(chosen)].sum(axis=1) == 0, spare))
-        mine = found[-(which + 1) :]
-        keep_empty = sum(int(e.sum()) for _, e, _ in mine) > spare
-        found[-(which + 1) :] = [(s if keep_empty else s[~e], e, spare) for s, e, _ in mine]
-    return np.concatenate([s for s, _, _ in found]) if found else np.zeros(0, np.uint64)
+        parts = mixed(sums.reshape(n1, n2) + np.arange(1, n2 + 1, dtype=np.uint64))
+        total, held = tags.copy(), np.zeros(tags.shape, np.int64)
+        for columns in chosen.T:
+            total += parts[:, columns]
+            held += counts[:, columns]
+        empty = held == 0
+        found.append(mixed(total[~empty] if empty.sum() <= spare else total.ravel()))
+    return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def sketch(elements: np.ndarray) -> np.ndarray:
