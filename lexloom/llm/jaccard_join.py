@@ -6,10 +6,10 @@ elements over every sufficiently large subset of second-level partitions are the
 sets always share one. Rows are shuffled by signature, never paired with all others:
 
 1. equal sets collapse to one representative (an aggregation with map-side combine);
-2. each bucket of a signature is tested against its member with most shared buckets (a star, linear);
-3. buckets that still hold several components are tested between the components, so no link is missed;
-   parity sketches, which never overstate the difference of two sets, rule out most of these pairs;
-4. every candidate pair is verified on the whole shingle sets.
+2. each bucket of a signature is paired with its member of most shared buckets (a star, linear);
+3. buckets that still hold several components are paired between the components, so no link is missed;
+4. parity sketches, which never overstate the difference of two sets, rule out most pairs that cannot
+   link, and every other pair is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.llm.words import WordHashes, mixed, shingle_set
 from lexloom.plans.components import components
 from lexloom.plans.scratch import Scratch
 
-#: 64-bit words of a set's parity sketch. Sketches differ in no more bits than their sets in elements.
+#: 64-bit words of a set's narrow parity sketch, and the fewest of its wide one, which has a bit or more for each
+#: element. Sketches of one width differ in no more bits than their sets in elements.
 SKETCH = 8
 #: Shingle sets that a verifying task keeps for centres it meets again.
 KEPT_SETS = 256
@@ -93,13 +94,18 @@ def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the number of elements that hash to each bit."""
-    place = (mixed(elements ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * SKETCH)).astype(np.int64)
-    odd = (np.bincount(place, minlength=64 * SKETCH) & 1).astype(np.uint8)
+def sketch(elements: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    """Parity of the number of elements that hash to each bit; ``words`` is a power of two."""
+    place = (mixed(elements ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(64 * words)).astype(np.int64)
+    odd = (np.bincount(place, minlength=64 * words) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64)
 
 
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """A sketch that grows with the set; half of it folded on the other is the sketch of half its width."""
+    return sketch(elements, max(SKETCH, 1 << max(len(elements) - 1, 0).bit_length() >> 6))
+
+
 def _digest(elements: np.ndarray) -> tuple[int, int]:
     """A set's 128 bits as two signed numbers; zeros for the empty set."""
     return struct.unpack("<qq", xxhash.xxh3_128_digest(elements.tobytes())) if len(elements) else (0, 0)
@@ -117,8 +123,9 @@ def _digests(n: int):
             sets = [shingle_set(t, n, known) for t in texts]
             halves = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
-            arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(pa.array(bits[:, i]) for i in range(SKETCH))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d0", "d1", *(f"k{i}" for i in range(SKETCH))])
+            wide = pa.array([wide_sketch(s) for s in sets], pa.list_(pa.int64()))
+            arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), *(pa.array(bits[:, i]) for i in range(SKETCH)), wide]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "d0", "d1", *(f"k{i}" for i in range(SKETCH)), "wide"])
 
     return run
 
@@ -177,6 +184,26 @@ def _verify(scratch: Scratch, docs: DataFrame, pairs: DataFrame, n: int, percent
     return links
 
 
+def _leaves_room(differ: Column, percent: int) -> Column:
+    """Whether ``x`` and ``y`` may link although they differ in ``differ`` elements or more."""
+    return differ * (100 + percent) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent)
+
+
+def _not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that their wide sketches do not rule out."""
+
+    def narrowed(bits: Column, other: Column) -> Column:
+        for _ in range(((100 + percent - 1) // percent - 1).bit_length()):  # sizes of a pair differ by 100/percent at most
+            half = (F.size(bits) / 2).cast("int")
+            bits = F.when(F.size(bits) <= F.size(other), bits).otherwise(F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda u, v: u.bitwiseXOR(v)))
+        return bits
+
+    x, y = sketches.alias("x"), sketches.alias("y")
+    p, q = F.col("x.wide"), F.col("y.wide")
+    differ = F.aggregate(F.zip_with(narrowed(p, q), narrowed(q, p), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, v: n + v)
+    return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_leaves_room(differ, percent)).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, representative, component_id, n_links``.
 
@@ -192,7 +219,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     spark = docs.sparkSession
     scratch = Scratch(spark)
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = scratch.save(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"k{i} long" for i in range(SKETCH))))
+    sets = scratch.save(docs.mapInArrow(_digests(words), "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"k{i} long" for i in range(SKETCH)) + ", wide array<long>"))
     classes = scratch.save(sets.where("n_shingles > 0").groupBy("n_shingles", "d0", "d1").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     copied = classes.where("copies > 1").drop("copies")
     of_class = scratch.save(sets.join(copied, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
@@ -205,26 +232,26 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     buckets = scratch.save(shared.join(classes.select("d0", "rep", "n_shingles"), "d0").select("sig", "rep", "n_shingles"))
     scratch.drop(shared, classes)
 
+    bits = [f"k{i}" for i in range(SKETCH)]
+    sketches = scratch.save(sets.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", *bits, "wide").dropDuplicates(["rep"]))
+
     degrees = buckets.groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = buckets.join(degrees, "rep").withColumn("centre", F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "n_shingles")).over(by_sig))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     stars = ranked.where(-F.col("centre.minus") != F.col("rep")).where(fits(F.col("centre.n_shingles"), F.col("n_shingles"))).select((-F.col("centre.minus")).alias("a"), F.col("rep").alias("b")).distinct()
-    tested = scratch.save(stars)
+    tested = scratch.save(_not_ruled_out(stars, sketches, percent))
     links = _verify(scratch, docs, tested, words, percent)
     found = scratch.save(components(scratch, links))
 
     # Between components that still share a bucket: all pairs that no star has tested and no sketch rules out.
     known = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
     apart = scratch.save(known.withColumns({"lo": F.min("component").over(by_sig), "hi": F.max("component").over(by_sig)}).where("lo < hi").select("sig", "rep", "n_shingles", "component"))
-    bits = [f"k{i}" for i in range(SKETCH)]
-    sketches = scratch.save(sets.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), *bits).dropDuplicates(["rep"]))
-    drawn = apart.join(sketches, "rep")
+    drawn = apart.join(sketches.select("rep", *bits), "rep")
     x, y = drawn.alias("x"), drawn.alias("y")
     differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in bits), F.lit(0))
-    near = differ * (100 + percent) <= (F.col("x.n_shingles") + F.col("y.n_shingles")) * (100 - percent)
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & near)
+    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & _leaves_room(differ, percent))
     cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = scratch.save(cross.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    rest = scratch.save(_not_ruled_out(cross, sketches, percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.union(_verify(scratch, docs, rest, words, percent))
         found = scratch.save(components(scratch, links))
