@@ -35,3 +35,8 @@ def tie_count(candidates: DataFrame, keys: list[str], within: float = 1e-9) -> D
     order = Window.partitionBy(*keys).orderBy("rank")
     first = candidates.withColumns({"_next": F.lead("log_score").over(order), "n_candidates": F.count("*").over(Window.partitionBy(*keys))}).where("rank = 1")
     return first.select(*keys, "n_candidates", F.coalesce(F.col("log_score") - F.col("_next") < within, F.lit(False)).alias("tied"))
+
+
+def best_lexicon(candidates: DataFrame) -> DataFrame:
+    """The candidate of rank 1 of each variety and concept."""
+    return candidates.where("rank = 1").select("variety_id", "concept_id", "segments")

@@ -65,3 +65,9 @@ def contradictory_mappings(rules: DataFrame, edges: DataFrame) -> DataFrame:
     keys = ["target", "left", "right", "word_initial", "word_final"]
     up, down = rules.select(F.col("node_id").alias("parent_id"), *keys, F.col("replacement").alias("parent_to")), rules.select(F.col("node_id").alias("child_id"), *keys, F.col("replacement").alias("child_to"))
     return edges.select("parent_id", "child_id").join(up, "parent_id").join(down, ["child_id", *keys]).where(F.col("parent_to") != F.col("child_to")).select("parent_id", "child_id", "target", "parent_to", "child_to")
+
+
+def trajectory_summary(trajectories: DataFrame) -> DataFrame:
+    """One row: records, completed ones, calls, protocol failures, and failures a call (null without calls)."""
+    calls, failures = F.sum("tool_calls"), F.sum("protocol_failures")
+    return trajectories.agg(F.count("*").alias("records"), F.count_if("completed").alias("completed"), calls.alias("tool_calls"), failures.alias("protocol_failures"), F.round(F.try_divide(failures, calls), 9).alias("failure_rate"))

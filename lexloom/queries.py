@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexloom.operators import alignment, beam, evaluation, rules, runs, tree
+from lexloom.operators import alignment, beam, evaluation, rules, runs, selection, tree
+from lexloom.plans.scratch import Scratch
 from lexloom.sources import views
+from lexloom.streaming import events
 
 VARIETIES = [f"Brand#{i}" for i in (1, 2, 3)]
 
@@ -173,7 +175,55 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.quality_gate(views.trajectories(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (cascade_convergence, wordlist_forms, compiled_rules, rule_results, rule_report, cascade_outputs, tree_closure, tree_levels, tree_outgroups, leaf_beam, beam_ties, correspondence_pairs, correspondence_contexts, correspondence_sets, correspondence_inventory, nearest_gold, distance_distribution, evaluated_targets, language_distance, held_out_concepts, repeated_failures, window_saturation, running_budget, event_counts, seed_outcomes, schema_variants, quality_gate)}
+def phonetic_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.forms(spark, sf_dir).select("form_id", selection.phonetic_segments(F.col("segments")).alias("segments"))
+
+
+def variety_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.variety_counts(views.forms(spark, sf_dir))
+
+
+def benchmark_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.benchmark_concepts(views.forms(spark, sf_dir), VARIETIES, "Brand#25")
+
+
+def searched_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One pattern at each position."""
+    forms = views.forms(spark, sf_dir).select("form_id", "segments")
+    asked = [(["e", "d"], "any", True), (["r", "e"], "initial", True), (["e", "t"], "final", False), (["d", "w"], "any", False)]
+    parts = [selection.search_forms(forms, p, at, kept).select("form_id", F.lit(f"{''.join(p)} {at} {kept}".lower()).alias("search")) for p, at, kept in asked]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+def tree_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree that lacks one group, against all varieties."""
+    edges = views.edges(spark, sf_dir).where("parent_id <> 'g5'")
+    return selection.reconcile_tree(edges, views.forms(spark, sf_dir))
+
+
+def distance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upper half of the distances, of which only Brand#1 has mirrors."""
+    upper = language_distance(spark, sf_dir).select("taxon_a", "taxon_b", "distance")
+    return selection.check_distances(upper.union(upper.where("taxon_a = 'Brand#1'").select("taxon_b", "taxon_a", "distance")))
+
+
+def largest_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.largest_misses(nearest_gold(spark, sf_dir), 5)
+
+
+def best_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return beam.best_lexicon(beam.leaf_beam(views.forms(spark, sf_dir), 5))
+
+
+def trajectory_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.trajectory_summary(views.trajectories(spark, sf_dir))
+
+
+def stream_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return events.drain(events.stream_event_counts(events.read_events(spark, sf_dir)), Scratch(spark).root)
+
+
+QUERIES = {f.__name__: f for f in (cascade_convergence, wordlist_forms, compiled_rules, rule_results, rule_report, cascade_outputs, tree_closure, tree_levels, tree_outgroups, leaf_beam, beam_ties, correspondence_pairs, correspondence_contexts, correspondence_sets, correspondence_inventory, nearest_gold, distance_distribution, evaluated_targets, language_distance, held_out_concepts, repeated_failures, window_saturation, running_budget, event_counts, seed_outcomes, schema_variants, quality_gate, phonetic_forms, variety_counts, benchmark_concepts, searched_forms, tree_reconciliation, distance_violations, largest_misses, best_lexicon, trajectory_summary, stream_event_counts)}
 
 _results = f"""WITH RECURSIVE {FORMS}, {RULES}, p AS (SELECT form_id, node_id || ':' || rule_ordinal AS rule_id, segments AS seg, target, replacement, lft, rgt, word_initial, word_final FROM v_forms, v_rules), {_rewrite_sql("p", "form_id, rule_id")},
 r AS (SELECT form_id, rule_id, output, len(starts)::INTEGER AS n_matches, CASE WHEN len(output) = 0 THEN 'rejected' WHEN len(starts) > 0 THEN 'applied' WHEN len(list_filter(range(0, greatest(len(seg) - len(target) + 1, 0)), lambda i: seg[i + 1:i + len(target)] = target)) > 0 THEN 'context' ELSE 'absent' END AS status FROM w WHERE pos >= len(seg))"""
@@ -212,4 +262,14 @@ SELECT a || ' > ' || b || c AS dsl, 'rule-' || substr(sha256(a || ' > ' || b ||
     "seed_outcomes": f"WITH {TRAJECTORIES} SELECT run_id, count(*) AS attempted, count(*) FILTER (completed) AS committed, sum(tool_calls)::BIGINT AS tool_calls, sum(protocol_failures)::BIGINT AS protocol_failures FROM v_traj GROUP BY run_id",
     "schema_variants": f"WITH {TRAJECTORIES} SELECT schema_hash, count(*) AS records, schema_hash = 1 AS is_current FROM v_traj GROUP BY schema_hash",
     "quality_gate": f"WITH {TRAJECTORIES}, r AS (SELECT conv_id, list_filter([CASE WHEN NOT completed THEN 'incomplete' END, CASE WHEN protocol_failures > 1 AND protocol_failures / tool_calls > 0.25 THEN 'protocol failures' END], lambda x: x IS NOT NULL) AS reasons FROM v_traj) SELECT conv_id, reasons, len(reasons) = 0 AS high_quality FROM r",
+    "phonetic_forms": f"WITH {FORMS} SELECT form_id, list_filter(segments, lambda x: x NOT IN ('+', '-')) AS segments FROM v_forms",
+    "variety_counts": f"WITH {FORMS} SELECT variety_id, count(*) AS n_forms, count(DISTINCT concept_id) AS n_concepts FROM v_forms GROUP BY variety_id",
+    "benchmark_concepts": f"WITH {FORMS}, d AS (SELECT * FROM v_forms WHERE variety_id IN ('Brand#1', 'Brand#2', 'Brand#3')), g AS (SELECT concept_id, cognate_set_id FROM v_forms WHERE variety_id = 'Brand#25') SELECT concept_id, count(DISTINCT variety_id) = 3 AS shared, count(DISTINCT variety_id) FILTER ((concept_id, cognate_set_id) IN (SELECT (concept_id, cognate_set_id) FROM g)) = 3 AS fully_cognate FROM d GROUP BY concept_id",
+    "searched_forms": "SELECT p_partkey AS form_id, 'ed any true' AS search FROM part WHERE contains(p_name, 'ed') UNION ALL SELECT p_partkey, 're initial true' FROM part WHERE starts_with(p_name, 're') UNION ALL SELECT p_partkey, 'et final false' FROM part WHERE ends_with(replace(p_name, ' ', ''), 'et') UNION ALL SELECT p_partkey, 'dw any false' FROM part WHERE contains(replace(p_name, ' ', ''), 'dw')",
+    "tree_reconciliation": "SELECT DISTINCT p_brand AS variety_id, 'missing from the tree' AS violation FROM part WHERE regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER BETWEEN 21 AND 25",
+    "distance_violations": f"WITH {FORMS}, s AS (SELECT DISTINCT variety_id, concept_id FROM v_forms) SELECT a.variety_id AS taxon_a, b.variety_id AS taxon_b, 'no mirror' AS violation FROM s a JOIN s b ON a.concept_id = b.concept_id AND a.variety_id < b.variety_id WHERE a.variety_id <> 'Brand#1' GROUP BY ALL",
+    "largest_misses": _near + ", m AS (SELECT concept_id, form_id, ed, (row_number() OVER (PARTITION BY concept_id ORDER BY ed DESC, form_id))::INTEGER AS rank FROM near) SELECT * FROM m WHERE rank <= 5",
+    "best_lexicon": f"WITH {FORMS}, {LEAF} SELECT variety_id, concept_id, segments FROM v_leaf WHERE rank = 1",
+    "trajectory_summary": f"WITH {TRAJECTORIES} SELECT count(*) AS records, count(*) FILTER (completed) AS completed, sum(tool_calls)::BIGINT AS tool_calls, sum(protocol_failures)::BIGINT AS protocol_failures, round(sum(protocol_failures) / sum(tool_calls), 9)::DOUBLE AS failure_rate FROM v_traj",
+    "stream_event_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, 'n' || (user_id % 10) AS node_id, event_type AS kind, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 3 HOUR <= (SELECT max(ts) FROM events) GROUP BY ALL",
 }

@@ -28,10 +28,10 @@ def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``parent_id, child_id, child_ordinal, branch_length``: root, five groups, and the brands below them."""
-    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int")
     brands = table(spark, sf_dir, "part").select(F.col("p_brand").alias("child_id"), number.alias("n")).distinct()
     brands = brands.select(F.concat(F.lit("g"), F.ceil(F.col("n") / 5)).alias("parent_id"), "child_id", F.col("n").alias("child_ordinal"), F.lit(1.0).alias("branch_length"))
-    groups = brands.select(F.lit("root").alias("a"), F.col("parent_id").alias("b"), F.substring("parent_id", 2, 9).cast("int").alias("c"), F.lit(1.0)).distinct()
+    groups = brands.select(F.lit("root").alias("a"), F.col("parent_id").alias("b"), F.substring("parent_id", 2, 9).try_cast("int").alias("c"), F.lit(1.0)).distinct()
     return groups.toDF("parent_id", "child_id", "child_ordinal", "branch_length").union(brands)
 
 
