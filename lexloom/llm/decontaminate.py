@@ -3,18 +3,27 @@
 A mask names the word positions of a window that count; the others may hold anything. The hashes of every
 masked window of the documents join those of the benchmark items. Around each hit the two texts are aligned
 without gaps, and an item is found in a document when some stretch of ``stretch`` aligned words (the whole
-item, if shorter) has at least ``percent`` percent equal words.
+item, if shorter) has at least ``percent`` percent equal words. The masks are those of which one at least fits
+every such stretch, wherever its unequal words are.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lexloom.functions.binding import let
 from lexloom.plans.scratch import Scratch
 
-#: Fixed masks; ``#`` positions count. Items shorter than a mask are matched by their whole word sequence.
+#: Fixed masks; ``#`` positions count. These alone miss some stretches that pass, see ``SETS``.
 MASKS = ("##.##.###", "###..#.###", "#.###.#.##")
+#: Sets of masks, the most selective first; a stretch is looked for by the first set that fits all its patterns.
+SETS = ((*MASKS, "####.##"), ("####", "##.##"), ("####", "##.##", "###.#", "#.###"))
+#: Patterns of unequal words that are tried, at most; for more of them, a run of equal words is looked for.
+TRIED = 100_000
 SHORTEST = 5
 #: Seed hashes of the benchmark that are broadcast, at most (16 bytes each); more of them are shuffled.
 BROADCAST_SEEDS = 1_000_000
@@ -29,6 +38,23 @@ def word_codes(text: Column) -> Column:
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
+def fits_all(masks: tuple[str, ...], length: int, unequal: int) -> bool:
+    """Whether any stretch of ``length`` words, ``unequal`` of them or fewer not equal, fits some mask at some place."""
+    placed = {frozenset(i + k for k, c in enumerate(m) if c == "#") for m in masks for i in range(length - len(m) + 1)}
+    return all(any(p.isdisjoint(gone) for p in placed) for gone in combinations(range(length), unequal))
+
+
+def masks_for(length: int, percent: int) -> tuple[str, ...]:
+    """Masks of which one at least fits any stretch of ``length`` words with ``percent`` percent equal ones."""
+    unequal = length - max(-(-length * percent // 100), 1)
+    if comb(length, unequal) <= TRIED:
+        for masks in SETS:
+            if fits_all(masks, length, unequal):
+                return masks
+    # The equal words fall into unequal + 1 runs, so the longest has at least this many.
+    return ("#" * -(-(length - unequal) // (unequal + 1)),)
+
+
 def _hashes(codes: Column, mask: str, number: int) -> Column:
     """Hash of each window under one mask; empty for shorter texts."""
     at = [i for i, c in enumerate(mask) if c == "#"]
@@ -37,9 +63,9 @@ def _hashes(codes: Column, mask: str, number: int) -> Column:
     return F.when(F.size(codes) >= len(mask), F.transform(steps, window)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _seeds(table: DataFrame, key: str, codes: Column, masks: list[str]) -> DataFrame:
-    """``key, seed, place``: seeds of word codes; place is the index of the window's first word."""
-    laid = let(codes, lambda c: F.struct(F.size(c).alias("n"), F.concat(*[_hashes(c, m, i) for i, m in enumerate(masks)]).alias("seeds")))
+def _seeds(table: DataFrame, key: str, codes: Column, masks: dict[str, int]) -> DataFrame:
+    """``key, seed, place``: seeds of word codes by numbered masks; place is the index of the window's first word."""
+    laid = let(codes, lambda c: F.struct(F.size(c).alias("n"), F.concat(*[_hashes(c, m, i) for m, i in masks.items()]).alias("seeds")))
     rows = table.select(key, laid.alias("_laid")).select(key, F.col("_laid.n").alias("_n"), F.posexplode("_laid.seeds").alias("_pos", "seed"))
     place, past = F.col("_pos"), F.lit(0)
     for m in masks:
@@ -59,10 +85,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, percent:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     items = scratch.save(benchmark.where("item_id is not null").select("item_id", word_codes(F.col("text")).alias("codes")).where(F.size("codes") >= SHORTEST))
-    longest = max(map(len, MASKS))
-    lengths = [r[0] for r in items.where(F.size("codes") < longest).select(F.size("codes")).distinct().orderBy(F.size("codes")).collect()]  # fewer than the longest mask
-    masks = [*MASKS, *("#" * n for n in lengths)]
-    wanted = scratch.save(_seeds(items, "item_id", F.col("codes"), masks).withColumnRenamed("place", "item_place"))
+    length = F.least(F.lit(stretch), F.size("codes"))
+    lengths = [r[0] for r in items.select(length).distinct().collect()]  # of the stretches; at most ``stretch``
+    sets: dict[tuple[str, ...], list[int]] = {}
+    for n in sorted(lengths, reverse=True):
+        sets.setdefault(masks_for(n, percent), []).append(n)
+    masks = {m: i for i, m in enumerate(dict.fromkeys(m for chosen in sets or SETS[:1] for m in chosen))}
+    # Items of each length have the seeds of their own masks only.
+    wanted = [_seeds(items.where(length.isin(ns)), "item_id", F.col("codes"), {m: masks[m] for m in chosen}) for chosen, ns in sets.items()]
+    wanted = scratch.save(reduce(DataFrame.union, wanted or [_seeds(items, "item_id", F.col("codes"), masks)]).withColumnRenamed("place", "item_place"))
     texts = docs.where("doc_id is not null")
     seeds = _seeds(texts, "doc_id", word_codes(F.col("text")), masks)
     small = wanted.count() <= BROADCAST_SEEDS

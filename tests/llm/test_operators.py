@@ -1,6 +1,8 @@
 """Operators against brute force, and their defined results for odd inputs."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -237,6 +239,42 @@ def test_overlaps(spark, empty):
     assert decontaminate.overlaps(empty, items).count() == 0 and decontaminate.overlaps(docs, items.limit(0)).count() == 0
 
 
+def brute_overlaps(docs, items, stretch, percent):
+    """All alignments of all pairs, without seeds."""
+    split = lambda t: re.findall(r"[^\W_]+", t.lower())
+    found = {}
+    for i, item in ((i, split(t)) for i, t in items):
+        n = min(stretch, len(item))
+        for d, doc in ((d, split(t)) for d, t in docs):
+            for shift in range(1 - len(item), len(doc)):
+                equal = [0 <= shift + j < len(doc) and doc[shift + j] == w for j, w in enumerate(item)]
+                if 100 * max(sum(equal[k : k + n]) for k in range(len(item) - n + 1)) >= percent * n:
+                    found[d, i] = max(found.get((d, i), 0), sum(equal))
+    return sorted((d, i, n) for (d, i), n in found.items())
+
+
+@pytest.mark.parametrize("stretch, percent, lengths", [(13, 80, (5, 6, 7, 8, 9, 10, 11, 12, 13, 30)), (8, 60, (5, 9))])
+def test_overlaps_of_all_patterns(spark, stretch, percent, lengths):
+    """Every way in which an item's words may differ at the threshold, and every fifth word of a longer one."""
+    rng = random.Random(6)
+    items = [(n, " ".join(f"i{n}x{k}" for k in range(n))) for n in lengths]
+    docs = []
+    for n, text in items:
+        some = min(stretch, n)
+        gone = list(itertools.combinations(range(n), some - math.ceil(some * percent / 100))) if n <= stretch else []
+        for at in [*gone, *(range(k, n, 5) for k in range(5))]:
+            docs.append((len(docs), f"{prose(rng, 3)} {' '.join('other' if k in at else w for k, w in enumerate(text.split()))} {prose(rng, 3)}"))
+    expected = brute_overlaps(docs, items, stretch, percent)
+    got = decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), stretch, percent)
+    assert sorted((r.doc_id, r.item_id, r.n_equal) for r in got.collect()) == expected
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 100])
+def test_masks_fit_all(percent):
+    for length in range(1, 16):
+        assert decontaminate.fits_all(decontaminate.masks_for(length, percent), length, length - math.ceil(length * percent / 100))
+
+
 def test_judge(spark):
     urls = ["http://A.example.org/es/1", "https://example.org/en/19?x", "https://b.c/", None, "no host", "http://x.com/de/#a", "http://www.bad.net/p/?q=1", "http://xexample.org", "http://x.com/fr/2", "http://x.com/fr/2"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
