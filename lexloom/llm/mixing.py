@@ -8,6 +8,8 @@ documents by a keyed hash, in blocks of that hash, and the last pass stops at th
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions.binding import let
@@ -15,7 +17,7 @@ from lexloom.plans.scratch import Scratch
 
 #: Halvings of the exponent's interval.
 HALVINGS = 40
-#: Decimal places that exponents and weights are rounded to, so that engines which sum in another order agree.
+#: Decimal places that exponents are rounded to, so that engines which sum in another order agree.
 PLACES = 6
 #: Hexadecimal digits of a hash that name its block.
 BLOCK_DIGITS = 3
@@ -34,7 +36,9 @@ def weights(sources: DataFrame, budget: float = 1.0, entropy: float | None = Non
     possible entropy (log of the number of sources); the exponent is the largest that reaches it.
     ``repeats``: the exponent is the smallest for which no source exceeds so many passes (never below
     ``budget`` passes; with exponent 1 every source has exactly ``budget``). Give one of the two.
-    Sources without tokens get no quota. The number of sources is that of a configuration, so their shares
+    Sources without tokens get no quota. Quotas are whole tokens, cut off from the share itself, so a small source
+    keeps its own however large the others are; with exponent 1 they are counted in decimals, ``budget`` times the
+    source's tokens. The number of sources is that of a configuration, so their shares
     fit one row; the documents behind them are aggregated before.
     """
     if (entropy is None) == (repeats is None):
@@ -64,9 +68,12 @@ def weights(sources: DataFrame, budget: float = 1.0, entropy: float | None = Non
     )
     both = let(F.round(step["good"], PLACES), lambda a: F.struct(a.alias("exponent"), added(share(a)).alias("z")))
     solved = halved.select("total", both.alias("both")).select("total", "both.exponent", "both.z")
-    weight = F.round(F.pow(F.col("tokens") / F.col("total"), F.col("exponent")) / F.col("z"), PLACES)
-    out = some.crossJoin(F.broadcast(solved.select("total", "exponent", "z"))).withColumn("weight", weight)  # solved is one row
-    return out.select("source", "tokens", "exponent", "weight", F.floor(F.col("weight") * F.col("total") * budget).alias("quota"))
+    power = F.pow(F.col("tokens") / F.col("total"), F.col("exponent"))
+    as_found = F.floor(F.col("tokens").cast("decimal(19, 0)") * F.lit(Decimal(str(budget))))
+    # The product comes first: equal sources divide a budget that is a multiple of their number without a remainder.
+    quota = F.when(F.col("exponent") == 1, as_found).otherwise(F.floor(F.col("total") * budget * power / F.col("z"))).cast("long")
+    out = some.crossJoin(F.broadcast(solved.select("total", "exponent", "z")))  # solved is one row
+    return out.select("source", "tokens", "exponent", (power / F.col("z")).alias("weight"), quota.alias("quota"))
 
 
 def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repeats: float | None = None, seed: str = "mix", digits: int = BLOCK_DIGITS) -> DataFrame:

@@ -300,6 +300,27 @@ def test_mix(spark, empty):
         mixing.mix(docs)
 
 
+def test_quotas(spark):
+    """A tiny source beside huge ones, uneven totals at exponent 1, and shares between the two ends."""
+    plan = lambda tokens, **kw: [(r.exponent, r.quota) for r in mixing.weights(spark.createDataFrame(list(enumerate(tokens)), "source long, tokens long"), **kw).orderBy("source").collect()]
+    huge = [250_000_000] * 20 + [2000]
+    assert plan(huge, entropy=0.97) == [(1.0, t) for t in huge]
+    rng = random.Random(8)
+    uneven = [rng.randrange(900_000, 1_100_000) for _ in range(20)]
+    assert plan(uneven, entropy=0.97) == [(1.0, t) for t in uneven]
+    assert plan(uneven, budget=0.7, entropy=0.97) == [(1.0, t * 7 // 10) for t in uneven]
+    steep = [5_000_000_000, 900_000_000, 700]
+    got = plan(steep, entropy=0.6)
+    powers = [(t / sum(steep)) ** got[0][0] for t in steep]
+    assert 0 < got[0][0] < 1 and got[2][1] >= 700
+    assert all(abs(q - sum(steep) * p / sum(powers)) <= 1 for (_, q), p in zip(got, powers))
+
+
+def test_mix_keeps_all_at_exponent_one(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 3}") for i in range(12)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r["pass"]) for r in mixing.mix(docs, entropy=0.97).collect()) == [(i, 0) for i in range(12)]
+
+
 def test_quality(spark, empty):
     rng = random.Random(4)
     good = [(i, prose(rng, 60), 1) for i in range(120)]
