@@ -40,7 +40,8 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         upper, lower = self.tokenizer.encode_batch(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"], add_special_tokens=False)
-        self.fold = upper.ids == lower.ids  # it lower-cases, so spellings that differ in case are one word
+        self.fold = upper.ids == lower.ids  # it lower-cases, so ASCII spellings that differ in case are one word
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.start()
 
     def start(self) -> None:
@@ -54,6 +55,21 @@ class WordIds(dict):
         self.new.append(word)
         return place
 
+    def _plain(self, text: bytes) -> bool:
+        """Whether case makes no difference: added tokens are matched, and characters composed, before it is dropped."""
+        if not text.isascii():
+            return False
+        lower = text.lower()
+        return not any(t.lower() in lower for t in self.added)
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Words of a text, in lower case where it makes no difference."""
+        if not self.fold:
+            return text.split()
+        if self._plain(text):
+            return text.lower().split()
+        return [w.lower() if self._plain(w) else w for w in text.split()]
+
     def _encode_new(self) -> None:
         """Append the ids of the new words to the store."""
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
@@ -71,7 +87,7 @@ class WordIds(dict):
         """Ids of all texts one after another, and the number of each."""
         if len(self) > KEPT_WORDS:
             self.start()
-        words = [(t or b"").lower().split() if self.fold else (t or b"").split() for t in texts]
+        words = [self.words(t or b"") for t in texts]
         counts = np.array([len(w) for w in words], np.int64)
         place = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if self.new:

@@ -128,6 +128,19 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     assert token_files.read_tokens(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_token_files_keep_case_that_counts(spark, tmp_path):
+    """Added tokens are matched before case is dropped, and characters are composed before it."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    odd = ["<|ENDOFTEXT|>", "<|EndOfText|> A", "abc<|STARTOFTEXT|>x", "<|endoftext|> B", "J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a", "Plain WORD é É \u212a", "<|ENDOFTEXT|> É", "Plain word <| X"]
+    expected = [(i, zlib.crc32(np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t in enumerate(odd)]
+    token_files.write_tokens(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), f"{tmp_path}/a", path, 2)
+    assert sorted((r.doc_id, r.ids_crc32) for r in token_files.read_tokens(spark, f"{tmp_path}/a").collect()) == expected
+
+
 def brute_repeats(texts, length, keep):
     seen, out = {}, []
     raw = [(t or "").encode() for t in texts]
