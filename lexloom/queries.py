@@ -9,6 +9,7 @@ from lexloom.plans.scratch import Scratch
 from lexloom.sources import views
 from lexloom.streaming import events
 
+#: Members of the tuples in the SQL of ``correspondence_sets`` and ``correspondence_inventory``; the queries take all leaves.
 VARIETIES = [f"Brand#{i}" for i in (1, 2, 3)]
 
 # Shared SQL of the views.
@@ -113,8 +114,15 @@ def correspondence_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.correspondence_contexts(views.aligned(spark, sf_dir))
 
 
+def _leaves(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Leaves of the tree in child order; as many as there are varieties."""
+    edges = views.edges(spark, sf_dir).where("child_id is not null")
+    leaves = edges.join(edges.select(F.col("parent_id").alias("child_id")).distinct(), "child_id", "left_anti")
+    return [r.child_id for r in leaves.orderBy("child_ordinal", "child_id").collect()]
+
+
 def correspondence_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return alignment.correspondence_sets(views.aligned(spark, sf_dir), VARIETIES)
+    return alignment.correspondence_sets(views.aligned(spark, sf_dir), _leaves(spark, sf_dir))
 
 
 def correspondence_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +192,8 @@ def variety_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def benchmark_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.benchmark_concepts(views.forms(spark, sf_dir), VARIETIES, "Brand#25")
+    daughters = [v for v in _leaves(spark, sf_dir) if v != "Brand#25"]
+    return selection.benchmark_concepts(views.forms(spark, sf_dir), daughters, "Brand#25")
 
 
 def searched_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
