@@ -7,7 +7,8 @@ sets always share one. Rows are shuffled by signature, never paired with all oth
 
 1. equal sets collapse to one representative (an aggregation with map-side combine);
 2. each bucket of a signature is paired with its member of most shared buckets (a star, linear);
-3. buckets that still hold several components are paired between the components, so no link is missed;
+3. buckets that still hold several components are paired between the components, so no link is missed; of
+   buckets with the same members one is enough, and large ones are paired in blocks;
 4. parity sketches, which never overstate the difference of two sets, rule out most pairs that cannot
    link, and every other pair is verified on the whole shingle sets.
 """
@@ -31,6 +32,10 @@ from lexloom.plans.scratch import Scratch
 #: 64-bit words of a set's narrow parity sketch, and the fewest of its wide one, which has a bit or more for each
 #: element. Sketches of one width differ in no more bits than their sets in elements.
 SKETCH = 8
+#: Sets of a bucket that meet in one piece of work; of a larger bucket, every two blocks meet in one.
+BLOCK = 2048
+#: Partitionings of a band that are tried on a set, at most.
+SALTS = 32
 #: Shingle sets that a verifying task keeps for centres it meets again.
 KEPT_SETS = 256
 
@@ -46,51 +51,59 @@ def bands(percent: int) -> np.ndarray:
 
 @lru_cache(4096)
 def scheme(percent: int, band: int) -> tuple[int, int, int, int]:
-    """``(first-level parts, second-level parts, errors allowed in one part, empty signatures left out)`` of a band.
+    """``(first-level parts, second-level parts, errors allowed in one part, full parts needed)`` of a band.
 
-    With ``k`` differing elements, ``n1`` parts and ``e`` errors allowed in each, at least
-    ``n1 - k // (e + 1)`` parts have at most ``e`` errors; more than one such part lets up to ``spare``
-    empty signatures stay out of the index, which would gather unrelated sets in one bucket.
+    Linked sets differ in at most ``k`` elements, so more than ``errors`` second-level parts differ in at most
+    ``k // (errors + 1)`` first-level parts. A first-level part is full for a set if more than ``errors`` of its
+    second-level parts hold elements: then each of its signatures covers some. With one full part more than can
+    differ, a set shares a signature that is not empty with every set it links with.
     """
     most = int(bands(percent)[band + 1]) - 1
     k = 2 * (100 - percent) * most // (100 + percent)
     if k <= 4:
-        return 1, k + 3 if k else 1, k, 0
-    n1 = k // 2 + 1
-    spare = n1 // 8
-    return n1 + spare, 3 if percent >= 85 else 2, 1, spare
+        return 1, k + 3 if k else 1, k, 1
+    need = k // 2 + 1
+    return need + need // (12 if percent >= 80 else 4) + 1, 3, 1, need
 
 
 @lru_cache(4096)
-def subsets(percent: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+def subsets(percent: int, band: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Subsets of second-level parts, one a row, and a tag for each first-level part (row) and subset (column)."""
     n1, n2, errors, _ = scheme(percent, band)
     chosen = np.array(list(combinations(range(n2), n2 - errors)), np.int64)
     place = np.arange(n1 * len(chosen), dtype=np.uint64).reshape(n1, len(chosen))
-    return chosen, mixed(place + np.uint64(band << 48 | 1))
+    return chosen, mixed(place + np.uint64(band << 48 | salt << 40 | 1))
 
 
 def signatures(elements: np.ndarray, percent: int) -> np.ndarray:
-    """Signatures of a set in the instances of its own band and of the next."""
+    """Signatures of a set in the instances of its own band and of the next; none of them is empty.
+
+    A partitioning that leaves a set fewer full parts than it needs is followed by another one, whose
+    signatures it gives as well, until one suffices. Of two linked sets, the one that stops first shares a
+    signature with the other there. Only a set that no partitioning suits adds the empty ones of the last.
+    """
     found = []
     own = int(np.searchsorted(bands(percent), len(elements), "right")) - 1
     for band in (own, own + 1):
-        n1, n2, errors, spare = scheme(percent, band)
+        n1, n2, errors, need = scheme(percent, band)
         if errors == 0:
             continue  # such sets link only when they are equal, and equal sets have collapsed before
-        chosen, tags = subsets(percent, band)
-        spread = mixed(elements + np.uint64(band * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-        part = (spread % np.uint64(n1 * n2)).astype(np.int64)
-        counts = np.bincount(part, minlength=n1 * n2).reshape(n1, n2)
-        sums = np.zeros(n1 * n2, np.uint64)
-        np.add.at(sums, part, spread)
-        parts = mixed(sums.reshape(n1, n2) + np.arange(1, n2 + 1, dtype=np.uint64))
-        total, held = tags.copy(), np.zeros(tags.shape, np.int64)
-        for columns in chosen.T:
-            total += parts[:, columns]
-            held += counts[:, columns]
-        empty = held == 0
-        found.append(mixed(total[~empty] if empty.sum() <= spare else total.ravel()))
+        for salt in range(SALTS):
+            chosen, tags = subsets(percent, band, salt)
+            spread = mixed(elements + np.uint64((band * 0x9E3779B97F4A7C15 + salt * 0xC2B2AE3D27D4EB4F) & (1 << 64) - 1))
+            part = (spread % np.uint64(n1 * n2)).astype(np.int64)
+            held = np.bincount(part, minlength=n1 * n2).reshape(n1, n2) > 0
+            sums = np.zeros(n1 * n2, np.uint64)
+            np.add.at(sums, part, spread)
+            parts = mixed(sums.reshape(n1, n2) + np.arange(1, n2 + 1, dtype=np.uint64))
+            total, any_ = tags.copy(), np.zeros(tags.shape, bool)
+            for columns in chosen.T:
+                total += parts[:, columns]
+                any_ |= held[:, columns]
+            enough = int((held.sum(axis=1) > errors).sum()) >= need
+            found.append(mixed(total.ravel() if salt == SALTS - 1 and not enough else total[any_]))
+            if enough:
+                break
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -204,6 +217,38 @@ def _not_ruled_out(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.join(x, F.col("a") == F.col("x.rep")).join(y, F.col("b") == F.col("y.rep")).where(_leaves_room(differ, percent)).select("a", "b")
 
 
+def _buckets(scratch: Scratch, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
+    """``sig, rep, n_shingles``: signatures that several different sets share, one for all of equal members.
+
+    Rows carry a digest of their set, so copies in other tasks fall together in the shuffle by signature.
+    """
+    by_sig = Window.partitionBy("sig")
+    rows = docs.mapInArrow(_signed(n, percent), "sig long, d0 long")
+    shared = scratch.save(rows.withColumns({"lo": F.min("d0").over(by_sig), "hi": F.max("d0").over(by_sig)}).where("lo < hi").select("sig", "d0").distinct())
+    members = shared.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor("d0").alias("one"), F.bit_xor(F.xxhash64("d0")).alias("two"))
+    kept = members.groupBy("n", "one", "two").agg(F.min("sig").alias("sig")).select("sig")
+    buckets = scratch.save(shared.join(kept, "sig", "left_semi").join(classes.select("d0", "rep", "n_shingles"), "d0").select("sig", "rep", "n_shingles"))
+    scratch.drop(shared)
+    return buckets
+
+
+def _between(apart: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of a bucket but of different components whose sizes and narrow sketches let them link.
+
+    A bucket of ``n`` rows is cut into blocks; a row goes to the pieces of work that its block takes part in.
+    """
+    bits = [f"k{i}" for i in range(SKETCH)]
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    drawn = apart.join(sketches.select("rep", *bits), "rep").withColumns({"own": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "other": F.explode(F.sequence(F.lit(0), blocks - 1))})
+    x, y = drawn.alias("x"), drawn.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in bits), F.lit(0))
+    size_x, size_y = F.col("x.n_shingles"), F.col("y.n_shingles")
+    fits = F.least(size_x, size_y) * 100 >= F.greatest(size_x, size_y) * percent
+    meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own"))
+    found = x.join(y, meet & (F.col("x.component") < F.col("y.component")) & fits & _leaves_room(differ, percent))
+    return found.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate classes of ``docs(doc_id, text)``: ``doc_id, n_shingles, representative, component_id, n_links``.
 
@@ -224,17 +269,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     copied = classes.where("copies > 1").drop("copies")
     of_class = scratch.save(sets.join(copied, ["n_shingles", "d0", "d1"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")))
 
-    # Rows carry a digest of their set, so copies in other tasks fall together in the shuffle by signature
-    # and only buckets of different sets remain.
-    by_sig = Window.partitionBy("sig")
-    rows = docs.mapInArrow(_signed(words, percent), "sig long, d0 long")
-    shared = scratch.save(rows.withColumns({"lo": F.min("d0").over(by_sig), "hi": F.max("d0").over(by_sig)}).where("lo < hi").select("sig", "d0").distinct())
-    buckets = scratch.save(shared.join(classes.select("d0", "rep", "n_shingles"), "d0").select("sig", "rep", "n_shingles"))
-    scratch.drop(shared, classes)
-
+    buckets = _buckets(scratch, docs, classes, words, percent)
     bits = [f"k{i}" for i in range(SKETCH)]
     sketches = scratch.save(sets.join(buckets.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", *bits, "wide").dropDuplicates(["rep"]))
 
+    by_sig = Window.partitionBy("sig")
     degrees = buckets.groupBy("rep").agg(F.count("*").alias("degree"))
     ranked = buckets.join(degrees, "rep").withColumn("centre", F.max(F.struct("degree", (-F.col("rep")).alias("minus"), "n_shingles")).over(by_sig))
     fits = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
@@ -245,19 +284,15 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
 
     # Between components that still share a bucket: all pairs that no star has tested and no sketch rules out.
     known = buckets.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    apart = scratch.save(known.withColumns({"lo": F.min("component").over(by_sig), "hi": F.max("component").over(by_sig)}).where("lo < hi").select("sig", "rep", "n_shingles", "component"))
-    drawn = apart.join(sketches.select("rep", *bits), "rep")
-    x, y = drawn.alias("x"), drawn.alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{k}").bitwiseXOR(F.col(f"y.{k}"))) for k in bits), F.lit(0))
-    cross = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.component") < F.col("y.component")) & fits(F.col("x.n_shingles"), F.col("y.n_shingles")) & _leaves_room(differ, percent))
-    cross = cross.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    apart = scratch.save(known.withColumns({"lo": F.min("component").over(by_sig), "hi": F.max("component").over(by_sig), "n": F.count("*").over(by_sig)}).where("lo < hi").select("sig", "rep", "n_shingles", "component", "n"))
+    cross = _between(apart, sketches, percent)
     rest = scratch.save(_not_ruled_out(cross, sketches, percent).join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     if rest.limit(1).count():
         links = links.union(_verify(scratch, docs, rest, words, percent))
         found = scratch.save(components(scratch, links))
     counts = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     final = scratch.save(found.withColumnRenamed("node", "rep").join(counts, "rep", "left"))
-    scratch.drop(sets, buckets, tested, apart, sketches, rest)
+    scratch.drop(sets, classes, buckets, tested, apart, sketches, rest)
     return of_class.join(final, "rep", "left").select("doc_id", "n_shingles", F.col("rep").alias("representative"), F.coalesce("component", "rep").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
