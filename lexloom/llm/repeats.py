@@ -4,14 +4,16 @@ A string of ``length`` bytes belongs to the window with the smallest hash inside
 strings share an anchor wherever they lie. Each text is cut into runs of starts with one anchor; equal runs
 collapse to one. Runs that share an anchor but differ meet in one group, whose suffixes are sorted: the
 previous and next smaller positions in suffix order give each start its longest factor that occurs earlier
-(and, mirrored, later). Groups of more than ``GROUP`` runs count hashes of their strings instead, which
-spreads them over all tasks and gives the same result.
+(and, mirrored, later). A group of more than ``GROUP`` runs is split before: its strings are dealt by where
+the anchor lies in them, in ever narrower intervals, and by all the bytes that the strings of an interval have
+in common; equal strings still meet, and at the last split they are all that meets.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,8 @@ from lexloom.plans.scratch import Scratch
 WINDOW = 100
 #: Different runs of one anchor that are sorted together, at most.
 GROUP = 2000
+#: Intervals of the anchor's place, split after split; the last ones hold a single place.
+SPLITS = (8, 64, 1 << 20)
 #: Bytes after which a task sorts the groups it has gathered.
 BATCH = 1 << 20
 PIECE = 1 << 20
@@ -57,8 +61,8 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(anchor hash, first start, last start)`` of the runs of starts that share an anchor."""
+def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(anchor hash, first start, last start, anchor's place)`` of the runs of starts that share an anchor."""
     data, found = np.frombuffer(text, np.uint8), []
     t = length - WINDOW + 1
     for first in range(0, max(0, len(data) - length + 1), PIECE):
@@ -69,9 +73,9 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = (least & np.uint64((1 << 21) - 1)).astype(np.int64)
         begin = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
         end = np.concatenate([begin[1:], [len(at)]]) - 1
-        found.append((h[at[begin]], begin + first, end + first))
+        found.append((h[at[begin]], begin + first, end + first, at[begin] + first))
     if not found:
-        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2)
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -82,7 +86,7 @@ def _cut(length: int):
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if not text or len(text) < length:
                     continue
-                anchor, first, last = runs(text, length)
+                anchor, first, last, _ = runs(text, length)
                 same = [xxhash.xxh3_64_intdigest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 n = len(anchor)
                 for c, v in zip(columns, (anchor.view(np.int64), np.array(same, np.uint64).view(np.int64), np.full(n, doc), np.full(n, key), first, last - first + 1), strict=True):
@@ -176,7 +180,9 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-RESULT = "anchor long, same long, first int, starts int, earlier boolean"
+CUT = "anchor long, same long, doc_id long, text_key long, first int, starts int"
+PIECES = "anchor long, same long, hot boolean, doc_id long, text_key long, first int, piece binary"
+RESULT = "doc_id long, text_key long, first int, starts int, earlier boolean"
 
 
 def _sorted_groups(length: int):
@@ -190,20 +196,22 @@ def _sorted_groups(length: int):
         starts = np.concatenate([b + np.arange(c) for b, c in zip(begin, counts, strict=True)])
         earlier, later = factors(data, starts, length)
         out, at = [], 0
-        for (anchor, same, _), c in zip(rows, counts, strict=True):
+        for (_, _, _, doc, key, first), c in zip(rows, counts, strict=True):
             e, l = earlier[at : at + c] >= length, later[at : at + c] >= length
             at += c
             for flags, kind in ((e, True), (l & ~e, False)):
                 for a, b in zip(*_spans(flags), strict=True):
-                    out.append((anchor, same, a, b - a, kind))
+                    out.append((doc, key, first + a, b - a, kind))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["anchor", "same", "first", "starts", "earlier"])
+        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["doc_id", "text_key", "first", "starts", "earlier"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         size = 0
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "same", "piece")), strict=True):
+            for r in zip(*(batch.column(c).to_pylist() for c in ("anchor", "same", "piece", "doc_id", "text_key", "first")), strict=True):
+                if rows and rows[-1][:2] == r[:2]:
+                    continue  # a repeated row of the same document
                 if size >= BATCH and rows[-1][0] != r[0]:
                     yield solve(rows)
                     rows, size = [], 0
@@ -215,13 +223,26 @@ def _sorted_groups(length: int):
     return run
 
 
-def _string_hashes(length: int):
+def _split(length: int, intervals: int):
+    """Runs to shorter ones, of strings in which the anchor's place lies in one interval; their key is what these have in common."""
+    places = length - WINDOW + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for anchor, same, doc, first, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "same", "doc_id", "first", "piece")), strict=True):
-                h = window_hashes(np.frombuffer(piece, np.uint8), length).view(np.int64)
-                n = len(h)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, anchor)), pa.array(np.full(n, same)), pa.array(h), pa.array(np.full(n, doc)), pa.array(np.arange(n, dtype=np.int32)), pa.array(np.arange(first, first + n, dtype=np.int32))], ["anchor", "same", "string", "doc_id", "rel", "start"])
+            out: list[tuple] = []
+            for anchor, doc, key, first, piece in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc_id", "text_key", "first", "piece")), strict=True):
+                at = int(runs(piece, length)[3][0])
+                offset = at - np.arange(len(piece) - length + 1)
+                own = offset * intervals // places
+                begin = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1])
+                for p, q in zip(begin.tolist(), [*(begin[1:] - 1).tolist(), len(own) - 1], strict=True):
+                    k = int(own[p])
+                    least, most = -(-k * places // intervals), -(-(k + 1) * places // intervals) - 1
+                    common = piece[at - least : at - most + length]
+                    group = xxhash.xxh3_64_intdigest(common, seed=(anchor ^ k) & (1 << 64) - 1)
+                    out.append((group - (1 << 63), xxhash.xxh3_64_intdigest(piece[p : q + length]) - (1 << 63), doc, key, first + p, q - p + 1))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["anchor", "same", "doc_id", "text_key", "first", "starts"])
 
     return run
 
@@ -229,13 +250,13 @@ def _string_hashes(length: int):
 def _pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
-            for doc, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            columns: list[list] = [[], [], [], [], [], [], []]
+            for doc, key, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    for c, v in zip(columns, (w["anchor"], w["same"], w["hot"], doc, w["first"], text[w["first"] : w["first"] + w["starts"] + length - 1]), strict=True):
+                    for c, v in zip(columns, (w["anchor"], w["same"], w["hot"], doc, key, w["first"], text[w["first"] : w["first"] + w["starts"] + length - 1]), strict=True):
                         c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "same", "hot", "doc_id", "first", "piece"])
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "same", "hot", "doc_id", "text_key", "first", "piece"])
 
     return run
 
@@ -243,29 +264,28 @@ def _pieces(length: int):
 def repeated_spans(scratch: Scratch, texts: DataFrame, length: int) -> DataFrame:
     """``texts(doc_id, text_key, text)`` to ``doc_id, text_key, first, starts, earlier``: starts of repeated strings.
 
-    ``earlier`` tells whether the string also starts at an earlier place (by doc_id, then position).
+    ``earlier`` tells whether the string also starts at an earlier place (by doc_id, then position). Rows may
+    overlap and repeat; they are tables of ``scratch``.
     """
-    cut = scratch.save(texts.mapInArrow(_cut(length), "anchor long, same long, doc_id long, text_key long, first int, starts int"))
-    runs_ = scratch.save(cut.groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "text_key", "starts")).alias("rep")))
-    kinds = runs_.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
-    mixed_ = scratch.save(runs_.join(kinds, "anchor"))
-
-    # Equal runs: every start repeats; the first copy's own starts have no earlier one unless the sort finds it.
-    copied = runs_.where("copies > 1").select("anchor", "same", F.col("rep.doc_id").alias("d"), F.col("rep.first").alias("f"))
-    equal = cut.join(copied, ["anchor", "same"]).select("doc_id", "text_key", "first", "starts", ((F.col("doc_id") != F.col("d")) | (F.col("first") != F.col("f"))).alias("earlier"))
-
-    wanted = mixed_.select("anchor", "same", (F.col("different") > GROUP).alias("hot"), F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), F.col("rep.first").alias("first"), F.col("rep.starts").alias("starts"))
-    per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "same", "hot", "first", "starts")).alias("wanted"))
-    pieces = scratch.save(texts.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text", "wanted").mapInArrow(_pieces(length), "anchor long, same long, hot boolean, doc_id long, first int, piece binary"))
-    by_anchor = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first").select("anchor", "same", "piece")
-    by_sort = by_anchor.mapInArrow(_sorted_groups(length), RESULT)
-    strings = pieces.where("hot").select("anchor", "same", "doc_id", "first", "piece").mapInArrow(_string_hashes(length), "anchor long, same long, string long, doc_id long, rel int, start int")
-    counted = strings.groupBy("anchor", "string").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("least")).where("n > 1")
-    by_count = strings.join(counted, ["anchor", "string"]).select("anchor", "same", F.col("rel").alias("first"), F.lit(1).alias("starts"), (F.struct("doc_id", "start") > F.col("least")).alias("earlier"))
-    within = by_sort.unionByName(by_count)
-    rep = runs_.select("anchor", "same", "rep")
-    partial = within.join(rep, ["anchor", "same"]).select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.text_key").alias("text_key"), (F.col("rep.first") + F.col("first")).alias("first"), "starts", "earlier")
-    return equal.unionByName(partial)
+    cut = scratch.save(texts.mapInArrow(_cut(length), CUT))
+    found: list[DataFrame] = []
+    for intervals in (*SPLITS, 0):
+        runs_ = scratch.save(cut.groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "text_key", "starts")).alias("rep")))
+        # Equal runs: every start repeats; the first copy's own starts have no earlier one unless the sort finds it.
+        copied = runs_.where("copies > 1").select("anchor", "same", F.col("rep.doc_id").alias("d"), F.col("rep.first").alias("f"))
+        found.append(cut.join(copied, ["anchor", "same"]).select("doc_id", "text_key", "first", "starts", ((F.col("doc_id") != F.col("d")) | (F.col("first") != F.col("f"))).alias("earlier")))
+        # Different runs of one anchor: only the first copy of each goes on.
+        sizes = runs_.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
+        wanted = runs_.join(sizes, "anchor").select("anchor", "same", (F.col("different") > GROUP).alias("hot"), "rep.doc_id", "rep.text_key", "rep.first", "rep.starts")
+        per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "same", "hot", "first", "starts")).alias("wanted"))
+        pieces = scratch.save(texts.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_pieces(length), PIECES))
+        by_anchor = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first", "same")
+        found.append(by_anchor.mapInArrow(_sorted_groups(length), RESULT))
+        hot = pieces.where("hot").dropDuplicates(["anchor", "same"])
+        if not intervals or not pieces.where("hot").limit(1).count():
+            break
+        cut = scratch.save(hot.mapInArrow(_split(length, intervals), CUT))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _removed(length: int):
@@ -309,6 +329,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
     found = repeated_spans(scratch, texts, length)
     if keep == "first":
         found = found.where("earlier")
-    spans = found.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("starts").alias("counts"))
+    spans = scratch.save(found.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("starts").alias("counts")))
+    scratch.keep(spans)
     joined = texts.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "firsts", "counts")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
