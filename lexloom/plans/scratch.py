@@ -6,6 +6,7 @@ executor costs a re-read and never a recomputation of everything before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only where the session names none and runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spark-lexloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -28,7 +31,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/lexloom-{uuid.uuid4().hex}"
         self.count = 0
-        self.paths: dict[int, str] = {}
+        self.paths: set[str] = set()
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return the written table."""
@@ -36,13 +39,20 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         df.write.option("compression", "zstd").parquet(path)
         saved = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(saved)] = path
+        self.paths.add(path)
         saved._scratch_path = path
         return saved
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete saved tables that no later plan reads."""
-        jvm = self.spark._jvm
-        for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+        self._delete({t._scratch_path for t in tables})
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all saved tables but these, which the operator's result reads."""
+        self._delete(self.paths - {t._scratch_path for t in tables})
+
+    def _delete(self, paths: set[str]) -> None:
+        for name in paths & self.paths:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths -= paths
