@@ -82,18 +82,18 @@ def runs(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def _cut(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[], [], [], [], [], []]
+            columns: list[list] = [[], [], [], [], [], [], []]
             for doc, key, text in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if not text or len(text) < length:
                     continue
                 anchor, first, last, _ = runs(text, length)
                 same = [xxhash.xxh3_64_intdigest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
                 n = len(anchor)
-                for c, v in zip(columns, (anchor.view(np.int64), np.array(same, np.uint64).view(np.int64), np.full(n, doc), np.full(n, key), first, last - first + 1), strict=True):
+                for c, v in zip(columns, (anchor.view(np.int64), np.array(same, np.uint64).view(np.int64), np.full(n, doc), np.full(n, key), np.zeros(n), first, last - first + 1), strict=True):
                     c.append(v)
-            kinds = [np.int64, np.int64, np.int64, np.int64, np.int32, np.int32]
+            kinds = [np.int64] * 4 + [np.int32] * 3
             arrays = [pa.array(np.concatenate(c).astype(k)) if c else pa.array(np.zeros(0, k)) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "same", "doc_id", "text_key", "first", "starts"])
+            yield pa.RecordBatch.from_arrays(arrays, ["anchor", "same", "doc_id", "text_key", "base", "first", "starts"])
 
     return run
 
@@ -180,7 +180,7 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-CUT = "anchor long, same long, doc_id long, text_key long, first int, starts int"
+CUT = "anchor long, same long, doc_id long, text_key long, base int, first int, starts int"
 PIECES = "anchor long, same long, hot boolean, doc_id long, text_key long, first int, piece binary"
 RESULT = "doc_id long, text_key long, first int, starts int, earlier boolean"
 
@@ -240,9 +240,9 @@ def _split(length: int, intervals: int):
                     least, most = -(-k * places // intervals), -(-(k + 1) * places // intervals) - 1
                     common = piece[at - least : at - most + length]
                     group = xxhash.xxh3_64_intdigest(common, seed=(anchor ^ k) & (1 << 64) - 1)
-                    out.append((group - (1 << 63), xxhash.xxh3_64_intdigest(piece[p : q + length]) - (1 << 63), doc, key, first + p, q - p + 1))
-            kinds = [pa.int64()] * 4 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["anchor", "same", "doc_id", "text_key", "first", "starts"])
+                    out.append((group - (1 << 63), xxhash.xxh3_64_intdigest(piece[p : q + length]) - (1 << 63), doc, key, first, first + p, q - p + 1))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], k) for i, k in enumerate(kinds)], ["anchor", "same", "doc_id", "text_key", "base", "first", "starts"])
 
     return run
 
@@ -251,9 +251,10 @@ def _pieces(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], [], [], [], []]
-            for doc, key, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            for doc, key, base, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "base")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wanted").to_pylist(), strict=True):
                 for w in wanted:
-                    for c, v in zip(columns, (w["anchor"], w["same"], w["hot"], doc, key, w["first"], text[w["first"] : w["first"] + w["starts"] + length - 1]), strict=True):
+                    at = w["first"] - base
+                    for c, v in zip(columns, (w["anchor"], w["same"], w["hot"], doc, key, w["first"], text[at : at + w["starts"] + length - 1]), strict=True):
                         c.append(v)
             kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["anchor", "same", "hot", "doc_id", "text_key", "first", "piece"])
@@ -261,31 +262,39 @@ def _pieces(length: int):
     return run
 
 
-def repeated_spans(scratch: Scratch, texts: DataFrame, length: int) -> DataFrame:
-    """``texts(doc_id, text_key, text)`` to ``doc_id, text_key, first, starts, earlier``: starts of repeated strings.
+def repeated_spans(scratch: Scratch, texts: DataFrame, length: int, earlier_only: bool) -> DataFrame:
+    """``texts(doc_id, text_key, text)`` to ``doc_id, text_key, firsts, counts``: starts of repeated strings, as runs.
 
-    ``earlier`` tells whether the string also starts at an earlier place (by doc_id, then position). Rows may
-    overlap and repeat; they are tables of ``scratch``.
+    With ``earlier_only``, those of strings that also start at an earlier place (by doc_id, then position).
+    Runs may overlap and repeat. Tables of a split are deleted once the next one is done.
     """
-    cut = scratch.save(texts.mapInArrow(_cut(length), CUT))
-    found: list[DataFrame] = []
+    texts = texts.withColumn("base", F.lit(0))
+    cut, levels = scratch.save(texts.mapInArrow(_cut(length), CUT)), []
     for intervals in (*SPLITS, 0):
-        runs_ = scratch.save(cut.groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "text_key", "starts")).alias("rep")))
+        runs_ = scratch.save(cut.groupBy("anchor", "same").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "first", "text_key", "base", "starts")).alias("rep")))
         # Equal runs: every start repeats; the first copy's own starts have no earlier one unless the sort finds it.
         copied = runs_.where("copies > 1").select("anchor", "same", F.col("rep.doc_id").alias("d"), F.col("rep.first").alias("f"))
-        found.append(cut.join(copied, ["anchor", "same"]).select("doc_id", "text_key", "first", "starts", ((F.col("doc_id") != F.col("d")) | (F.col("first") != F.col("f"))).alias("earlier")))
+        equal = cut.join(copied, ["anchor", "same"]).select("doc_id", "text_key", "first", "starts", ((F.col("doc_id") != F.col("d")) | (F.col("first") != F.col("f"))).alias("earlier"))
         # Different runs of one anchor: only the first copy of each goes on.
         sizes = runs_.groupBy("anchor").agg(F.count("*").alias("different")).where("different > 1")
-        wanted = runs_.join(sizes, "anchor").select("anchor", "same", (F.col("different") > GROUP).alias("hot"), "rep.doc_id", "rep.text_key", "rep.first", "rep.starts")
-        per_doc = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("anchor", "same", "hot", "first", "starts")).alias("wanted"))
-        pieces = scratch.save(texts.join(per_doc, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "wanted").mapInArrow(_pieces(length), PIECES))
+        wanted = runs_.join(sizes, "anchor").select("anchor", "same", (F.col("different") > GROUP).alias("hot"), "rep.doc_id", "rep.text_key", "rep.base", "rep.first", "rep.starts")
+        source = ["doc_id", "text_key", "base"]
+        per_doc = wanted.groupBy(*source).agg(F.collect_list(F.struct("anchor", "same", "hot", "first", "starts")).alias("wanted"))
+        pieces = scratch.save(texts.join(per_doc, source).select(*source, "text", "wanted").mapInArrow(_pieces(length), PIECES))
         by_anchor = pieces.where("not hot").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "first", "same")
-        found.append(by_anchor.mapInArrow(_sorted_groups(length), RESULT))
+        found = equal.unionByName(by_anchor.mapInArrow(_sorted_groups(length), RESULT))
+        if earlier_only:
+            found = found.where("earlier")
+        levels.append(scratch.save(found.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("starts").alias("counts"))))
+        scratch.keep(*levels, pieces)
         hot = pieces.where("hot").dropDuplicates(["anchor", "same"])
         if not intervals or not pieces.where("hot").limit(1).count():
             break
+        texts = hot.select("doc_id", "text_key", F.col("first").alias("base"), F.col("piece").alias("text"))
         cut = scratch.save(hot.mapInArrow(_split(length, intervals), CUT))
-    return reduce(DataFrame.unionByName, found)
+    scratch.keep(*levels)
+    whole = reduce(DataFrame.unionByName, levels)
+    return whole.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("firsts")).alias("firsts"), F.flatten(F.collect_list("counts")).alias("counts"))
 
 
 def _removed(length: int):
@@ -326,10 +335,6 @@ def remove_repeats(docs: DataFrame, length: int = 400, keep: str = "first") -> D
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    found = repeated_spans(scratch, texts, length)
-    if keep == "first":
-        found = found.where("earlier")
-    spans = scratch.save(found.groupBy("doc_id", "text_key").agg(F.collect_list("first").alias("firsts"), F.collect_list("starts").alias("counts")))
-    scratch.keep(spans)
+    spans = repeated_spans(scratch, texts, length, keep == "first")
     joined = texts.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "firsts", "counts")
     return joined.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
