@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: Scores are rounded to so many places where they are compared.
 PLACES = 12
@@ -24,6 +24,11 @@ def merge_prune_normalize(raw: DataFrame, keys: list[str], k: int) -> DataFrame:
     return ranked.withColumn("_w", weight).withColumn("probability", F.col("_w") / F.sum("_w").over(every)).drop("_w")
 
 
+def candidate_id() -> Column:
+    """Twelve hexadecimal digits that name a candidate's segments."""
+    return F.substring(F.sha2(F.array_join("segments", "\u241f"), 256), 1, 12)
+
+
 def leaf_beam(forms: DataFrame, k: int) -> DataFrame:
     """Observed forms of each (variety, concept), at minus log of their number each."""
     n = F.count("*").over(Window.partitionBy("variety_id", "concept_id"))

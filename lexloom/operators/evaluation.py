@@ -1,13 +1,27 @@
-"""Distances between forms and distributions of metrics."""
+"""Distances between forms, comparisons with gold, and distributions of metrics."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexloom.functions.binding import let
+from lexloom.operators.alignment import align_pairs
+from lexloom.operators.selection import phonetic_segments
+
+#: Characters that stand for the different tokens of two forms, by their number.
+ALPHABET = "".join(chr(0x4E00 + i) for i in range(20_000))
+
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Segment edit distance of arrays of single-character tokens."""
-    return F.levenshtein(F.array_join(a, ""), F.array_join(b, ""))
+    """Edit distance in tokens, whatever their length.
+
+    Each different token of the two arrays becomes one character of its own, so that the built-in distance of
+    strings counts tokens; single characters stand for themselves.
+    """
+    single = F.forall(F.concat(a, b), lambda t: F.length(t) == 1)
+    code = lambda x, names: F.array_join(F.transform(x, lambda t: F.substring(F.lit(ALPHABET), F.array_position(names, t).cast("int"), F.lit(1))), "")
+    coded = let(F.array_distinct(F.concat(a, b)), lambda names: F.levenshtein(code(a, names), code(b, names)))
+    return F.when(single, F.levenshtein(F.array_join(a, ""), F.array_join(b, ""))).otherwise(coded)
 
 
 def normalized_edit_distance(a: Column, b: Column) -> Column:
@@ -16,6 +30,25 @@ def normalized_edit_distance(a: Column, b: Column) -> Column:
     return F.when(longest == 0, 0.0).otherwise(edit_distance(a, b) / longest)
 
 
+def bcubed(pairs: DataFrame) -> DataFrame:
+    """Add ``precision, recall, f1`` to ``pairs(left, right)``: B-Cubed over the columns of their alignment.
+
+    Columns with one symbol on a side are a class of it; gaps are one symbol. Two empty forms score 1.
+    """
+    aligned = align_pairs(pairs)
+    every = F.when(F.size("aligned_left") > 0, F.sequence(F.lit(0), F.size("aligned_left") - 1)).otherwise(F.array().cast("array<int>"))
+    alike = lambda side, i, j: F.get(side, i).eqNullSafe(F.get(side, j))
+    n = F.size("aligned_left")
+
+    def mean(side: str) -> Column:
+        both = lambda i: F.size(F.filter(every, lambda j: alike("aligned_left", i, j) & alike("aligned_right", i, j)))
+        own = lambda i: F.size(F.filter(every, lambda j: alike(side, i, j)))
+        return F.when(n == 0, 1.0).otherwise(F.aggregate(F.transform(every, lambda i: both(i) / own(i)), F.lit(0.0), lambda s, x: s + x) / n)
+
+    scored = aligned.withColumns({"precision": mean("aligned_left"), "recall": mean("aligned_right")}).drop("aligned_left", "aligned_right")
+    return scored.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
+
+
 def nearest_gold(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """For each candidate, the gold form of its concept that is nearest by normalised distance, distance, tokens."""
     pairs = candidates.join(gold.select("concept_id", F.col("segments").alias("gold")), "concept_id")
@@ -29,20 +62,61 @@ def distribution(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(value).alias("max"))
 
 
+def distributions(df: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
+    """:func:`distribution` of several columns, one row for each ``metric``."""
+    named = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values])).alias("m")
+    return distribution(df.select(*keys, named).select(*keys, "m.*"), "value", [*keys, "metric"])
+
+
 def evaluate_targets(candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """Per gold concept: missing, top exact, beam exact. ``candidates(concept_id, segments, rank)``."""
+    """Per gold concept: missing, top exact, beam exact; distances of the top and of the best candidate.
+
+    ``candidates(concept_id, segments, rank)``; several gold forms are alternatives. The graded columns are
+    null where no candidate is.
+    """
     marked = gold.select("concept_id", F.col("segments").alias("gold")).join(candidates, "concept_id", "left")
     exact = F.coalesce(F.col("segments") == F.col("gold"), F.lit(False))
-    return marked.groupBy("concept_id").agg((F.count("segments") == 0).alias("missing"), F.bool_or(exact & (F.col("rank") == 1)).alias("top_exact"), F.bool_or(exact).alias("beam_exact")).withColumn("top_exact", F.coalesce("top_exact", F.lit(False)))
-
-
-def language_distance(forms: DataFrame) -> DataFrame:
-    """Per pair of varieties: 1 minus the share of common concepts in which they share a cognate set."""
-    sets = forms.groupBy("variety_id", "concept_id").agg(F.collect_set("cognate_set_id").alias("sets"))
+    there, top = F.col("segments").isNotNull(), F.col("rank") == 1
+    scored = marked.withColumn("_d", F.when(there, F.struct(normalized_edit_distance(F.col("segments"), F.col("gold")).alias("ned"), edit_distance(F.col("segments"), F.col("gold")).alias("ed"))))
+    per = scored.groupBy("concept_id").agg((F.count("segments") == 0).alias("missing"), F.bool_or(exact & top).alias("top_exact"), F.bool_or(exact).alias("beam_exact"), F.min(F.when(top, F.col("_d"))).alias("_t"), F.min("_d").alias("_b"))
+    return per.select("concept_id", "missing", F.coalesce("top_exact", F.lit(False)).alias("top_exact"), "beam_exact", F.col("_t.ed").alias("top_ed"), F.col("_t.ned").alias("top_ned"), F.col("_b.ed").alias("best_ed"), F.col("_b.ned").alias("best_ned"))
+
+
+def target_rates(evaluated: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts and rates of :func:`evaluate_targets`; rates divide by all gold concepts, missing ones included."""
+    n = F.count("*")
+    counts = {c: F.count_if(c) for c in ("missing", "top_exact", "beam_exact")}
+    return evaluated.groupBy(*keys).agg(n.alias("n_concepts"), *[v.alias(f"n_{c}") for c, v in counts.items()], *[(v / n).alias(f"{c}_rate") for c, v in counts.items()])
+
+
+def graded_metrics(evaluated: DataFrame, keys: list[str]) -> DataFrame:
+    """Means of the graded columns, missing concepts skipped, and the selection gap: mean top less mean best, 0 at least."""
+    means = evaluated.groupBy(*keys).agg(F.count("top_ned").alias("n"), F.avg("top_ned").alias("mean_top_ned"), F.avg("best_ned").alias("mean_best_ned"), F.avg("top_ed").alias("mean_top_ed"), F.avg("best_ed").alias("mean_best_ed"))
+    return means.withColumn("selection_gap", F.greatest(F.lit(0.0), F.col("mean_top_ned") - F.col("mean_best_ned")))
+
+
+def language_distance(forms: DataFrame, method: str = "cognates") -> DataFrame:
+    """``taxon_a, taxon_b, distance, n_concepts`` of pairs of varieties over the concepts they have in common.
+
+    ``cognates``: 1 minus the share of concepts with a common cognate set; a form without one has a set of
+    its concept and sounds. ``forms``: the mean normalised distance of all pairs of their forms in a concept,
+    each concept counting once. A variety and concept has few forms, so pairs stay few.
+    """
+    if method == "cognates":
+        own = F.coalesce("cognate_set_id", F.concat_ws("\x1f", "concept_id", F.array_join(phonetic_segments(F.col("segments")), "\x1e")))
+        sets = forms.groupBy("variety_id", "concept_id").agg(F.collect_set(own).alias("sets"))
+    elif method == "forms":
+        sets = forms.select("variety_id", "concept_id", phonetic_segments(F.col("segments")).alias("sets")).distinct()
+    else:
+        raise ValueError(f"method is cognates or forms, not {method}")
     a, b = sets.alias("a"), sets.alias("b")
     pairs = a.join(b, (F.col("a.concept_id") == F.col("b.concept_id")) & (F.col("a.variety_id") < F.col("b.variety_id")))
-    shared = F.arrays_overlap("a.sets", "b.sets").cast("int")
-    return pairs.groupBy(F.col("a.variety_id").alias("taxon_a"), F.col("b.variety_id").alias("taxon_b")).agg((1 - F.avg(shared)).alias("distance"), F.count("*").alias("n_concepts"))
+    named = pairs.select(F.col("a.variety_id").alias("taxon_a"), F.col("b.variety_id").alias("taxon_b"), F.col("a.concept_id").alias("concept_id"), F.col("a.sets").alias("x"), F.col("b.sets").alias("y"))
+    if method == "cognates":
+        each = named.withColumn("d", 1 - F.arrays_overlap("x", "y").cast("int"))
+    else:
+        each = named.groupBy("taxon_a", "taxon_b", "concept_id").agg(F.avg(normalized_edit_distance(F.col("x"), F.col("y"))).alias("d"))
+    return each.groupBy("taxon_a", "taxon_b").agg(F.avg("d").alias("distance"), F.count("*").alias("n_concepts"))
 
 
 def holdout(concepts: DataFrame, share: float = 0.3) -> DataFrame:
@@ -52,3 +126,78 @@ def holdout(concepts: DataFrame, share: float = 0.3) -> DataFrame:
     n = F.count("*").over(node)
     held = F.least(n - 1, F.bround(n * F.lit(share)).cast("long"))
     return concepts.withColumns({"position": F.row_number().over(node.orderBy(digest)), "_n": n, "_held": held}).select("node_id", "concept_id", "position", (F.col("position") > F.col("_n") - F.col("_held")).alias("held_out"))
+
+
+def recoverability(reached: DataFrame) -> DataFrame:
+    """``concept_id, class`` of ``reached(concept_id, branch_id, at, shown, gold)``: single, mixed or none.
+
+    A row is a column of the gold form and what a branch shows there. ``single``: one branch shows all of it;
+    ``mixed``: each column is shown by some branch; ``none`` otherwise.
+    """
+    right = F.col("shown").eqNullSafe(F.col("gold"))
+    per_branch = reached.groupBy("concept_id", "branch_id").agg(F.bool_and(right).alias("all"))
+    per_column = reached.groupBy("concept_id", "at").agg(F.bool_or(right).alias("any"))
+    single = per_branch.groupBy("concept_id").agg(F.bool_or("all").alias("single"))
+    mixed = per_column.groupBy("concept_id").agg(F.bool_and("any").alias("mixed"))
+    return single.join(mixed, "concept_id").select("concept_id", F.when(F.col("single"), "single").when(F.col("mixed"), "mixed").otherwise("none").alias("class"))
+
+
+def clade_support(candidates: DataFrame, clades: DataFrame, forms: DataFrame) -> DataFrame:
+    """Add ``n_clades, distance, morphs`` to ``candidates(node_id, concept_id, segments)``.
+
+    ``n_clades``: clades outside the node (``clades(node_id, clade_id, leaf_id)``) of which one leaf has a
+    form of the concept that holds all the candidate's sounds; ``distance``: mean normalised distance to the
+    outside forms; ``morphs``: parts between boundaries.
+    """
+    outside = clades.join(forms.select(F.col("variety_id").alias("leaf_id"), "concept_id", phonetic_segments(F.col("segments")).alias("form")), "leaf_id")
+    outside = outside.select("node_id", "clade_id", "concept_id", "form").distinct()
+    own = phonetic_segments(F.col("segments"))
+    pairs = candidates.join(outside, ["node_id", "concept_id"], "left")
+    within = F.size(F.array_except(own, F.col("form"))) == 0
+    per = pairs.groupBy(*candidates.columns).agg(F.count_distinct(F.when(within, F.col("clade_id"))).alias("n_clades"), F.avg(F.when(F.col("form").isNotNull(), normalized_edit_distance(own, F.col("form")))).alias("distance"))
+    return per.withColumn("morphs", F.size(F.filter("segments", lambda s: s.isin("+", "-"))) + 1)
+
+
+def compare_policies(supported: DataFrame, gold: DataFrame) -> DataFrame:
+    """``node_id, policy, n_ties, hits``: how often each way to choose among tied candidates picks a gold form.
+
+    Policies: ``order`` (code points), ``distance`` (nearest the outside forms), ``clades`` (most clades),
+    ``morphs`` (fewest parts, then most clades); what is left open goes by order.
+    """
+    text = F.array_join("segments", "\x1f")
+    ways = {"order": F.struct(text.alias("t")), "distance": F.struct(F.coalesce("distance", F.lit(9.0)).alias("d"), text.alias("t")), "clades": F.struct((-F.col("n_clades")).alias("c"), text.alias("t")), "morphs": F.struct("morphs", (-F.col("n_clades")).alias("c"), text.alias("t"))}
+    picks = supported.groupBy("node_id", "concept_id").agg(*[F.min_by("segments", w).alias(p) for p, w in ways.items()])
+    long = picks.select("node_id", "concept_id", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("segments")) for p in ways])).alias("p")).select("node_id", "concept_id", "p.*")
+    right = gold.select("concept_id", "segments").distinct().withColumn("_hit", F.lit(1))
+    return long.join(right, ["concept_id", "segments"], "left").groupBy("node_id", "policy").agg(F.count("*").alias("n_ties"), F.count("_hit").alias("hits"))
+
+
+SHAPE = ("target", "replacement", "left", "right", "word_initial", "word_final")
+
+
+def score_rules(commits: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row: committed rules against true ones by structure and branch.
+
+    Both hold ``child_id`` and the parts of a rule. ``n_right`` committed rules are true ones of their branch,
+    ``n_found`` true ones are committed; ``n_misdirected`` rules sit on a known branch that has no true rule,
+    ``n_unknown`` on a branch that the answers do not name (rows with null parts name a branch without rules).
+    """
+    known = answers.select("child_id").distinct()
+    true = answers.where("target is not null").select("child_id", *SHAPE).distinct()
+    mine = commits.select("child_id", *SHAPE).distinct()
+    keys = ["child_id", *SHAPE]
+    marked = mine.join(true.withColumn("_true", F.lit(1)), keys, "left").join(known.withColumn("_known", F.lit(1)), "child_id", "left").join(true.select("child_id").distinct().withColumn("_changed", F.lit(1)), "child_id", "left")
+    own = marked.agg(F.count("*").alias("n_committed"), F.count("_true").alias("n_right"), F.count_if(F.col("_known").isNotNull() & F.col("_changed").isNull()).alias("n_misdirected"), F.count_if(F.col("_known").isNull()).alias("n_unknown"))
+    found = true.join(mine.withColumn("_mine", F.lit(1)), keys, "left").agg(F.count("*").alias("n_true"), F.count("_mine").alias("n_found"))
+    return own.join(F.broadcast(found)).withColumns({"precision": F.try_divide("n_right", "n_committed"), "recall": F.try_divide("n_found", "n_true")})
+
+
+def functional_recovery(outputs: DataFrame, parents: DataFrame) -> DataFrame:
+    """``child_id, n_concepts, rate``: share of concepts in which a branch's cascade gives the parent's form.
+
+    ``outputs(child_id, parent_id, concept_id, output)``, ``parents(parent_id, concept_id, segments)``; a
+    concept counts once, and is reached if any pair of forms agrees.
+    """
+    joined = outputs.join(parents.select("parent_id", "concept_id", F.col("segments").alias("_want")), ["parent_id", "concept_id"])
+    per = joined.groupBy("child_id", "concept_id").agg(F.bool_or(F.col("output") == F.col("_want")).alias("hit"))
+    return per.groupBy("child_id").agg(F.count("*").alias("n_concepts"), F.avg(F.col("hit").cast("int")).alias("rate"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from lexloom.operators.evaluation import distributions
+
 
 def _order(calls: DataFrame):
     return Window.partitionBy("session_id").orderBy("ts", "event_id")
@@ -22,25 +24,43 @@ def repeated_failures(calls: DataFrame, width: int, least: int) -> DataFrame:
 
 
 def window_saturation(calls: DataFrame, width: int, least: int) -> DataFrame:
-    """Per call: failures among the last ``width`` calls of the session, and whether they reach ``least``."""
+    """Per call: failures among the last ``width`` calls of the session, whether they reach ``least``, and what follows.
+
+    The first call to reach it is met by a correction, a later one means a stall.
+    """
     failures = F.sum(F.col("rejected").cast("int")).over(_order(calls).rowsBetween(-(width - 1), 0))
-    return calls.select("session_id", "event_id", failures.alias("failures")).withColumn("saturated", F.col("failures") >= least)
+    flagged = calls.select("session_id", "event_id", "ts", failures.alias("failures")).withColumn("saturated", F.col("failures") >= least)
+    before = F.sum(F.col("saturated").cast("int")).over(_order(calls).rowsBetween(Window.unboundedPreceding, 0))
+    action = F.when(~F.col("saturated"), F.lit(None)).when(before == 1, "correct").otherwise("stall")
+    return flagged.withColumn("action", action).drop("ts")
 
 
-def running_budget(calls: DataFrame, limit: float) -> DataFrame:
-    """Cumulative cost within a session, and whether it is above the limit."""
-    spent = F.sum(F.col("cost").cast("decimal(20,6)")).over(_order(calls).rowsBetween(Window.unboundedPreceding, 0)).cast("double")
-    return calls.select("session_id", "event_id", spent.alias("spent")).withColumn("breached", F.col("spent") > limit)
+def running_budget(calls: DataFrame, limit: float, seconds: float | None = None) -> DataFrame:
+    """Cumulative cost and duration within a session, whether either is above its limit, and whether it is so for the first time."""
+    so_far = _order(calls).rowsBetween(Window.unboundedPreceding, 0)
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,6)")).over(so_far).cast("double")
+    timed = calls if "seconds" in calls.columns else calls.withColumn("seconds", F.lit(0.0))
+    out = timed.select("session_id", "event_id", "ts", total("cost").alias("spent"), total("seconds").alias("elapsed"))
+    over = F.col("spent") > limit
+    if seconds is not None:
+        over = over | (F.col("elapsed") > seconds)
+    out = out.withColumn("breached", over)
+    first = F.col("breached") & (F.sum(F.col("breached").cast("int")).over(_order(calls).rowsBetween(Window.unboundedPreceding, 0)) == 1)
+    return out.withColumn("first_breach", first).drop("ts")
 
 
-def event_counts(calls: DataFrame) -> DataFrame:
-    """Events by node and kind."""
-    return calls.groupBy(F.concat(F.lit("n"), (F.col("session_id") % 10).cast("string")).alias("node_id"), F.col("tool").alias("kind")).agg(F.count("*").alias("n"))
+def event_counts(events: DataFrame, notable: tuple[str, ...] = ()) -> DataFrame:
+    """Events ``node_id, kind`` by node and kind, and whether the kind is notable."""
+    return events.groupBy("node_id", "kind").agg(F.count("*").alias("n")).withColumn("notable", F.col("kind").isin(*notable))
 
 
 def seed_outcomes(trajectories: DataFrame) -> DataFrame:
-    """One row for each run: attempted and completed nodes, calls, failures."""
-    return trajectories.groupBy("run_id").agg(F.count("*").alias("attempted"), F.count_if("completed").alias("committed"), F.sum("tool_calls").alias("tool_calls"), F.sum("protocol_failures").alias("protocol_failures"))
+    """One row for each run: attempted and completed nodes, those left to the fallback, calls, failures, rules, and failure types."""
+    kinds = F.array_sort(F.collect_set(F.substring_index("failure", ":", 1)))
+    return trajectories.groupBy("run_id").agg(
+        F.count("*").alias("attempted"), F.count_if("completed").alias("committed"), F.count_if(~F.col("completed")).alias("fallback"),
+        F.sum("tool_calls").alias("tool_calls"), F.sum("protocol_failures").alias("protocol_failures"), F.sum("n_rules").alias("n_rules"), kinds.alias("failures"),
+    )
 
 
 def schema_variants(trajectories: DataFrame, current: int) -> DataFrame:
@@ -48,10 +68,19 @@ def schema_variants(trajectories: DataFrame, current: int) -> DataFrame:
 
 
 def quality_gate(trajectories: DataFrame, most_rate: float = 0.25) -> DataFrame:
-    """Reasons against each trajectory; it passes if there are none."""
-    rate = F.col("protocol_failures") / F.col("tool_calls")
-    reasons = F.array_compact(F.array(F.when(~F.col("completed"), "incomplete"), F.when((F.col("protocol_failures") > 1) & (rate > most_rate), "protocol failures")))
-    return trajectories.select("conv_id", reasons.alias("reasons")).withColumn("high_quality", F.size("reasons") == 0)
+    """``conv_id, reasons, high_quality``: reasons against each trajectory; it passes if there are none."""
+    rate = F.try_divide("protocol_failures", "tool_calls")
+    reasons = {
+        "incomplete": ~F.col("completed"),
+        "no step": F.col("n_steps") == 0,
+        "no-op rule": F.col("n_no_ops") > 0,
+        "no inspection": F.col("n_inspections") == 0,
+        "protocol failures": (F.col("protocol_failures") > 1) & (rate > most_rate),
+        "fewer tests than rules": F.col("n_tests") < F.col("n_rules"),
+        "no cascade preview": (F.col("n_rules") > 1) & (F.col("n_cascades") == 0),
+    }
+    found = F.array_compact(F.array(*[F.when(c, k) for k, c in reasons.items()]))
+    return trajectories.select("conv_id", found.alias("reasons")).withColumn("high_quality", F.size("reasons") == 0)
 
 
 def confidence_spread(rules: DataFrame, least: float = 0.25) -> DataFrame:
@@ -68,6 +97,149 @@ def contradictory_mappings(rules: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def trajectory_summary(trajectories: DataFrame) -> DataFrame:
-    """One row: records, completed ones, calls, protocol failures, and failures a call (null without calls)."""
+    """One row: records, completed ones, calls, protocol failures, failures a call (null without calls), models and failure types."""
     calls, failures = F.sum("tool_calls"), F.sum("protocol_failures")
-    return trajectories.agg(F.count("*").alias("records"), F.count_if("completed").alias("completed"), calls.alias("tool_calls"), failures.alias("protocol_failures"), F.round(F.try_divide(failures, calls), 9).alias("failure_rate"))
+    return trajectories.agg(
+        F.count("*").alias("records"), F.count_if("completed").alias("completed"), calls.alias("tool_calls"), failures.alias("protocol_failures"),
+        F.round(F.try_divide(failures, calls), 9).alias("failure_rate"), F.array_sort(F.collect_set("model")).alias("models"),
+        F.array_sort(F.collect_set(F.substring_index("failure", ":", 1))).alias("failure_types"),
+    )
+
+
+def failure_types(trajectories: DataFrame) -> DataFrame:
+    """``failure_type, n``: the text before the first colon of each failure."""
+    return trajectories.where("failure is not null").groupBy(F.substring_index("failure", ":", 1).alias("failure_type")).agg(F.count("*").alias("n"))
+
+
+def aggregate_sweep(outcomes: DataFrame, evaluations: DataFrame, metrics: list[str], graded: list[str]) -> DataFrame:
+    """``scope, node_id, metric`` and a distribution: run metrics over runs, evaluations over all and by node.
+
+    Evaluations of fallback nodes (``fallback``) are excluded; their number is the metric ``fallbacks`` of scope excluded.
+    """
+    kept = evaluations.where(~F.col("fallback"))
+    runs = distributions(outcomes, metrics, []).select(F.lit("run").alias("scope"), F.lit(None).cast("string").alias("node_id"), "*")
+    whole = distributions(kept, graded, []).select(F.lit("all").alias("scope"), F.lit(None).cast("string").alias("node_id"), "*")
+    by_node = distributions(kept, graded, ["node_id"]).select(F.lit("node").alias("scope"), "*")
+    left = evaluations.agg(F.count_if("fallback").alias("n")).select(F.lit("excluded").alias("scope"), F.lit(None).cast("string").alias("node_id"), F.lit("fallbacks").alias("metric"), "n")
+    return runs.unionByName(whole).unionByName(by_node).unionByName(left, allowMissingColumns=True)
+
+
+def per_node_rows(trajectories: DataFrame, diagnostics: DataFrame) -> DataFrame:
+    """Trajectories with the diagnostics of their run and node; null where there are none."""
+    return trajectories.select("conv_id", "run_id", "node_id", "completed", "tool_calls", "protocol_failures").join(diagnostics, ["run_id", "node_id"], "left")
+
+
+def gold_summary(evaluations: DataFrame, metrics: list[str]) -> DataFrame:
+    """Distributions of metrics over evaluations that are no fallbacks: of all (``node_id`` null) and by node."""
+    kept = evaluations.where(~F.col("fallback"))
+    return distributions(kept, metrics, []).withColumn("node_id", F.lit(None).cast("string")).unionByName(distributions(kept, metrics, ["node_id"]))
+
+
+def convergence_summary(diagnostics: DataFrame) -> DataFrame:
+    """One row: means over the nodes that recorded a value, and how many did not."""
+    rate, support = F.col("convergence_rate"), F.col("branch_support")
+    return diagnostics.agg(
+        F.count("*").alias("n_nodes"), F.avg(rate).alias("mean_rate"), F.count_if(rate.isNull()).alias("rate_unrecorded"),
+        F.avg(support).alias("mean_support"), F.count_if(support.isNull()).alias("support_unrecorded"), F.sum("divergent").alias("n_divergent"),
+    )
+
+
+def unmentioned_correspondences(rules: DataFrame, paths: DataFrame) -> DataFrame:
+    """``node_id, target, replacement, established_at``: a change of a node below that no rule of the node has.
+
+    ``paths`` is the closure of the tree; ``established_at`` are the nodes below, in order.
+    """
+    own = rules.select("node_id", "target", "replacement").distinct()
+    above = paths.where("depth > 0").select(F.col("ancestor_id").alias("_up"), F.col("descendant_id").alias("node_id")).join(rules.select(F.col("node_id").alias("_up")).distinct(), "_up", "left_semi")
+    asked = own.join(above, "node_id").select(F.col("_up").alias("node_id"), "target", "replacement", F.col("node_id").alias("_below"))
+    return asked.join(own, ["node_id", "target", "replacement"], "left_anti").groupBy("node_id", "target", "replacement").agg(F.array_sort(F.collect_set("_below")).alias("established_at"))
+
+
+def export_training_examples(trajectories: DataFrame, include_incomplete: bool = False, gate: bool = True, max_anomaly_rate: float | None = None) -> DataFrame:
+    """Trajectories fit for training: complete, past the quality gate, of few anomalies. An unrecorded rate passes no limit."""
+    kept = trajectories if include_incomplete else trajectories.where("completed")
+    if max_anomaly_rate is not None:
+        kept = kept.where(F.col("anomaly_rate") <= max_anomaly_rate)
+    if gate:
+        kept = kept.join(quality_gate(trajectories).where("high_quality").select("conv_id"), "conv_id", "left_semi")
+    return kept
+
+
+def inspected_concepts(calls: DataFrame, forms: DataFrame, concepts: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
+    """``session_id, concept_id``: concepts that a session's calls name anywhere in their JSON ``arguments``.
+
+    Strings that are values (not keys) count if they are ids of concepts, or of forms, whose concept counts
+    then; others are dropped. A call of a tool in ``whole`` without arguments looks at all concepts.
+    """
+    strings = F.regexp_extract_all("arguments", F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    named = F.transform(F.filter(strings, lambda m: ~m.endswith(":")), lambda m: F.substring(m, F.lit(2), F.length(m) - 2))
+    texts = calls.select("session_id", F.explode(named).alias("id")).distinct()
+    ids = concepts.select(F.col("concept_id").alias("id"), "concept_id").unionByName(forms.select(F.col("form_id").cast("string").alias("id"), "concept_id")).distinct()
+    found = texts.join(ids, "id").select("session_id", "concept_id")
+    empty = F.regexp_replace(F.coalesce("arguments", F.lit("")), r"\s+", "").isin("", "{}")
+    everything = calls.where(F.col("tool").isin(*whole) & empty).select("session_id").distinct().withColumn("_all", F.lit(1))
+    # The result of a whole-lexicon call is every concept, so this is its size and no larger.
+    rest = everything.join(concepts.select("concept_id").distinct().withColumn("_all", F.lit(1)), "_all").select("session_id", "concept_id")
+    return found.unionByName(rest).distinct()
+
+
+def directionality_evidence(calls: DataFrame, claims: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """``session_id, calls, outgroup_calls, claims``: evidence calls, those that returned an out-group, and claims of a direction.
+
+    ``calls`` hold ``session_id, tool, result`` (JSON), ``claims`` a row each; sessions with any are listed.
+    """
+    asked = calls.where(F.col("tool").isin(*tools))
+    outside = F.get_json_object("result", "$.relation") == "outgroup"
+    per = asked.groupBy("session_id").agg(F.count("*").alias("calls"), F.count_if(F.coalesce(outside, F.lit(False))).alias("outgroup_calls"))
+    claimed = claims.groupBy("session_id").agg(F.count("*").alias("claims"))
+    both = per.join(claimed, "session_id", "full")
+    return both.select("session_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("calls", "outgroup_calls", "claims")])
+
+
+def classify_errors(errors: DataFrame, codes: DataFrame) -> DataFrame:
+    """``error_id, code, category`` of ``errors(error_id, kind, places)``.
+
+    The code is the kind and, where the error has places in the arguments, these in order with array indexes
+    collapsed, so that one mistake has one code. ``codes(code, category)`` is short; a code it lacks is a
+    matter of protocol.
+    """
+    collapsed = F.array_sort(F.array_distinct(F.transform("places", lambda p: F.regexp_replace(p, r"\.?\d+", "[]"))))
+    code = F.when(F.size("places") > 0, F.concat("kind", F.lit(":"), F.array_join(collapsed, ","))).otherwise(F.col("kind"))
+    return errors.select("error_id", code.alias("code")).join(codes, "code", "left").select("error_id", "code", F.coalesce("category", F.lit("protocol")).alias("category"))
+
+
+def superseded_calls(calls: DataFrame, selections: list[str], tools: tuple[str, ...]) -> DataFrame:
+    """``session_id, event_id, superseded_by``: calls of ``tools`` that a later one of the session includes, with the first such.
+
+    Each selection (an array; null is everything) must be part of the later call's, and ``other`` equal.
+    """
+    own = calls.where(F.col("tool").isin(*tools))
+    a, b = own.alias("a"), own.alias("b")
+    later = F.struct(F.col("a.ts"), F.col("a.event_id")) < F.struct(F.col("b.ts"), F.col("b.event_id"))
+    on = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.tool") == F.col("b.tool")) & F.col("a.other").eqNullSafe(F.col("b.other")) & later
+    for s in selections:
+        part = F.col(f"a.{s}").isNotNull() & (F.size(F.array_except(f"a.{s}", f"b.{s}")) == 0)
+        on = on & (F.col(f"b.{s}").isNull() | F.coalesce(part, F.lit(False)))
+    pairs = a.join(b, on).groupBy(F.col("a.session_id").alias("session_id"), F.col("a.event_id").alias("event_id"))
+    return pairs.agg(F.min_by("b.event_id", F.struct("b.ts", "b.event_id")).alias("superseded_by"))
+
+
+def committed_rule_rows(rules: DataFrame) -> DataFrame:
+    """``node_id, rule_ordinal, rule_id, correspondence, environment``: compiled rules written out, a deletion as ``Ø``."""
+    text = lambda c: F.array_join(c, " ")
+    to = F.when(F.size("replacement") == 0, "Ø").otherwise(text("replacement"))
+    sides = [F.when(F.col("word_initial"), "#"), F.nullif(text("left"), F.lit("")), F.lit("_"), F.nullif(text("right"), F.lit("")), F.when(F.col("word_final"), "#")]
+    return rules.where("error is null").select("node_id", "rule_ordinal", "rule_id", F.concat(text("target"), F.lit(" > "), to).alias("correspondence"), F.concat_ws(" ", *sides).alias("environment"))
+
+
+def node_report(nodes: DataFrame, results: DataFrame, steps: DataFrame, rules: DataFrame, diagnostics: DataFrame, evaluations: DataFrame) -> DataFrame:
+    """One row for each node: its rules, the best forms (of the result, else of the step), diagnostics and gold.
+
+    ``results`` and ``steps`` hold ``node_id, n_forms``; ``rules`` the rows of :func:`committed_rule_rows`.
+    """
+    written = rules.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_ordinal", "correspondence"))), lambda r: r["correspondence"]).alias("rules"))
+    best = results.select("node_id", F.col("n_forms").alias("_result"))
+    stepped = steps.select("node_id", F.col("n_forms").alias("_step"))
+    joined = nodes.select("node_id").join(best, "node_id", "left").join(stepped, "node_id", "left").join(written, "node_id", "left").join(diagnostics, "node_id", "left").join(evaluations, "node_id", "left")
+    others = [c for c in (*diagnostics.columns, *evaluations.columns) if c != "node_id"]
+    return joined.select("node_id", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.coalesce("_result", "_step").alias("n_forms"), *others)

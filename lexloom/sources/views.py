@@ -18,6 +18,9 @@ RULES = [
     ("g5", 2, "d > r / _ a", None, 0.9),
 ]
 
+#: Slices of the example forms, in morphemes, sound and unsound ones.
+SLICES = ["1", "", "2", "", "1 2", "", "1:2", "", "3", "x", "1 1:2", "", ""]
+
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``form_id, variety_id, concept_id, segments, cognate_set_id``: one form for each part."""
@@ -48,12 +51,46 @@ def aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``session_id, event_id, ts, tool, rejected, code, cost``: tool calls of sessions."""
+    """``session_id, event_id, ts, tool, rejected, code, cost, seconds, k``: tool calls of sessions."""
     k = F.get_json_object("props", "$.k").cast("long")
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", "ts", F.col("event_type").alias("tool"), (F.col("event_type") == "error").alias("rejected"), F.concat(F.lit("schema:f"), (k % 4).cast("string")).alias("code"), F.col("value").alias("cost"))
+    rows = table(spark, sf_dir, "events").withColumn("k", k)
+    return rows.select(
+        F.col("user_id").alias("session_id"), "event_id", "ts", F.col("event_type").alias("tool"), (F.col("event_type") == "error").alias("rejected"),
+        F.concat(F.lit("schema:f"), (F.col("k") % 4).cast("string")).alias("code"), F.col("value").alias("cost"), (F.col("k") % 60).cast("double").alias("seconds"), "k",
+    )
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``node_id, kind``: the events of ten nodes."""
+    rows = table(spark, sf_dir, "events")
+    return rows.select(F.concat(F.lit("n"), (F.col("user_id") % 10).cast("string")).alias("node_id"), F.col("event_type").alias("kind"))
 
 
 def trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each conversation: run, node, completion and call counts."""
-    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("tool_calls"), F.count_if(F.col("role") == "system").alias("protocol_failures"))
-    return turns.select("conv_id", (F.col("conv_id") % 7).alias("run_id"), F.concat(F.lit("g"), (1 + F.col("conv_id") % 5).cast("string")).alias("node_id"), (F.col("conv_id") % 5 != 0).alias("completed"), "tool_calls", "protocol_failures", (F.col("conv_id") % 3).alias("schema_hash"))
+    """One row for each conversation: run, node, completion, failure, and counts of what was done."""
+    role = lambda r: F.count_if(F.col("role") == r)
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("tool_calls"), role("system").alias("protocol_failures"), role("assistant").alias("n_steps"), role("user").alias("users"))
+    id_ = F.col("conv_id")
+    failure = F.when(id_ % 10 == 0, F.concat(F.lit("timeout: turn "), F.col("tool_calls").cast("string"))).when(id_ % 5 == 0, F.concat(F.lit("stall: "), id_.cast("string")))
+    return turns.select(
+        "conv_id", (id_ % 7).alias("run_id"), F.concat(F.lit("g"), (1 + id_ % 5).cast("string")).alias("node_id"), (id_ % 5 != 0).alias("completed"),
+        "tool_calls", "protocol_failures", (id_ % 3).alias("schema_hash"), F.concat(F.lit("m"), (id_ % 2).cast("string")).alias("model"), failure.alias("failure"),
+        (id_ % 4).alias("n_rules"), "n_steps", (id_ % 11 == 0).cast("long").alias("n_no_ops"), (F.col("users") % 3).alias("n_inspections"), F.col("n_steps").alias("n_tests"),
+        (id_ % 3).alias("n_cascades"), F.when(id_ % 9 != 0, (id_ % 10) / 10).alias("anomaly_rate"),
+    )
+
+
+def cldf(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The four CSV tables of two datasets, alpha and beta, each with the column ``dataset``."""
+    part = table(spark, sf_dir, "part").withColumns({"n": F.regexp_extract("p_brand", r"(\d+)$", 1).try_cast("int"), "dataset": F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise("beta")})
+    text = lambda c: c.cast("string")
+    letters = F.array_join(F.transform(F.regexp_extract_all("p_name", F.lit("(.)"), F.lit(1)), lambda c: F.when(c == " ", "+").otherwise(c)), " ")
+    first, second = F.substring("p_name", 1, 1), F.substring("p_name", 2, 1)
+    inline = F.when(F.col("p_partkey") % 14 == 0, F.concat(F.lit("i"), first, F.lit("; j"), second)).when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("i"), first))
+    slices = F.element_at(F.array(*map(F.lit, SLICES)), (F.col("p_partkey") % len(SLICES) + 1).cast("int"))
+    return {
+        "languages": part.select("dataset", text(F.col("n")).alias("ID"), F.col("p_brand").alias("Name"), F.when(F.col("n") % 6 != 0, F.concat(F.lit("glot"), text(F.col("n")))).alias("Glottocode"), F.concat(F.lit("f"), text(F.col("n") % 3)).alias("Family"), F.when(F.col("n") == 25, "Yes").alias("historical")).distinct(),
+        "parameters": part.select("dataset", text(F.col("p_size")).alias("ID"), F.concat(F.lit("size "), text(F.col("p_size"))).alias("Name"), F.when(F.col("p_size") % 3 != 0, text(F.col("p_size") + 1000)).alias("Concepticon_ID"), F.lit(None).cast("string").alias("Concepticon_Gloss")).distinct(),
+        "forms": part.select("dataset", text(F.col("p_partkey")).alias("ID"), text(F.col("n")).alias("Language_ID"), F.when(F.col("p_partkey") % 17 != 0, text(F.col("p_size"))).alias("Parameter_ID"), F.when(F.col("p_partkey") % 11 != 0, letters).alias("Segments"), F.when(F.col("p_partkey") % 22 == 0, F.upper(letters)).alias("Phonemic_Segments"), inline.alias("Cognateset_ID")),
+        "cognates": part.where("p_partkey % 5 <> 0").select("dataset", F.concat(text(F.col("p_partkey")), F.lit("c")).alias("ID"), text(F.col("p_partkey")).alias("Form_ID"), F.concat(text(F.col("p_size")), first).alias("Cognateset_ID"), F.nullif(slices, F.lit("")).alias("Segment_Slice")),
+    }

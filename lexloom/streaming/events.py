@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def stream_event_counts(events: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
@@ -29,3 +33,71 @@ def drain(stream: DataFrame, folder: str) -> DataFrame:
     query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
+
+
+def drain_whole(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """Run an aggregated ``stream`` over all that is there now, and give its last row of each key.
+
+    Windows that the watermark has not closed yet are part of it, so that the counts of a finished input are
+    whole. Each micro-batch writes what it changed to a folder of its own, so that a repeated one overwrites itself.
+    """
+    out = f"{folder}/batches"
+
+    def write(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/number={number}")
+
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(f"{', '.join(f'{n} {t}' for n, t in stream.dtypes)}, number long").parquet(out)
+    others = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct("number", *others)).alias("_l")).select(*[c if c in keys else F.col(f"_l.{c}").alias(c) for c in stream.columns])
+
+
+INTERVENTIONS = "session_id long, event_id long, occurrences int, failures int, action string"
+WINDOW = "signatures array<string>, corrected array<string>, saturated boolean"
+
+
+def _advance(width: int, least: int, most: int):
+    """The calls of one session in a micro-batch, with the state they leave behind."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        signatures, corrected, saturated = [], [], False
+        if state.exists:
+            signatures, corrected, saturated = list(state.get[0]), list(state.get[1]), bool(state.get[2])
+        calls = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+        rows = []
+        for event, tool, code, rejected in zip(calls.event_id, calls.tool, calls.code, calls.rejected, strict=True):
+            own = f"{tool}|{code}" if rejected else ""
+            signatures = [*signatures, own][-width:]
+            n, failures, action = signatures.count(own) if own else 0, sum(s != "" for s in signatures), None
+            if n >= least:
+                action = "stall" if own in corrected else "correct"
+                corrected = corrected if own in corrected else [*corrected, own]
+            if failures >= most:
+                action = "stall" if saturated or action == "stall" else "correct"
+                saturated = True
+            if action:
+                rows.append((key[0], event, n, failures, action))
+        state.update((signatures, corrected, saturated))
+        yield pd.DataFrame(rows, columns=["session_id", "event_id", "occurrences", "failures", "action"])
+
+    return run
+
+
+def stream_failure_windows(calls: DataFrame, width: int = 12, least: int = 2, most: int = 6) -> DataFrame:
+    """Interventions of a stream of calls (``session_id, event_id, ts, tool, code, rejected``), from state kept by session.
+
+    The state holds the failure signatures of the last ``width`` calls (successes take a place), which
+    signatures were corrected, and whether the window was full of failures before. A call is met with
+    ``correct`` when its own signature occurs ``least`` times, or ``most`` calls of the window failed, for the
+    first time, and with ``stall`` when this happens again. Calls are taken in the order of ``ts, event_id``
+    within a micro-batch.
+    """
+    return calls.groupBy("session_id").applyInPandasWithState(_advance(width, least, most), INTERVENTIONS, WINDOW, "append", GroupStateTimeout.NoTimeout)
+
+
+def read_calls(spark, sf_dir: str) -> DataFrame:
+    """The stream of tool calls of the ``events`` table."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
+    code = F.concat(F.lit("schema:f"), (F.get_json_object("props", "$.k").cast("long") % 4).cast("string"))
+    return raw.select(F.col("user_id").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tool"), code.alias("code"), (F.col("event_type") == "error").alias("rejected"))

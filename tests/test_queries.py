@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from lexloom import queries as own
+from lexloom import catalog, queries as own
 from lexloom.sources import views
 
 SF = "/root/testdata/sf0.001"
@@ -26,12 +26,12 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", own.QUERIES)
+@pytest.mark.parametrize("name", catalog.ORACLES)
 def test_query(spark, duck, name):
-    df = own.QUERIES[name](spark, SF)
+    df = catalog.QUERIES[name](spark, SF)
     names = sorted(df.columns)
     mine = sorted((tuple(normal(r[c]) for c in names) for r in df.collect()), key=repr)
-    other = duck.sql(own.ORACLES[name])
+    other = duck.sql(catalog.ORACLES[name])
     at = [other.columns.index(c) for c in names]
     assert sorted(other.columns) == names
     assert mine == sorted((tuple(normal(r[i]) for i in at) for r in other.fetchall()), key=repr)
