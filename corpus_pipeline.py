@@ -14,7 +14,7 @@ from lexloom.sources.tables import table
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the classifier accepts."""
-    return quality.classify(docs, table(spark, sf_dir, "labels"), keep=docs.columns).where("predicted = 1").select(*docs.columns)
+    return quality.keep_accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

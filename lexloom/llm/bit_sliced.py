@@ -14,7 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-ROWS, QUERIES = 16_384, 512
+ROWS, QUERIES = 8_192, 4_096
+#: Components are held in 64 bits; beyond this, a score cannot be a long.
+LARGEST = 2.0**62
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -29,11 +31,12 @@ def quantised(vectors: DataFrame, scale: int = 64) -> DataFrame:
                     continue
                 x = np.floor(np.array(v, np.float64) * scale)
                 if len(x) and np.isfinite(x).all():
-                    if np.abs(x).max() >= 2**31:
-                        raise ValueError(f"vector {i} has a component beyond 31 bits")
+                    most = np.abs(x).max()
+                    if most >= LARGEST:
+                        raise ValueError(f"vector {i} has a component of 2**62 or more after scaling")
                     ids.append(i)
                     dims.append(len(x))
-                    packed.append(x.astype(np.int32).tobytes())
+                    packed.append(x.astype(np.int32 if most < 2**31 else np.int64).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(packed, pa.binary())], ["vec_id", "dim", "x"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "vec_id long, dim int, x binary")
@@ -111,19 +114,34 @@ class BitSlices:
         return np.concatenate([at(sure), at(open_)[: k - count]])
 
 
+def _unpacked(raw: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, np.int32 if len(raw) == 4 * dim else np.int64).astype(np.int64)
+
+
+def _scores(x: np.ndarray, q: np.ndarray) -> list[int]:
+    """Inner products of rows and a query; in Python's integers where 64 bits may not hold them."""
+    if x.size == 0 or float(np.abs(x).max()) * float(np.abs(q).max()) * len(q) < 2.0**62:
+        return (x @ q).tolist()
+    found = [sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x]
+    if any(not -(1 << 63) <= s < 1 << 63 for s in found):
+        raise ValueError("a score of the result is no long")
+    return found
+
+
 def _block(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, queries = pdf[~pdf["asks"]].sort_values("vec_id"), pdf[pdf["asks"]]
         if rows.empty or queries.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         ids = rows["vec_id"].to_numpy()
-        x = np.frombuffer(b"".join(rows["x"]), np.int32).reshape(len(rows), -1).astype(np.int64)
+        dim = int(pdf["dim"].iloc[0])
+        x = np.stack([_unpacked(raw, dim) for raw in rows["x"]])
         index, out = BitSlices(x), []
         for q_id, raw in zip(queries["vec_id"], queries["x"], strict=True):
-            q = np.frombuffer(raw, np.int32).astype(np.int64)
+            q = _unpacked(raw, dim)
             own = np.arange(np.searchsorted(ids, q_id, "left"), np.searchsorted(ids, q_id, "right"))
             best = index.top(q, k, own)
-            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[best], "score": x[best] @ q}))
+            out.append(pd.DataFrame({"query_id": q_id, "vec_id": ids[best], "score": _scores(x[best], q)}))
         return pd.concat(out).astype("int64")
 
     return run
@@ -134,8 +152,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, scale: int = 64, rows: int
 
     ``vectors(vec_id, embedding)``; queries are the rows for which ``is_query`` holds. Rows with the query's
     own id are no candidates; only vectors of the query's length are. Ties go to smaller ids; repeated rows
-    each take a rank. Null ids, and vectors that are null, empty or hold a null or non-finite component take no part; a component
-    beyond 31 bits after scaling is an error. Fewer than k candidates are all returned; an empty table gives
+    each take a rank. Null ids, and vectors that are null, empty or hold a component that is null or not finite
+    (after scaling, too) take no part; a component of 2**62 or more, or a score of the result beyond 63 bits, is an error. Fewer than k candidates are all returned; an empty table gives
     an empty result. Other columns are ignored.
     """
     packed = quantised(vectors, scale)

@@ -114,5 +114,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, percent:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, percent: int = 80) -> DataFrame:
-    """``docs`` without those in which a benchmark item is found; all columns stay."""
-    return docs.join(overlaps(docs, benchmark, stretch, percent).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without those in which a benchmark item is found; all columns stay.
+
+    Rows without a doc_id are searched as well, by their texts.
+    """
+    found = overlaps(docs, benchmark, stretch, percent).select("doc_id").distinct()
+    clean = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.where("doc_id is null")
+    if not nameless.limit(1).count():
+        return clean
+    key = F.xxhash64("text")
+    leaks = overlaps(nameless.select(key.alias("doc_id"), "text").distinct(), benchmark, stretch, percent).select(F.col("doc_id").alias("_leak")).distinct()
+    rest = nameless.join(leaks, key == F.col("_leak"), "left_anti").select(*docs.columns)
+    return clean.where("doc_id is not null").union(rest)

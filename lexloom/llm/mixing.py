@@ -83,7 +83,7 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
     takes its documents in the order of the pass's permutation as long as their running total stays within
     the rest. Documents of no words are kept in every whole pass of their source, in the last one if their
     place comes before the end; sources without any words are kept once, as nothing can be weighed there.
-    A null source is a source of its own, a null doc_id never enters a last pass. Rows of equal doc_id enter
+    A null source is a source of its own; rows without a doc_id go by their texts. Rows of equal doc_id enter
     a last pass together. Columns named pass or n_tokens are replaced. An empty table gives an empty one.
 
     The running totals are summed in two steps, blocks of a hash first, so a source that holds most rows
@@ -93,7 +93,8 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
     scratch = Scratch(spark)
     names = [c for c in docs.columns if c not in ("pass", "n_tokens")]
     key = F.coalesce(F.col("source"), F.lit("\u0000"))
-    lean = docs.select(F.col("doc_id"), key.alias("_source"), n_words(F.col("text")).alias("n_tokens"))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    lean = docs.select(own.alias("_id"), key.alias("_source"), n_words(F.col("text")).alias("n_tokens"))
     sized = scratch.save(lean)
     totals = sized.groupBy(F.col("_source").alias("source")).agg(F.sum("n_tokens").alias("tokens"))
     plan = scratch.save(weights(totals, budget, entropy, repeats))
@@ -103,7 +104,7 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
 
     # One entry for each block of the last pass and source: before it lies what earlier blocks hold.
     with_pass = sized.join(quota, "_source").withColumn("pass", F.expr("quota div tokens"))
-    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("pass").cast("string"), F.col("doc_id").cast("string")))
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("pass").cast("string"), "_id"))
     last = with_pass.where("quota % tokens > 0").withColumn("_h", hashed).withColumn("_block", F.substring("_h", 1, digits))
     blocks = last.groupBy("_source", "_block").agg(F.sum("n_tokens").alias("held"))
     before = F.sum("held").over(Window.partitionBy("_source").orderBy("_block")) - F.col("held")
@@ -111,13 +112,13 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
     ending = blocks.join(quota, "_source").select("_source", "_block", "before", (F.col("before") + F.col("held") <= F.expr("quota % tokens")).alias("whole"), F.expr("quota % tokens").alias("room")).where("before <= room")
     # Whole blocks need no order; only the block in which a source's budget ends is sorted.
     taken = last.join(ending, ["_source", "_block"])
-    within = Window.partitionBy("_source", "_block").orderBy("_h", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_source", "_block").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, 0)
     cut = taken.where("not whole").withColumn("running", F.col("before") + F.sum("n_tokens").over(within)).where("running <= room")
-    partial = taken.where("whole").select("_source", "doc_id", "pass").union(cut.select("_source", "doc_id", "pass")).distinct()
+    partial = taken.where("whole").select("_source", "_id", "pass").union(cut.select("_source", "_id", "pass")).distinct()
     partial = scratch.save(partial)
 
-    rows = docs.drop("pass", "n_tokens").withColumns({"_source": key, "n_tokens": n_words(F.col("text"))})
+    rows = docs.drop("pass", "n_tokens").withColumns({"_id": own, "_source": key, "n_tokens": n_words(F.col("text"))})
     full = rows.join(quota.select("_source", F.expr("quota div tokens").alias("passes")), "_source").where("passes > 0")
     full = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(*names, F.col("pass").cast("long").alias("pass"), "n_tokens")
-    extra = rows.join(partial.select("doc_id", "_source", "pass"), ["doc_id", "_source"]).select(*names, F.col("pass").cast("long").alias("pass"), "n_tokens")
+    extra = rows.join(partial.select("_id", "_source", "pass"), ["_id", "_source"]).select(*names, F.col("pass").cast("long").alias("pass"), "n_tokens")
     return full.union(extra)

@@ -32,7 +32,7 @@ b(i, good, bad) AS (SELECT 0, CASE WHEN {_entropy.format(x="1.0")} THEN 1.0::DOU
   UNION ALL SELECT i + 1, CASE WHEN {_entropy.format(x="((good + bad) / 2)")} THEN (good + bad) / 2 ELSE good END, CASE WHEN {_entropy.format(x="((good + bad) / 2)")} THEN bad ELSE (good + bad) / 2 END FROM b, a WHERE i < {HALVINGS}),
 e AS (SELECT round(good, {PLACES}) AS x FROM b WHERE i = {HALVINGS}),
 z AS (SELECT x, list_sum({_shares.format(x="e.x")}) AS z, a.total FROM a, e),
-q AS (SELECT s, coalesce(tokens, 1) AS tokens, CASE WHEN tokens > 0 THEN floor(round(pow(tokens / total, x) / z, {PLACES}) * total * {MIX['budget']})::BIGINT ELSE 1 END AS quota FROM t, z),
+q AS (SELECT s, coalesce(tokens, 1) AS tokens, CASE WHEN tokens = 0 THEN 1 WHEN x = 1 THEN floor(tokens::DECIMAL(19, 0) * {MIX['budget']}::DECIMAL(9, 6))::BIGINT ELSE floor(total * {MIX['budget']} * pow(tokens / total, x) / z)::BIGINT END AS quota FROM t, z),
 q1 AS (SELECT s, CASE WHEN tokens > 0 THEN tokens ELSE 1 END AS tokens, quota FROM q),
 l AS (SELECT doc_id, source, n_tokens, s, quota // tokens AS pass, quota % tokens AS room, md5('mix|' || (quota // tokens)::VARCHAR || '|' || doc_id::VARCHAR) AS h FROM d JOIN q1 ON q1.s = coalesce(source, chr(0)) WHERE quota % tokens > 0),
 k AS (SELECT *, sum(n_tokens) OVER (PARTITION BY s ORDER BY substr(h, 1, {BLOCK_DIGITS}), h, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM l)

@@ -117,6 +117,9 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(x, pa.binary())], ["doc_id", "label", "x"])
 
 
+RESULTS = ("score", "held_out", "predicted")
+
+
 def held_out():
     """Rows that no model is fitted on: crc32 of the id as text, modulo 3, is 1."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -163,8 +166,19 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
 
     Null and empty texts get the score of the bias. Repeated rows each come back; an empty table stays
     empty; without labelled rows every score is 0.5. Only doc_id and text are read as inputs, doc_id just
-    for the join with the labels; other columns named in ``keep`` pass through.
+    for the join with the labels; other columns named in ``keep`` pass through, but for any named score,
+    held_out or predicted, which the results replace.
     """
-    keep = keep or ["doc_id"]
-    scored = score(docs.drop("score"), train(docs, labels, sample=sample), keep)
-    return scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
+    keep = [c for c in keep or ["doc_id"] if c not in RESULTS]
+    source = docs.drop(*RESULTS)
+    scored = score(source, train(source, labels, sample=sample), list(dict.fromkeys([*keep, "doc_id"])))
+    scored = scored.withColumns({"held_out": held_out(), "predicted": (F.col("score") >= 0.5).cast("int")})
+    return scored.select(*keep, *RESULTS)
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """``docs``, all columns as they are, without the rows that the classifier rejects."""
+    own = {c: f"_own_{c}" for c in docs.columns if c in RESULTS}
+    renamed = docs.withColumnsRenamed(own)
+    accepted = classify(renamed, labels, renamed.columns, sample).where("predicted = 1")
+    return accepted.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])

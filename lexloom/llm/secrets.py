@@ -27,20 +27,69 @@ KEYWORDS = ("passw", "secret", "token", "key")
 SENSITIVE = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 3, "apikey": 3, "api_key": 3, "privatekey": 3, "private_key": 3, "access_key": 3, "accesskey": 3, "client_secret": 3, "credential": 2, "credentials": 2, "auth": 2, "bearer": 2, "key": 1, "salt": 1, "signature": 1}
 #: A literal is reported at this score: the weight of its name and what its shape adds.
 ENOUGH = 4.0
-NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-ASSIGNMENT = re.compile(rf"""(?a)["']?({NAME})["']?[ \t]*(?::=|=>|=(?!=)|:(?!//))[ \t]*""")
+# A name is taken as a whole run and never given back, so that a long word is read once.
+ASSIGNMENT = re.compile(r"""(?a)(?<![A-Za-z0-9_.\-])([A-Za-z0-9_.\-]++)["']?[ \t]*+(?::=|=>|=(?!=)|:(?!//))[ \t]*""")
 LITERAL = re.compile(r"""(?a)"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9+/_.=\-]+)""")
 PLUS = re.compile(r"[ \t]*\+[ \t]*")
 
 
-def shape_score(literal: str) -> float:
+class Value:
+    """A literal, or what a concatenation adds up to: its spans, and the shape of the whole.
+
+    Parts are shared with the constants they come from and not copied; ``told`` is set once all spans below
+    are reported, so that no part is walked twice.
+    """
+
+    __slots__ = ("parts", "shares", "length", "space", "classes", "told")
+
+    def __init__(self):
+        self.parts: list = []
+        self.shares: dict[str, float] = {}
+        self.length, self.space, self.classes, self.told = 0.0, False, 0, False
+
+    def _add(self, shares: dict[str, float], length: float, space: bool, classes: int) -> None:
+        whole = self.length + length
+        if length and self.length:
+            mine = {c: v * self.length / whole for c, v in self.shares.items()}
+            for c, v in shares.items():
+                mine[c] = mine.get(c, 0.0) + v * length / whole
+            self.shares = mine
+        elif length:
+            self.shares = dict(shares)
+        self.length, self.space, self.classes = min(whole, 1e9), self.space or space, self.classes | classes
+
+    def add_text(self, start: int, end: int, text: str) -> None:
+        self.parts.append((start, end))
+        n = len(text)
+        classes = sum(1 << i for i, f in enumerate((str.islower, str.isupper, str.isdigit)) if any(map(f, text)))
+        self._add({c: k / n for c, k in Counter(text).items()} if n else {}, n, " " in text, classes)
+
+    def add_value(self, other: Value) -> None:
+        self.parts.append(other)
+        self._add(other.shares, other.length, other.space, other.classes)
+
+    def spans(self) -> set[tuple[int, int]]:
+        """Spans of all parts that no call has given before."""
+        found, open_ = set(), [self]
+        while open_:
+            now = open_.pop()
+            if now.told:
+                continue
+            now.told = True
+            for part in now.parts:
+                if isinstance(part, Value):
+                    open_.append(part)
+                elif part[0] < part[1]:
+                    found.add(part)
+        return found
+
+
+def shape_score(value: Value) -> int:
     """What the shape of a literal adds: length, mixed classes and entropy, 0 to 3; 0 for ordinary words."""
-    if len(literal) < 8 or " " in literal:
-        return 0.0
-    counts = Counter(literal)
-    entropy = -sum(n / len(literal) * math.log2(n / len(literal)) for n in counts.values())
-    classes = sum(any(f(c) for c in literal) for f in (str.islower, str.isupper, str.isdigit))
-    return (entropy >= 3.0) + (classes >= 2) + (len(literal) >= 16)
+    if value.length < 8 or value.space:
+        return 0
+    entropy = -sum(v * math.log2(v) for v in value.shares.values() if v > 0)
+    return (entropy >= 3.0 - 1e-9) + (value.classes.bit_count() >= 2) + (value.length >= 16)
 
 
 def name_weight(name: str) -> int:
@@ -50,29 +99,38 @@ def name_weight(name: str) -> int:
 
 
 def lexed(text: str) -> list[tuple[int, int]]:
-    """Spans of literals under sensitive names, constants propagated; in order, without repeats."""
-    constants: dict[str, list[tuple[int, int, str]]] = {}
+    """Spans of literals under sensitive names, constants propagated; in order, without repeats.
+
+    A bare literal is read once: an assignment inside it is part of it. The work grows with the text's
+    length, whatever it holds.
+    """
+    constants: dict[str, Value] = {}
     found: set[tuple[int, int]] = set()
+    past = 0
     for m in ASSIGNMENT.finditer(text):
-        parts, at = [], m.end()
+        name = m.group(1).lstrip("0123456789.-")
+        if not name or m.start() < past:
+            continue
+        value, at = Value(), m.end()
         while x := LITERAL.match(text, at):
             group = x.lastindex
-            value = x.group(group)
-            if group == 3 and value in constants:
-                parts += constants[value]
+            literal = x.group(group)
+            if group == 3:
+                past = x.end()
+            if group == 3 and literal in constants:
+                value.add_value(constants[literal])
             else:
-                parts.append((x.start(group), x.end(group), value))
+                value.add_text(x.start(group), x.end(group), literal)
             plus = PLUS.match(text, x.end())
             if not plus:
                 break
             at = plus.end()
-        if not parts:
+        if not value.parts:
             continue
-        name = m.group(1)
-        constants[name] = parts
+        constants[name] = value
         weight = name_weight(name)
-        if weight and weight + shape_score("".join(v for _, _, v in parts)) >= ENOUGH:
-            found.update((s, e) for s, e, v in parts if v)
+        if weight and weight + shape_score(value) >= ENOUGH:
+            found |= value.spans()
     return sorted(found)
 
 

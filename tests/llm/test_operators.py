@@ -248,7 +248,9 @@ def test_overlaps(spark, empty):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame([(10, item), (10, item), (11, "beta gamma delta epsilon zeta"), (12, "beta"), (13, None), (None, item)], "item_id long, text string")
     assert sorted((r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, items).collect()) == [(1, 10), (2, 10), (6, 11)]
-    assert sorted(r.doc_id or 0 for r in decontaminate.remove_contaminated(docs, items).collect()) == [0, 3, 4, 5, 7, 7]
+    assert sorted(r.doc_id or 0 for r in decontaminate.remove_contaminated(docs, items).collect()) == [3, 4, 5, 7, 7]  # the row without an id leaks too
+    more = docs.unionByName(spark.createDataFrame([(None, prose(rng, 30))], "doc_id long, text string"))
+    assert sorted(r.doc_id or 0 for r in decontaminate.remove_contaminated(more, items).collect()) == [0, 3, 4, 5, 7, 7]
     assert decontaminate.overlaps(empty, items).count() == 0 and decontaminate.overlaps(docs, items.limit(0)).count() == 0
 
 
