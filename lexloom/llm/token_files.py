@@ -1,7 +1,7 @@
 """Token-id files: whole texts to ids, in ascending doc_id order, in range-coded blocks.
 
 The files are Parquet tables of frames. A frame holds consecutive documents: their ids and lengths, and the
-payload, block ends and checksums of ``token_coder``; a document never crosses a frame.
+order-0 model, payload, block ends and checksums of ``token_coder``; a document never crosses a frame.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -23,83 +24,106 @@ from lexloom.llm import token_coder
 FRAME = token_coder.BLOCK * 1024
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
 KEPT_WORDS = 500_000
-FRAMES = "part int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, wide boolean, ends array<long>, checksums array<long>, payload binary"
+#: Bytes of text that are split into words at once, at least one text.
+PIECE = 8 << 20
+#: Frames whose offsets are broadcast, at most (some 16 bytes each); more of them are joined.
+BROADCAST_FRAMES = 1_000_000
+FRAMES = "part int, frame int, doc_ids array<long>, lengths array<int>, n_ids long, ids array<long>, counts array<int>, ends array<long>, checksums array<long>, payload binary"
+#: Texts that show whether a tokenizer keeps words apart.
+PROBES = ("a b", "Abc def", "don't stop", "x1 2y", "a\tb", "a\nb", "a\x0bb\x0cc\rd", " lead", "trail ", "two  gaps", "é ü", "... !?", "a. b", "the the", "<| |>")
 
 
-class WordIds(dict):
-    """Word (bytes without ASCII white space) to its place in the store of ids.
+class WordIds:
+    """Ids of texts, from the ids of their words (runs without ASCII white space), each of which is encoded once.
 
-    The tokenizer drops white space and no rule of it reaches across, so the ids of a text are those of its
-    words in order.
+    That holds for tokenizers that drop white space and have no rule that reaches across it, which is tried
+    on some texts at the start; with any other tokenizer texts are encoded whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core already
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        upper, lower = self.tokenizer.encode_batch(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"], add_special_tokens=False)
-        self.fold = upper.ids == lower.ids  # it lower-cases, so ASCII spellings that differ in case are one word
-        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        self.apart = all(encode(t) == [i for w in t.encode().split() for i in encode(w.decode())] for t in PROBES)
+        self.fold = encode("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == encode("abcdefghijklmnopqrstuvwxyz")  # it lower-cases
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.start()
 
     def start(self) -> None:
-        self.clear()
-        self.new: list[bytes] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(KEPT_WORDS + 1, np.int64)
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-    def _plain(self, text: bytes) -> bool:
-        """Whether case makes no difference: added tokens are matched, and characters composed, before it is dropped."""
-        if not text.isascii():
-            return False
-        lower = text.lower()
-        return not any(t.lower() in lower for t in self.added)
-
-    def words(self, text: bytes) -> list[bytes]:
-        """Words of a text, in lower case where it makes no difference."""
-        if not self.fold:
-            return text.split()
-        if self._plain(text):
-            return text.lower().split()
-        return [w.lower() if self._plain(w) else w for w in text.split()]
-
-    def _encode_new(self) -> None:
-        """Append the ids of the new words to the store."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in self.new], add_special_tokens=False)]
-        first, last = len(self) - len(found), len(self)
+        self.places: dict[str, int] = {}
+        self.n = 0
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+
+    def _key(self, word: str) -> str:
+        """A word in lower case where case makes no difference: added tokens are matched, and characters composed, before it is dropped."""
+        if not self.fold or not word.isascii():
+            return word
+        lower = word.lower()
+        return word if any(t in lower for t in self.added) else lower
+
+    def _encode(self, words: list[str]) -> None:
+        """Append the ids of new words to the store."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        last = self.n + len(found)
         if last >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(last, np.int64)])
-        self.ends[first + 1 : last + 1] = self.ends[first] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-        begin, end = int(self.ends[first]), int(self.ends[last])
+        begin = int(self.ends[self.n])
+        self.ends[self.n + 1 : last + 1] = begin + np.cumsum(sizes)
+        end = int(self.ends[last])
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(end, np.uint32)])
         self.flat[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - begin)
-        self.new = []
-
-    def ids(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the number of each."""
-        if len(self) > KEPT_WORDS:
+        self.n = last
+
+    def _place(self, words: list[str]) -> np.ndarray:
+        """Places of different words in the store; what is new is encoded in one go."""
+        places, new = self.places, []
+        for w in words:
+            if w not in places:
+                key = self._key(w)
+                at = places.get(key)
+                if at is None:
+                    at = places[key] = self.n + len(new)
+                    new.append(key)
+                places[w] = at
+        if new:
+            self._encode(new)
+        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty) one after another, and the number of each."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        if not self.apart:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+        if self.n > KEPT_WORDS:
             self.start()
-        words = [self.words(t or b"") for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        place = np.fromiter(map(self.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        if self.new:
-            self._encode_new()
+        parts = pc.ascii_split_whitespace(texts)
+        words = parts.flatten().dictionary_encode()
+        place = self._place(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
         begin = self.ends[place]
         size = self.ends[place + 1] - begin
         ends = np.cumsum(size)
         source = np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])]
         return self.flat[source], np.diff(of_text)
 
 
+def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PIECE bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(total):
+        past = (total[first - 1] if first else 0) + PIECE
+        last = max(first + 1, int(np.searchsorted(total, past, "right")))
+        yield first, last
+        first = last
+
+
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
     """The store of a Python worker, for all its tasks."""
@@ -115,19 +139,20 @@ def _frames(path: str, end_id: int):
         size = 0
 
         def close() -> pa.RecordBatch:
-            payload, ends, sums, wide = token_coder.encode(np.concatenate(held))
-            row = {"part": part, "frame": frame, "doc_ids": docs, "lengths": lengths, "n_ids": size, "wide": wide, "ends": ends.tolist(), "checksums": sums.tolist(), "payload": payload}
-            kinds = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            payload, ends, sums, found, counts = token_coder.encode(np.concatenate(held))
+            row = {"part": part, "frame": frame, "doc_ids": docs, "lengths": lengths, "n_ids": size, "ids": found.tolist(), "counts": counts.tolist(), "ends": ends.tolist(), "checksums": sums.tolist(), "payload": payload}
+            many, few = pa.list_(pa.int64()), pa.list_(pa.int32())
+            kinds = [pa.int32(), pa.int32(), many, few, pa.int64(), many, few, many, many, pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-            for first in range(0, len(ids), 256):
-                flat, counts = words.ids(texts[first : first + 256])
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for first, last in _pieces(texts):
+                flat, counts = words.ids(texts[first:last])
                 ends = np.cumsum(counts)
                 flat = np.insert(flat, ends, end_id)
                 lengths += (counts + 1).tolist()
-                docs += ids[first : first + 256]
+                docs += ids[first:last]
                 held.append(flat)
                 size += len(flat)
                 if size >= FRAME:
@@ -150,28 +175,15 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    waiting: list[dict] = []
-
-    def flush() -> pa.RecordBatch:
-        streams = [(r["payload"], r["ends"], r["checksums"], r["wide"], r["n_ids"]) for r in waiting]
-        columns: list[list] = [[], [], [], [], [], []]
-        for r, ids in zip(waiting, token_coder.decode(streams), strict=True):
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for doc, n in zip(r["doc_ids"], r["lengths"], strict=True):
-                for column, value in zip(columns, (r["part"], r["frame"], doc, at, n, zlib.crc32(raw[4 * at : 4 * (at + n)])), strict=True):
-                    column.append(value)
-                at += n
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["part", "frame", "doc_id", "at", "n_tokens", "ids_crc32"])
-
     for batch in batches:
-        for row in batch.to_pylist():
-            waiting.append(row)
-            if sum(len(r["ends"]) for r in waiting) >= token_coder.LANES:
-                yield flush()
-                waiting = []
-    if waiting:
-        yield flush()
+        for r in batch.to_pylist():
+            ids = token_coder.decode(r["payload"], r["ends"], r["checksums"], r["ids"], r["counts"], r["n_ids"])
+            raw, ends = ids.astype("<u4").tobytes(), np.cumsum(r["lengths"])
+            begins = ends - r["lengths"]
+            sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+            n = len(sums)
+            columns = [pa.array(np.full(n, r["part"], np.int32)), pa.array(np.full(n, r["frame"], np.int32)), pa.array(r["doc_ids"], pa.int64()), pa.array(begins, pa.int64()), pa.array(r["lengths"], pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["part", "frame", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -184,4 +196,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("frame")) - F.col("n_ids")
     offsets = sizes.select("part", "frame", inside.alias("inside")).join(before, "part").select("part", "frame", (F.col("before") + F.col("inside")).alias("offset"))
     docs = frames.mapInArrow(_documents, "part int, frame int, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return docs.join(F.broadcast(offsets), ["part", "frame"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    few = sizes.count() <= BROADCAST_FRAMES
+    return docs.join(F.broadcast(offsets) if few else offsets, ["part", "frame"]).select("doc_id", (F.col("offset") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

@@ -100,14 +100,33 @@ def test_signatures_share(texts):
 def test_coder_round_trip(ids):
     ids = np.array(ids, np.uint32)
     coded = token_coder.encode(ids)
-    assert (token_coder.decode([(*coded, len(ids))])[0] == ids).all()
+    assert (token_coder.decode(*coded, len(ids)) == ids).all()
+
+
+def test_coder_across_lanes(monkeypatch):
+    """More blocks than are coded in step, and a short one at the end."""
+    monkeypatch.setattr(token_coder, "BLOCK", 64)
+    monkeypatch.setattr(token_coder, "LANES", 3)
+    ids = np.random.default_rng(1).zipf(1.3, 64 * 11 + 5).astype(np.uint32)
+    coded = token_coder.encode(ids)
+    assert len(coded[1]) == 12 and (token_coder.decode(*coded, len(ids)) == ids).all()
+
+
+def test_coder_beats_order_0():
+    """A text that repeats its phrases takes fewer bits than its ids drawn one by one."""
+    rng = np.random.default_rng(2)
+    phrases = [rng.zipf(1.4, rng.integers(2, 9)) % 5000 for _ in range(400)]
+    ids = np.concatenate([phrases[i] for i in (rng.zipf(1.3, 60_000) % 400)]).astype(np.uint32)
+    payload, _, _, found, _ = token_coder.encode(ids)
+    f = np.bincount(ids)[np.bincount(ids) > 0] / len(ids)
+    assert 8 * (len(payload) + 6 * len(found)) / len(ids) < 0.9 * -(f * np.log2(f)).sum()
 
 
 def test_coder_finds_damage():
-    payload, ends, sums, wide = token_coder.encode(np.arange(3000) % 700)
-    broken = payload[:900] + bytes([payload[900] ^ 64]) + payload[901:]
+    payload, *rest = token_coder.encode(np.arange(3000) % 700)
+    broken = payload[:300] + bytes([payload[300] ^ 64]) + payload[301:]
     with pytest.raises(ValueError):
-        token_coder.decode([(broken, ends, sums, wide, 3000)])
+        token_coder.decode(broken, *rest, 3000)
 
 
 def test_token_files(spark, docs, texts, empty, tmp_path):
@@ -128,6 +147,21 @@ def test_token_files(spark, docs, texts, empty, tmp_path):
     assert token_files.read_tokens(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_token_files_of_other_tokenizers(spark, tmp_path):
+    """White space counts for a byte-level tokenizer, so texts go to it whole; ids may be missing or repeat."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.WordIds(path).apart and token_files.WordIds(public_tokenizers.path("word_bpe_49k.json")).apart
+    tokenizer = Tokenizer.from_file(path)
+    rows = [(None, "no id"), (3, "two  gaps and\ttabs"), (3, None), (3, "again"), (9, "x" * 200_000 + " y" * 200_000)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), f"{tmp_path}/a", path, 2)
+    got = [(r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_tokens(spark, f"{tmp_path}/a").orderBy("start").collect()]
+    ids = [tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for _, t in [rows[0], rows[2], rows[3], rows[1], rows[4]]]
+    assert got == [(d, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for d, i in zip([None, 3, 3, 3, 9], ids)]
+
+
 def test_token_files_keep_case_that_counts(spark, tmp_path):
     """Added tokens are matched before case is dropped, and characters are composed before it."""
     public_tokenizers = pytest.importorskip("public_tokenizers")
