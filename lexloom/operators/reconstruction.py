@@ -11,6 +11,8 @@ from lexloom.operators import beam, rules as law, tree
 from lexloom.plans.scratch import Scratch
 
 KEY = ["parent_id", "concept_id"]
+#: Rounds after which the states of a combination are saved.
+SAVED = 5
 POLICIES = ("ignore", "advisory", "scored")
 
 
@@ -68,7 +70,7 @@ def combine_children(children: DataFrame, k: int, anchors: DataFrame | None = No
     for number in range(1, rounds + 1):
         here = rows.where(F.col("_round") == number)
         if states is None:
-            states = scratch.save(pruned(here.select(*KEY, one.alias("state"), "score")))
+            states = pruned(here.select(*KEY, one.alias("state"), "score"))
             continue
         met = states.withColumnRenamed("score", "_before").join(here, KEY, "left")
         added = F.array_sort(F.concat(
@@ -76,7 +78,9 @@ def combine_children(children: DataFrame, k: int, anchors: DataFrame | None = No
             F.array(F.struct(F.col("seg").alias("seg"), (F.lit(1) + F.coalesce(F.get(F.filter("state", lambda s: s["seg"] == F.col("seg")), F.lit(0))["n"], F.lit(0))).alias("n"), F.greatest(F.col("hits"), F.coalesce(F.get(F.filter("state", lambda s: s["seg"] == F.col("seg")), F.lit(0))["hits"], F.lit(0))).alias("hits"))),
         ))
         gone = F.col("seg").isNull()  # the concept has no further child
-        states = scratch.save(pruned(met.select(*KEY, F.when(gone, F.col("state")).otherwise(added).alias("state"), F.when(gone, F.col("_before")).otherwise(F.col("_before") + F.col("score")).alias("score"))))
+        states = pruned(met.select(*KEY, F.when(gone, F.col("state")).otherwise(added).alias("state"), F.when(gone, F.col("_before")).otherwise(F.col("_before") + F.col("score")).alias("score")))
+        if number % SAVED == 0:
+            states = scratch.save(states)  # a round reads the one before once, so plans stay short and linear
     if states is None:
         states = rows.select(*KEY, one.alias("state"), "score")
     total = F.aggregate("state", F.lit(0), lambda n, s: n + s["n"])
