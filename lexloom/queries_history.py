@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom import queries as base
-from lexloom.operators import alignment, beam, clustering, evaluation, reconstruction, rules, tree
+from lexloom.operators import alignment, beam, checks, clustering, evaluation, reconstruction, rules, tree
 from lexloom.sources import views
 
 GOLD, ANCHOR = "Brand#25", "Brand#24"
@@ -313,13 +313,33 @@ def cluster_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees[0].unionByName(trees[1])
 
 
+def rationale_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view's rules; second ones lack a rationale, those of two nodes one of their direction."""
+    texts = {"rationale": F.when(F.col("rule_ordinal") == 2, " ").otherwise("said"), "direction": F.when(~F.col("node_id").isin("g3", "g5"), "said")}
+    return checks.check_rationales(_rules(spark).withColumns(texts), _node_reductions(spark, sf_dir))
+
+
+def commit_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits that cite the first form each rule changed; bent once for each violation."""
+    steps = _cascaded(spark, sf_dir).select(F.col("parent_id").alias("node_id"), "form_id", F.explode("trace").alias("t")).where("t.n_matches > 0")
+    changed = steps.select("node_id", F.col("t.rule_id").alias("rule_id"), "form_id")
+    first = changed.groupBy("node_id", "rule_id").agg(F.min("form_id").alias("f"))
+    support = F.when(F.col("node_id") == "g2", F.array(F.lit(-1).cast("long"))).when(F.col("node_id") == "g3", F.array().cast("array<bigint>")).otherwise(F.array("f"))
+    own = _rules(spark).join(first, ["node_id", "rule_id"], "left").select(F.lit(1).alias("commit_id"), "node_id", "rule_ordinal", "rule_id", support.alias("support"), F.array(F.lit("b"), F.lit("a")).alias("scope"))
+    twice = own.unionByName(own.where("node_id = 'g1'").withColumn("commit_id", F.lit(2)))
+    order = F.when(F.col("node_id") == "g5", 3 - F.col("rule_ordinal")).otherwise(F.col("rule_ordinal"))
+    previews = own.select("node_id", order.alias("rule_ordinal"), "rule_id", F.array(F.lit("a"), F.lit("b")).alias("scope"))
+    anomalies = spark.createDataFrame([("g4", -5)], "node_id string, form_id long")
+    return checks.check_commits(twice, changed, previews, anomalies, views.forms(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         anchored_results, scoped_rules, contrast_reductions, attesting_nodes, tested_rules, tested_cascades, heldout_convergence, matched_validations, derived_daughters, invertible_branches,
         aligned_pairs, aligned_groups, aligned_correspondences, summarized_correspondences, selected_alignments, polarized, polarized_initial, polarize_candidates, anchor_boosts, combined_children,
         reconstructed_tree, branch_support, node_diagnostics, fallback_taint, candidate_ids, token_distances, bcubed_scores, graded_targets, target_rates, segment_maps, oracle_rules, oracle_ceiling,
-        branch_recoverability, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees,
+        branch_recoverability, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, rationale_violations, commit_violations,
     )
 }
 
@@ -378,6 +398,11 @@ SELECT variety_id AS child_id, count(*) AS n_concepts, round(avg(hit::INTEGER),
     "form_distance": f"""WITH {base.FORMS}, s AS (SELECT DISTINCT variety_id, concept_id, replace({_text}, '+', '') AS t FROM v_forms), p AS (SELECT a.variety_id AS taxon_a, b.variety_id AS taxon_b, concept_id, avg(levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))) AS d FROM s a JOIN s b USING (concept_id) WHERE a.variety_id < b.variety_id GROUP BY ALL)
 SELECT taxon_a, taxon_b, round(avg(d), 9) AS distance, count(*) AS n_concepts FROM p GROUP BY ALL""",
 }
+ORACLES["rationale_violations"] = f"""{_by_child}, l AS (SELECT DISTINCT parent_id, rule_id FROM v_lost) SELECT parent_id AS node_id, rule_id, 'no rationale of direction' AS violation FROM l WHERE parent_id IN ('g3', 'g5')
+UNION ALL VALUES ('root', 'root:2', 'no rationale'), ('g5', 'g5:2', 'no rationale')"""
+ORACLES["commit_violations"] = f"""{_cascade}, s AS (SELECT rule_id, min(form_id) FILTER ({_fires}) AS f FROM v_steps GROUP BY 1), r(rule_id) AS (VALUES {_ids})
+SELECT DISTINCT split_part(r.rule_id, ':', 1) AS node_id, 'support beyond the test' AS violation FROM r LEFT JOIN s USING (rule_id) WHERE f IS NULL OR r.rule_id LIKE 'g2:%' OR r.rule_id LIKE 'g3:%'
+UNION ALL VALUES ('g5', 'not as previewed'), ('g1', 'not as previewed'), ('g4', 'anomaly of an unknown form'), ('g1', 'committed more than once')"""
 _polar = f"""WITH RECURSIVE {base.FORMS}, {base.PADDED}, {base.EDGES}, cells AS (SELECT * FROM v_cols), m AS (SELECT concept_id, cognate_set_id, col FROM cells c WHERE {{shown}} GROUP BY ALL HAVING count(DISTINCT variety_id) = {{n}}),
 w AS (SELECT DISTINCT c.variety_id AS node_id, concept_id, cognate_set_id, col, segment FROM cells c JOIN m USING (concept_id, cognate_set_id, col)),
 e AS (SELECT child_id AS node_id, CASE WHEN n <= 5 THEN 'active_child' ELSE 'outgroup' END AS relation FROM v_brands WHERE child_id NOT IN ({{children}})),
