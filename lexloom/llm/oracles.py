@@ -85,4 +85,57 @@ k AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score
 SELECT * FROM k WHERE rank <= 20
 """
 
-ORACLES = {"op1_jaccard_join": OP1, "op3_temperature_mixing": OP3, "op5_decontaminate": OP5, "op6_url_filter": OP6, "op8_bit_sliced_top_k": OP8}
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+w AS (SELECT i, lang, source, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM w GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+vs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY ALL),
+c AS (SELECT w.lang, source, w.term, count(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT a.lang, a.source, coalesce((SELECT sum(c) FROM c WHERE c.lang = a.lang AND c.source = a.source), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) a),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000::HUGEINT * (coalesce(c.c, 0) + 1) // (g.n + v.v)::HUGEINT AS p,
+             1 + 1000000000::HUGEINT * (k.c + 1) // (v.n + v.v)::HUGEINT AS q
+      FROM g JOIN kept k USING (lang) JOIN vs v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // q AS value FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+WHERE part = 'pair' OR rank <= 200
+"""
+
+OP13 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS text FROM documents),
+ws AS (SELECT lang, unnest([regexp_extract_all(x, '[^\\x20\\x09]+') FOR x IN regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')]) AS ws FROM d),
+g AS (SELECT lang, k, unnest([array_to_string(ws[s:s + k - 1], ' ') FOR s IN range(1, len(ws) - k + 2)]) AS p
+      FROM ws, (VALUES (1), (2), (3), (4)) AS v(k)),
+f AS (SELECT lang, k, p, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY ALL),
+c AS (SELECT lang, k, p, string_split(p, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 30),
+parts AS (SELECT lang, p, a, cut, array_to_string(w[:cut], ' ') AS lp, array_to_string(w[cut + 1:], ' ') AS rp
+          FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+cuts AS (SELECT parts.*, x.f AS l, y.f AS r, 2000000 * a // (x.f + y.f) AS score
+         FROM parts JOIN f x ON x.lang = parts.lang AND x.p = lp JOIN f y ON y.lang = parts.lang AND y.p = rp),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1),
+inside AS (SELECT lang, array_to_string(w[s:s + m - 1], ' ') AS p, max(a) AS around
+           FROM (SELECT *, unnest(range(1, k - m + 2)) AS s FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM (
+  SELECT b.lang, b.p AS phrase, a, l, r, n, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.p)) AS rank
+  FROM best b JOIN n USING (lang) LEFT JOIN inside USING (lang, p)
+  WHERE around IS NULL OR 100 * around < 80 * a)
+WHERE rank <= 2000
+"""
+
+ORACLES = {
+    "op1_jaccard_join": OP1, "op3_temperature_mixing": OP3, "op5_decontaminate": OP5, "op6_url_filter": OP6, "op8_bit_sliced_top_k": OP8,
+    "op12_source_divergence": OP12, "op13_collocations": OP13,
+}
