@@ -54,14 +54,14 @@ class Filter:
         self.bits = bits
 
     @staticmethod
-    def places(hashes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each probe, the 64-bit word of the filter and the mask in it."""
-        found = [probe & np.uint64(FILTER_BITS - 1) for probe in (hashes, mixed(hashes * PROBE))]
+    def places(hashes: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each probe, the 64-bit word of a filter of ``size`` bits and the mask in it."""
+        found = [probe & np.uint64(size - 1) for probe in (hashes, mixed(hashes * PROBE))]
         return [((at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))) for at in found]
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
         out = np.ones(len(hashes), bool)
-        for word, mask in self.places(hashes):
+        for word, mask in self.places(hashes, 64 * len(self.bits)):
             out &= self.bits[word] & mask != 0
         return out
 
@@ -112,6 +112,7 @@ def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached:
 
 def _counts(shard: DataFrame, step: int, filters: tuple[Broadcast, Broadcast] | None) -> DataFrame:
     """Partial counts of a shard, by task and language."""
+    most = HELD
 
     def emit(lang: str, ids: list[np.ndarray], words: Words):
         both = [Filter(b.value) for b in filters] if filters else [None, None]
@@ -131,7 +132,7 @@ def _counts(shard: DataFrame, step: int, filters: tuple[Broadcast, Broadcast] |
                 ids, words = held.setdefault(lang, ([np.zeros(1, np.int64)], Words()))
                 ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
                 sizes[lang] = sizes.get(lang, 0) + len(found)
-                if sizes[lang] >= HELD:
+                if sizes[lang] >= most:
                     sizes[lang] = 0
                     yield from emit(lang, *held.pop(lang))
         for lang, (ids, words) in held.items():
@@ -145,13 +146,14 @@ def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
 
     At most FILTER_BITS / 64 rows for each come to the driver.
     """
+    size = FILTER_BITS
 
     def run(batches):
         for batch in batches:
             hashes = batch.column("hash").to_numpy().view(np.uint64)
             late = batch.column("reached").to_numpy() > step - SHARDS
             for recent, some in ((False, hashes), (True, hashes[late])):
-                words, masks = map(np.concatenate, zip(*Filter.places(some), strict=True))
+                words, masks = map(np.concatenate, zip(*Filter.places(some, size), strict=True))
                 at, group = np.unique(words, return_inverse=True)
                 bits = np.zeros(len(at), np.uint64)
                 np.bitwise_or.at(bits, group, masks)
@@ -162,7 +164,7 @@ def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
     out = []
     for recent in (False, True):
         mine = rows[rows["recent"] == recent]
-        bits = np.zeros(FILTER_BITS // 64, np.uint64)
+        bits = np.zeros(size // 64, np.uint64)
         bits[mine["at"].to_numpy(np.int64)] = mine["bits"].to_numpy(np.int64).view(np.uint64)
         out.append(bits)
     return out[0], out[1]
