@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lexloom.llm import bit_sliced, collocations, decontaminate, divergence, jaccard_join, mixing, quality, repeats, secrets, sharding, token_files, url_filter
+from lexloom.llm import bit_sliced, collocations, decontaminate, divergence, hnsw, jaccard_join, mixing, quality, repeats, secrets, sharding, token_files, url_filter
 from lexloom.plans.scratch import Scratch
 from lexloom.sources.tables import table
 
@@ -67,6 +67,10 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"), min_docs=3, top=200)
 
@@ -79,6 +83,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_jaccard_join, op2_token_files, op3_temperature_mixing, op4_secret_scan, op5_decontaminate, op6_url_filter, op7_sharding,
-        op8_bit_sliced_top_k, op9_quality_classifier, op10_repeats, op12_source_divergence, op13_collocations,
+        op8_bit_sliced_top_k, op9_quality_classifier, op10_repeats, op11_nearest_neighbours, op12_source_divergence, op13_collocations,
     )
 }
