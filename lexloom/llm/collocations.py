@@ -25,8 +25,8 @@ SHARDS = 4
 LONGEST = 4
 #: Words of one language that a task holds before it counts them.
 HELD = 2_000_000
-#: Bits of a filter, a power of two: 16 MiB, whatever the corpus.
-FILTER_BITS = 1 << 27
+#: Bits of a filter, a power of two: 8 MiB, whatever the corpus; it is gathered in pieces of so many 64-bit words.
+FILTER_BITS, PIECE = 1 << 26, 512
 #: A byte that no UTF-8 text holds marks the ends of pieces; A-Z become a-z.
 BREAK = b"\xff"
 PIECES = bytes(255 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -144,30 +144,33 @@ def _counts(shard: DataFrame, step: int, filters: tuple[Broadcast, Broadcast] |
 def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the phrases that have reached the threshold, and of those whose longer phrases still have shards left in this step.
 
-    At most FILTER_BITS / 64 rows for each come to the driver.
+    Each task marks its phrases in filters of its own, and these are joined piece by piece; the driver gets the two filters.
     """
-    size = FILTER_BITS
+    size, piece = FILTER_BITS // 64, min(PIECE, FILTER_BITS // 64)
 
-    def run(batches):
+    def mark(batches):
+        bits = np.zeros((2, size), np.uint64)
         for batch in batches:
             hashes = batch.column("hash").to_numpy().view(np.uint64)
             late = batch.column("reached").to_numpy() > step - SHARDS
-            for recent, some in ((False, hashes), (True, hashes[late])):
-                words, masks = map(np.concatenate, zip(*Filter.places(some, size), strict=True))
-                at, group = np.unique(words, return_inverse=True)
-                bits = np.zeros(len(at), np.uint64)
-                np.bitwise_or.at(bits, group, masks)
-                yield pa.RecordBatch.from_arrays([pa.array([recent] * len(at), pa.bool_()), pa.array(at), pa.array(bits.view(np.int64))], ["recent", "at", "bits"])
+            for own, some in zip(bits, (hashes, hashes[late]), strict=True):
+                for words, masks in Filter.places(some, 64 * size):
+                    np.bitwise_or.at(own, words, masks)
+        pieces = bits.reshape(-1, piece)
+        used = np.flatnonzero(pieces.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([pieces[i].tobytes() for i in used], pa.binary())], ["piece", "bits"])
+
+    def joined(table: pa.Table) -> pa.Table:
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, piece)
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": [np.bitwise_or.reduce(bits, axis=0).tobytes()]})
 
     some = state.where(F.col("reached").isNotNull() & (F.col("words") < LONGEST)).select("hash", "reached")
-    rows = some.mapInArrow(run, "recent boolean, at long, bits long").groupBy("recent", "at").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = []
-    for recent in (False, True):
-        mine = rows[rows["recent"] == recent]
-        bits = np.zeros(size // 64, np.uint64)
-        bits[mine["at"].to_numpy(np.int64)] = mine["bits"].to_numpy(np.int64).view(np.uint64)
-        out.append(bits)
-    return out[0], out[1]
+    rows = some.mapInArrow(mark, "piece long, bits binary").groupBy("piece").applyInArrow(joined, "piece long, bits binary").toArrow()
+    bits = np.zeros((2 * size // piece, piece), np.uint64)
+    for at, raw in zip(rows.column("piece").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        bits[at] = np.frombuffer(raw, np.uint64)
+    reached, recent = bits.reshape(2, size)
+    return reached, recent
 
 
 def _merged(state: DataFrame | None, found: DataFrame, step: int, min_count: int, filters) -> DataFrame:
