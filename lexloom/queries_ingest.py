@@ -11,6 +11,7 @@ from lexloom.operators import alignment, beam, checks, selection, tree
 from lexloom.plans.scratch import Scratch
 from lexloom.sources import views, wordlists
 from lexloom.sources.tables import table
+from lexloom.streaming import events as events_stream
 
 GOLD, ANCHOR = "Brand#25", "Brand#24"
 
@@ -22,11 +23,21 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 # Readers: the views write the files, in the shared folder, and the readers read them back.
 
 def _datasets(spark: SparkSession, sf_dir: str) -> str:
-    """Write the CSV tables of both datasets; returns the folder that holds a folder for each dataset."""
+    """Write the CSV tables of both datasets; returns the folder that holds a folder for each dataset.
+
+    The datasets differ in layout: columns of one are in reverse order and among others, one of which holds commas, quotes
+    and line breaks; the other lacks columns that it does not use. A table of a dataset is one file, ordered by id.
+    """
     root = Scratch(spark).root
+    raw = F.concat(F.lit('a "raw", '), F.col("ID"), F.lit("\nform"))
     for name, df in views.cldf(spark, sf_dir).items():
-        for dataset in ("alpha", "beta"):
-            df.where(F.col("dataset") == dataset).drop("dataset").write.option("header", True).csv(f"{root}/{dataset}/{name}.csv")
+        df = df.withColumns({"Alignment": F.when(F.col("ID").endswith("2c"), F.lit(" a  - b")), "Form": raw} if name == "cognates" else {"Form": raw})
+        wide = df.where("dataset = 'alpha'").select(*reversed([c for c in df.columns if c != "dataset"]), F.lit("x").alias("Other"))
+        narrow = df.where("dataset = 'beta'").drop("dataset", "Form", "Phonemic_Segments", "Concepticon_Gloss")
+        narrow = narrow.withColumnRenamed("Family", "family")
+        for dataset, rows in (("alpha", wide), ("beta", narrow)):
+            place = f"{root}/{dataset}/cldf" if dataset == "beta" else f"{root}/{dataset}"
+            rows.coalesce(1).sortWithinPartitions("ID").write.options(header=True, escape='"').csv(f"{place}/{name}.csv")
     return root
 
 
@@ -40,15 +51,16 @@ def _wordlist(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def read_wordlist_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wordlist(spark, sf_dir)["forms"]
+    return _wordlist(spark, sf_dir)["forms"].drop("source_file")
 
 
 def read_wordlist_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wordlist(spark, sf_dir)["memberships"]
+    return _wordlist(spark, sf_dir)["memberships"].drop("sources", "doubt", "comment", "source_file")
 
 
 def read_wordlist_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _wordlist(spark, sf_dir)["rejects"].drop("slices")
+    found = _wordlist(spark, sf_dir)["rejects"].drop("slices")
+    return found.withColumn("source_file", F.regexp_extract("source_file", r"^(.*\.csv)/", 1))
 
 
 def read_wordlist_varieties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +77,8 @@ def tokenized_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def collected_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {k: v.withColumnRenamed("dataset", "dataset_id") for k, v in views.cldf(spark, sf_dir).items()}
-    return wordlists.collect_memberships(tables["forms"], tables["cognates"])
+    found = wordlists.collect_memberships(tables["forms"], tables["cognates"])
+    return found.select("dataset_id", "form_id", "membership_id", "cognate_set_id", "slices", "source_table")
 
 
 def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,12 +86,12 @@ def payload_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     form = F.struct(F.col("form_id").cast("string").alias("form_id"), "concept_id", "segments", "cognate_set_id")
     lexicons = views.forms(spark, sf_dir).groupBy("variety_id").agg(F.collect_list(form).alias("forms"))
     rows = lexicons.select(F.struct("variety_id", F.col("variety_id").alias("name"), "forms").alias("l"))
-    payload = rows.groupBy(F.col("l.variety_id")).agg(F.collect_list("l").alias("lexicons")).select("lexicons", F.array().cast("array<struct<concept_id:string,gloss:string>>").alias("concepts"))
+    none = F.array().cast("array<struct<concept_id:string,gloss:string>>")
+    payload = rows.groupBy(F.col("l.variety_id")).agg(F.collect_list("l").alias("lexicons")).select("variety_id", "lexicons", none.alias("concepts"))
     root = Scratch(spark).root
-    wordlists.write_tables({"payload": payload}, root, "json")
-    read = spark.read.schema(wordlists.PAYLOAD).option("mode", "FAILFAST").json(f"{root}/payload")
-    forms = read.select(F.explode("lexicons").alias("l")).select("l.variety_id", F.explode("l.forms").alias("f"))
-    return forms.select("variety_id", "f.*")
+    # One document a file: each variety has a folder of its own.
+    payload.repartition("variety_id").write.partitionBy("variety_id").json(f"{root}/payload")
+    return wordlists.read_payload(spark, f"{root}/payload/*/*.json")["forms"]
 
 
 def lineages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +113,32 @@ def anchor_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordlists.read_anchors(spark, path)
 
 
-def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as JSON lines, some cut short and some no objects; what is read, by kind, and the number of bad lines."""
-    rows = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", F.col("event_type").alias("kind"))).alias("line"), F.col("event_id"))
+def _event_files(spark: SparkSession, sf_dir: str) -> str:
+    """Events as JSON lines in five files, in order, some lines cut short and some no objects; returns their folder."""
+    rows = table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", F.col("event_type").alias("kind"))).alias("line"), "event_id")
     line = F.when(F.col("event_id") % 50 == 0, F.expr("substring(line, 1, length(line) - 3)")).when(F.col("event_id") % 77 == 0, "[1]").otherwise(F.col("line"))
+    rows = rows.select(line.alias("value"), (F.col("event_id") % 5).alias("part"), "event_id")
     path = f"{Scratch(spark).root}/events"
-    rows.select(line.alias("value")).write.text(path)
-    events, bad = wordlists.read_events(spark, path, "event_id long, kind string")
-    return events.groupBy("kind").agg(F.count("*").alias("n")).unionByName(bad.select(F.lit("bad").alias("kind"), F.col("n_bad").alias("n")))
+    rows.repartition("part").sortWithinPartitions("part", "event_id").drop("event_id").write.partitionBy("part").text(path)
+    return path
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read of the event lines, by kind, and the number of bad lines."""
+    events, bad = wordlists.read_events(spark, _event_files(spark, sf_dir), "event_id long, kind string")
+    return events.groupBy("kind").agg(F.count("*").alias("n")).unionByName(bad.agg(F.lit("bad").alias("kind"), F.count("*").alias("n")))
+
+
+def bad_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bad lines by file and line."""
+    bad = wordlists.read_events(spark, _event_files(spark, sf_dir), "event_id long, kind string")[1]
+    return bad.select(F.regexp_extract("source_file", r"part=(\d+)", 1).cast("long").alias("part"), "source_row", "value")
+
+
+def streamed_event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event lines as a stream of one file a micro-batch, good and bad ones; counts by kind, null for bad lines."""
+    good, bad = events_stream.stream_json_lines(spark, _event_files(spark, sf_dir), "event_id long, kind string", Scratch(spark).root, files_a_batch=1)
+    return good.groupBy("kind").agg(F.count("*").alias("n")).unionByName(bad.agg(F.lit(None).cast("string").alias("kind"), F.count("*").alias("n")))
 
 
 def run_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         read_wordlist_forms, read_wordlist_memberships, read_wordlist_rejects, read_wordlist_varieties, read_wordlist_concepts, tokenized_forms, collected_memberships,
-        payload_round_trip, lineages, anchor_file, event_lines, run_directories, trajectory_lines, membership_segments, cognate_sets_of_form, alignment_inputs,
+        payload_round_trip, lineages, anchor_file, event_lines, bad_event_lines, streamed_event_lines, run_directories, trajectory_lines, membership_segments, cognate_sets_of_form, alignment_inputs,
         form_violations, repeated_ids, alignment_violations, beam_violations, leaf_violations, node_ids, binding_violations, anchor_violations, target_leakage,
         selected_evidence, bound_forms, merged_anchors, benchmark_report, overlaid_forms, listed_concepts, evidence, listed_nodes, committed_rules, resumable_commits,
         pruned_tree, tree_subclades, internal_children,
@@ -345,9 +376,11 @@ CLDF = f"""v_csv AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN 'alpha' ELSE 'be
   list_transform(regexp_extract_all(p_name, '.'), lambda c: CASE WHEN c = ' ' THEN '+' ELSE c END) AS letters, [{_slices}][p_partkey % {len(views.SLICES)} + 1] AS slice, strpos(p_name, ' ') AS gap FROM part),
 v_raw AS (SELECT *, CASE WHEN p_partkey % 11 <> 0 THEN letters WHEN p_partkey % 22 = 0 THEN list_transform(letters, lambda c: upper(c)) END AS segments, dataset || ':' || p_partkey AS form_id,
   CASE WHEN p_partkey % 14 = 0 THEN ['i' || substr(p_name, 1, 1), 'j' || substr(p_name, 2, 1)] WHEN p_partkey % 7 = 0 THEN ['i' || substr(p_name, 1, 1)] ELSE [] END AS inl FROM v_csv),
-v_all AS (SELECT dataset, form_id, dataset || ':cognate-membership:' || p_partkey || 'c' AS membership_id, dataset || ':' || p_size || substr(p_name, 1, 1) AS cognate_set_id, string_split(slice, ' ') AS slices, slice, 'CognateTable' AS source_table FROM v_raw WHERE p_partkey % 5 <> 0
-  UNION ALL SELECT dataset, form_id, dataset || ':form-membership:' || p_partkey || ':' || k, dataset || ':' || inl[k], [], '', 'FormTable' FROM (SELECT *, unnest(range(1, len(inl) + 1)) AS k FROM v_raw)),
-v_kept AS (SELECT * FROM v_raw WHERE segments IS NOT NULL AND p_partkey % 17 <> 0 AND form_id IN (SELECT form_id FROM v_all)),
+v_lines AS (SELECT *, 1 + row_number() OVER (PARTITION BY dataset ORDER BY p_partkey::VARCHAR) AS source_row FROM v_raw),
+v_all AS (SELECT dataset, form_id, dataset || ':cognate-membership:' || p_partkey || 'c' AS membership_id, dataset || ':' || p_size || substr(p_name, 1, 1) AS cognate_set_id, string_split(slice, ' ') AS slices, slice, 'CognateTable' AS source_table,
+    1 + row_number() OVER (PARTITION BY dataset ORDER BY p_partkey || 'c') AS source_row, CASE WHEN p_partkey % 10 = 2 THEN ['a', '-', 'b'] ELSE [] END AS alignment FROM v_raw WHERE p_partkey % 5 <> 0
+  UNION ALL SELECT dataset, form_id, dataset || ':form-membership:' || p_partkey || ':' || k, dataset || ':' || inl[k], [], '', 'FormTable', source_row, [] FROM (SELECT *, unnest(range(1, len(inl) + 1)) AS k FROM v_lines)),
+v_kept AS (SELECT * FROM v_lines WHERE segments IS NOT NULL AND p_partkey % 17 <> 0 AND form_id IN (SELECT form_id FROM v_all)),
 v_sets AS (SELECT form_id, count(DISTINCT cognate_set_id) FILTER (slice = '') AS wholes, CASE WHEN count(DISTINCT cognate_set_id) = 1 AND bool_and(slice = '') THEN min(cognate_set_id) END AS sole FROM v_all GROUP BY form_id)"""
 _forms = f"WITH {base.FORMS}"
 _edges = f"WITH RECURSIVE {base.EDGES}, {base.CLOSURE}"
@@ -355,11 +388,11 @@ _leaf = "descendant_id NOT IN (SELECT parent_id FROM v_edges)"
 
 ORACLES = {
     "read_wordlist_forms": f"""WITH {CLDF} SELECT form_id, dataset || ':' || n AS variety_id, CASE WHEN p_size % 3 <> 0 THEN (p_size + 1000)::VARCHAR ELSE dataset || ':' || p_size END AS concept_id, segments, sole AS cognate_set_id,
-CASE WHEN p_partkey % 11 <> 0 THEN 'Segments' ELSE 'Phonemic_Segments' END AS segment_source FROM v_kept JOIN v_sets USING (form_id)""",
+CASE WHEN p_partkey % 11 <> 0 THEN 'Segments' ELSE 'Phonemic_Segments' END AS segment_source, source_row FROM v_kept JOIN v_sets USING (form_id)""",
     "read_wordlist_memberships": f"""WITH {CLDF}, j AS (SELECT v_all.*, wholes, gap, len(segments) AS l FROM v_all JOIN v_kept USING (form_id) JOIN v_sets USING (form_id) WHERE v_all.slice NOT IN ('3', 'x', '1 1:2'))
 SELECT form_id, membership_id, cognate_set_id, CASE WHEN slice = '' THEN 'whole_form' ELSE 'segment_slice' END AS scope, CASE WHEN slice <> '' THEN 'partial_cognate' WHEN wholes > 1 THEN 'alternative_analysis' ELSE 'asserted' END AS interpretation,
-CASE slice WHEN '' THEN [] WHEN '1' THEN range(0, gap - 1) WHEN '2' THEN range(gap, l) ELSE list_concat(range(0, gap - 1), range(gap, l)) END::INTEGER[] AS segment_indices, source_table FROM j""",
-    "read_wordlist_rejects": f"WITH {CLDF} SELECT form_id, membership_id, CASE v_all.slice WHEN '3' THEN 'outside' WHEN 'x' THEN 'malformed' ELSE 'overlapping' END AS error FROM v_all JOIN v_kept USING (form_id) WHERE v_all.slice IN ('3', 'x', '1 1:2')",
+CASE slice WHEN '' THEN [] WHEN '1' THEN range(0, gap - 1) WHEN '2' THEN range(gap, l) ELSE list_concat(range(0, gap - 1), range(gap, l)) END::INTEGER[] AS segment_indices, alignment, source_table, source_row FROM j""",
+    "read_wordlist_rejects": f"WITH {CLDF} SELECT form_id, membership_id, CASE v_all.slice WHEN '3' THEN 'outside' WHEN 'x' THEN 'malformed' ELSE 'overlapping' END AS error, CASE v_all.dataset WHEN 'alpha' THEN 'alpha' ELSE 'beta/cldf' END || CASE v_all.source_table WHEN 'CognateTable' THEN '/cognates.csv' ELSE '/forms.csv' END AS source_file, v_all.source_row FROM v_all JOIN v_kept USING (form_id) WHERE v_all.slice IN ('3', 'x', '1 1:2')",
     "read_wordlist_varieties": f"""WITH {CLDF} SELECT DISTINCT dataset AS dataset_id, dataset || ':' || n AS variety_id, n::VARCHAR AS source_language_id, p_brand AS name, CASE WHEN n % 6 <> 0 THEN 'glot' || n END AS source_glottocode, 'f' || (n % 3) AS family, n = 25 AS is_historical,
 CASE WHEN dataset = 'alpha' AND n = 1 THEN 'code1' WHEN dataset = 'beta' AND n = 2 THEN 'code2' WHEN n % 6 <> 0 THEN 'glot' || n END AS tree_glottocode,
 CASE WHEN dataset = 'alpha' AND n = 1 THEN ['r1'] WHEN dataset = 'beta' AND n = 2 THEN ['r2'] WHEN dataset = 'alpha' AND n = 3 THEN ['r3', 'r4'] ELSE [] END AS compatibility_rule_ids, CASE WHEN dataset = 'alpha' AND n = 3 THEN 'several overrides' END AS error FROM v_kept""",
@@ -372,6 +405,9 @@ WHERE concept_id IN (SELECT CASE WHEN p_size % 3 <> 0 THEN (p_size + 1000)::VARC
     "lineages": f"WITH {base.EDGES} SELECT 'Brand#25' AS target_variety_id, 'target' AS role, list(struct_pack(branch_id := 'g' || ceil(n / 5)::INTEGER, descendant_variety_id := child_id, evidence := 'view') ORDER BY 'g' || ceil(n / 5)::INTEGER, child_id) AS relations FROM v_brands WHERE n % 5 <> 0 AND n % 7 <> 0",
     "anchor_file": f"{_forms} SELECT 'g5' AS node_id, form_id::VARCHAR AS form_id, concept_id, segments, 'view' AS provenance FROM v_forms WHERE variety_id = 'Brand#24'",
     "event_lines": "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id % 50 <> 0 AND event_id % 77 <> 0 GROUP BY 1 UNION ALL SELECT 'bad', count(*) FROM events WHERE event_id % 50 = 0 OR event_id % 77 = 0",
+    "bad_event_lines": """SELECT part, source_row, value FROM (SELECT event_id, event_id % 5 AS part, row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) AS source_row,
+CASE WHEN event_id % 50 = 0 THEN left(line, len(line) - 3) ELSE '[1]' END AS value FROM (SELECT event_id, '{"event_id":' || event_id || ',"kind":"' || event_type || '"}' AS line FROM events)) WHERE event_id % 50 = 0 OR event_id % 77 = 0""",
+    "streamed_event_lines": "SELECT event_type AS kind, count(*) AS n FROM events WHERE event_id % 50 <> 0 AND event_id % 77 <> 0 GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM events WHERE event_id % 50 = 0 OR event_id % 77 = 0",
     "run_directories": f"WITH {base.TRAJECTORIES} SELECT 'run-' || run_id AS run, conv_id, node_id, completed, CASE WHEN run_id % 3 <> 0 THEN count(*) OVER (PARTITION BY run_id) END AS n_nodes FROM v_traj",
     "trajectory_lines": f"WITH {base.TRAJECTORIES} SELECT conv_id, run_id, node_id, completed, tool_calls FROM v_traj",
     "membership_segments": f"{_forms}, {MEMBERS} SELECT form_id, membership_id, CASE WHEN len(segment_indices) > 0 THEN segments[1:len(segment_indices)] ELSE segments END AS segments FROM v_members JOIN v_forms USING (form_id)",

@@ -1,7 +1,8 @@
 """Readers of wordlist tables: CSV tables of many datasets, lineages, anchors, payloads, and logs.
 
-A dataset is a folder that holds ``languages.csv``, ``parameters.csv``, ``forms.csv`` and ``cognates.csv``
-(files or folders of part files); its name is the dataset's id, and all ids are scoped by it.
+A dataset is a folder (or its folder ``cldf``) that holds ``languages.csv``, ``parameters.csv``, ``forms.csv`` and
+``cognates.csv``, or the files that its metadata names for them (files or folders of part files); its name is the
+dataset's id, and all ids are scoped by it. Columns are found by each file's own header.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType
 
+from lexloom.sources import files
+
 BOUNDARIES = ("+", "-")
-LANGUAGES = "ID string, Name string, Glottocode string, Family string, historical string"
-PARAMETERS = "ID string, Name string, Concepticon_ID string, Concepticon_Gloss string"
-FORMS = "ID string, Language_ID string, Parameter_ID string, Segments string, Phonemic_Segments string, Cognateset_ID string"
-COGNATES = "ID string, Form_ID string, Cognateset_ID string, Segment_Slice string"
+# Columns read of each table, with the names that they may have in its header.
+LANGUAGES = {"ID": ("ID",), "Name": ("Name",), "Glottocode": ("Glottocode",), "Family": ("Family", "family"), "historical": ("historical", "Historical")}
+PARAMETERS = {c: (c,) for c in ("ID", "Name", "Concepticon_ID", "Concepticon_Gloss")}
+FORMS = {c: (c,) for c in ("ID", "Language_ID", "Parameter_ID", "Segments", "Phonemic_Segments", "Cognateset_ID", "Source", "Comment")}
+COGNATES = {c: (c,) for c in ("ID", "Form_ID", "Cognateset_ID", "Segment_Slice", "Alignment", "Source", "Doubt", "Comment")}
 PAYLOAD = (
     "lexicons array<struct<variety_id: string, name: string, forms: array<struct<form_id: string, concept_id: string, segments: array<string>, cognate_set_id: string>>>>, "
     "concepts array<struct<concept_id: string, gloss: string>>"
@@ -42,12 +46,6 @@ def tokens(column: str | Column) -> Column:
     return F.filter(F.split(_nfc(F.coalesce(column, F.lit(""))), r"\s+"), lambda t: t != "")
 
 
-def _read_csv(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
-    rows = spark.read.schema(schema).option("header", True).csv(f"{root}/*/{name}.csv")
-    dataset = F.regexp_extract("_metadata.file_path", rf"([^/]+)/{name}\.csv", 1)
-    return rows.select(dataset.alias("dataset_id"), *rows.columns)
-
-
 def scoped(column: str) -> Column:
     """An id within its dataset; null for an empty one."""
     own = filled(column)
@@ -85,37 +83,60 @@ def resolve_glottocodes(varieties: DataFrame, overrides: DataFrame) -> DataFrame
     return joined.select(*varieties.columns, code.alias("tree_glottocode"), F.coalesce("_rules", F.array().cast("array<string>")).alias("compatibility_rule_ids"), F.when(several, F.lit("several overrides")).alias("error"))
 
 
+def _optional(df: DataFrame, name: str, kind: str = "string") -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def _values(column: Column, separator: str) -> Column:
+    return F.filter(F.transform(F.split(F.coalesce(column, F.lit("")), separator), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def collect_memberships(forms: DataFrame, cognates: DataFrame) -> DataFrame:
-    """``dataset_id, form_id, membership_id, cognate_set_id, slices, source_table``: rows of the cognate table and inline ids.
+    """One row for each cognate judgement: rows of the cognate table, and ids in the form table, split at ``;``.
 
-    ``forms`` are rows of the form table; inline ids are split at ``;``. Rows without a form or a set are left out.
+    ``dataset_id, form_id, membership_id, cognate_set_id, slices, alignment, sources, doubt, comment, source_table,
+    source_file, source_row``. Rows without a form or a set are left out. A row of the cognate table without an id is
+    named by its line. Columns that an input lacks are null or empty.
     """
     table = cognates.where(filled("Form_ID").isNotNull() & filled("Cognateset_ID").isNotNull())
-    slices = F.filter(F.split(F.coalesce("Segment_Slice", F.lit("")), r"\s+"), lambda s: s != "")
-    named = F.concat_ws(":", "dataset_id", F.lit("cognate-membership"), filled("ID"))
-    rows = table.select("dataset_id", scoped("Form_ID").alias("form_id"), named.alias("membership_id"), scoped("Cognateset_ID").alias("cognate_set_id"), slices.alias("slices"), F.lit("CognateTable").alias("source_table"))
-    ids = F.filter(F.transform(F.split(F.coalesce("Cognateset_ID", F.lit("")), ";"), lambda s: F.trim(s)), lambda s: s != "")
-    inline = forms.where(filled("ID").isNotNull()).select("dataset_id", scoped("ID").alias("form_id"), filled("ID").alias("_own"), F.posexplode(ids).alias("_at", "_set"))
+    doubt = F.lower(F.trim(_optional(table, "Doubt")))
+    line = _optional(table, "source_row", "long")
+    named = F.concat_ws(":", "dataset_id", F.lit("cognate-membership"), F.coalesce(filled("ID"), F.concat(F.lit("row-"), line.cast("string"))))
+    place = lambda df: [_optional(df, "source_file").alias("source_file"), _optional(df, "source_row", "long").alias("source_row")]
+    rows = table.select(
+        "dataset_id", scoped("Form_ID").alias("form_id"), named.alias("membership_id"), scoped("Cognateset_ID").alias("cognate_set_id"),
+        _values(F.col("Segment_Slice"), r"\s+").alias("slices"), tokens(_optional(table, "Alignment")).alias("alignment"),
+        _values(_optional(table, "Source"), ";").alias("sources"), F.when(doubt != "", doubt.isin("1", "true", "yes")).alias("doubt"),
+        filled(_optional(table, "Comment")).alias("comment"), F.lit("CognateTable").alias("source_table"), *place(table),
+    )
+    inline = forms.where(filled("ID").isNotNull()).select(
+        "dataset_id", scoped("ID").alias("form_id"), filled("ID").alias("_own"), F.posexplode(_values(F.col("Cognateset_ID"), ";")).alias("_at", "_set"),
+        _values(_optional(forms, "Source"), ";").alias("sources"), filled(_optional(forms, "Comment")).alias("comment"), *place(forms),
+    )
     named = F.concat_ws(":", "dataset_id", F.lit("form-membership"), "_own", (F.col("_at") + 1).cast("string"))
-    inline = inline.select("dataset_id", "form_id", named.alias("membership_id"), F.concat_ws(":", "dataset_id", "_set").alias("cognate_set_id"), F.array().cast("array<string>").alias("slices"), F.lit("FormTable").alias("source_table"))
+    none = F.array().cast("array<string>")
+    inline = inline.select(
+        "dataset_id", "form_id", named.alias("membership_id"), F.concat_ws(":", "dataset_id", "_set").alias("cognate_set_id"), none.alias("slices"),
+        none.alias("alignment"), "sources", F.lit(None).cast("boolean").alias("doubt"), "comment", F.lit("FormTable").alias("source_table"), "source_file", "source_row",
+    )
     return rows.unionByName(inline)
 
 
-def slice_to_indices(rows: DataFrame, unit: str = "morpheme") -> DataFrame:
+def slice_to_indices(rows: DataFrame, unit: str | Column = "morpheme") -> DataFrame:
     """Add ``segment_indices`` (from 0) and ``error`` to rows with ``segments`` and ``slices``.
 
     A slice is ``a`` or ``a:b``, from 1 and inclusive, in segments or in morphemes (runs between ``+`` and
     ``-``). ``error`` is malformed, outside or overlapping, else null; the indices are null where it is not.
+    ``unit`` is ``segment`` or ``morpheme``, or a column of these.
     """
     boundary = lambda i: F.get("segments", i).isin(*BOUNDARIES)
     every = F.when(F.size("segments") > 0, F.sequence(F.lit(0), F.size("segments") - 1)).otherwise(F.array().cast("array<int>"))
     out = rows.withColumn("_all", every)
-    if unit == "segment":
-        out = out.withColumns({"_n": F.size("_all"), "_unit": F.transform("_all", lambda i: i + 1)})
-    else:
-        out = out.withColumn("_begin", F.filter("_all", lambda i: ~boundary(i) & ((i == 0) | boundary(i - 1))))
-        number = F.transform("_all", lambda i: F.when(boundary(i), 0).otherwise(F.size(F.filter("_begin", lambda b: b <= i))))
-        out = out.withColumns({"_n": F.size("_begin"), "_unit": number}).drop("_begin")
+    begin = F.filter("_all", lambda i: ~boundary(i) & ((i == 0) | boundary(i - 1)))
+    out = out.withColumns({"_begin": begin, "_by_segment": (F.lit(unit) if isinstance(unit, str) else unit) == "segment"})
+    number = F.transform("_all", lambda i: F.when(boundary(i), 0).otherwise(F.size(F.filter("_begin", lambda b: b <= i))))
+    number = F.when(F.col("_by_segment"), F.transform("_all", lambda i: i + 1)).otherwise(number)
+    out = out.withColumns({"_n": F.when(F.col("_by_segment"), F.size("_all")).otherwise(F.size("_begin")), "_unit": number})
     first = lambda s: F.split_part(s, F.lit(":"), F.lit(1)).try_cast("int")
     last = lambda s: F.coalesce(F.nullif(F.split_part(s, F.lit(":"), F.lit(2)), F.lit("")).try_cast("int"), first(s))
     malformed = F.exists("slices", lambda s: ~s.rlike(r"^\d+(:\d+)?$"))
@@ -124,7 +145,7 @@ def slice_to_indices(rows: DataFrame, unit: str = "morpheme") -> DataFrame:
     out = out.withColumn("_indices", F.when(~malformed & ~outside, chosen))
     overlapping = F.size(F.array_distinct("_indices")) < F.size("_indices")
     error = F.when(malformed, "malformed").when(outside, "outside").when(overlapping, "overlapping")
-    return out.withColumn("error", error).withColumn("segment_indices", F.when(F.col("error").isNull(), F.col("_indices"))).drop("_all", "_n", "_unit", "_indices")
+    return out.withColumn("error", error).withColumn("segment_indices", F.when(F.col("error").isNull(), F.col("_indices"))).drop("_all", "_begin", "_by_segment", "_n", "_unit", "_indices")
 
 
 def interpret_memberships(memberships: DataFrame) -> DataFrame:
@@ -147,32 +168,60 @@ def keep_used(varieties: DataFrame, concepts: DataFrame, forms: DataFrame) -> tu
     return varieties.join(forms, "variety_id", "left_semi"), concepts.join(forms, "concept_id", "left_semi")
 
 
-def read_wordlist(spark: SparkSession, root: str, overrides: DataFrame | None = None, unit: str = "morpheme") -> dict[str, DataFrame]:
+def _checked(datasets: list[files.Dataset]) -> list[files.Dataset]:
+    for d in datasets:
+        if not d.has("LanguageTable"):
+            raise ValueError(f"dataset {d.name!r} has no table of languages")
+        if not d.has("CognateTable") and not d.has("FormTable", "Cognateset_ID"):
+            raise ValueError(f"dataset {d.name!r} has neither a table of cognates nor a column Cognateset_ID in its forms")
+        if not d.has("FormTable", "Segments", "Phonemic_Segments"):
+            raise ValueError(f"dataset {d.name!r} has neither Segments nor Phonemic_Segments; raw spelling is not split")
+    return datasets
+
+
+def read_wordlist(spark: SparkSession, root: str, overrides: DataFrame | None = None, unit: str | None = None, multi_line: bool = True) -> dict[str, DataFrame]:
     """``varieties, concepts, forms, memberships, rejects`` of all datasets below ``root``.
 
-    Forms without a known language, an id, a parameter, segments or a cognate judgement are left out;
-    memberships whose slice is in error go to ``rejects``.
+    Columns go by the header of each file, in any order, with others beside them. A dataset without languages,
+    without cognate judgements or without segments is an error that names it. Forms without a known language, an
+    id, a parameter, segments or a judgement are left out; memberships whose slice is in error go to ``rejects``.
+    Forms, memberships and rejects have the file and line of their row (the header is line 1, and a quoted line break
+    starts no new one). Slices count in the unit of a dataset's metadata (morphemes without it), or in ``unit``.
+    ``multi_line=False`` reads large files in many tasks, where no value holds a line break.
     """
-    languages, parameters = _read_csv(spark, root, "languages", LANGUAGES), _read_csv(spark, root, "parameters", PARAMETERS)
-    raw, cognates = _read_csv(spark, root, "forms", FORMS), _read_csv(spark, root, "cognates", COGNATES)
+    found = _checked(files.find_datasets(spark, root))
+    read = lambda kind, columns: files.read_tables(spark, root, found, kind, columns, multi_line)
+    languages, parameters, raw, cognates = (read(k, c) for k, c in (("LanguageTable", LANGUAGES), ("ParameterTable", PARAMETERS), ("FormTable", FORMS), ("CognateTable", COGNATES)))
     historical = F.lower(F.trim(F.coalesce("historical", F.lit("")))).isin("1", "true", "yes")
     own = filled("ID")
-    varieties = languages.where(own.isNotNull()).select("dataset_id", scoped("ID").alias("variety_id"), own.alias("source_language_id"), F.coalesce(filled("Name"), own).alias("name"), filled("Glottocode").alias("source_glottocode"), filled("Family").alias("family"), historical.alias("is_historical"))
+    varieties = languages.where(own.isNotNull()).select(
+        "dataset_id", scoped("ID").alias("variety_id"), own.alias("source_language_id"), F.coalesce(filled("Name"), own).alias("name"),
+        filled("Glottocode").alias("source_glottocode"), filled("Family").alias("family"), historical.alias("is_historical"),
+    )
     if overrides is not None:
         varieties = resolve_glottocodes(varieties, overrides)
     concepts = resolve_concepts(parameters)
     known = tokenize_segments(raw.where(filled("ID").isNotNull() & filled("Parameter_ID").isNotNull())).where(F.size("segments") > 0)
-    known = known.select("dataset_id", scoped("ID").alias("form_id"), scoped("Language_ID").alias("variety_id"), filled("Parameter_ID").alias("parameter_id"), "segments", "segment_source")
+    known = known.select(
+        "dataset_id", scoped("ID").alias("form_id"), scoped("Language_ID").alias("variety_id"), filled("Parameter_ID").alias("parameter_id"), "segments",
+        "segment_source", "source_file", "source_row",
+    )
     known = known.join(varieties.select("variety_id"), "variety_id", "left_semi")
     named = known.join(concepts.select("dataset_id", "parameter_id", "concept_id"), ["dataset_id", "parameter_id"], "left")
     named = named.withColumn("concept_id", F.coalesce("concept_id", F.concat_ws(":", "dataset_id", "parameter_id")))
     judged = interpret_memberships(collect_memberships(raw, cognates))
-    judged = slice_to_indices(judged.join(named.select("form_id", "segments"), "form_id"), unit).drop("segments")
+    by_segment = [d.name for d in found if d.unit == "segment"]
+    unit_of = F.lit(unit) if unit else F.when(F.col("dataset_id").isin(by_segment), "segment").otherwise("morpheme")
+    judged = slice_to_indices(judged.join(named.select("form_id", "segments"), "form_id"), unit_of).drop("segments")
     sets = judged.groupBy("form_id").agg(F.min("shorthand").alias("cognate_set_id"))
-    forms = named.join(sets, "form_id").select("form_id", "variety_id", "concept_id", "segments", "cognate_set_id", "segment_source")
+    forms = named.join(sets, "form_id").select("form_id", "variety_id", "concept_id", "segments", "cognate_set_id", "segment_source", "source_file", "source_row")
     varieties, concepts = keep_used(varieties, concepts, forms)
-    good = judged.where("error is null").select("form_id", "membership_id", "cognate_set_id", "scope", "interpretation", "segment_indices", "source_table")
-    return {"varieties": varieties, "concepts": concepts, "forms": forms, "memberships": good, "rejects": judged.where("error is not null").select("form_id", "membership_id", "slices", "error")}
+    good = judged.where("error is null").select(
+        "form_id", "membership_id", "cognate_set_id", "scope", "interpretation", "segment_indices", "alignment", "sources", "doubt", "comment", "source_table",
+        "source_file", "source_row",
+    )
+    rejects = judged.where("error is not null").select("form_id", "membership_id", "slices", "error", "source_file", "source_row")
+    return {"varieties": varieties, "concepts": concepts, "forms": forms, "memberships": good, "rejects": rejects}
 
 
 def read_payload(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -198,20 +247,29 @@ def read_anchors(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.explode("anchors").alias("node_id", "forms")).select("node_id", F.explode("forms").alias("f")).select("node_id", "f.*")
 
 
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``e`` (the parsed line, null if it is no object of the schema), ``value``, ``source_file``, ``source_row``; blank lines are left out."""
+    lines = files.numbered(spark.read.text(path), F.col("_metadata.file_path")).where(F.trim("value") != "")
+    return lines.select(parsed_line(F.col("value"), schema).alias("e"), "value", "source_file", "source_row")
+
+
+def parsed_line(line: Column, schema: str) -> Column:
+    """The line as a struct of the schema; null where it is cut short, no object, or has values of other types."""
+    parsed = F.from_json(line, f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return F.when(F.ltrim(line).startswith("{") & parsed["_bad"].isNull(), parsed.dropFields("_bad"))
+
+
 def read_trajectories(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON lines; a bad line fails the job and is named in the error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Records of JSON lines; a bad line fails the job with an error that names its file and line."""
+    lines = _json_lines(spark, path, schema)
+    told = F.concat(F.lit("no record: "), "source_file", F.lit(" line "), F.col("source_row").cast("string"))
+    return lines.select(F.when(F.col("e").isNull(), F.raise_error(told).cast(lines.schema["e"].dataType)).otherwise(F.col("e")).alias("e")).select("e.*")
 
 
 def read_events(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Events of JSON lines, and the number of lines that are no objects: ``n_bad``.
-
-    Lines are read as text, so that the count sees each of them whatever columns are asked for.
-    """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", schema + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("e"), F.ltrim("value").startswith("{").alias("_object"))
-    bad = ~F.col("_object") | F.col("e._bad").isNotNull()
-    return parsed.where(~bad).select("e.*").drop("_bad"), parsed.agg(F.count_if(bad).alias("n_bad"))
+    """Events of JSON lines, and ``source_file, source_row, value`` of the lines that are none."""
+    lines = _json_lines(spark, path, schema)
+    return lines.where("e is not null").select("e.*"), lines.where("e is null").select("source_file", "source_row", "value")
 
 
 def read_runs(spark: SparkSession, root: str, schema: str, result_schema: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lexloom.sources.wordlists import parsed_line
+
 
 def stream_event_counts(events: DataFrame, window: str = "1 hour", delay: str = "2 hours") -> DataFrame:
     """Events (``node_id, kind, ts``) of each node and kind in tumbling windows: ``window_start, node_id, kind, n``.
@@ -52,6 +55,29 @@ def drain_whole(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(F.struct("number", *others)).alias("_l")).select(*[c if c in keys else F.col(f"_l.{c}").alias(c) for c in stream.columns])
 
 
+def stream_json_lines(spark: SparkSession, path: str, schema: str, folder: str, files_a_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Take in the JSON lines of all files that ``path`` holds now and that were not taken in before into ``folder``.
+
+    Returns the records of the schema, and the lines that are none with their ``source_file``, of this and all former
+    calls. Each micro-batch writes its own folder, so one that is repeated after a failure overwrites itself; files that come
+    later are taken in by the next call.
+    """
+    options = {"recursiveFileLookup": True} | ({"maxFilesPerTrigger": files_a_batch} if files_a_batch else {})
+    lines = spark.readStream.options(**options).text(path).select("value", F.col("_metadata.file_path").alias("source_file")).where(F.trim("value") != "")
+    lines = lines.select(parsed_line(F.col("value"), schema).alias("e"), "value", "source_file")
+    good, bad = f"{folder}/good", f"{folder}/bad"
+
+    def write(batch: DataFrame, number: int) -> None:
+        # The lines are parsed once for both tables.
+        both = batch.persist(StorageLevel.DISK_ONLY)
+        both.where("e is not null").select("e.*").write.mode("overwrite").parquet(f"{good}/number={number}")
+        both.where("e is null").select("source_file", "value").write.mode("overwrite").parquet(f"{bad}/number={number}")
+        both.unpersist()
+
+    lines.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return tuple(spark.read.schema(f"{fields}, number long").parquet(out).drop("number") for fields, out in ((schema, good), ("source_file string, value string", bad)))
+
+
 INTERVENTIONS = "session_id long, event_id long, occurrences int, failures int, action string"
 WINDOW = "signatures array<string>, corrected array<string>, saturated boolean"
 

@@ -14,6 +14,8 @@ SF = "/root/testdata/sf0.001"
 def normal(value):
     if isinstance(value, float):
         return None if value != value else round(value, 7)
+    if isinstance(value, dict):  # a struct
+        value = tuple(value.values())
     return tuple(map(normal, value)) if isinstance(value, (list, tuple)) else value
 
 
