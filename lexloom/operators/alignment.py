@@ -273,7 +273,7 @@ def segment_map(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("_r", best).where("_r = 1").select(*keys, "source", "target", "n")
 
 
-def oracle_rules(maps: DataFrame, keys: list[str], rounds: int = 200) -> DataFrame:
+def oracle_rules(maps: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, rule_ordinal, source, target``: changes of a segment map in an order in which none feeds another.
 
     A rule runs before those whose output it would take; rules that do so in a circle are left out, and so are
@@ -290,6 +290,6 @@ def oracle_rules(maps: DataFrame, keys: list[str], rounds: int = 200) -> DataFra
     def advance(s: Column, _: Column) -> Column:
         return F.struct(F.filter(s["rest"], lambda r: ~free(s["rest"], r)).alias("rest"), F.concat(s["done"], F.filter(s["rest"], lambda r: free(s["rest"], r))).alias("done"))
 
-    steps = F.sequence(F.lit(1), F.least(F.size("_left"), F.lit(rounds)))
+    steps = F.sequence(F.lit(1), F.size("_left"))
     done = per.withColumn("_done", F.aggregate(steps, state, advance)["done"])
     return done.select(*keys, F.posexplode("_done").alias("rule_ordinal", "r")).select(*keys, "rule_ordinal", F.col("r.source").alias("source"), F.col("r.target").alias("target"))

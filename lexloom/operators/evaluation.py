@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions.binding import let
-from lexloom.operators.alignment import align_pairs
-from lexloom.operators.selection import phonetic_segments
+from lexloom.operators.alignment import align_pairs, segment_map
+from lexloom.operators.selection import BOUNDARIES, phonetic_segments
 
 #: Characters that stand for the different tokens of two forms, by their number.
 ALPHABET = "".join(chr(0x4E00 + i) for i in range(20_000))
@@ -128,48 +128,82 @@ def holdout(concepts: DataFrame, share: float = 0.3) -> DataFrame:
     return concepts.withColumns({"position": F.row_number().over(node.orderBy(digest)), "_n": n, "_held": held}).select("node_id", "concept_id", "position", (F.col("position") > F.col("_n") - F.col("_held")).alias("held_out"))
 
 
-def recoverability(reached: DataFrame) -> DataFrame:
-    """``concept_id, class`` of ``reached(concept_id, branch_id, at, shown, gold)``: single, mixed or none.
+def recoverability(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How far the branches' own segment maps lead to the gold forms: ``concept_id, class``, and ``child_id, n_concepts, n_deleting``.
 
-    A row is a column of the gold form and what a branch shows there. ``single``: one branch shows all of it;
-    ``mixed``: each column is shown by some branch; ``none`` otherwise.
+    ``pairs(child_id, concept_id, ordinal, left, right)`` are a branch's form and the gold of the concept.
+    ``single``: some branch's form becomes the gold form when each of its segments is replaced by what most often stands for
+    it; ``mixed``: none does, and some branch has a segment for each of the gold form's; ``none`` otherwise. A branch deletes
+    in a concept where one of the gold form's segments has none in it.
     """
-    right = F.col("shown").eqNullSafe(F.col("gold"))
-    per_branch = reached.groupBy("concept_id", "branch_id").agg(F.bool_and(right).alias("all"))
-    per_column = reached.groupBy("concept_id", "at").agg(F.bool_or(right).alias("any"))
-    single = per_branch.groupBy("concept_id").agg(F.bool_or("all").alias("single"))
-    mixed = per_column.groupBy("concept_id").agg(F.bool_and("any").alias("mixed"))
-    return single.join(mixed, "concept_id").select("concept_id", F.when(F.col("single"), "single").when(F.col("mixed"), "mixed").otherwise("none").alias("class"))
-
+    maps = segment_map(pairs, ["child_id"])
+    # A branch has as many entries as segments.
+    entry = F.struct("source", F.struct(F.col("target").alias("t")))
+    maps = maps.groupBy("child_id").agg(F.map_from_entries(F.collect_list(entry)).alias("map"))
+    aligned = align_pairs(pairs).join(maps, "child_id", "left")
+    shown = F.filter(F.transform("left", lambda s: F.element_at("map", s)["t"]), lambda t: t.isNotNull())
+    both = F.arrays_zip(F.col("aligned_left").alias("a"), F.col("aligned_right").alias("b"))
+    deletes = F.exists(both, lambda c: c["a"].isNull() & c["b"].isNotNull())
+    judged = aligned.select("child_id", "concept_id", (shown == F.col("right")).alias("hit"), deletes.alias("deletes"))
+    per = judged.groupBy("concept_id").agg(F.bool_or("hit").alias("hit"), F.bool_and("deletes").alias("deletes"))
+    classes = per.select("concept_id", F.when(F.col("hit"), "single").when(~F.col("deletes"), "mixed").otherwise("none").alias("class"))
+    deletions = judged.groupBy("child_id").agg(F.count("*").alias("n_concepts"), F.count_if("deletes").alias("n_deleting"))
+    return classes, deletions
+
+
+def tied_pairs(candidates: DataFrame, keys: list[str], within: float = 1e-9) -> DataFrame:
+    """``keys, first, second``: the two best candidates where their scores lie within ``within``."""
+    two = candidates.where("rank <= 2").groupBy(*keys).agg(
+        *[F.max(F.when(F.col("rank") == i, F.col(c))).alias(f"{c}_{i}") for i in (1, 2) for c in ("log_score", "segments")]
+    )
+    return two.where(F.col("log_score_1") - F.col("log_score_2") < within).select(*keys, F.col("segments_1").alias("first"), F.col("segments_2").alias("second"))
+
+
+def clade_support(ties: DataFrame, clades: DataFrame, forms: DataFrame) -> DataFrame:
+    """Evidence from outside a node for the two candidates of ``ties(node_id, concept_id, first, second)``.
+
+    Adds for each, as ``_first`` and ``_second``: ``n_clades``, the clades outside the node (``clades(node_id, clade_id,
+    leaf_id)``) of which one leaf's form has all the segments that the one candidate has and the other has not (boundaries
+    apart; 0 if there are none); ``distance``, the mean normalised edit distance to the forms of the outside leaves (1 without
+    any); ``boundaries``, their number. A leaf counts with one form of a concept, that of the smallest form_id.
+    """
+    leaf = forms.groupBy(F.col("variety_id").alias("leaf_id"), "concept_id").agg(F.min_by("segments", "form_id").alias("form"))
+    outside = clades.select("node_id", "clade_id", "leaf_id").distinct().join(leaf, "leaf_id")
+    sides = {"first": "second", "second": "first"}
+    pairs = ties.join(outside, ["node_id", "concept_id"], "left")
+    totals = []
+    for side, other in sides.items():
+        own = F.filter(F.array_except(side, other), lambda s: ~s.isin(*BOUNDARIES))
+        shows = (F.size(own) > 0) & (F.size(F.array_except(own, F.col("form"))) == 0)
+        near = F.when(F.col("form").isNotNull(), normalized_edit_distance(F.col(side), F.col("form")))
+        totals += [F.count_distinct(F.when(shows, F.col("clade_id"))).alias(f"n_clades_{side}"), F.coalesce(F.avg(near), F.lit(1.0)).alias(f"distance_{side}")]
+    per = pairs.groupBy("node_id", "concept_id", "first", "second").agg(*totals)
+    return per.withColumns({f"boundaries_{side}": F.size(F.filter(side, lambda s: s.isin(*BOUNDARIES))) for side in sides})
 
-def clade_support(candidates: DataFrame, clades: DataFrame, forms: DataFrame) -> DataFrame:
-    """Add ``n_clades, distance, morphs`` to ``candidates(node_id, concept_id, segments)``.
 
-    ``n_clades``: clades outside the node (``clades(node_id, clade_id, leaf_id)``) of which one leaf has a
-    form of the concept that holds all the candidate's sounds; ``distance``: mean normalised distance to the
-    outside forms; ``morphs``: parts between boundaries.
-    """
-    outside = clades.join(forms.select(F.col("variety_id").alias("leaf_id"), "concept_id", phonetic_segments(F.col("segments")).alias("form")), "leaf_id")
-    outside = outside.select("node_id", "clade_id", "concept_id", "form").distinct()
-    own = phonetic_segments(F.col("segments"))
-    pairs = candidates.join(outside, ["node_id", "concept_id"], "left")
-    within = F.size(F.array_except(own, F.col("form"))) == 0
-    per = pairs.groupBy(*candidates.columns).agg(F.count_distinct(F.when(within, F.col("clade_id"))).alias("n_clades"), F.avg(F.when(F.col("form").isNotNull(), normalized_edit_distance(own, F.col("form")))).alias("distance"))
-    return per.withColumn("morphs", F.size(F.filter("segments", lambda s: s.isin("+", "-"))) + 1)
+POLICIES = ("alphabetical", "daughters", "clades", "morphs")
 
 
-def compare_policies(supported: DataFrame, gold: DataFrame) -> DataFrame:
-    """``node_id, policy, n_ties, hits``: how often each way to choose among tied candidates picks a gold form.
+def compare_policies(supported: DataFrame, gold: DataFrame, clades: DataFrame) -> DataFrame:
+    """``node_id, policy, n_ties, ceiling, n_clades, hits``: how often each way to choose between tied candidates picks the gold form.
 
-    Policies: ``order`` (code points), ``distance`` (nearest the outside forms), ``clades`` (most clades),
-    ``morphs`` (fewest parts, then most clades); what is left open goes by order.
+    Policies: the smaller by code points; the nearer to the outside leaves; more clades; fewer boundaries, then more
+    clades. What is left open goes to the first candidate. ``ceiling``: ties of which either candidate is gold. Concepts
+    without gold are left out; a node without clades outside has null hits.
     """
-    text = F.array_join("segments", "\x1f")
-    ways = {"order": F.struct(text.alias("t")), "distance": F.struct(F.coalesce("distance", F.lit(9.0)).alias("d"), text.alias("t")), "clades": F.struct((-F.col("n_clades")).alias("c"), text.alias("t")), "morphs": F.struct("morphs", (-F.col("n_clades")).alias("c"), text.alias("t"))}
-    picks = supported.groupBy("node_id", "concept_id").agg(*[F.min_by("segments", w).alias(p) for p, w in ways.items()])
-    long = picks.select("node_id", "concept_id", F.explode(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(p).alias("segments")) for p in ways])).alias("p")).select("node_id", "concept_id", "p.*")
-    right = gold.select("concept_id", "segments").distinct().withColumn("_hit", F.lit(1))
-    return long.join(right, ["concept_id", "segments"], "left").groupBy("node_id", "policy").agg(F.count("*").alias("n_ties"), F.count("_hit").alias("hits"))
+    right = gold.groupBy("concept_id").agg(F.min_by("segments", "form_id").alias("gold"))
+    judged = supported.join(right, "concept_id")
+    by = lambda name, sign=1: F.col(f"{name}_first") * sign <= F.col(f"{name}_second") * sign
+    fewer = F.col("boundaries_first") - F.col("boundaries_second")
+    ways = dict(zip(POLICIES, (F.col("first") <= F.col("second"), by("distance"), by("n_clades", -1), (fewer < 0) | ((fewer == 0) & by("n_clades", -1))), strict=True))
+    picked = lambda way: F.when(way, F.col("first")).otherwise(F.col("second")) == F.col("gold")
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("policy"), picked(way).alias("hit")) for name, way in ways.items()])).alias("p")
+    either = (F.col("first") == F.col("gold")) | (F.col("second") == F.col("gold"))
+    per = judged.select("node_id", either.alias("either"), rows).groupBy("node_id", "p.policy")
+    per = per.agg(F.count("*").alias("n_ties"), F.count_if("either").alias("ceiling"), F.count_if("p.hit").alias("hits"))
+    sizes = clades.groupBy("node_id").agg(F.count_distinct("clade_id").alias("n_clades"))
+    out = per.join(sizes, "node_id", "left").withColumn("n_clades", F.coalesce("n_clades", F.lit(0)))
+    return out.select("node_id", "policy", "n_ties", "ceiling", "n_clades", F.when(F.col("n_clades") > 0, F.col("hits")).alias("hits"))
 
 
 SHAPE = ("target", "replacement", "left", "right", "word_initial", "word_final")
@@ -196,8 +230,9 @@ def functional_recovery(outputs: DataFrame, parents: DataFrame) -> DataFrame:
     """``child_id, n_concepts, rate``: share of concepts in which a branch's cascade gives the parent's form.
 
     ``outputs(child_id, parent_id, concept_id, output)``, ``parents(parent_id, concept_id, segments)``; a
-    concept counts once, and is reached if any pair of forms agrees.
+    concept counts once, and is reached if any pair of forms agrees; one that the parent lacks is not.
     """
-    joined = outputs.join(parents.select("parent_id", "concept_id", F.col("segments").alias("_want")), ["parent_id", "concept_id"])
-    per = joined.groupBy("child_id", "concept_id").agg(F.bool_or(F.col("output") == F.col("_want")).alias("hit"))
+    joined = outputs.join(parents.select("parent_id", "concept_id", F.col("segments").alias("_want")), ["parent_id", "concept_id"], "left")
+    agrees = F.coalesce(F.col("output") == F.col("_want"), F.lit(False))
+    per = joined.groupBy("child_id", "concept_id").agg(F.bool_or(agrees).alias("hit"))
     return per.groupBy("child_id").agg(F.count("*").alias("n_concepts"), F.avg(F.col("hit").cast("int")).alias("rate"))

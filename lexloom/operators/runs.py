@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexloom.operators.evaluation import distributions
@@ -11,25 +13,36 @@ def _order(calls: DataFrame):
     return Window.partitionBy("session_id").orderBy("ts", "event_id")
 
 
+def _repeats(calls: DataFrame, width: int) -> DataFrame:
+    """Add ``occurrences``: how often a rejected call's own (tool, code) was rejected among the last ``width`` calls; 0 for others."""
+    signature = F.when(F.col("rejected"), F.concat_ws("|", "tool", "code")).otherwise("")
+    counted = calls.withColumn("sig", signature).withColumn("recent", F.collect_list("sig").over(_order(calls).rowsBetween(-(width - 1), 0)))
+    return counted.withColumn("occurrences", F.when(F.col("sig") == "", 0).otherwise(F.size(F.filter("recent", lambda x: x == F.col("sig"))))).drop("recent")
+
+
 def repeated_failures(calls: DataFrame, width: int, least: int) -> DataFrame:
     """Per call: how often its own (tool, code) failed among the last ``width`` calls; the first flag corrects, later ones stall."""
-    signature = F.when(F.col("rejected"), F.concat_ws("|", "tool", "code")).otherwise("")
-    recent = F.collect_list("sig").over(_order(calls).rowsBetween(-(width - 1), 0))
-    counted = calls.withColumn("sig", signature).withColumn("recent", recent)
-    counted = counted.withColumn("occurrences", F.when(F.col("sig") == "", 0).otherwise(F.size(F.filter("recent", lambda x: x == F.col("sig")))))
+    counted = _repeats(calls, width)
     flag = (F.col("occurrences") >= least).cast("int")
     before = F.sum(flag).over(Window.partitionBy("session_id", "sig").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
     action = F.when(flag == 0, F.lit(None)).when(before == 1, "correct").otherwise("stall")
     return counted.withColumn("action", action).select("session_id", "event_id", "occurrences", "action")
 
 
-def window_saturation(calls: DataFrame, width: int, least: int) -> DataFrame:
-    """Per call: failures among the last ``width`` calls of the session, whether they reach ``least``, and what follows.
+def window_saturation(calls: DataFrame, width: int, least: int, exploratory: tuple[str, ...] = (), repeated: int | None = None) -> DataFrame:
+    """Per call: protocol failures among the last ``width`` calls of the session, whether the call is met for them, and how.
 
-    The first call to reach it is met by a correction, a later one means a stall.
+    Rejections with a code of ``exploratory`` are no failures of protocol. Only a rejected call is met: with a
+    correction when ``least`` of the window failed for the first time, later with a stall. Where ``repeated`` is given,
+    a call whose own signature occurs so often is met for that instead (:func:`repeated_failures`).
     """
-    failures = F.sum(F.col("rejected").cast("int")).over(_order(calls).rowsBetween(-(width - 1), 0))
-    flagged = calls.select("session_id", "event_id", "ts", failures.alias("failures")).withColumn("saturated", F.col("failures") >= least)
+    protocol = F.col("rejected") & ~F.coalesce(F.col("code").isin(*exploratory), F.lit(False))
+    failures = F.sum(protocol.cast("int")).over(_order(calls).rowsBetween(-(width - 1), 0))
+    flagged = _repeats(calls, width).withColumn("failures", failures)
+    met = F.col("rejected") & (F.col("failures") >= least)
+    if repeated is not None:
+        met = met & (F.col("occurrences") < repeated)
+    flagged = flagged.select("session_id", "event_id", "ts", "failures", met.alias("saturated"))
     before = F.sum(F.col("saturated").cast("int")).over(_order(calls).rowsBetween(Window.unboundedPreceding, 0))
     action = F.when(~F.col("saturated"), F.lit(None)).when(before == 1, "correct").otherwise("stall")
     return flagged.withColumn("action", action).drop("ts")
@@ -211,17 +224,39 @@ def classify_errors(errors: DataFrame, codes: DataFrame) -> DataFrame:
 def superseded_calls(calls: DataFrame, selections: list[str], tools: tuple[str, ...]) -> DataFrame:
     """``session_id, event_id, superseded_by``: calls of ``tools`` that a later one of the session includes, with the first such.
 
-    Each selection (an array; null is everything) must be part of the later call's, and ``other`` equal.
+    Each selection (an array; null and empty are everything) must be part of the later call's, and ``other``
+    equal. A later call that restricts some selections must hold all that the earlier one names there, its rarest name
+    among them, so calls meet only over that name; later calls that restrict nothing come from one window.
     """
-    own = calls.where(F.col("tool").isin(*tools))
-    a, b = own.alias("a"), own.alias("b")
-    later = F.struct(F.col("a.ts"), F.col("a.event_id")) < F.struct(F.col("b.ts"), F.col("b.event_id"))
-    on = (F.col("a.session_id") == F.col("b.session_id")) & (F.col("a.tool") == F.col("b.tool")) & F.col("a.other").eqNullSafe(F.col("b.other")) & later
-    for s in selections:
-        part = F.col(f"a.{s}").isNotNull() & (F.size(F.array_except(f"a.{s}", f"b.{s}")) == 0)
-        on = on & (F.col(f"b.{s}").isNull() | F.coalesce(part, F.lit(False)))
-    pairs = a.join(b, on).groupBy(F.col("a.session_id").alias("session_id"), F.col("a.event_id").alias("event_id"))
-    return pairs.agg(F.min_by("b.event_id", F.struct("b.ts", "b.event_id")).alias("superseded_by"))
+    who = ["session_id", "tool", "other"]
+    own = calls.where(F.col("tool").isin(*tools)).select(
+        *who, F.struct("ts", "event_id").alias("at"), *[F.when(F.size(s) > 0, F.array_distinct(s)).alias(s) for s in selections]
+    )
+    bits = sum(F.when(F.col(s).isNotNull(), 1 << i).otherwise(0) for i, s in enumerate(selections))
+    own = own.withColumn("limits", bits)
+    # Names in each selection, with the call's own limits.
+    named = [own.select(*who, "at", "limits", F.lit(i).alias("i"), F.explode(F.col(s).cast("array<string>")).alias("name")) for i, s in enumerate(selections)]
+    names = named[0]
+    for more in named[1:]:
+        names = names.unionByName(more)
+    key = [*who, "limits", "i", "name"]
+    frequent = names.groupBy(*key).agg(F.count("*").alias("n"))
+    # An earlier call asks for each way in which a later one may be limited: the selections of both, at least one.
+    ways = F.explode(F.filter(F.sequence(F.lit(1), F.lit((1 << len(selections)) - 1)), lambda w: w.bitwiseAND(F.col("limits")) == w)).alias("way")
+    asked = names.select(*who, "at", "i", "name", ways).where(F.expr("shiftright(way, i)").bitwiseAND(1) == 1).withColumnRenamed("way", "limits")
+    same = lambda a, b, cols: reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols])
+    sized = asked.alias("a").join(frequent.alias("f"), same("a", "f", key), "left").select("a.*", F.coalesce("f.n", F.lit(0)).alias("n"))
+    rarest = sized.groupBy(*who, "at", "limits").agg(F.min(F.struct("n", "i", "name")).alias("r")).where("r.n > 0").select(*who, "at", "limits", "r.i", "r.name")
+    later = names.select(*key, F.col("at").alias("later_at"))
+    met = rarest.alias("a").join(later.alias("b"), same("a", "b", key) & (F.col("a.at") < F.col("b.later_at"))).select(*[f"a.{c}" for c in who], "a.at", "a.limits", "b.later_at")
+    earlier = own.alias("o").join(met.alias("m"), same("o", "m", [*who, "at"])).select("m.*", *[F.col(f"o.{s}").alias(f"_{s}") for s in selections])
+    both = earlier.alias("e").join(own.drop("limits").withColumnRenamed("at", "later_at").alias("l"), same("e", "l", [*who, "later_at"]))
+    holds = reduce(lambda x, y: x & y, [F.col(f"l.{s}").isNull() | (F.size(F.array_except(f"e._{s}", f"l.{s}")) == 0) for s in selections])
+    limited = both.where(holds).select(*[f"e.{c}" for c in who], "e.at", "e.later_at")
+    after = Window.partitionBy(*who).orderBy("at").rowsBetween(1, Window.unboundedFollowing)
+    free = own.select(*who, "at", F.first(F.when(F.col("limits") == 0, F.col("at")), ignorenulls=True).over(after).alias("later_at")).where("later_at is not null")
+    first = limited.unionByName(free).groupBy(*who, "at").agg(F.min("later_at").alias("later_at"))
+    return first.select("session_id", "at.event_id", F.col("later_at.event_id").alias("superseded_by"))
 
 
 def committed_rule_rows(rules: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def check_distances(distances: DataFrame) -> DataFrame:
     return both.select("taxon_a", "taxon_b", F.explode(found).alias("violation")).unionByName(missing)
 
 
-def largest_misses(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` forms of each concept that are furthest from gold (``form_id, concept_id, ed``), ties to the smaller form_id."""
-    rank = F.row_number().over(Window.partitionBy("concept_id").orderBy(F.desc("ed"), "form_id"))
-    return scored.select("concept_id", "form_id", "ed").withColumn("rank", rank).where(F.col("rank") <= k)
+def largest_misses(evaluations: DataFrame, k: int) -> DataFrame:
+    """The ``k`` concepts of each node that are furthest from gold (``node_id, concept_id, ed``), ties to the smaller concept_id."""
+    rank = F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("ed"), "concept_id"))
+    return evaluations.where("ed is not null").select("node_id", "concept_id", "ed").withColumn("rank", rank).where(F.col("rank") <= k)

@@ -184,7 +184,7 @@ def repeated_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def window_saturation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.window_saturation(views.calls(spark, sf_dir), 10, 4)
+    return runs.window_saturation(views.calls(spark, sf_dir), 20, 3, ("schema:f3",), repeated=3)
 
 
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,9 @@ def distance_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def largest_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.largest_misses(nearest_gold(spark, sf_dir), 5)
+    """Of each brand, the concepts whose nearest form is furthest from gold."""
+    near = nearest_gold(spark, sf_dir).join(views.forms(spark, sf_dir).select("form_id", F.col("variety_id").alias("node_id")), "form_id")
+    return selection.largest_misses(near.groupBy("node_id", "concept_id").agg(F.min("ed").alias("ed")), 5)
 
 
 def best_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +303,10 @@ SELECT concept_id, missing, top_exact, beam_exact, t[2] AS top_ed, round(t[1], 9
     "language_distance": f"WITH {FORMS}, s AS (SELECT variety_id, concept_id, list(DISTINCT cognate_set_id) AS sets FROM v_forms GROUP BY ALL) SELECT a.variety_id AS taxon_a, b.variety_id AS taxon_b, round(1 - avg(list_has_any(a.sets, b.sets)::INTEGER), 9) AS distance, count(*) AS n_concepts FROM s a JOIN s b ON a.concept_id = b.concept_id AND a.variety_id < b.variety_id GROUP BY ALL",
     "held_out_concepts": f"WITH {FORMS}, {EDGES}, d AS (SELECT DISTINCT parent_id AS node_id, concept_id FROM v_forms JOIN v_edges ON child_id = variety_id), o AS (SELECT *, (row_number() OVER (PARTITION BY node_id ORDER BY sha256(node_id || chr(0) || concept_id)))::INTEGER AS position, count(*) OVER (PARTITION BY node_id) AS n FROM d) SELECT node_id, concept_id, position, position > n - least(n - 1, round_even(n * 0.3, 0)) AS held_out FROM o",
     "repeated_failures": f"WITH {CALLS}, s AS (SELECT *, CASE WHEN rejected THEN tool || '|' || code ELSE '' END AS sig FROM v_calls), r AS (SELECT *, list(sig) OVER ({_order} ROWS 11 PRECEDING) AS recent FROM s), c AS (SELECT *, CASE WHEN sig = '' THEN 0 ELSE len(list_filter(recent, lambda x: x = sig)) END AS occurrences FROM r), f AS (SELECT *, sum((occurrences >= 2)::INTEGER) OVER (PARTITION BY session_id, sig ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS b FROM c) SELECT session_id, event_id, occurrences::INTEGER AS occurrences, CASE WHEN occurrences < 2 THEN NULL WHEN b = 1 THEN 'correct' ELSE 'stall' END AS action FROM f",
-    "window_saturation": f"WITH {CALLS}, f AS (SELECT session_id, event_id, (sum(rejected::INTEGER) OVER ({_order} ROWS 9 PRECEDING))::BIGINT AS failures FROM v_calls) SELECT f.session_id, f.event_id, failures, failures >= 4 AS saturated, CASE WHEN failures < 4 THEN NULL WHEN sum((failures >= 4)::INTEGER) OVER (PARTITION BY f.session_id ORDER BY ts, f.event_id) = 1 THEN 'correct' ELSE 'stall' END AS action FROM f JOIN v_calls USING (session_id, event_id)",
+    "window_saturation": f"""WITH {CALLS}, s AS (SELECT *, CASE WHEN rejected THEN tool || '|' || code ELSE '' END AS sig FROM v_calls),
+w AS (SELECT *, list(sig) OVER ({_order} ROWS 19 PRECEDING) AS recent, sum((rejected AND code <> 'schema:f3')::INTEGER) OVER ({_order} ROWS 19 PRECEDING)::BIGINT AS failures FROM s),
+f AS (SELECT *, rejected AND failures >= 3 AND len(list_filter(recent, lambda x: x = sig)) < 3 AS saturated FROM w)
+SELECT session_id, event_id, failures, saturated, CASE WHEN NOT saturated THEN NULL WHEN sum(saturated::INTEGER) OVER ({_order}) = 1 THEN 'correct' ELSE 'stall' END AS action FROM f""",
     "running_budget": f"""WITH {CALLS}, f AS (SELECT session_id, event_id, ts, (sum(cost::DECIMAL(20, 6)) OVER w)::DOUBLE AS spent, (sum(seconds::DECIMAL(20, 6)) OVER w)::DOUBLE AS elapsed FROM v_calls WINDOW w AS ({_order} ROWS UNBOUNDED PRECEDING)),
 b AS (SELECT *, spent > 500.0 OR elapsed > 300.0 AS breached FROM f)
 SELECT session_id, event_id, spent, elapsed, breached, breached AND sum(breached::INTEGER) OVER ({_order} ROWS UNBOUNDED PRECEDING) = 1 AS first_breach FROM b""",
@@ -317,7 +322,9 @@ CASE WHEN n_rules > 1 AND n_cascades = 0 THEN 'no cascade preview' END], lambda
     "searched_forms": "SELECT p_partkey AS form_id, 'ed any true' AS search FROM part WHERE contains(p_name, 'ed') UNION ALL SELECT p_partkey, 're initial true' FROM part WHERE starts_with(p_name, 're') UNION ALL SELECT p_partkey, 'et final false' FROM part WHERE ends_with(replace(p_name, ' ', ''), 'et') UNION ALL SELECT p_partkey, 'dw any false' FROM part WHERE contains(replace(p_name, ' ', ''), 'dw')",
     "tree_reconciliation": "SELECT DISTINCT p_brand AS variety_id, 'missing from the tree' AS violation FROM part WHERE regexp_extract(p_brand, '(\\d+)$', 1)::INTEGER BETWEEN 21 AND 25",
     "distance_violations": f"WITH {FORMS}, s AS (SELECT DISTINCT variety_id, concept_id FROM v_forms) SELECT a.variety_id AS taxon_a, b.variety_id AS taxon_b, 'no mirror' AS violation FROM s a JOIN s b ON a.concept_id = b.concept_id AND a.variety_id < b.variety_id WHERE a.variety_id <> 'Brand#1' GROUP BY ALL UNION ALL SELECT a.v, b.v, 'missing' FROM (SELECT DISTINCT variety_id AS v FROM s) a JOIN (SELECT DISTINCT variety_id AS v FROM s) b ON a.v < b.v WHERE NOT EXISTS (SELECT 1 FROM s x JOIN s y ON x.concept_id = y.concept_id WHERE x.variety_id = a.v AND y.variety_id = b.v)",
-    "largest_misses": _near + ", m AS (SELECT concept_id, form_id, ed, (row_number() OVER (PARTITION BY concept_id ORDER BY ed DESC, form_id))::INTEGER AS rank FROM near) SELECT * FROM m WHERE rank <= 5",
+    "largest_misses": _near
+    + """, e AS (SELECT variety_id AS node_id, near.concept_id, min(ed) AS ed FROM near JOIN v_forms USING (form_id) GROUP BY ALL),
+m AS (SELECT *, (row_number() OVER (PARTITION BY node_id ORDER BY ed DESC, concept_id))::INTEGER AS rank FROM e) SELECT * FROM m WHERE rank <= 5""",
     "best_lexicon": f"WITH {FORMS}, {LEAF} SELECT variety_id, concept_id, segments FROM v_leaf WHERE rank = 1",
     "trajectory_summary": f"WITH {TRAJECTORIES} SELECT count(*) AS records, count(*) FILTER (completed) AS completed, sum(tool_calls)::BIGINT AS tool_calls, sum(protocol_failures)::BIGINT AS protocol_failures, round(sum(protocol_failures) / sum(tool_calls), 9)::DOUBLE AS failure_rate, list_sort(list(DISTINCT model)) AS models, list_sort(list(DISTINCT split_part(failure, ':', 1)) FILTER (failure IS NOT NULL)) AS failure_types FROM v_traj",
     "stream_event_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, 'n' || (user_id % 10) AS node_id, event_type AS kind, count(*) AS n FROM events GROUP BY ALL",

@@ -264,24 +264,23 @@ def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def branch_recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per concept: whether one branch's map gives the gold form, several together, or none."""
-    pairs = _branch_pairs(spark, sf_dir)
-    cells = alignment.align_pairs(pairs).select("child_id", "concept_id", F.posexplode(F.arrays_zip(F.col("aligned_left").alias("source"), F.col("aligned_right").alias("gold"))).alias("at", "c"))
-    cells = cells.select(F.col("child_id"), "concept_id", "at", F.col("c.source").alias("source"), F.col("c.gold").alias("gold")).where("gold is not null")
-    maps = segment_maps(spark, sf_dir).select("child_id", "source", F.col("target").alias("shown"))
-    reached = cells.join(maps, ["child_id", "source"], "left").select("concept_id", F.col("child_id").alias("branch_id"), "at", F.coalesce("shown", F.lit("")).alias("shown"), "gold")
-    return evaluation.recoverability(reached)
+    """Per concept: whether one branch's map gives the gold form, several together could, or none."""
+    return evaluation.recoverability(_branch_pairs(spark, sf_dir))[0]
+
+
+def branch_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per branch: concepts in which it lacks one of the gold form's segments."""
+    return evaluation.recoverability(_branch_pairs(spark, sf_dir))[1]
 
 
 def clade_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ties of the leaf beams of the last group's brands, decided in four ways."""
-    forms = views.forms(spark, sf_dir)
-    leaves = beam.leaf_beam(forms.where(F.col("variety_id").isin("Brand#21", "Brand#22", "Brand#23")), 5)
-    best = leaves.where("rank = 1").select("variety_id", "concept_id", F.col("log_score").alias("best"))
-    tied = leaves.join(best, ["variety_id", "concept_id"]).where("best - log_score < 1e-9").select(F.col("variety_id").alias("node_id"), "concept_id", "segments")
-    several = tied.groupBy("node_id", "concept_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    supported = evaluation.clade_support(tied.join(several, ["node_id", "concept_id"], "left_semi"), tree.outgroups(views.edges(spark, sf_dir)), forms.where(F.col("variety_id") != GOLD))
-    return evaluation.compare_policies(supported, forms.where(F.col("variety_id") == GOLD))
+    """Ties of the rebuilt tree's inner nodes, decided in four ways by what the leaves outside each node show."""
+    forms, edges = views.forms(spark, sf_dir), views.edges(spark, sf_dir)
+    clades = Scratch(spark).save(tree.outgroups(edges))
+    ties = evaluation.tied_pairs(_tree(spark, sf_dir)[0].join(edges.select(F.col("parent_id").alias("node_id")).distinct(), "node_id", "left_semi"), ["node_id", "concept_id"])
+    gold = F.col("variety_id") == GOLD
+    supported = evaluation.clade_support(ties, clades, forms.where(~gold))
+    return evaluation.compare_policies(supported, forms.where(gold), clades)
 
 
 def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,7 +338,7 @@ QUERIES = {
         anchored_results, scoped_rules, contrast_reductions, attesting_nodes, tested_rules, tested_cascades, heldout_convergence, matched_validations, derived_daughters, invertible_branches,
         aligned_pairs, aligned_groups, aligned_correspondences, summarized_correspondences, selected_alignments, polarized, polarized_initial, polarize_candidates, anchor_boosts, combined_children,
         reconstructed_tree, branch_support, node_diagnostics, fallback_taint, candidate_ids, token_distances, bcubed_scores, graded_targets, target_rates, segment_maps, oracle_rules, oracle_ceiling,
-        branch_recoverability, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, rationale_violations, commit_violations,
+        branch_recoverability, branch_deletions, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, rationale_violations, commit_violations,
     )
 }
 
@@ -393,7 +392,7 @@ SELECT segments, support, n_concepts, examples, n_sets, n_suppressed, n_matched
     "candidate_ids": f"WITH {base.FORMS}, {base.LEAF} SELECT variety_id, concept_id, segments, substr(sha256(array_to_string(segments, '␟')), 1, 12) AS candidate_id FROM v_leaf",
     "graded_targets": f"SELECT 'root' AS node_id, count(top_ned) AS n, round(avg(top_ned), 7) AS mean_top_ned, round(avg(best_ned), 7) AS mean_best_ned, round(avg(top_ed), 7) AS mean_top_ed, round(avg(best_ed), 7) AS mean_best_ed, round(greatest(0, avg(top_ned) - avg(best_ned)), 7)::DOUBLE AS selection_gap FROM ({_best})",
     "target_rates": f"SELECT 'root' AS node_id, count(*) AS n_concepts, count(*) FILTER (missing) AS n_missing, count(*) FILTER (top_exact) AS n_top_exact, count(*) FILTER (beam_exact) AS n_beam_exact, round(count(*) FILTER (missing) / count(*), 9) AS missing_rate, round(count(*) FILTER (top_exact) / count(*), 9) AS top_exact_rate, round(count(*) FILTER (beam_exact) / count(*), 9) AS beam_exact_rate FROM ({_best})",
-    "functional_recovery": f"""{_cascade}, g AS (SELECT concept_id, {_text} AS gold FROM v_forms WHERE variety_id = 'Brand#25'), h AS (SELECT variety_id, concept_id, bool_or(t2 = gold) AS hit FROM c3 JOIN g USING (concept_id) GROUP BY ALL)
+    "functional_recovery": f"""{_cascade}, g AS (SELECT concept_id, {_text} AS gold FROM v_forms WHERE variety_id = 'Brand#25'), h AS (SELECT variety_id, concept_id, coalesce(bool_or(t2 = gold), false) AS hit FROM c3 LEFT JOIN g USING (concept_id) GROUP BY ALL)
 SELECT variety_id AS child_id, count(*) AS n_concepts, round(avg(hit::INTEGER), 9) AS rate FROM h GROUP BY 1""",
     "form_distance": f"""WITH {base.FORMS}, s AS (SELECT DISTINCT variety_id, concept_id, replace({_text}, '+', '') AS t FROM v_forms), p AS (SELECT a.variety_id AS taxon_a, b.variety_id AS taxon_b, concept_id, avg(levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t))) AS d FROM s a JOIN s b USING (concept_id) WHERE a.variety_id < b.variety_id GROUP BY ALL)
 SELECT taxon_a, taxon_b, round(avg(d), 9) AS distance, count(*) AS n_concepts FROM p GROUP BY ALL""",

@@ -112,10 +112,12 @@ def classified_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def superseded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls that select concepts by the digits of their number; those that end in 9 select everything."""
-    digits = F.array_distinct(F.array(F.col("k") % 3, F.col("k") % 4))
-    calls = views.calls(spark, sf_dir).withColumns({"concepts": F.when(F.col("k") % 10 != 9, digits), "other": F.when(F.col("k") % 2 == 0, "even")})
-    return runs.superseded_calls(calls, ["concepts"], ("view", "click"))
+    """Calls that select concepts and forms by the digits of their number; those that end in 9, or have an empty list, select everything."""
+    k = F.col("k")
+    digits = F.array_distinct(F.array(k % 3, k % 4))
+    selected = {"concepts": F.when(k % 10 != 9, digits), "forms": F.when(k % 7 == 3, F.array(k % 2)).when(k % 7 == 5, F.array().cast("array<bigint>"))}
+    calls = views.calls(spark, sf_dir).withColumns(selected | {"other": F.when(k % 2 == 0, "even")})
+    return runs.superseded_calls(calls, ["concepts", "forms"], ("view", "click"))
 
 
 def committed_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +138,8 @@ def node_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_failure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = events.stream_failure_windows(events.read_calls(spark, sf_dir), 12, 2, 6)
+    """Interventions on the stream of calls, as far as its watermark, ten minutes behind the last call, has come."""
+    stream = events.stream_failure_windows(events.read_calls(spark, sf_dir), 12, 2, 4, ("schema:f3",), delay="10 minutes", idle="30 days")
     return events.drain(stream, Scratch(spark).root)
 
 
@@ -178,15 +181,19 @@ SELECT DISTINCT session_id, concept_id FROM v_calls JOIN d ON concept_id = 'c' |
     "directionality_evidence": f"""WITH {base.CALLS}, {base.TRAJECTORIES}, e AS (SELECT session_id, count(*) AS calls, count(*) FILTER (k % 3 = 0) AS outgroup_calls FROM v_calls WHERE tool IN ('view', 'click') GROUP BY 1), c AS (SELECT conv_id AS session_id, count(*) AS claims FROM v_traj WHERE n_rules = 3 GROUP BY 1)
 SELECT session_id, coalesce(calls, 0) AS calls, coalesce(outgroup_calls, 0) AS outgroup_calls, coalesce(claims, 0) AS claims FROM e FULL JOIN c USING (session_id)""",
     "classified_errors": f"""WITH {base.CALLS}, e AS (SELECT event_id AS error_id, code || CASE WHEN k % 4 = 0 THEN '' ELSE ':anomalies[],rules[].dsl' END AS code FROM v_calls WHERE rejected) SELECT error_id, code, CASE WHEN code IN ('schema:f1', 'schema:f2:anomalies[],rules[].dsl') THEN 'exploratory' ELSE 'protocol' END AS category FROM e""",
-    "superseded_calls": f"""WITH {base.CALLS}, c AS (SELECT session_id, event_id, ts, tool, k % 2 = 0 AS other, k % 10 = 9 AS whole, {_digits} AS d FROM v_calls WHERE tool IN ('view', 'click'))
-SELECT a.session_id, a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS superseded_by FROM c a JOIN c b ON a.session_id = b.session_id AND a.tool = b.tool AND a.other = b.other AND (a.ts, a.event_id) < (b.ts, b.event_id) AND (b.whole OR (NOT a.whole AND list_has_all(b.d, a.d))) GROUP BY ALL""",
+    "superseded_calls": f"""WITH {base.CALLS}, c AS (SELECT session_id, event_id, ts, tool, k % 2 = 0 AS other, k % 10 = 9 AS whole, {_digits} AS d, CASE WHEN k % 7 = 3 THEN k % 2 END AS form FROM v_calls WHERE tool IN ('view', 'click'))
+SELECT a.session_id, a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS superseded_by FROM c a JOIN c b ON a.session_id = b.session_id AND a.tool = b.tool AND a.other = b.other AND (a.ts, a.event_id) < (b.ts, b.event_id)
+  AND (b.whole OR (NOT a.whole AND list_has_all(b.d, a.d))) AND (b.form IS NULL OR coalesce(a.form = b.form, false)) GROUP BY ALL""",
     "committed_rule_rows": f"""WITH c AS ({base.ORACLES['compiled_rules']}) SELECT 'g' || (length(dsl) % 5 + 1) AS node_id, length(dsl)::INTEGER AS rule_ordinal, rule_id, array_to_string(target, ' ') || ' > ' || CASE WHEN len(replacement) = 0 THEN 'Ø' ELSE array_to_string(replacement, ' ') END AS correspondence,
 trim(CASE WHEN word_initial THEN '# ' ELSE '' END || array_to_string(list_append("left", '_'), ' ') || ' ' || array_to_string("right", ' ') || CASE WHEN word_final THEN ' #' ELSE '' END) AS environment FROM c WHERE error IS NULL""",
     "node_report": f"""{_diag}, {base.EDGES}, p AS (SELECT node_id, count(*) AS n, count(*) FILTER (NOT completed) AS f FROM v_traj GROUP BY 1), d AS (SELECT node_id, round(avg(convergence_rate), 9) AS convergence_rate FROM v_diag GROUP BY 1),
 r(node_id, rules) AS (VALUES ('root', ['d > t', 'l l > l']), ('g1', ['i > e']), ('g2', ['b > p']), ('g3', ['r > Ø']), ('g4', ['w > v']), ('g5', ['d > t', 'd > r'])), i AS (SELECT DISTINCT parent_id AS node_id FROM v_edges)
 SELECT node_id, coalesce(rules, []) AS rules, CASE WHEN node_id = 'g2' THEN -n ELSE n END AS n_forms, convergence_rate, f AS n_fallback FROM i LEFT JOIN r USING (node_id) LEFT JOIN p USING (node_id) LEFT JOIN d USING (node_id)""",
-    "stream_failure_windows": f"""WITH {base.CALLS}, s AS (SELECT *, CASE WHEN rejected THEN tool || '|' || code ELSE '' END AS sig FROM v_calls), r AS (SELECT *, list(sig) OVER ({base._order} ROWS 11 PRECEDING) AS recent, sum(rejected::INTEGER) OVER ({base._order} ROWS 11 PRECEDING)::INTEGER AS failures FROM s),
+    "stream_failure_windows": f"""WITH {base.CALLS}, s AS (SELECT *, CASE WHEN rejected THEN tool || '|' || code ELSE '' END AS sig FROM v_calls),
+r AS (SELECT *, list(sig) OVER ({base._order} ROWS 11 PRECEDING) AS recent, sum((rejected AND code <> 'schema:f3')::INTEGER) OVER ({base._order} ROWS 11 PRECEDING)::INTEGER AS failures FROM s),
 c AS (SELECT *, CASE WHEN sig = '' THEN 0 ELSE len(list_filter(recent, lambda x: x = sig)) END::INTEGER AS occurrences FROM r),
-f AS (SELECT *, sum((occurrences >= 2)::INTEGER) OVER (PARTITION BY session_id, sig ORDER BY ts, event_id) AS own, sum((failures >= 6)::INTEGER) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS full_ FROM c)
-SELECT session_id, event_id, occurrences, failures, CASE WHEN occurrences >= 2 AND own > 1 OR failures >= 6 AND full_ > 1 THEN 'stall' ELSE 'correct' END AS action FROM f WHERE occurrences >= 2 OR failures >= 6""",
+m AS (SELECT *, occurrences >= 2 AS again, rejected AND failures >= 4 AND occurrences < 2 AS crowded FROM c),
+f AS (SELECT *, sum(again::INTEGER) OVER (PARTITION BY session_id, sig ORDER BY ts, event_id) AS n_again, sum(crowded::INTEGER) OVER ({base._order}) AS n_crowded FROM m)
+SELECT session_id, event_id, occurrences, failures, CASE WHEN again THEN 'repeated' ELSE 'window' END AS reason, CASE WHEN (CASE WHEN again THEN n_again ELSE n_crowded END) > 1 THEN 'stall' ELSE 'correct' END AS action FROM f
+WHERE (again OR crowded) AND epoch_ms(ts) < (SELECT epoch_ms(max(ts)) - 600000 FROM v_calls)""",
 }

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from lexloom.sources.wordlists import parsed_line
 
@@ -78,47 +79,89 @@ def stream_json_lines(spark: SparkSession, path: str, schema: str, folder: str,
     return tuple(spark.read.schema(f"{fields}, number long").parquet(out).drop("number") for fields, out in ((schema, good), ("source_file string, value string", bad)))
 
 
-INTERVENTIONS = "session_id long, event_id long, occurrences int, failures int, action string"
-WINDOW = "signatures array<string>, corrected array<string>, saturated boolean"
+CALL = "event_id long, ts timestamp, tool string, code string, rejected boolean"
+WINDOW = "signatures array<string>, protocol array<boolean>, corrected array<string>, saturated boolean, last_ms long"
+INTERVENTIONS = "session_id long, event_id long, occurrences int, failures int, reason string, action string"
 
 
-def _advance(width: int, least: int, most: int):
-    """The calls of one session in a micro-batch, with the state they leave behind."""
+class FailureWindows(StatefulProcessor):
+    """The calls of a session, held until the watermark has passed them, then taken in the order of ``ts, event_id``.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        signatures, corrected, saturated = [], [], False
-        if state.exists:
-            signatures, corrected, saturated = list(state.get[0]), list(state.get[1]), bool(state.get[2])
-        calls = pd.concat(list(frames)).sort_values(["ts", "event_id"])
+    Two states: calls that wait, and the window with what was corrected. One timer: the first call that waits, or else the
+    end of the session's idle time, at which its state goes.
+    """
+
+    def __init__(self, width: int, least: int, most: int, exploratory: tuple[str, ...], idle_ms: int):
+        self.width, self.least, self.most, self.exploratory, self.idle_ms = width, least, most, exploratory, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", CALL)
+        self.window = handle.getValueState("window", WINDOW)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        self.waiting.appendList([(int(e), t.to_pydatetime(), tool, code, bool(r)) for e, t, tool, code, r in zip(new.event_id, new.ts, new.tool, new.code, new.rejected, strict=True)])
+        self._wake(int(new.ts.min().value // 1_000_000))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        calls = [(pd.Timestamp(c[1]), *c) for c in (self.waiting.get() if self.waiting.exists() else ())]
+        due = [c for c in calls if c[0].value // 1_000_000 < now]
+        rest = [c[1:] for c in calls if c[0].value // 1_000_000 >= now]
+        signatures, protocol, corrected, saturated, last = [], [], [], False, 0
+        if self.window.exists():
+            signatures, protocol, corrected, saturated, last = self.window.get()
+            signatures, protocol, corrected = list(signatures), list(protocol), list(corrected)
         rows = []
-        for event, tool, code, rejected in zip(calls.event_id, calls.tool, calls.code, calls.rejected, strict=True):
+        for ts, event, _, tool, code, rejected in sorted(due, key=lambda c: (c[0], c[1])):
+            last = max(last, int(ts.value // 1_000_000))
             own = f"{tool}|{code}" if rejected else ""
-            signatures = [*signatures, own][-width:]
-            n, failures, action = signatures.count(own) if own else 0, sum(s != "" for s in signatures), None
-            if n >= least:
-                action = "stall" if own in corrected else "correct"
+            signatures = [*signatures, own][-self.width :]
+            protocol = [*protocol, rejected and code not in self.exploratory][-self.width :]
+            n, failures = signatures.count(own), sum(protocol)
+            if own and n >= self.least:
+                rows.append((key[0], event, n, failures, "repeated", "stall" if own in corrected else "correct"))
                 corrected = corrected if own in corrected else [*corrected, own]
-            if failures >= most:
-                action = "stall" if saturated or action == "stall" else "correct"
+            elif own and failures >= self.most:
+                rows.append((key[0], event, n, failures, "window", "stall" if saturated else "correct"))
                 saturated = True
-            if action:
-                rows.append((key[0], event, n, failures, action))
-        state.update((signatures, corrected, saturated))
-        yield pd.DataFrame(rows, columns=["session_id", "event_id", "occurrences", "failures", "action"])
-
-    return run
-
-
-def stream_failure_windows(calls: DataFrame, width: int = 12, least: int = 2, most: int = 6) -> DataFrame:
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        if not rest and last + self.idle_ms < now:
+            self.window.clear()
+        else:
+            self.window.update((signatures, protocol, corrected, saturated, last))
+            self._wake(min(int(pd.Timestamp(c[1]).value // 1_000_000) for c in rest) if rest else last + self.idle_ms)
+        yield pd.DataFrame(rows, columns=["session_id", "event_id", "occurrences", "failures", "reason", "action"])
+
+    def _wake(self, at: int) -> None:
+        timers = list(self.handle.listTimers())
+        if not timers or at < min(timers):
+            for old in timers:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+
+
+def stream_failure_windows(calls: DataFrame, width: int = 12, least: int = 2, most: int = 6, exploratory: tuple[str, ...] = (), delay: str = "10 minutes", idle: str = "7 days") -> DataFrame:
     """Interventions of a stream of calls (``session_id, event_id, ts, tool, code, rejected``), from state kept by session.
 
-    The state holds the failure signatures of the last ``width`` calls (successes take a place), which
-    signatures were corrected, and whether the window was full of failures before. A call is met with
-    ``correct`` when its own signature occurs ``least`` times, or ``most`` calls of the window failed, for the
-    first time, and with ``stall`` when this happens again. Calls are taken in the order of ``ts, event_id``
-    within a micro-batch.
+    A rejected call is met when its own (tool, code) occurs ``least`` times among the last ``width`` calls
+    (``repeated``), or else when ``most`` of these calls broke the protocol (``window``; codes in ``exploratory`` do not):
+    with ``correct`` the first time, for that signature or for the window, and with ``stall`` later. Calls wait until the
+    watermark, ``delay`` behind the latest call, has passed them, and are taken in the order of ``ts, event_id``, however
+    they came; later ones are left out. A session without calls for ``idle`` is forgotten. Rows without ``ts`` are left out.
     """
-    return calls.groupBy("session_id").applyInPandasWithState(_advance(width, least, most), INTERVENTIONS, WINDOW, "append", GroupStateTimeout.NoTimeout)
+    spark = calls.sparkSession
+    # Lists and timers need this store.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    timed = calls.where("ts is not null").withWatermark("ts", delay).groupBy("session_id")
+    processor = FailureWindows(width, least, most, exploratory, idle_ms)
+    return timed.transformWithStateInPandas(processor, StructType.fromDDL(INTERVENTIONS), "Append", "EventTime")
 
 
 def read_calls(spark, sf_dir: str) -> DataFrame:
