@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lexloom.llm.words import WordHashes, mixed
 from lexloom.plans.scratch import Scratch
 
-SHARDS = 4
+SHARDS = 2
 LONGEST = 4
 #: Words of one language that a task holds before it counts them.
-HELD = 2_000_000
+HELD = 750_000
 #: Bits of a filter, a power of two: 8 MiB, whatever the corpus; it is gathered in pieces of so many 64-bit words.
 FILTER_BITS, PIECE = 1 << 26, 512
 #: A byte that no UTF-8 text holds marks the ends of pieces; A-Z become a-z.
@@ -70,6 +70,14 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(WordHashes()[b"lang " + lang.encode()])
 
 
+def _hashes(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the phrases that start at some places, from those of their words."""
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(length):
+        out = mixed(out * PLACE + hashes[ids[starts + i]])
+    return out
+
+
 def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached: Filter | None, recent: Filter | None):
     """Counts of one language's words, and of the phrases to count in this step: the columns of COUNTS from ``words`` on.
 
@@ -94,14 +102,18 @@ def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached:
         here = (a >= 0) & (b >= 0)
         here[here] = there[a[here]] & there[b[here]]
         starts = np.flatnonzero(here)
+        counted = late[a[starts]] | late[b[starts]]
+        if not counted.all():
+            # A phrase that this step does not count is only of use where longer ones may be built on it.
+            own = _hashes(hashes, ids, starts, length)
+            kept = counted | reached.has(own)
+            starts = starts[kept]
         if not len(starts):
             return
         _, first, inverse, f = np.unique((number[starts] << 32) | ids[starts + length - 1], return_index=True, return_inverse=True, return_counts=True)
         at = starts[first]
         head, tail = number[at], number[at + 1]
-        new = np.zeros(len(at), np.uint64)
-        for i in range(length):
-            new = mixed(new * PLACE + hashes[ids[at + i]])
+        new = _hashes(hashes, ids, at, length)
         counted = np.flatnonzero(late[head] | late[tail])
         phrases = [b" ".join([words[w] for w in ids[h : h + length]]).decode() for h in at[counted]]
         yield length, phrases, new[counted], of_number[head[counted]], of_number[tail[counted]], f[counted]
