@@ -8,7 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexloom.operators.progressive import Costs, align_forms
 from lexloom.operators.selection import BOUNDARIES, phonetic_segments
+from lexloom.plans.scratch import Scratch
 
 #: Pairs whose cost tables a task holds at once.
 PAIRS = 2048
@@ -89,39 +91,40 @@ def alignment_inputs(forms: DataFrame, memberships: DataFrame, respect: bool = T
     return rows.unionByName(rest).where(F.size("segments") > 0)
 
 
-def align_groups(inputs: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+def align_groups(inputs: DataFrame, anchors: DataFrame | None = None, costs: Costs | None = None) -> DataFrame:
     """Members of each (concept, cognate set) of two varieties or more, aligned to one width.
 
-    Gives ``alignment_id, concept_id, cognate_set_id, form_id, variety_id, is_anchor, aligned``. The centre of
-    a group is its longest form (the least in order among those); every different form is aligned with it,
-    and where forms have tokens between two of the centre's, all get as many columns as the longest of these
-    runs. Work is by pair and by column, so a group may be of any size. ``anchors`` (as inputs, but without a
-    variety) join the groups of their concept and set; alone they make none.
+    Gives ``alignment_id, concept_id, cognate_set_id, form_id, variety_id, is_anchor, aligned``. Where ``inputs`` have
+    a column ``alignment`` (tokens and ``-``), and that of every member of a group has one width and the member's tokens, it
+    is taken as it is; the other groups are aligned along a guide tree, each different form once, at ``costs`` (units, if
+    there are none). ``anchors`` (as inputs, but without a variety) join the groups of their concept whose set is theirs, or
+    where either has none; alone they make no group.
     """
-    own = inputs.select(*GROUP, "form_id", "variety_id", "segments", F.lit(False).alias("is_anchor"))
-    same = [F.col("g._c").eqNullSafe(F.col("m.concept_id")), F.col("g._s").eqNullSafe(F.col("m.cognate_set_id"))]
+    given = F.col("alignment") if "alignment" in inputs.columns else F.lit(None).cast("array<string>")
+    own = inputs.select(*GROUP, "form_id", "variety_id", "segments", F.lit(False).alias("is_anchor"), given.alias("_given"))
     names = inputs.agg(F.array_sort(F.collect_set("variety_id")).alias("_names"))
-    groups = own.groupBy(*GROUP).agg(F.count_distinct("variety_id").alias("_n"), F.min(F.struct(-F.size("segments"), F.col("segments"))).alias("_b")).where("_n >= 2")
-    groups = groups.select(F.col("concept_id").alias("_c"), F.col("cognate_set_id").alias("_s"), F.col("_b.segments").alias("centre"))
+    groups = own.groupBy(*GROUP).agg(F.count_distinct("variety_id").alias("_n")).where("_n >= 2").select(*GROUP)
+    same = lambda a, b: F.col(f"{a}.concept_id").eqNullSafe(F.col(f"{b}.concept_id")) & F.col(f"{a}.cognate_set_id").eqNullSafe(F.col(f"{b}.cognate_set_id"))
+    members = own.alias("m").join(groups.alias("g"), same("m", "g"), "left_semi")
     if anchors is not None:
-        own = own.unionByName(anchors.select(*GROUP, "form_id", F.lit(None).cast("string").alias("variety_id"), "segments", F.lit(True).alias("is_anchor")))
-    members = own.alias("m").join(groups.alias("g"), same[0] & same[1]).select("m.*", "g.centre")
-    pairs = align_pairs(members.withColumnsRenamed({"centre": "left", "segments": "right"}))
-    # Of each form: the tokens before each token of the centre, and the one at it.
-    at = F.filter(F.sequence(F.lit(0), F.size("aligned_left") - 1), lambda k: F.get("aligned_left", k).isNotNull())
-    bounds = F.concat(F.array(F.lit(-1)), at, F.array(F.size("aligned_left")))
-    runs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2), lambda p: F.slice("aligned_right", F.get(bounds, p) + 2, F.get(bounds, p + 1) - F.get(bounds, p) - 1))
-    split = pairs.withColumns({"_runs": runs, "_at": F.transform(at, lambda k: F.get("aligned_right", k))})
-    widest = split.select(*GROUP, F.posexplode(F.transform("_runs", F.size)).alias("_p", "_w")).groupBy(*GROUP, "_p").agg(F.max("_w").alias("_w"))
-    widest = widest.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_w"))), lambda x: x["_w"]).alias("_widths"))
-    widest = widest.withColumnsRenamed({"concept_id": "_c", "cognate_set_id": "_s"})
-    whole = split.alias("m").join(widest.alias("g"), same[0] & same[1])
-    gaps = lambda n: F.array_repeat(F.lit(None).cast("string"), n)
-    filled = F.transform("_widths", lambda w, p: F.concat(F.get("_runs", p), gaps(w - F.size(F.get("_runs", p))), F.when(p < F.size("_at"), F.array(F.get("_at", p))).otherwise(gaps(F.lit(0)))))
+        a, g = anchors.alias("a"), groups.alias("g")
+        fits = F.col("a.cognate_set_id").isNull() | F.col("g.cognate_set_id").isNull() | (F.col("a.cognate_set_id") == F.col("g.cognate_set_id"))
+        none = F.lit(None).cast("array<string>")
+        joined = a.join(g, F.col("a.concept_id").eqNullSafe(F.col("g.concept_id")) & fits)
+        members = members.unionByName(joined.select("g.concept_id", "g.cognate_set_id", "a.form_id", F.lit(None).cast("string").alias("variety_id"), "a.segments", F.lit(True).alias("is_anchor"), none.alias("_given")))
+    tokens = F.filter("_given", lambda t: t != "-")
+    fit = F.coalesce(tokens == F.col("segments"), F.lit(False))
+    members = Scratch(inputs.sparkSession).save(members.withColumn("_fit", fit))
+    sound = members.groupBy(*GROUP).agg(F.bool_and("_fit").alias("_all"), (F.min(F.size("_given")) == F.max(F.size("_given"))).alias("_even")).where("_all and _even")
+    m, s = members.alias("m"), sound.alias("s")
+    taken = m.join(s, same("m", "s"), "left_semi").withColumn("aligned", F.transform("_given", lambda t: F.when(t != "-", t)))
+    rest = m.join(s, same("m", "s"), "left_anti")
+    solved = align_forms(rest, costs).alias("f")
+    rest = rest.alias("m").join(solved, same("m", "f") & (F.col("m.segments") == F.col("f.segments"))).select("m.*", "f.aligned")
     digest = F.substring(F.sha2(F.array_join("_names", "\0"), 256), 1, 12)
-    named = F.concat(F.lit("msa-"), digest, F.lit(":"), "m.concept_id", F.lit(":"), F.coalesce("m.cognate_set_id", F.lit("")))
+    named = F.concat(F.lit("msa-"), digest, F.lit(":"), "concept_id", F.lit(":"), F.coalesce("cognate_set_id", F.lit("unassigned")))
     # The names are one row, of one entry a variety.
-    return whole.join(F.broadcast(names)).select(named.alias("alignment_id"), *[f"m.{c}" for c in (*GROUP, "form_id", "variety_id", "is_anchor")], F.flatten(filled).alias("aligned"))
+    return taken.unionByName(rest).join(F.broadcast(names)).select(named.alias("alignment_id"), *GROUP, "form_id", "variety_id", "is_anchor", "aligned")
 
 
 def select_alignments(inputs: DataFrame, concepts: DataFrame | None = None, form_ids: DataFrame | None = None, anchors: DataFrame | None = None, full: bool = True) -> DataFrame:
