@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.operators import beam, rules as law, tree
+from lexloom.operators.alignment import oracle_rules, segment_map
 from lexloom.plans.scratch import Scratch
 
 KEY = ["parent_id", "concept_id"]
@@ -36,7 +38,15 @@ def transform_children(beams: DataFrame, edges: DataFrame, rules: DataFrame) ->
     return done.select("parent_id", "child_id", "child_ordinal", "concept_id", "segments", "rank", "output", (F.col("log_score") + gain).alias("score"), (F.size(fired) > 0).alias("fired"), "trace")
 
 
-def combine_children(children: DataFrame, k: int, anchors: DataFrame | None = None, policy: str = "advisory", factor: float = 100.0) -> DataFrame:
+def _provenance_rows(children: DataFrame) -> list[Column]:
+    """What a child's candidate brings to a derivation: the child, the candidate's id and rank, and the rules that fired on it."""
+    fired = F.transform(F.filter("trace", lambda t: t["n_matches"] > 0), lambda t: t["rule_id"])
+    return [F.col("child_id").alias("_child"), beam.candidate_id().alias("_candidate"), F.col("rank").alias("_at"), fired.alias("_rules")]
+
+
+def combine_children(
+    children: DataFrame, k: int, anchors: DataFrame | None = None, policy: str = "advisory", factor: float = 100.0, provenance: bool = False
+) -> DataFrame:
     """Transformed children to the beam of each parent: ``node_id, concept_id, segments, log_score, rank, probability``.
 
     Children with candidates for a concept are taken in their order, all parents and concepts at once. A
@@ -44,77 +54,139 @@ def combine_children(children: DataFrame, k: int, anchors: DataFrame | None = No
     merge by log-sum-exp, and the k best stay. At the end each output of a state gets the state's score plus
     the log of its share of children, plus the boost of matched anchors: those of ``anchors(node_id,
     concept_id, segments)`` that equal it, if a rule fired to reach it.
+
+    With ``provenance`` there are also ``supporting_child_ids``, the children that gave the candidate in the best state that
+    has it, and ``derivations``, at most k of ``(child_candidate_ids, rule_ids, supporting_child_ids)``. Where states merge,
+    the best one's children stay, and the first k derivations, those of better states and candidates first; so they stay
+    few however many ways lead to a form.
     """
     boost = anchor_boost(policy, factor)
     place = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("child_ordinal", "child_id"))
-    rows = children.select(*KEY, place.alias("_round"), F.col("output").alias("seg"), "score", "fired")
+    origin = _provenance_rows(children) if provenance else []
+    rows = children.select(*KEY, place.alias("_round"), F.col("output").alias("seg"), "score", "fired", *origin)
     hits = F.lit(0)
     if anchors is not None and policy != "ignore":
         own = anchors.groupBy(F.col("node_id").alias("parent_id"), "concept_id", F.col("segments").alias("seg")).agg(F.count("*").cast("int").alias("_hits"))
         rows = rows.join(own, [*KEY, "seg"], "left")
         hits = F.when(F.col("fired"), F.coalesce("_hits", F.lit(0))).otherwise(0)
     scratch = Scratch(children.sparkSession)
-    rows = scratch.save(rows.select(*KEY, "_round", "seg", "score", hits.cast("int").alias("hits")).where("score is not null"))
+    named = ["_child", "_candidate", "_at", "_rules"] if provenance else []
+    rows = scratch.save(rows.select(*KEY, "_round", "seg", "score", hits.cast("int").alias("hits"), *named).where("score is not null"))
     rounds = rows.agg(F.max("_round")).first()[0] or 0
     one = F.array(F.struct(F.col("seg").alias("seg"), F.lit(1).alias("n"), F.col("hits").alias("hits")))
 
     def pruned(states: DataFrame) -> DataFrame:
         same = Window.partitionBy(*KEY, "state")
-        merged = states.withColumn("_m", F.max("score").over(same)).groupBy(*KEY, "state", "_m").agg(F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s"))
-        merged = merged.select(*KEY, "state", (F.col("_m") + F.log("_s")).alias("score"))
+        more = []
+        if provenance:
+            # The way to a state: from which of the former ones, by which candidate.
+            way = F.struct("_before_rank", "_at")
+            first = F.struct(F.col("score"), -F.col("_before_rank"), -F.col("_at"))
+            listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(way.alias("way"), F.col("derivations").alias("d")))), lambda x: x["d"]))
+            more = [F.max_by("supports", first).alias("supports"), F.slice(listed, 1, k).alias("derivations")]
+        merged = states.withColumn("_m", F.max("score").over(same)).groupBy(*KEY, "state", "_m").agg(F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s"), *more)
+        merged = merged.select(*KEY, "state", (F.col("_m") + F.log("_s")).alias("score"), *(["supports", "derivations"] if provenance else []))
         best = F.round(F.col("score") + F.array_max(F.transform("state", lambda s: s["hits"])) * boost, beam.PLACES)
         order = Window.partitionBy(*KEY).orderBy(F.desc(best), "state")
-        return merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+        ranked = merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        return ranked if provenance else ranked.drop("_r")
+
+    def begun(here: DataFrame) -> DataFrame:
+        if not provenance:
+            return here.select(*KEY, one.alias("state"), "score")
+        alone = F.struct(F.array("_candidate").alias("child_candidate_ids"), F.col("_rules").alias("rule_ids"))
+        support = F.create_map("seg", F.array("_child"))
+        return here.select(*KEY, one.alias("state"), "score", F.lit(0).alias("_before_rank"), "_at", support.alias("supports"), F.array(alone).alias("derivations"))
 
     states = None
     for number in range(1, rounds + 1):
         here = rows.where(F.col("_round") == number)
         if states is None:
-            states = pruned(here.select(*KEY, one.alias("state"), "score"))
+            states = pruned(begun(here))
             continue
-        met = states.withColumnRenamed("score", "_before").join(here, KEY, "left")
+        met = states.withColumnsRenamed({"score": "_before", "_r": "_before_rank"}).join(here, KEY, "left")
+        held = lambda name: F.coalesce(F.get(F.filter("state", lambda s: s["seg"] == F.col("seg")), F.lit(0))[name], F.lit(0))
         added = F.array_sort(F.concat(
             F.filter("state", lambda s: s["seg"] != F.col("seg")),
-            F.array(F.struct(F.col("seg").alias("seg"), (F.lit(1) + F.coalesce(F.get(F.filter("state", lambda s: s["seg"] == F.col("seg")), F.lit(0))["n"], F.lit(0))).alias("n"), F.greatest(F.col("hits"), F.coalesce(F.get(F.filter("state", lambda s: s["seg"] == F.col("seg")), F.lit(0))["hits"], F.lit(0))).alias("hits"))),
-        ))
+            F.array(F.struct(F.col("seg").alias("seg"), (F.lit(1) + held("n")).alias("n"), F.greatest(F.col("hits"), held("hits")).alias("hits"))),
+        ))
         gone = F.col("seg").isNull()  # the concept has no further child
-        states = pruned(met.select(*KEY, F.when(gone, F.col("state")).otherwise(added).alias("state"), F.when(gone, F.col("_before")).otherwise(F.col("_before") + F.col("score")).alias("score")))
+        more = []
+        if provenance:
+            own = F.concat(F.coalesce(F.element_at("supports", F.col("seg")), F.array().cast("array<string>")), F.array("_child"))
+            supports = F.map_concat(F.map_filter("supports", lambda s, _: s != F.col("seg")), F.create_map("seg", own))
+            longer = F.transform("derivations", lambda d: F.struct(
+                F.concat(d["child_candidate_ids"], F.array("_candidate")).alias("child_candidate_ids"), F.array_distinct(F.concat(d["rule_ids"], F.col("_rules"))).alias("rule_ids"),
+            ))
+            kept = lambda new, old: F.when(gone, F.col(old)).otherwise(new).alias(old)
+            more = ["_before_rank", F.coalesce("_at", F.lit(0)).alias("_at"), kept(supports, "supports"), kept(longer, "derivations")]
+        score = F.when(gone, F.col("_before")).otherwise(F.col("_before") + F.col("score"))
+        states = pruned(met.select(*KEY, F.when(gone, F.col("state")).otherwise(added).alias("state"), score.alias("score"), *more))
         if number % SAVED == 0:
             states = scratch.save(states)  # a round reads the one before once, so plans stay short and linear
     if states is None:
-        states = rows.select(*KEY, one.alias("state"), "score")
+        states = begun(rows).withColumn("_r", F.lit(1))
     total = F.aggregate("state", F.lit(0), lambda n, s: n + s["n"])
-    outputs = states.select(F.col("parent_id").alias("node_id"), "concept_id", "score", total.alias("total"), F.explode("state").alias("s"))
-    raw = outputs.select("node_id", "concept_id", F.col("s.seg").alias("segments"), (F.col("score") + F.log("s.n") - F.log("total") + F.col("s.hits") * boost).alias("log_score"))
-    return beam.merge_prune_normalize(raw, ["node_id", "concept_id"], k)
-
-
-def reconstruct_tree(forms: DataFrame, edges: DataFrame, rules: DataFrame, k: int, anchors: DataFrame | None = None, policy: str = "advisory", factor: float = 100.0) -> tuple[DataFrame, DataFrame]:
+    outputs = states.select(F.col("parent_id").alias("node_id"), "concept_id", "score", total.alias("total"), F.explode("state").alias("s"), *(["_r", "supports", "derivations"] if provenance else []))
+    log_score = F.col("score") + F.log("s.n") - F.log("total") + F.col("s.hits") * boost
+    raw = outputs.select("node_id", "concept_id", F.col("s.seg").alias("segments"), log_score.alias("log_score"))
+    found = beam.merge_prune_normalize(raw, ["node_id", "concept_id"], k)
+    if not provenance:
+        return found
+    support = F.element_at("supports", F.col("s.seg"))
+    told = F.transform("derivations", lambda d: F.struct(d["child_candidate_ids"].alias("child_candidate_ids"), d["rule_ids"].alias("rule_ids"), support.alias("supporting_child_ids")))
+    each = outputs.select("node_id", "concept_id", F.col("s.seg").alias("segments"), "_r", support.alias("supporting"), told.alias("d"))
+    listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "d"))), lambda x: x["d"]))
+    per = each.groupBy("node_id", "concept_id", "segments").agg(F.min_by("supporting", "_r").alias("supporting_child_ids"), F.slice(listed, 1, k).alias("derivations"))
+    return found.join(per, ["node_id", "concept_id", "segments"])
+
+
+def reconstruct_tree(
+    forms: DataFrame, edges: DataFrame, rules: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], k: int, anchors: DataFrame | None = None,
+    policy: str = "advisory", factor: float = 100.0, provenance: bool = False,
+) -> tuple[DataFrame, DataFrame]:
     """Beams of all nodes, from the leaves up, and the transformed children of all parents.
 
     All nodes of a height are one job, saved before the next height reads it. Rules are compiled, and may be
-    scoped by ``source_child_ids``; a node without rules passes its children's forms on.
+    scoped by ``source_child_ids``; a node without rules passes its children's forms on. ``rules`` may also make them from
+    what has been rebuilt so far: it gets the beams of the children of the next height's nodes, and the edges to them.
+    With ``provenance`` inner nodes have the columns of :func:`combine_children`; leaves have nulls there.
     """
     scratch = Scratch(forms.sparkSession)
     edges = scratch.save(edges)
-    levels = {h: [r.node_id for r in rows] for h, rows in _heights(edges).items()}
-    columns = ["node_id", "concept_id", "segments", "log_score", "rank", "probability"]
-    beams = [scratch.save(beam.leaf_beam(forms, k).withColumnRenamed("variety_id", "node_id").select(*columns))]
+    levels = scratch.save(tree.node_levels(edges).where("height > 0").select(F.col("node_id").alias("parent_id"), "height"))
+    columns = ["node_id", "concept_id", "segments", "log_score", "rank", "probability"] + (["supporting_child_ids", "derivations"] if provenance else [])
+    leaves = beam.leaf_beam(forms, k).withColumnRenamed("variety_id", "node_id")
+    if provenance:
+        ways = "array<struct<child_candidate_ids:array<string>,rule_ids:array<string>,supporting_child_ids:array<string>>>"
+        leaves = leaves.withColumns({"supporting_child_ids": F.lit(None).cast("array<string>"), "derivations": F.lit(None).cast(ways)})
+    beams = [scratch.save(leaves.select(*columns))]
     traces = []
-    for height in sorted(levels):
-        own = edges.where(F.col("parent_id").isin(levels[height]))
+    for height in range(1, (levels.agg(F.max("height")).first()[0] or 0) + 1):
+        own = edges.join(levels.where(F.col("height") == height).select("parent_id"), "parent_id", "left_semi")
         below = reduce(DataFrame.unionByName, beams).join(own.select(F.col("child_id").alias("node_id")), "node_id", "left_semi")
-        traces.append(scratch.save(transform_children(below, own, rules)))
-        beams.append(scratch.save(combine_children(traces[-1], k, anchors, policy, factor).select(*columns)))
+        law_of = scratch.save(rules(below, own)) if callable(rules) else rules
+        traces.append(scratch.save(transform_children(below, own, law_of)))
+        beams.append(scratch.save(combine_children(traces[-1], k, anchors, policy, factor, provenance).select(*columns)))
     return reduce(DataFrame.unionByName, beams), reduce(DataFrame.unionByName, traces) if traces else None
 
 
-def _heights(edges: DataFrame) -> dict[int, list]:
-    """Inner nodes by height; a family tree has a few thousand of them."""
-    found: dict[int, list] = {}
-    for row in tree.node_levels(edges).select("node_id", "height").collect():
-        found.setdefault(row.height, []).append(row)
-    return found
+def oracle_tree(forms: DataFrame, edges: DataFrame, gold: DataFrame, k: int) -> DataFrame:
+    """Beams of all nodes under the best rules that single segments allow: those that lead each branch to the gold forms.
+
+    At each height the branches' best forms (as rebuilt so far) are aligned with ``gold(concept_id, segments)``, their maps
+    become ordered rules, and the children are combined under these; then follows the next height. A branch's rules hold for
+    it alone. The best form of a leaf is its most frequent one.
+    """
+    want = gold.groupBy("concept_id").agg(F.min("segments").alias("right"))
+
+    def learned(below: DataFrame, own: DataFrame) -> DataFrame:
+        pairs = below.where("rank = 1").select(F.col("node_id").alias("child_id"), "concept_id", F.col("concept_id").alias("ordinal"), F.col("segments").alias("left")).join(want, "concept_id")
+        found = oracle_rules(segment_map(pairs, ["child_id"]), ["child_id"]).join(own.select("parent_id", "child_id"), "child_id")
+        dsl = F.concat("source", F.lit(" > "), F.coalesce("target", F.lit("Ø")))
+        return law.compile_rules(found.select(F.col("parent_id").alias("node_id"), "rule_ordinal", dsl.alias("dsl"), F.array("child_id").alias("source_child_ids"), F.lit(1.0).alias("confidence")))
+
+    return reconstruct_tree(forms, edges, learned, k)[0]
 
 
 def branch_support(children: DataFrame, beams: DataFrame, edges: DataFrame) -> DataFrame:

@@ -251,18 +251,34 @@ def oracle_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _oracle_rules(spark, sf_dir)
 
 
-def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tree of one root over all brands, rebuilt with the oracle's rules and held against gold."""
-    forms = views.forms(spark, sf_dir)
-    edges = views.edges(spark, sf_dir).where("parent_id <> 'root'").where(F.col("child_id") != GOLD).withColumn("parent_id", F.lit("root"))
-    found = _oracle_rules(spark, sf_dir)
-    dsl = F.concat("source", F.lit(" > "), F.coalesce("target", F.lit("Ø")))
-    law = rules.compile_rules(found.select(F.lit("root").alias("node_id"), "rule_ordinal", dsl.alias("dsl"), F.array("child_id").alias("source_child_ids"), F.lit(1.0).alias("confidence")))
-    beams, _ = reconstruction.reconstruct_tree(forms.where(F.col("variety_id") != GOLD), edges, law, 5)
-    judged = evaluation.evaluate_targets(beams.where("node_id = 'root'"), forms.where(F.col("variety_id") == GOLD)).withColumn("node_id", F.lit("root"))
+def _ceiling(spark: SparkSession, sf_dir: str, width: int) -> DataFrame:
+    forms, root = views.forms(spark, sf_dir), F.lit("root")
+    edges = views.edges(spark, sf_dir).where(F.col("child_id") != GOLD)
+    gold = forms.where(F.col("variety_id") == GOLD)
+    beams = reconstruction.oracle_tree(forms.where(F.col("variety_id") != GOLD), edges, gold, width)
+    judged = evaluation.evaluate_targets(beams.where("node_id = 'root'"), gold).withColumn("node_id", root)
     return evaluation.target_rates(judged, ["node_id"]).join(evaluation.graded_metrics(judged, ["node_id"]), "node_id")
 
 
+def oracle_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The family, rebuilt level by level with the oracle's rules, and its root held against gold."""
+    return _ceiling(spark, sf_dir, 5)
+
+
+def oracle_width_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ceiling, and the gap between the best and the first candidate, at several beam widths."""
+    rows = [_ceiling(spark, sf_dir, w).select(F.lit(w).alias("width"), "n_top_exact", "n_beam_exact", "mean_top_ned", "mean_best_ned", "selection_gap") for w in (1, 3, 10)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+def derived_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of the groups of brands, with the children that gave them and how they came about."""
+    edges = views.edges(spark, sf_dir).where("parent_id <> 'root'")
+    leaves = beam.leaf_beam(views.forms(spark, sf_dir), 3).withColumnRenamed("variety_id", "node_id")
+    children = reconstruction.transform_children(leaves, edges, _scoped_rules(spark, sf_dir))
+    return reconstruction.combine_children(children, 3, provenance=True).select("node_id", "concept_id", "segments", "rank", "supporting_child_ids", "derivations")
+
+
 def branch_recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per concept: whether one branch's map gives the gold form, several together could, or none."""
     return evaluation.recoverability(_branch_pairs(spark, sf_dir))[0]
@@ -337,7 +353,7 @@ QUERIES = {
     for f in (
         anchored_results, scoped_rules, contrast_reductions, attesting_nodes, tested_rules, tested_cascades, heldout_convergence, matched_validations, derived_daughters, invertible_branches,
         aligned_pairs, aligned_groups, aligned_correspondences, summarized_correspondences, selected_alignments, polarized, polarized_initial, polarize_candidates, anchor_boosts, combined_children,
-        reconstructed_tree, branch_support, node_diagnostics, fallback_taint, candidate_ids, token_distances, bcubed_scores, graded_targets, target_rates, segment_maps, oracle_rules, oracle_ceiling,
+        reconstructed_tree, branch_support, node_diagnostics, fallback_taint, candidate_ids, token_distances, bcubed_scores, graded_targets, target_rates, segment_maps, oracle_rules, oracle_ceiling, oracle_width_curve, derived_candidates,
         branch_recoverability, branch_deletions, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, rationale_violations, commit_violations,
     )
 }

@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 
-from lexloom.operators import reconstruction, rules
+from lexloom.operators import alignment, reconstruction, rules
 
 EDGES = "parent_id string, child_id string, child_ordinal int, branch_length double"
 RULES = "node_id string, rule_ordinal int, dsl string, source_child_ids array<string>, confidence double"
@@ -18,7 +18,14 @@ def add(values):
 
 
 def plain(children, k, anchors, boost):
-    """``children``: for each, in order, its (output, score, fired)."""
+    """Rank and share of each form of ``combined``."""
+    best = combined(children, k, anchors, boost)
+    whole = add([s for _, s in best])
+    return {seg: (rank, math.exp(s - whole)) for rank, (seg, s) in enumerate(best, 1)}
+
+
+def combined(children, k, anchors, boost):
+    """Forms and scores, best first. ``children``: for each, in order, its (output, score, fired)."""
     states = {(): 0.0}
     for rows in children:
         new = defaultdict(list)
@@ -36,9 +43,7 @@ def plain(children, k, anchors, boost):
         total = sum(n for _, n, _ in state)
         for seg, n, h in state:
             raw[seg].append(score + math.log(n) - math.log(total) + h * boost)
-    best = sorted(((seg, add(v)) for seg, v in raw.items()), key=lambda x: (-round(x[1], 12), x[0]))[:k]
-    whole = add([s for _, s in best])
-    return {seg: (rank, math.exp(s - whole)) for rank, (seg, s) in enumerate(best, 1)}
+    return sorted(((seg, add(v)) for seg, v in raw.items()), key=lambda x: (-round(x[1], 12), x[0]))[:k]
 
 
 @pytest.mark.parametrize("policy", ["advisory", "scored"])
@@ -114,3 +119,107 @@ def test_confidence_and_taint(spark):
     failed = spark.createDataFrame([("inner_a",)], "node_id string")
     marks = {r.node_id: (r.failed, r.tainted) for r in reconstruction.mark_fallback_taint(failed, tree.closure(edges)).collect()}
     assert marks["inner_a"] == (True, True) and marks["proto"] == (False, True) and marks["inner_b"] == (False, False)
+
+
+def plain_ways(children, k):
+    """As ``plain``, with (supports, derivations) of each state; children's rows are (output, score, child, candidate, rules)."""
+    states = [((), 0.0, {}, [((), ())])]
+    for rows in children:
+        new = defaultdict(list)
+        for state, score, supports, ways in states:
+            for out, s, child, cand, fired in rows:
+                held = dict(state)
+                held[out] = held.get(out, 0) + 1
+                own = supports | {out: (*supports.get(out, ()), child)}
+                longer = [((*c, cand), tuple(dict.fromkeys((*r, *fired)))) for c, r in ways]
+                new[tuple(sorted(held.items()))].append((score + s, own, longer))
+        merged = [(state, add([x[0] for x in v]), max(v, key=lambda x: x[0])[1], [w for x in v for w in x[2]][:k]) for state, v in new.items()]
+        states = sorted(merged, key=lambda x: (-round(x[1], 12), x[0]))[:k]
+    found = {}
+    for state, _, supports, ways in states:
+        for out, _ in state:
+            first, told = found.setdefault(out, (supports[out], []))
+            told += [(c, r, supports[out]) for c, r in ways]
+    return {out: (first, told[:k]) for out, (first, told) in found.items()}
+
+
+def test_provenance(spark):
+    """Which children give a candidate, and by which candidates and rules, kept through merging and pruning."""
+    rng = random.Random(8)
+    trace = "array<struct<rule_id:string,n_matches:int>>"
+    schema = f"parent_id string, child_id string, child_ordinal int, concept_id string, segments array<string>, rank int, output array<string>, score double, fired boolean, trace {trace}"
+    from hashlib import sha256
+
+    rows, want = [], {}
+    for concept in ("k0", "k1", "k2"):
+        children = []
+        for child in range(5):
+            if concept == "k1" and child == 2:
+                continue
+            own = []
+            for i in range(rng.randrange(1, 4)):
+                source, out = [f"s{i}"], [rng.choice("ab") for _ in range(rng.randrange(1, 3))]
+                # No two scores are the same, so that the order of ways is one.
+                score, ran = -rng.random(), [(f"r{j}", rng.randrange(2)) for j in range(3)]
+                own.append((tuple(out), score, f"c{child}", sha256("s%d".encode() % i).hexdigest()[:12], tuple(r for r, n in ran if n)))
+                rows.append(("p", f"c{child}", child, concept, source, i + 1, out, score, True, ran))
+            children.append(own)
+        want[concept] = plain_ways(children, 3)
+    got = reconstruction.combine_children(spark.createDataFrame(rows, schema), 3, provenance=True).collect()
+    assert {r.concept_id for r in got} == set(want)
+    for r in got:
+        first, told = want[r.concept_id][tuple(r.segments)]
+        assert tuple(r.supporting_child_ids) == first
+        assert [tuple(map(tuple, (d.child_candidate_ids, d.rule_ids, d.supporting_child_ids))) for d in r.derivations] == told
+
+
+def plain_oracle(leaves, tree, gold, k):
+    """Beams ``{node: {concept: [(form, score)]}}``: at each node of ``tree`` (children before parents) maps are learned on the children's best forms."""
+    beams = {d: {c: [(f, 0.0)] for c, f in forms.items()} for d, forms in leaves.items()}
+    for parent, kids in tree:
+        changed = []
+        for kid in kids:
+            counts, seen = defaultdict(lambda: defaultdict(int)), {}
+            for c in sorted(beams[kid]):
+                for i, (x, y) in enumerate(zip(*alignment.align(list(beams[kid][c][0][0]), gold[c]), strict=True)):
+                    if x is not None:
+                        counts[x][y] += 1
+                        seen.setdefault((x, y), (c, i))
+            left = {x: min(ys, key=lambda y: (-ys[y], seen[x, y])) for x, ys in counts.items()}
+            left, order = {x: y for x, y in left.items() if x != y}, []
+            while free := sorted(x for x, y in left.items() if y not in left or y == x):
+                order += [(x, left.pop(x)) for x in free]
+            out = {}
+            for c, cands in beams[kid].items():
+                out[c] = []
+                for form, score in cands:
+                    for x, y in order:
+                        form = tuple(z for z in (y if s == x else s for s in form) if z is not None)
+                    out[c].append((form, score, True))
+            changed.append(out)
+        beams[parent] = {c: combined([o[c] for o in changed if c in o], k, {}, 0.0) for c in {c for o in changed for c in o}}
+    return beams
+
+
+@pytest.mark.parametrize("k", [1, 5])
+def test_oracle_tree(spark, k):
+    """Maps, rules and beams of a nested family, level by level, beside a plain version; one map of the leaves would not do."""
+    rng, edges = random.Random(5), family(spark)
+    gold = {f"k{i}": [rng.choice("aiuptks") for _ in range(rng.randrange(2, 6))] for i in range(14)}
+    change = {"d1": {"p": "f"}, "d2": {"p": "f", "t": "θ", "u": None}, "d3": {"k": "x", "s": "k"}, "d4": {"a": "o", "i": "o"}}
+    told = {d: {c: tuple(y for y in (change[d].get(s, s) for s in w) if y) for c, w in gold.items()} for d in change}
+    told = {d: {c: f for c, f in forms.items() if f and rng.random() < 0.95} for d, forms in told.items()}
+    rows = [(i, d, c, list(f)) for d, forms in told.items() for i, (c, f) in enumerate(forms.items())]
+    leaves = spark.createDataFrame(rows, "form_id long, variety_id string, concept_id string, segments array<string>")
+    target = spark.createDataFrame(list(gold.items()), "concept_id string, segments array<string>")
+    got = defaultdict(lambda: defaultdict(dict))
+    for r in reconstruction.oracle_tree(leaves, edges, target, k).collect():
+        got[r.node_id][r.concept_id][r["rank"]] = (tuple(r.segments), r.log_score)
+    want = plain_oracle(told, [("inner_a", ["d1", "d2"]), ("inner_b", ["d3", "d4"]), ("proto", ["inner_a", "inner_b"])], gold, k)
+    for node in ("inner_a", "inner_b", "proto"):
+        assert set(got[node]) == set(want[node])
+        for c, cands in want[node].items():
+            mine = [got[node][c][i] for i in range(1, len(got[node][c]) + 1)]
+            assert [f for f, _ in mine] == [f for f, _ in cands]
+            assert [s for _, s in mine] == pytest.approx([s for _, s in cands])
+    assert sum(list(got["proto"][c][1][0]) == w for c, w in gold.items()) >= 8
