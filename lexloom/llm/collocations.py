@@ -12,6 +12,8 @@ marks the shards that it has, so nothing is counted twice. Filters that fill up
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,8 +34,7 @@ BREAK = b"\xff"
 PIECES = bytes(255 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, to tell the places of a phrase and the two probes of a filter apart.
 PLACE, PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: A phrase, its hash and those of its two subphrases (0 for words), and a count.
-COUNTS = "lang string, words int, phrase string, hash long, head long, tail long, f long"
+COUNTS = "lang string, words int, phrase string, f long"
 
 
 class Words(dict):
@@ -70,32 +71,53 @@ def _seed(lang: str) -> np.uint64:
     return np.uint64(WordHashes()[b"lang " + lang.encode()])
 
 
-def _hashes(hashes: np.ndarray, ids: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of the phrases that start at some places, from those of their words."""
+def _hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the phrases that start at some places of a row of word hashes; a word's is its own."""
+    if length == 1:
+        return hashes[starts]
     out = np.zeros(len(starts), np.uint64)
     for i in range(length):
-        out = mixed(out * PLACE + hashes[ids[starts + i]])
+        out = mixed(out * PLACE + hashes[starts + i])
     return out
 
 
+def _seed(lang: str, known: WordHashes) -> np.uint64:
+    return np.uint64(known[b"lang " + lang.encode()])
+
+
+def _phrase_hashes(langs: list[str], lengths: np.ndarray, phrases: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of phrases, of each without its last word, and without its first; these two are 0 for words."""
+    known, seeds = WordHashes(), {}
+    words = " ".join(phrases).encode().split(b" ")
+    seed = np.array([seeds[x] if x in seeds else seeds.setdefault(x, _seed(x, known)) for x in langs], np.uint64)
+    hashes = mixed(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) ^ np.repeat(seed, lengths))
+    own, head, tail = (np.zeros(len(phrases), np.uint64) for _ in range(3))
+    first = np.cumsum(lengths) - lengths
+    for n in range(1, LONGEST + 1):
+        at = np.flatnonzero(lengths == n)
+        own[at] = _hashes(hashes, first[at], n)
+        if n > 1:
+            head[at], tail[at] = _hashes(hashes, first[at], n - 1), _hashes(hashes, first[at] + 1, n - 1)
+    return own, head, tail
+
+
 def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached: Filter | None, recent: Filter | None):
-    """Counts of one language's words, and of the phrases to count in this step: the columns of COUNTS from ``words`` on.
+    """Counts of one language's words, and of the phrases to count in this step: ``words, phrases, f``.
 
     Phrases of one length are numbered by the pair (number of the phrase without its last word, last word), so
     they are told apart exactly.
     """
     known = WordHashes()
-    hashes = mixed(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) ^ np.uint64(known[b"lang " + lang.encode()]))
+    hashes = mixed(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) ^ _seed(lang, known))
     if step < SHARDS:
         f = np.bincount(ids, minlength=len(words))
         f[0] = 0
         at = np.flatnonzero(f)
-        none = np.zeros(len(at), np.uint64)
-        yield 1, [words[i].decode() for i in at], hashes[at], none, none, f[at]
+        yield 1, [words[i].decode() for i in at], f[at]
     if reached is None:
         return
     # At each place, the number of the phrase that starts there, or -1.
-    number, of_number = np.where(ids == 0, -1, ids), hashes
+    number, of_number, placed = np.where(ids == 0, -1, ids), hashes, hashes[ids]
     for length in range(2, LONGEST + 1):
         there, late = reached.has(of_number), recent.has(of_number)
         a, b = number[:-1], number[1:]
@@ -105,18 +127,16 @@ def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached:
         counted = late[a[starts]] | late[b[starts]]
         if not counted.all():
             # A phrase that this step does not count is only of use where longer ones may be built on it.
-            own = _hashes(hashes, ids, starts, length)
-            kept = counted | reached.has(own)
-            starts = starts[kept]
+            starts = starts[counted | reached.has(_hashes(placed, starts, length))]
         if not len(starts):
             return
         _, first, inverse, f = np.unique((number[starts] << 32) | ids[starts + length - 1], return_index=True, return_inverse=True, return_counts=True)
         at = starts[first]
         head, tail = number[at], number[at + 1]
-        new = _hashes(hashes, ids, at, length)
+        new = _hashes(placed, at, length)
         counted = np.flatnonzero(late[head] | late[tail])
         phrases = [b" ".join([words[w] for w in ids[h : h + length]]).decode() for h in at[counted]]
-        yield length, phrases, new[counted], of_number[head[counted]], of_number[tail[counted]], f[counted]
+        yield length, phrases, f[counted]
         number = np.full(len(number) - 1, -1, np.int64)
         number[starts] = inverse
         of_number = new
@@ -128,11 +148,10 @@ def _counts(shard: DataFrame, step: int, filters: tuple[Broadcast, Broadcast] |
 
     def emit(lang: str, ids: list[np.ndarray], words: Words):
         both = [Filter(b.value) for b in filters] if filters else [None, None]
-        for length, phrases, hashes, heads, tails, f in _windows(lang, np.concatenate(ids), list(words), step, *both):
+        for length, phrases, f in _windows(lang, np.concatenate(ids), list(words), step, *both):
             n = len(phrases)
-            longs = [pa.array(x.astype(np.uint64).view(np.int64)) for x in (hashes, heads, tails, f)]
-            columns = [pa.array([lang] * n, pa.string()), pa.array([length] * n, pa.int32()), pa.array(phrases, pa.string()), *longs]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "hash", "head", "tail", "f"])
+            columns = [pa.array([lang] * n, pa.string()), pa.array([length] * n, pa.int32()), pa.array(phrases, pa.string()), pa.array(f.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
 
     def run(batches):
         held: dict[str, tuple[list[np.ndarray], Words]] = {}
@@ -163,7 +182,7 @@ def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
     def mark(batches):
         bits = np.zeros((2, size), np.uint64)
         for batch in batches:
-            hashes = batch.column("hash").to_numpy().view(np.uint64)
+            hashes = _phrase_hashes(batch.column("lang").to_pylist(), batch.column("words").to_numpy(), batch.column("phrase").to_pylist())[0]
             late = batch.column("reached").to_numpy() > step - SHARDS
             for own, some in zip(bits, (hashes, hashes[late]), strict=True):
                 for words, masks in Filter.places(some, 64 * size):
@@ -176,7 +195,7 @@ def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, piece)
         return pa.table({"piece": table.column("piece").slice(0, 1), "bits": [np.bitwise_or.reduce(bits, axis=0).tobytes()]})
 
-    some = state.where(F.col("reached").isNotNull() & (F.col("words") < LONGEST)).select("hash", "reached")
+    some = state.where(F.col("reached").isNotNull() & (F.col("words") < LONGEST)).select("lang", "words", "phrase", "reached")
     rows = some.mapInArrow(mark, "piece long, bits binary").groupBy("piece").applyInArrow(joined, "piece long, bits binary").toArrow()
     bits = np.zeros((2 * size // piece, piece), np.uint64)
     for at, raw in zip(rows.column("piece").to_pylist(), rows.column("bits").to_pylist(), strict=True):
@@ -192,23 +211,23 @@ def _merged(state: DataFrame | None, found: DataFrame, step: int, min_count: int
     or their subphrases have not reached it (should they do so later, all shards are counted from then on).
     """
     none = F.lit(None)
-    columns = ["lang", "words", "phrase", "hash", "head", "tail"]
+    columns = ["lang", "words", "phrase"]
     rows = found.select(*columns, F.lit(0).cast("long").alias("f"), F.col("f").alias("more"), F.lit(0).alias("seen"), none.cast("int").alias("reached"))
     if state is not None:
         if step > SHARDS:
             reached, recent = filters
 
             @F.pandas_udf("boolean")
-            def counted(head: pd.Series, tail: pd.Series) -> pd.Series:
-                a, b = head.to_numpy().view(np.uint64), tail.to_numpy().view(np.uint64)
+            def counted(lang: pd.Series, words: pd.Series, phrase: pd.Series) -> pd.Series:
+                _, a, b = _phrase_hashes(lang.tolist(), words.to_numpy(), phrase.tolist())
                 here, late = Filter(reached.value), Filter(recent.value)
                 return pd.Series(here.has(a) & here.has(b) & (late.has(a) | late.has(b)))
 
             rare = state.where((F.col("f") < min_count) & (F.col("words") > 1))
-            state = state.where(F.col("f") >= min_count).unionByName(rare.where(counted("head", "tail")))
+            state = state.where(F.col("f") >= min_count).unionByName(rare.where(counted("lang", "words", "phrase")))
         rows = rows.unionByName(state.withColumn("more", F.lit(0).cast("long")))
     sums = rows.groupBy("lang", "phrase").agg(
-        *(F.max(c).alias(c) for c in ("words", "hash", "head", "tail", "seen", "reached")), F.sum("f").alias("f"), F.sum("more").alias("more")
+        *(F.max(c).alias(c) for c in ("words", "seen", "reached")), F.sum("f").alias("f"), F.sum("more").alias("more")
     )
     bit = 1 << step % SHARDS
     f = F.col("f") + F.when(F.col("seen").bitwiseAND(bit) == 0, F.col("more")).otherwise(0)
@@ -244,6 +263,10 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, D
         for old in filters or ():
             old.destroy()
         state = after
+        # The shuffle files of a step go when the driver's heap is swept, which it seldom is by itself.
+        found = None
+        gc.collect()
+        spark._jvm.System.gc()
         if step == SHARDS - 1:
             totals = scratch.save(state.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
     kept = scratch.save(state.where(F.col("f") >= min_count).select("lang", "words", "phrase", "f"))
