@@ -24,7 +24,6 @@ MASKS = ("##.##.###", "###..#.###", "#.###.#.##")
 SETS = ((*MASKS, "####.##"), ("####", "##.##"), ("####", "##.##", "###.#", "#.###"))
 #: Patterns of unequal words that are tried, at most; for more of them, a run of equal words is looked for.
 TRIED = 100_000
-SHORTEST = 5
 #: Seed hashes of the benchmark that are broadcast, at most (16 bytes each); more of them are shuffled.
 BROADCAST_SEEDS = 1_000_000
 
@@ -78,13 +77,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, stretch: int = 13, percent:
     """Benchmark items found in documents: ``doc_id, item_id, n_equal, n_words``, one row for each such pair.
 
     ``docs(doc_id, text)``, ``benchmark(item_id, text)``. ``n_equal`` is the most equal words of one
-    alignment, ``n_words`` the item's length. Items of fewer than ``SHORTEST`` words, null or empty texts and
-    null ids find nothing. Repeated rows of a document or an item count once. Other columns are ignored;
+    alignment, ``n_words`` the item's length. Items of few words have seeds of fewer positions, down to the item as a whole (of up to four words all must be equal).
+    Null or empty texts and null ids find nothing. Repeated rows of a document or an item count once. Other columns are ignored;
     empty tables give an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    items = scratch.save(benchmark.where("item_id is not null").select("item_id", word_codes(F.col("text")).alias("codes")).where(F.size("codes") >= SHORTEST))
+    items = scratch.save(benchmark.where("item_id is not null").select("item_id", word_codes(F.col("text")).alias("codes")).where(F.size("codes") > 0))
     length = F.least(F.lit(stretch), F.size("codes"))
     lengths = [r[0] for r in items.select(length).distinct().collect()]  # of the stretches; at most ``stretch``
     sets: dict[tuple[str, ...], list[int]] = {}
@@ -123,7 +122,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = 13
     nameless = docs.where("doc_id is null")
     if not nameless.limit(1).count():
         return clean
-    key = F.xxhash64("text")
-    leaks = overlaps(nameless.select(key.alias("doc_id"), "text").distinct(), benchmark, stretch, percent).select(F.col("doc_id").alias("_leak")).distinct()
-    rest = nameless.join(leaks, key == F.col("_leak"), "left_anti").select(*docs.columns)
+    leaks = overlaps(nameless.select(F.xxhash64("text").alias("doc_id"), "text").distinct(), benchmark, stretch, percent).select("doc_id").distinct()
+    # The key is the only column that the row's struct can meet.
+    keyed = nameless.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("doc_id"))
+    rest = keyed.join(leaks, "doc_id", "left_anti").select("_row.*")
     return clean.where("doc_id is not null").union(rest)

@@ -117,8 +117,30 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
     partial = taken.where("whole").select("_source", "_id", "pass").union(cut.select("_source", "_id", "pass")).distinct()
     partial = scratch.save(partial)
 
-    rows = docs.drop("pass", "n_tokens").withColumns({"_id": own, "_source": key, "n_tokens": n_words(F.col("text"))})
+    # The row travels as one struct, so that no column of it can clash with those used here.
+    rows = docs.select(F.struct(*names).alias("_row"), own.alias("_id"), key.alias("_source"), n_words(F.col("text")).alias("n_tokens"))
+    out = ["_row.*", F.col("pass").cast("long").alias("pass"), "n_tokens"]
     full = rows.join(quota.select("_source", F.expr("quota div tokens").alias("passes")), "_source").where("passes > 0")
-    full = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(*names, F.col("pass").cast("long").alias("pass"), "n_tokens")
-    extra = rows.join(partial.select("_id", "_source", "pass"), ["_id", "_source"]).select(*names, F.col("pass").cast("long").alias("pass"), "n_tokens")
-    return full.union(extra)
+    full = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(*out)
+    return full.union(rows.join(partial.select("_id", "_source", "pass"), ["_id", "_source"]).select(*out))
+
+
+def positions(mixed: DataFrame, seed: str = "mix", digits: int = BLOCK_DIGITS) -> DataFrame:
+    """Rows of :func:`mix` with ``position``: the row's place, from 0, in the permutation of its source's pass.
+
+    Each pass has a permutation of its own: the order of a keyed hash, whose first digits are the block. Blocks are
+    counted, a sum over the blocks before it gives a block's first place, and rows are ordered within blocks only. The last
+    pass takes its rows from the beginning of its permutation, so its places have no gaps either. Rows of equal doc_id
+    follow each other in the order of their texts. A column named position is replaced.
+    """
+    names = [c for c in mixed.columns if c != "position"]
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("pass").cast("string"), own))
+    rows = mixed.select(F.struct(*names).alias("_row"), F.coalesce(F.col("source"), F.lit("\u0000")).alias("_source"), F.col("pass").alias("_pass"), hashed.alias("_h"), own.alias("_id"), F.xxhash64("text").alias("_t"))
+    rows = Scratch(mixed.sparkSession).save(rows.withColumn("_block", F.substring("_h", 1, digits)))
+    block = ["_source", "_pass", "_block"]
+    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_source", "_pass").orderBy("_block")) - F.col("_n")
+    placed = rows.join(counts.select(*block, before.alias("_before")), block)
+    within = F.row_number().over(Window.partitionBy(*block).orderBy("_h", "_id", "_t"))
+    return placed.select("_row.*", (F.col("_before") + within - 1).alias("position"))

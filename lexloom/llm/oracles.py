@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from lexloom.llm.decontaminate import MASKS, SHORTEST
 from lexloom.llm.mixing import BLOCK_DIGITS, HALVINGS, PLACES
-from lexloom.llm.queries import MIX, URL_RULES
+from lexloom.llm.queries import JUNK_MARKS, MIX, URL_RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -35,41 +34,32 @@ z AS (SELECT x, list_sum({_shares.format(x="e.x")}) AS z, a.total FROM a, e),
 q AS (SELECT s, coalesce(tokens, 1) AS tokens, CASE WHEN tokens = 0 THEN 1 WHEN x = 1 THEN floor(tokens::DECIMAL(19, 0) * {MIX['budget']}::DECIMAL(9, 6))::BIGINT ELSE floor(total * {MIX['budget']} * pow(tokens / total, x) / z)::BIGINT END AS quota FROM t, z),
 q1 AS (SELECT s, CASE WHEN tokens > 0 THEN tokens ELSE 1 END AS tokens, quota FROM q),
 l AS (SELECT doc_id, source, n_tokens, s, quota // tokens AS pass, quota % tokens AS room, md5('mix|' || (quota // tokens)::VARCHAR || '|' || doc_id::VARCHAR) AS h FROM d JOIN q1 ON q1.s = coalesce(source, chr(0)) WHERE quota % tokens > 0),
-k AS (SELECT *, sum(n_tokens) OVER (PARTITION BY s ORDER BY substr(h, 1, {BLOCK_DIGITS}), h, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM l)
-SELECT doc_id, source, pass::BIGINT AS pass, n_tokens FROM k WHERE running <= room
-UNION ALL SELECT doc_id, source, unnest(range(quota // tokens))::BIGINT AS pass, n_tokens FROM d JOIN q1 ON q1.s = coalesce(source, chr(0)) WHERE quota >= tokens
+k AS (SELECT *, sum(n_tokens) OVER (PARTITION BY s ORDER BY substr(h, 1, {BLOCK_DIGITS}), h, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM l),
+u AS (SELECT doc_id, source, pass::BIGINT AS pass, n_tokens FROM k WHERE running <= room
+UNION ALL SELECT doc_id, source, unnest(range(quota // tokens))::BIGINT AS pass, n_tokens FROM d JOIN q1 ON q1.s = coalesce(source, chr(0)) WHERE quota >= tokens)
+SELECT *, row_number() OVER (PARTITION BY source, pass ORDER BY md5('mix|' || pass || '|' || doc_id), doc_id::VARCHAR) - 1 AS position FROM u
 """
 
 _words = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 
-def _windows(key: str) -> str:
-    by_mask = [
-        f"SELECT {key}, 'm{m}' AS kind, unnest(range(0, len(w) - {len(mask) - 1})) AS place, w, " + f"{[i + 1 for i, c in enumerate(mask) if c == '#']} AS picks FROM {key}_w WHERE len(w) >= {len(mask)}"
-        for m, mask in enumerate(MASKS)
-    ]
-    by_mask.append(f"SELECT {key}, 'n' || n AS kind, unnest(range(0, len(w) - n + 1)) AS place, w, range(1, n + 1) AS picks FROM {key}_w, lengths WHERE len(w) >= n")
-    return f"SELECT {key}, kind, place, list_transform(picks, lambda i: w[place + i]) AS seed FROM (" + " UNION ALL ".join(by_mask) + ")"
-
-
 OP5 = f"""
-WITH doc_id_w AS (SELECT doc_id, {_words} AS w FROM documents WHERE doc_id IS NOT NULL),
-item_id_w AS (SELECT item_id, {_words} AS w FROM benchmark WHERE item_id IS NOT NULL AND len({_words}) >= {SHORTEST}),
-lengths AS (SELECT DISTINCT len(w) AS n FROM item_id_w WHERE len(w) < {max(map(len, MASKS))}),
-x AS ({_windows("doc_id")}), y AS ({_windows("item_id")}),
-h AS (SELECT DISTINCT doc_id, item_id, x.place - y.place AS shift FROM x JOIN y USING (kind, seed)),
-e AS (SELECT doc_id, item_id, len(b.w) AS n, list_transform(range(0, len(b.w)), lambda j: CASE WHEN shift + j >= 0 AND a.w[shift + j + 1] = b.w[j + 1] THEN 1 ELSE 0 END) AS eq FROM h JOIN doc_id_w a USING (doc_id) JOIN item_id_w b USING (item_id)),
-p AS (SELECT doc_id, item_id, n, list_sum(eq)::BIGINT AS s, least(13, n) AS l, list_max(list_transform(range(1, n - least(13, n) + 2), lambda i: list_sum(list_slice(eq, i, i + least(13, n) - 1)))) AS best FROM e)
+WITH doc_id_w AS (SELECT DISTINCT doc_id, {_words} AS w FROM documents WHERE doc_id IS NOT NULL),
+item_id_w AS (SELECT DISTINCT item_id, {_words} AS w, len({_words}) AS n FROM benchmark WHERE item_id IS NOT NULL AND len({_words}) > 0),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM doc_id_w),
+y AS (SELECT item_id, n, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM item_id_w),
+h AS (SELECT doc_id, item_id, n, x.place - y.place AS shift, list(y.place) AS equal FROM x JOIN y USING (word) GROUP BY ALL HAVING count(*) * 100 >= 80 * least(13, n)),
+p AS (SELECT doc_id, item_id, n, len(equal) AS s, least(13, n) AS l, list_max(list_transform(range(1, n - least(13, n) + 2), lambda i: len(list_filter(equal, lambda j: j >= i AND j < i + least(13, n))))) AS best FROM h)
 SELECT doc_id, item_id, max(s)::INTEGER AS n_equal, max(n)::INTEGER AS n_words FROM p WHERE best * 100 >= 80 * l GROUP BY doc_id, item_id
 """
 
 _rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 OP6 = f"""
-WITH b AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
-s AS (SELECT page_id, url, coalesce(rest, '') AS rest, CASE WHEN instr(coalesce(rest, ''), '/') > 0 THEN substr(rest, 1, instr(rest, '/') - 1) ELSE coalesce(rest, '') END AS raw FROM b),
-p AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, substr(rest, length(raw) + 1) AS path FROM s),
+WITH b AS (SELECT page_id, url, html, CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+s AS (SELECT page_id, url, html, coalesce(rest, '') AS rest, CASE WHEN instr(coalesce(rest, ''), '/') > 0 THEN substr(rest, 1, instr(rest, '/') - 1) ELSE coalesce(rest, '') END AS raw FROM b),
+p AS (SELECT page_id, html, translate(raw, '{UPPER}', '{LOWER}') AS host, substr(rest, length(raw) + 1) AS path FROM s),
 c AS (SELECT *, regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '') AS canon FROM p),
-listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '^(www\\.)?(spam-farm|cheap-pills)\\.')),
+listed AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(html, '{JUNK_MARKS}') AND canon <> ''),
 r(rh, rp, v) AS (VALUES {_rules}),
 f AS (SELECT page_id, arg_max(rh || rp, (length(rh) + length(rp), rh, rp)) AS rule, arg_max(v, (length(rh) + length(rp), rh, rp)) AS v
       FROM c JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)

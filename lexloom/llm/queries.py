@@ -10,8 +10,8 @@ from lexloom.sources.tables import table
 
 #: Rules of the URL query: host, path, verdict.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-#: Sites all of whose pages in the table are listed by their canonical URL.
-LISTED_SITES = r"^(www\.)?(spam-farm|cheap-pills)\."
+#: Pages whose text holds runs of such marks are junk; their canonical URLs are the list.
+JUNK_MARKS = r"%%%|###|[*]{3}"
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 #: Mixing: the budget in input sizes, and the entropy aimed at, as a share of the largest.
 MIX = {"budget": 1.0, "entropy": 0.97}
@@ -30,7 +30,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), **MIX).select("doc_id", "source", "pass", "n_tokens")
+    return mixing.positions(mixing.mix(table(spark, sf_dir, "documents"), **MIX)).select("doc_id", "source", "pass", "n_tokens", "position")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    listed = pages.where(url_filter.host_path(F.col("url"))[0].rlike(LISTED_SITES)).select("url")
+    listed = pages.where(F.col("html").rlike(JUNK_MARKS)).select("url")
     return url_filter.judge(pages, rules, listed).drop("listed")
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.llm import bit_sliced, jaccard_join, mixing, quality, repeats, secrets, url_filter
+from lexloom.llm import bit_sliced, decontaminate, jaccard_join, mixing, quality, repeats, secrets, url_filter
 
 
 @pytest.mark.parametrize("text", ["a" * 400_000 + "=", "a=" * 200_000, "x = 'q' + " * 100_000, "k9" * 200_000, "password" + " " * 300_000 + "x", '"' * 300_000 + "=1", "-" * 300_000])
@@ -121,3 +121,56 @@ def test_long_text_in_the_join(spark):
     other = words[:150_000] + ["new"] + words[150_000:]
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(words[:200_000]))], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in jaccard_join.jaccard_components(docs, 3, 90).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+CLASHES = "doc_id long, text string, source string, _id string, _source string, _h string, _block string, _row string, _leak string, position string, codes string, seed string, item_id string, n_words int"
+
+
+def clashing(spark, rows):
+    """``(doc_id, text, source)`` with columns whose names the operators use inside."""
+    return spark.createDataFrame([(*r, *[f"{c}{i}" for c in "abcdefghij"], i) for i, r in enumerate(rows)], CLASHES)
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    rows = [(i, "w " * (1 + i % 5), "a" if i % 3 else None) for i in range(40)] + [(None, "x y z", "b"), (None, "x y z", "b"), (50, None, "a"), (51, "", "c"), (52, "long " * 60_000, "d")]
+    docs = clashing(spark, rows)
+    mixed = mixing.mix(docs, repeats=2.0)
+    assert mixed.columns == [*docs.columns, "pass", "n_tokens"]
+    given = {tuple(r) for r in docs.collect()}
+    assert {tuple(r)[: len(docs.columns)] for r in mixed.collect()} <= given
+    assert mixing.mix(docs.where("false"), repeats=2.0).collect() == []
+
+
+def test_every_pass_is_a_permutation(spark):
+    rows = [(i, "w " * (1 + i % 3), "big") for i in range(60)] + [(100 + i, "p q", "small") for i in range(20)] + [(None, "same", "small")] * 3
+    mixed = mixing.positions(mixing.mix(clashing(spark, rows), budget=2.5, repeats=4.0), digits=1)
+    passes = {}
+    for r in mixed.collect():
+        passes.setdefault((r.source, r["pass"]), []).append((r.position, r.doc_id))
+    orders = [[d for _, d in sorted(p, key=lambda x: x[0])] for p in passes.values()]
+    assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in passes.values())
+    big = [o for (source, _), o in sorted(passes.items()) if source == "big"]
+    assert len(big) == 2 and sorted(big[0]) == sorted(big[1]) == list(range(60)) and big[0] != big[1] != list(range(60))
+    assert len(orders) == len(passes) and mixing.positions(mixed.where("false")).collect() == []
+
+
+def test_contaminated_rows_with_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    rows = [(1, f"so {item} it goes", "s"), (2, "clean words here", "s"), (None, f"also {item}", "s"), (None, "clean too", "s"), (3, None, None), (3, None, None), (4, "x " * 300_000 + item, "s")]
+    docs = clashing(spark, rows)
+    benchmark = spark.createDataFrame([(7, item), (8, None), (9, "")], "item_id long, text string")
+    kept = decontaminate.remove_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns
+    assert sorted(tuple(r) for r in kept.collect() if r.doc_id) == [tuple(r) for r in docs.collect() if r.doc_id in (2, 3)]
+    assert [r.text for r in kept.collect() if r.doc_id is None] == ["clean too"]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, benchmark).collect()} == {(1, 7), (4, 7)}
+    assert decontaminate.remove_contaminated(docs.where("false"), benchmark).collect() == []
+    assert decontaminate.remove_contaminated(docs, benchmark.where("false")).count() == len(rows)
+
+
+def test_items_of_few_words(spark):
+    """Items of one to four words are found word for word, as wholes."""
+    docs = spark.createDataFrame([(1, "a b c d e"), (2, "b, C; d"), (3, "c b a"), (4, "e"), (5, "b c x")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "e"), (2, "b c"), (3, "B c d"), (4, "a b c d"), (5, "q")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.n_equal, r.n_words) for r in decontaminate.overlaps(docs, items).collect())
+    assert got == [(1, 1, 1, 1), (1, 2, 2, 2), (1, 3, 3, 3), (1, 4, 4, 4), (2, 2, 2, 2), (2, 3, 3, 3), (4, 1, 1, 1), (5, 2, 2, 2)]
