@@ -95,12 +95,12 @@ def graded_metrics(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     return means.withColumn("selection_gap", F.greatest(F.lit(0.0), F.col("mean_top_ned") - F.col("mean_best_ned")))
 
 
-def language_distance(forms: DataFrame, method: str = "cognates") -> DataFrame:
-    """``taxon_a, taxon_b, distance, n_concepts`` of pairs of varieties over the concepts they have in common.
+def concept_distances(forms: DataFrame, method: str = "cognates") -> DataFrame:
+    """``taxon_a, taxon_b, concept_id, d``: how far two varieties are apart in each concept that both have.
 
-    ``cognates``: 1 minus the share of concepts with a common cognate set; a form without one has a set of
-    its concept and sounds. ``forms``: the mean normalised distance of all pairs of their forms in a concept,
-    each concept counting once. A variety and concept has few forms, so pairs stay few.
+    ``cognates``: 0 where they have a common cognate set, else 1; a form without one has a set of its concept and
+    sounds. ``forms``: the mean normalised distance of all pairs of their forms. A variety and concept has few forms, so
+    pairs stay few.
     """
     if method == "cognates":
         own = F.coalesce("cognate_set_id", F.concat_ws("\x1f", "concept_id", F.array_join(phonetic_segments(F.col("segments")), "\x1e")))
@@ -113,10 +113,13 @@ def language_distance(forms: DataFrame, method: str = "cognates") -> DataFrame:
     pairs = a.join(b, (F.col("a.concept_id") == F.col("b.concept_id")) & (F.col("a.variety_id") < F.col("b.variety_id")))
     named = pairs.select(F.col("a.variety_id").alias("taxon_a"), F.col("b.variety_id").alias("taxon_b"), F.col("a.concept_id").alias("concept_id"), F.col("a.sets").alias("x"), F.col("b.sets").alias("y"))
     if method == "cognates":
-        each = named.withColumn("d", 1 - F.arrays_overlap("x", "y").cast("int"))
-    else:
-        each = named.groupBy("taxon_a", "taxon_b", "concept_id").agg(F.avg(normalized_edit_distance(F.col("x"), F.col("y"))).alias("d"))
-    return each.groupBy("taxon_a", "taxon_b").agg(F.avg("d").alias("distance"), F.count("*").alias("n_concepts"))
+        return named.select("taxon_a", "taxon_b", "concept_id", (1 - F.arrays_overlap("x", "y").cast("int")).alias("d"))
+    return named.groupBy("taxon_a", "taxon_b", "concept_id").agg(F.avg(normalized_edit_distance(F.col("x"), F.col("y"))).alias("d"))
+
+
+def language_distance(forms: DataFrame, method: str = "cognates") -> DataFrame:
+    """``taxon_a, taxon_b, distance, n_concepts``: the mean of :func:`concept_distances`, each concept counting once."""
+    return concept_distances(forms, method).groupBy("taxon_a", "taxon_b").agg(F.avg("d").alias("distance"), F.count("*").alias("n_concepts"))
 
 
 def holdout(concepts: DataFrame, share: float = 0.3) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexloom.operators.evaluation import distributions
+from lexloom.plans.scratch import Scratch
 
 
 def _order(calls: DataFrame):
@@ -178,22 +179,51 @@ def export_training_examples(trajectories: DataFrame, include_incomplete: bool =
     return kept
 
 
-def inspected_concepts(calls: DataFrame, forms: DataFrame, concepts: DataFrame, whole: tuple[str, ...] = ()) -> DataFrame:
-    """``session_id, concept_id``: concepts that a session's calls name anywhere in their JSON ``arguments``.
+def named_values(calls: DataFrame) -> DataFrame:
+    """``session_id, event_id, key, value``: strings and numbers anywhere in the calls' JSON ``arguments``, each under its nearest key.
 
-    Strings that are values (not keys) count if they are ids of concepts, or of forms, whose concept counts
-    then; others are dropped. A call of a tool in ``whole`` without arguments looks at all concepts.
+    Values in lists stand under the list's key. Arguments are taken apart level by level, all calls at once, as variants;
+    what is no JSON, and null, names nothing.
     """
-    strings = F.regexp_extract_all("arguments", F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
-    named = F.transform(F.filter(strings, lambda m: ~m.endswith(":")), lambda m: F.substring(m, F.lit(2), F.length(m) - 2))
-    texts = calls.select("session_id", F.explode(named).alias("id")).distinct()
-    ids = concepts.select(F.col("concept_id").alias("id"), "concept_id").unionByName(forms.select(F.col("form_id").cast("string").alias("id"), "concept_id")).distinct()
-    found = texts.join(ids, "id").select("session_id", "concept_id")
-    empty = F.regexp_replace(F.coalesce("arguments", F.lit("")), r"\s+", "").isin("", "{}")
-    everything = calls.where(F.col("tool").isin(*whole) & empty).select("session_id").distinct().withColumn("_all", F.lit(1))
-    # The result of a whole-lexicon call is every concept, so this is its size and no larger.
-    rest = everything.join(concepts.select("concept_id").distinct().withColumn("_all", F.lit(1)), "_all").select("session_id", "concept_id")
-    return found.unionByName(rest).distinct()
+    scratch = Scratch(calls.sparkSession)
+    level = scratch.save(calls.select("session_id", "event_id", F.lit(None).cast("string").alias("_key"), F.col("arguments").alias("text")).distinct())
+    leaves = []
+    while True:
+        parsed = level.select("session_id", "event_id", "_key", F.try_parse_json("text").alias("v")).where("v is not null")
+        inner = parsed.lateralJoin(calls.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        found = inner.select("session_id", "event_id", F.coalesce("key", "_key").alias("_key"), F.to_json("value").alias("text")).distinct()
+        found = scratch.save(found)
+        nested = F.col("text").rlike(r"^[\[{]")
+        value = F.try_variant_get(F.try_parse_json("text"), "$", "string")
+        leaves.append(found.where(~nested).select("session_id", "event_id", F.col("_key").alias("key"), value.alias("value")).where("value is not null"))
+        level = found.where(nested)
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, leaves)
+
+
+def inspected_concepts(
+    calls: DataFrame, forms: DataFrame, concepts: DataFrame, whole: tuple[str, ...] = (),
+    concept_keys: tuple[str, ...] = ("concept_id", "concept_ids"), form_keys: tuple[str, ...] = ("form_id", "form_ids", "supporting_form_ids"),
+) -> DataFrame:
+    """``session_id, concept_id``: concepts that a session's calls name in their JSON ``arguments``, however deep.
+
+    Strings and numbers under ``concept_keys`` count if they are ids of concepts, those under ``form_keys`` if they are ids of
+    forms, whose concept counts then; others are dropped. A call of a tool in ``whole`` that names none looks at all concepts.
+    """
+    named = named_values(calls)
+    ids = concepts.select("concept_id").distinct()
+    by_concept = named.where(F.col("key").isin(*concept_keys)).withColumnRenamed("value", "concept_id").join(ids, "concept_id")
+    own = forms.select(F.col("form_id").cast("string").alias("value"), "concept_id").distinct()
+    by_form = named.where(F.col("key").isin(*form_keys)).join(own, "value")
+    columns = ["session_id", "event_id", "concept_id"]
+    found = Scratch(calls.sparkSession).save(by_concept.select(columns).unionByName(by_form.select(columns)).distinct())
+    open_ = calls.where(F.col("tool").isin(*whole)).join(found, ["session_id", "event_id"], "left_anti").select("session_id").distinct()
+    # The result of a call without names is every concept; the sessions that have one are dealt over as many tasks as a shuffle has.
+    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = open_.withColumn("_part", F.pmod(F.xxhash64("session_id"), F.lit(tasks)))
+    copies = ids.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    everything = dealt.join(copies, "_part").select("session_id", "concept_id")
+    return found.select("session_id", "concept_id").unionByName(everything).distinct()
 
 
 def directionality_evidence(calls: DataFrame, claims: DataFrame, tools: tuple[str, ...]) -> DataFrame:

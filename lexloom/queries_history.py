@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lexloom import queries as base
 from lexloom.operators import alignment, beam, checks, clustering, evaluation, reconstruction, rules, tree
+from lexloom.plans.scratch import Scratch
 from lexloom.sources import views
 
 GOLD, ANCHOR = "Brand#25", "Brand#24"
@@ -328,6 +329,12 @@ def cluster_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees[0].unionByName(trees[1])
 
 
+def bootstrap_support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Support of the clades of brands in 200 resamples of the concepts."""
+    distances = evaluation.concept_distances(views.forms(spark, sf_dir), "cognates")
+    return clustering.clade_support(distances, 200)
+
+
 def rationale_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The view's rules; second ones lack a rationale, those of two nodes one of their direction."""
     texts = {"rationale": F.when(F.col("rule_ordinal") == 2, " ").otherwise("said"), "direction": F.when(~F.col("node_id").isin("g3", "g5"), "said")}
@@ -354,7 +361,7 @@ QUERIES = {
         anchored_results, scoped_rules, contrast_reductions, attesting_nodes, tested_rules, tested_cascades, heldout_convergence, matched_validations, derived_daughters, invertible_branches,
         aligned_pairs, aligned_groups, aligned_correspondences, summarized_correspondences, selected_alignments, polarized, polarized_initial, polarize_candidates, anchor_boosts, combined_children,
         reconstructed_tree, branch_support, node_diagnostics, fallback_taint, candidate_ids, token_distances, bcubed_scores, graded_targets, target_rates, segment_maps, oracle_rules, oracle_ceiling, oracle_width_curve, derived_candidates,
-        branch_recoverability, branch_deletions, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, rationale_violations, commit_violations,
+        branch_recoverability, branch_deletions, clade_policies, rule_scores, functional_recovery, form_distance, cluster_trees, bootstrap_support, rationale_violations, commit_violations,
     )
 }
 

@@ -85,10 +85,11 @@ def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls with JSON arguments that name concepts and forms here and there, or nothing at all."""
+    """Calls with JSON arguments that name concepts and forms here and there, as strings and numbers, or nothing that is known."""
     k = F.col("k").cast("string")
-    named = F.concat(F.lit('{"concept_ids": ["c'), (F.col("k") % 50).cast("string"), F.lit('"], "c7": {"form_ids": [["'), k, F.lit('", "none"]], "n": 3}}'))
-    return views.calls(spark, sf_dir).withColumns({"arguments": F.when(F.col("k") % 13 == 0, "{ }").otherwise(named), "result": F.when(F.col("k") % 3 == 0, '{"relation": "outgroup"}').otherwise('{"relation": "active_child"}')})
+    named = F.concat(F.lit('{"concept_ids": ["c'), (F.col("k") % 50).cast("string"), F.lit('", "c\\u0037"], "c8": {"form_ids": [["'), k, F.lit('", "none"], '), k, F.lit('], "note": "c9", "n": 3}}'))
+    arguments = F.when(F.col("k") % 13 == 0, '{"concept_ids": ["nowhere"]}').when(F.col("k") % 13 == 1, '{"concept_ids": ').otherwise(named)
+    return views.calls(spark, sf_dir).withColumns({"arguments": arguments, "result": F.when(F.col("k") % 3 == 0, '{"relation": "outgroup"}').otherwise('{"relation": "active_child"}')})
 
 
 def inspected_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +177,8 @@ SELECT 'root' AS parent_id, node_id AS child_id, [r.target] AS target, p.replace
     "unmentioned_correspondences": f"""WITH {base.EDGES}, g AS (SELECT DISTINCT parent_id AS n FROM v_edges WHERE parent_id <> 'root'), r(node_id, target, replacement) AS (VALUES ('g1', ['i'], ['e']), ('g2', ['b'], ['p']), ('g3', ['r'], []::VARCHAR[]), ('g4', ['w'], ['v']), ('g5', ['d'], ['r']))
 SELECT 'root' AS node_id, target, replacement, [node_id] AS established_at FROM r JOIN g ON n = node_id""",
     "training_examples": f"WITH {base.TRAJECTORIES}, q AS ({base.ORACLES['quality_gate'].replace('WITH ' + base.TRAJECTORIES + ', ', 'WITH ')}) SELECT conv_id, node_id, n_rules FROM v_traj WHERE completed AND anomaly_rate <= 0.5 AND conv_id IN (SELECT conv_id FROM q WHERE high_quality)",
-    "inspected_concepts": f"""WITH {base.CALLS}, {base.FORMS}, d AS (SELECT DISTINCT concept_id FROM v_forms)
-SELECT DISTINCT session_id, concept_id FROM v_calls JOIN d ON concept_id = 'c' || (k % 50) WHERE k % 13 <> 0 UNION SELECT session_id, concept_id FROM v_calls JOIN v_forms ON form_id = k WHERE k % 13 <> 0 UNION SELECT session_id, concept_id FROM v_calls, d WHERE tool = 'view' AND k % 13 = 0""",
+    "inspected_concepts": f"""WITH {base.CALLS}, {base.FORMS}, d AS (SELECT DISTINCT concept_id FROM v_forms), n AS (SELECT * FROM v_calls WHERE k % 13 > 1)
+SELECT DISTINCT session_id, concept_id FROM n JOIN d ON concept_id = 'c' || (k % 50) OR concept_id = 'c7' UNION SELECT session_id, concept_id FROM n JOIN v_forms ON form_id = k UNION SELECT session_id, concept_id FROM v_calls, d WHERE tool = 'view' AND k % 13 <= 1""",
     "directionality_evidence": f"""WITH {base.CALLS}, {base.TRAJECTORIES}, e AS (SELECT session_id, count(*) AS calls, count(*) FILTER (k % 3 = 0) AS outgroup_calls FROM v_calls WHERE tool IN ('view', 'click') GROUP BY 1), c AS (SELECT conv_id AS session_id, count(*) AS claims FROM v_traj WHERE n_rules = 3 GROUP BY 1)
 SELECT session_id, coalesce(calls, 0) AS calls, coalesce(outgroup_calls, 0) AS outgroup_calls, coalesce(claims, 0) AS claims FROM e FULL JOIN c USING (session_id)""",
     "classified_errors": f"""WITH {base.CALLS}, e AS (SELECT event_id AS error_id, code || CASE WHEN k % 4 = 0 THEN '' ELSE ':anomalies[],rules[].dsl' END AS code FROM v_calls WHERE rejected) SELECT error_id, code, CASE WHEN code IN ('schema:f1', 'schema:f2:anomalies[],rules[].dsl') THEN 'exploratory' ELSE 'protocol' END AS category FROM e""",
