@@ -242,10 +242,11 @@ def mark_fallback_taint(failures: DataFrame, paths: DataFrame) -> DataFrame:
 def derive_daughters(proto: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Forms of all nodes, from ``proto(node_id, concept_id, segments)`` of the root down: ``node_id, concept_id, segments``.
 
-    The cascade of a node (``rules.node_id``) turns its parent's forms into its own.
+    The cascade of a node (``rules.node_id``) turns its parent's forms into its own. Edges that hold a circle are an error.
     """
     scratch = Scratch(proto.sparkSession)
     step = scratch.save(edges.select("parent_id", "child_id"))
+    most = step.count()
     level = scratch.save(proto.select("node_id", "concept_id", "segments"))
     found = [level]
     while True:
@@ -254,6 +255,8 @@ def derive_daughters(proto: DataFrame, edges: DataFrame, rules: DataFrame) -> Da
         if level.isEmpty():
             return reduce(DataFrame.unionByName, found)
         found.append(level)
+        if len(found) > most + 1:
+            raise ValueError("the edges hold a circle")
 
 
 def invert_and_verify(forms: DataFrame, edges: DataFrame, rules: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructType
 
 from lexloom.sources import files
 
@@ -279,8 +279,14 @@ def read_runs(spark: SparkSession, root: str, schema: str, result_schema: str) -
     """
     run = lambda name: F.regexp_extract("_metadata.file_path", rf"([^/]+)/{name}", 1).alias("run")
     logs = spark.read.schema(schema).option("mode", "FAILFAST").json(f"{root}/*/trajectories.jsonl")
-    results = spark.read.schema(result_schema).option("mode", "FAILFAST").option("pathGlobFilter", "*").json(f"{root}/*/result*.json")
-    results = results.select(run(r"result[^/]*\.json"), F.struct(*results.columns).alias("result"))
+    folder = files.Folder(spark, root)
+    runs = [f.getPath() for f in folder.children(folder.path) if f.isDirectory()]
+    left = [str(f.getPath()) for r in runs for f in folder.children(r) if f.getPath().getName().startswith("result") and f.getPath().getName().endswith(".json")]
+    if left:
+        results = spark.read.schema(result_schema).option("mode", "FAILFAST").json(left)
+        results = results.select(run(r"result[^/]*\.json"), F.struct(*results.columns).alias("result"))
+    else:
+        results = spark.createDataFrame([], f"run string, result struct<{', '.join(f'{f.name}:{f.dataType.simpleString()}' for f in StructType.fromDDL(result_schema))}>")
     return logs.select(run(r"trajectories\.jsonl"), *logs.columns).join(results, "run", "left")
 
 

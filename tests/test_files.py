@@ -110,3 +110,12 @@ def test_stream_over_three_arrivals(spark, tmp_path):
         want, wrong = wordlists.read_events(spark, str(lines), "kind string")
         assert rows(good, "kind") == rows(again, "kind") == rows(want, "kind")
         assert rows(bad, "value") == rows(wrong, "value") and bad.count() == i + 1
+
+
+def test_runs_without_results(spark, tmp_path):
+    put(tmp_path, "runs/r1/trajectories.jsonl", '{"a": 1}\n')
+    put(tmp_path, "runs/r2/trajectories.jsonl", '{"a": 2}\n')
+    read = lambda: rows(wordlists.read_runs(spark, str(tmp_path / "runs"), "a long", "n long"), "run", "a", "result.n")
+    assert read() == [("r1", 1, None), ("r2", 2, None)]
+    put(tmp_path, "runs/r2/result.json", '{"n": 5}\n')
+    assert read() == [("r1", 1, None), ("r2", 2, 5)]

@@ -223,3 +223,10 @@ def test_oracle_tree(spark, k):
             assert [f for f, _ in mine] == [f for f, _ in cands]
             assert [s for _, s in mine] == pytest.approx([s for _, s in cands])
     assert sum(list(got["proto"][c][1][0]) == w for c, w in gold.items()) >= 8
+
+
+def test_circle_of_edges(spark):
+    edges = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "a", 1, 1.0)], EDGES)
+    proto = spark.createDataFrame([("a", "k", ["x"])], "node_id string, concept_id string, segments array<string>")
+    with pytest.raises(ValueError, match="circle"):
+        reconstruction.derive_daughters(proto, edges, rules.compile_rules(spark.createDataFrame([], RULES)))
