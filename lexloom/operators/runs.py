@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lexloom.operators.evaluation import distributions
+from lexloom.plans.products import paired
 from lexloom.plans.scratch import Scratch
 
 
@@ -218,11 +219,8 @@ def inspected_concepts(
     columns = ["session_id", "event_id", "concept_id"]
     found = Scratch(calls.sparkSession).save(by_concept.select(columns).unionByName(by_form.select(columns)).distinct())
     open_ = calls.where(F.col("tool").isin(*whole)).join(found, ["session_id", "event_id"], "left_anti").select("session_id").distinct()
-    # The result of a call without names is every concept; the sessions that have one are dealt over as many tasks as a shuffle has.
-    tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = open_.withColumn("_part", F.pmod(F.xxhash64("session_id"), F.lit(tasks)))
-    copies = ids.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
-    everything = dealt.join(copies, "_part").select("session_id", "concept_id")
+    # The result of a call without names is every concept.
+    everything = paired(open_, ids).select("session_id", "concept_id")
     return found.select("session_id", "concept_id").unionByName(everything).distinct()
 
 
@@ -297,14 +295,21 @@ def committed_rule_rows(rules: DataFrame) -> DataFrame:
     return rules.where("error is null").select("node_id", "rule_ordinal", "rule_id", F.concat(text("target"), F.lit(" > "), to).alias("correspondence"), F.concat_ws(" ", *sides).alias("environment"))
 
 
-def node_report(nodes: DataFrame, results: DataFrame, steps: DataFrame, rules: DataFrame, diagnostics: DataFrame, evaluations: DataFrame) -> DataFrame:
-    """One row for each node: its rules, the best forms (of the result, else of the step), diagnostics and gold.
+def node_report(
+    nodes: DataFrame, results: DataFrame, steps: DataFrame, rules: DataFrame, diagnostics: DataFrame, evaluations: DataFrame, evidence: DataFrame | None = None
+) -> DataFrame:
+    """One row for each node: its rules, its best forms, diagnostics, gold and evidence.
 
-    ``results`` and ``steps`` hold ``node_id, n_forms``; ``rules`` the rows of :func:`committed_rule_rows`.
+    ``results`` and ``steps`` hold ``node_id, concept_id, segments``: a node's best forms are those of the result, or those of
+    its step where the result has none; they come as ``concept: segments``, in the order of concepts. ``rules`` are rows of
+    :func:`committed_rule_rows`; the other tables have one row a node.
     """
     written = rules.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_ordinal", "correspondence"))), lambda r: r["correspondence"]).alias("rules"))
-    best = results.select("node_id", F.col("n_forms").alias("_result"))
-    stepped = steps.select("node_id", F.col("n_forms").alias("_step"))
-    joined = nodes.select("node_id").join(best, "node_id", "left").join(stepped, "node_id", "left").join(written, "node_id", "left").join(diagnostics, "node_id", "left").join(evaluations, "node_id", "left")
-    others = [c for c in (*diagnostics.columns, *evaluations.columns) if c != "node_id"]
-    return joined.select("node_id", F.coalesce("rules", F.array().cast("array<string>")).alias("rules"), F.coalesce("_result", "_step").alias("n_forms"), *others)
+    told = F.concat("concept_id", F.lit(": "), F.array_join("segments", " "))
+    # A node has a form for each concept.
+    forms = lambda df, name: df.groupBy("node_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("concept_id", told.alias("t")))), lambda x: x["t"]).alias(name))
+    tables = [forms(results, "_result"), forms(steps, "_step"), written, diagnostics, evaluations] + ([evidence] if evidence is not None else [])
+    joined = reduce(lambda a, b: a.join(b, "node_id", "left"), tables, nodes.select("node_id"))
+    others = [c for df in tables[3:] for c in df.columns if c != "node_id"]
+    none = F.array().cast("array<string>")
+    return joined.select("node_id", F.coalesce("rules", none).alias("rules"), F.coalesce("_result", "_step", none).alias("best_forms"), *others)

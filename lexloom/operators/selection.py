@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lexloom.plans.products import paired
+
 #: Tokens that mark a boundary and no sound.
 BOUNDARIES = ("+", "-")
 
@@ -190,7 +192,7 @@ def check_distances(distances: DataFrame) -> DataFrame:
     """
     taxa = distances.select(F.col("taxon_a").alias("t")).union(distances.select("taxon_b")).distinct()
     # A whole matrix holds every pair, so listing the pairs is of its own size.
-    pairs = taxa.withColumn("_k", F.lit(0)).alias("x").join(taxa.withColumn("_k", F.lit(0)).alias("y"), (F.col("x._k") == F.col("y._k")) & (F.col("x.t") < F.col("y.t"))).select(F.col("x.t").alias("taxon_a"), F.col("y.t").alias("taxon_b"))
+    pairs = paired(taxa.withColumnRenamed("t", "taxon_a"), taxa.withColumnRenamed("t", "taxon_b")).where("taxon_a < taxon_b")
     either = distances.select(F.least("taxon_a", "taxon_b").alias("taxon_a"), F.greatest("taxon_a", "taxon_b").alias("taxon_b")).distinct()
     missing = pairs.join(either, ["taxon_a", "taxon_b"], "left_anti").withColumn("violation", F.lit("missing"))
     mirror = distances.select(F.col("taxon_b").alias("taxon_a"), F.col("taxon_a").alias("taxon_b"), F.col("distance").alias("_mirror"))

@@ -129,13 +129,17 @@ def committed_rule_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def node_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = views.edges(spark, sf_dir).select(F.col("parent_id").alias("node_id")).distinct()
-    rows = views.trajectories(spark, sf_dir)
-    per = rows.groupBy("node_id").agg(F.count("*").alias("n_forms"))
-    results, steps = per.where("node_id <> 'g2'"), per.withColumn("n_forms", -F.col("n_forms"))
+    """Nodes with the shortest form of their brands in each concept as their step, and the longest as the result, which one node lacks."""
+    edges = views.edges(spark, sf_dir)
+    nodes = edges.select(F.col("parent_id").alias("node_id")).distinct()
+    below = views.forms(spark, sf_dir).join(edges.select(F.col("child_id").alias("variety_id"), F.col("parent_id").alias("node_id")), "variety_id")
+    order = F.struct(F.size("segments"), F.col("form_id"))
+    steps = below.groupBy("node_id", "concept_id").agg(F.min_by("segments", order).alias("segments"))
+    results = below.where("node_id <> 'g2'").groupBy("node_id", "concept_id").agg(F.max_by("segments", order).alias("segments"))
     diagnostics = _diagnostics(spark, sf_dir).groupBy("node_id").agg(F.round(F.avg("convergence_rate"), 9).alias("convergence_rate"))
     gold = _evaluations(spark, sf_dir).groupBy("node_id").agg(F.count_if("fallback").alias("n_fallback"))
-    return runs.node_report(nodes, results, steps, runs.committed_rule_rows(_compiled(spark)), diagnostics, gold)
+    asked = views.events(spark, sf_dir).where("kind in ('view', 'click')").groupBy(F.translate("node_id", "n", "g").alias("node_id")).agg(F.count("*").alias("n_evidence"))
+    return runs.node_report(nodes, results, steps, runs.committed_rule_rows(_compiled(spark)), diagnostics, gold, asked)
 
 
 def stream_failure_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,9 +191,13 @@ SELECT a.session_id, a.event_id, arg_min(b.event_id, (b.ts, b.event_id)) AS supe
   AND (b.whole OR (NOT a.whole AND list_has_all(b.d, a.d))) AND (b.form IS NULL OR coalesce(a.form = b.form, false)) GROUP BY ALL""",
     "committed_rule_rows": f"""WITH c AS ({base.ORACLES['compiled_rules']}) SELECT 'g' || (length(dsl) % 5 + 1) AS node_id, length(dsl)::INTEGER AS rule_ordinal, rule_id, array_to_string(target, ' ') || ' > ' || CASE WHEN len(replacement) = 0 THEN 'Ø' ELSE array_to_string(replacement, ' ') END AS correspondence,
 trim(CASE WHEN word_initial THEN '# ' ELSE '' END || array_to_string(list_append("left", '_'), ' ') || ' ' || array_to_string("right", ' ') || CASE WHEN word_final THEN ' #' ELSE '' END) AS environment FROM c WHERE error IS NULL""",
-    "node_report": f"""{_diag}, {base.EDGES}, p AS (SELECT node_id, count(*) AS n, count(*) FILTER (NOT completed) AS f FROM v_traj GROUP BY 1), d AS (SELECT node_id, round(avg(convergence_rate), 9) AS convergence_rate FROM v_diag GROUP BY 1),
-r(node_id, rules) AS (VALUES ('root', ['d > t', 'l l > l']), ('g1', ['i > e']), ('g2', ['b > p']), ('g3', ['r > Ø']), ('g4', ['w > v']), ('g5', ['d > t', 'd > r'])), i AS (SELECT DISTINCT parent_id AS node_id FROM v_edges)
-SELECT node_id, coalesce(rules, []) AS rules, CASE WHEN node_id = 'g2' THEN -n ELSE n END AS n_forms, convergence_rate, f AS n_fallback FROM i LEFT JOIN r USING (node_id) LEFT JOIN p USING (node_id) LEFT JOIN d USING (node_id)""",
+    "node_report": f"""{_diag}, {base.EDGES}, {base.FORMS}, p AS (SELECT node_id, count(*) AS n, count(*) FILTER (NOT completed) AS f FROM v_traj GROUP BY 1), d AS (SELECT node_id, round(avg(convergence_rate), 9) AS convergence_rate FROM v_diag GROUP BY 1),
+r(node_id, rules) AS (VALUES ('root', ['d > t', 'l l > l']), ('g1', ['i > e']), ('g2', ['b > p']), ('g3', ['r > Ø']), ('g4', ['w > v']), ('g5', ['d > t', 'd > r'])), i AS (SELECT DISTINCT parent_id AS node_id FROM v_edges),
+w AS (SELECT parent_id AS node_id, concept_id, segments, (len(segments), form_id) AS o FROM v_forms JOIN v_edges ON child_id = variety_id),
+b AS (SELECT node_id, concept_id, CASE WHEN node_id = 'g2' THEN arg_min(segments, o) ELSE arg_max(segments, o) END AS segments FROM w GROUP BY node_id, concept_id),
+bf AS (SELECT node_id, list(concept_id || ': ' || array_to_string(segments, ' ') ORDER BY concept_id) AS best_forms FROM b GROUP BY 1),
+ev AS (SELECT 'g' || (user_id % 10) AS node_id, count(*) AS n_evidence FROM events WHERE event_type IN ('view', 'click') GROUP BY 1)
+SELECT node_id, coalesce(rules, []) AS rules, coalesce(best_forms, []) AS best_forms, convergence_rate, f AS n_fallback, n_evidence FROM i LEFT JOIN r USING (node_id) LEFT JOIN p USING (node_id) LEFT JOIN d USING (node_id) LEFT JOIN bf USING (node_id) LEFT JOIN ev USING (node_id)""",
     "stream_failure_windows": f"""WITH {base.CALLS}, s AS (SELECT *, CASE WHEN rejected THEN tool || '|' || code ELSE '' END AS sig FROM v_calls),
 r AS (SELECT *, list(sig) OVER ({base._order} ROWS 11 PRECEDING) AS recent, sum((rejected AND code <> 'schema:f3')::INTEGER) OVER ({base._order} ROWS 11 PRECEDING)::INTEGER AS failures FROM s),
 c AS (SELECT *, CASE WHEN sig = '' THEN 0 ELSE len(list_filter(recent, lambda x: x = sig)) END::INTEGER AS occurrences FROM r),
