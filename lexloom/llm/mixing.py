@@ -117,12 +117,21 @@ def mix(docs: DataFrame, budget: float = 1.0, entropy: float | None = None, repe
     partial = taken.where("whole").select("_source", "_id", "pass").union(cut.select("_source", "_id", "pass")).distinct()
     partial = scratch.save(partial)
 
-    # The row travels as one struct, so that no column of it can clash with those used here.
-    rows = docs.select(F.struct(*names).alias("_row"), own.alias("_id"), key.alias("_source"), n_words(F.col("text")).alias("n_tokens"))
-    out = ["_row.*", F.col("pass").cast("long").alias("pass"), "n_tokens"]
-    full = rows.join(quota.select("_source", F.expr("quota div tokens").alias("passes")), "_source").where("passes > 0")
-    full = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("passes") - 1))).select(*out)
-    return full.union(rows.join(partial.select("_id", "_source", "pass"), ["_id", "_source"]).select(*out))
+    # Columns that the rows carry through the joins have names that no column of the input has.
+    i, k = fresh(docs, "_id"), fresh(docs, "_source")
+    rows = docs.drop("pass", "n_tokens").withColumns({i: own, k: key, "n_tokens": n_words(F.col("text"))})
+    passes, out = fresh(docs, "_passes"), [*names, F.col("pass").cast("long").alias("pass"), "n_tokens"]
+    full = rows.join(quota.select(F.col("_source").alias(k), F.expr("quota div tokens").alias(passes)), k).where(F.col(passes) > 0)
+    full = full.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col(passes) - 1))).select(*out)
+    return full.union(rows.join(partial.select(F.col("_id").alias(i), F.col("_source").alias(k), "pass"), [i, k]).select(*out))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def positions(mixed: DataFrame, seed: str = "mix", digits: int = BLOCK_DIGITS) -> DataFrame:
@@ -134,13 +143,14 @@ def positions(mixed: DataFrame, seed: str = "mix", digits: int = BLOCK_DIGITS) -
     follow each other in the order of their texts. A column named position is replaced.
     """
     names = [c for c in mixed.columns if c != "position"]
+    h, i, t, k, b, n = (fresh(mixed, c) for c in ("_h", "_id", "_t", "_source", "_block", "_before"))
     own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
     hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("pass").cast("string"), own))
-    rows = mixed.select(F.struct(*names).alias("_row"), F.coalesce(F.col("source"), F.lit("\u0000")).alias("_source"), F.col("pass").alias("_pass"), hashed.alias("_h"), own.alias("_id"), F.xxhash64("text").alias("_t"))
-    rows = Scratch(mixed.sparkSession).save(rows.withColumn("_block", F.substring("_h", 1, digits)))
-    block = ["_source", "_pass", "_block"]
-    counts = rows.groupBy(*block).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy("_source", "_pass").orderBy("_block")) - F.col("_n")
-    placed = rows.join(counts.select(*block, before.alias("_before")), block)
-    within = F.row_number().over(Window.partitionBy(*block).orderBy("_h", "_id", "_t"))
-    return placed.select("_row.*", (F.col("_before") + within - 1).alias("position"))
+    rows = mixed.select(*names, F.coalesce(F.col("source"), F.lit("\u0000")).alias(k), hashed.alias(h), own.alias(i), F.xxhash64("text").alias(t))
+    rows = rows.withColumn(b, F.substring(h, 1, digits))
+    block = [k, "pass", b]
+    counts = Scratch(mixed.sparkSession).save(rows.groupBy(*block).agg(F.count("*").alias("held")))
+    before = F.sum("held").over(Window.partitionBy(k, "pass").orderBy(b)) - F.col("held")
+    placed = rows.join(counts.select(*block, before.alias(n)), block)
+    within = F.row_number().over(Window.partitionBy(*block).orderBy(h, i, t))
+    return placed.select(*names, (F.col(n) + within - 1).alias("position"))
