@@ -147,9 +147,9 @@ def test_every_pass_is_a_permutation(spark):
     passes = {}
     for r in mixed.collect():
         passes.setdefault((r.source, r["pass"]), []).append((r.position, r.doc_id))
-    orders = [[d for _, d in sorted(p, key=lambda x: x[0])] for p in passes.values()]
+    orders = {k: [d for _, d in sorted(p, key=lambda x: x[0])] for k, p in passes.items()}
     assert all(sorted(p for p, _ in v) == list(range(len(v))) for v in passes.values())
-    big, small = ([o for (source, _), o in sorted(passes.items()) if source == name] for name in ("big", "small"))
+    big, small = ([o for (source, _), o in sorted(orders.items()) if source == name] for name in ("big", "small"))
     assert sorted(big[0]) == list(range(60)) and big[0] != list(range(60))
     whole = [o for o in small if len(o) == 23]
     assert len(whole) > 1 and whole[0] != whole[1] and sorted(map(str, whole[0])) == sorted(map(str, whole[1]))
