@@ -91,7 +91,7 @@ def find_datasets(spark: SparkSession, root: str) -> list[Dataset]:
             found = Dataset(status.getPath().getName(), unit)
             for kind, name in names.items():
                 for path in folder.files(folder.jvm.org.apache.hadoop.fs.Path(base, name)):
-                    header = next(csv.reader([folder.text(path, 1).removeprefix("﻿")]), [])
+                    header = next(csv.reader([folder.text(path, 1).removeprefix("\ufeff")]), [])
                     found.files[kind].append((path, tuple(header)))
             if found.files:
                 out.append(found)
