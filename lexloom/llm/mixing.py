@@ -134,19 +134,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def positions(mixed: DataFrame, seed: str = "mix", digits: int = BLOCK_DIGITS) -> DataFrame:
+def positions(mixed: DataFrame, seed: str = "mix", digits: int = BLOCK_DIGITS, digest: str | None = None) -> DataFrame:
     """Rows of :func:`mix` with ``position``: the row's place, from 0, in the permutation of its source's pass.
 
     Each pass has a permutation of its own: the order of a keyed hash, whose first digits are the block. Blocks are
     counted, a sum over the blocks before it gives a block's first place, and rows are ordered within blocks only. The last
     pass takes its rows from the beginning of its permutation, so its places have no gaps either. Rows of equal doc_id
     follow each other in the order of their texts. A column named position is replaced.
+    ``digest`` may name a column with the texts' ``xxhash64``, taken before the mix, so that no text passes through its joins.
     """
+    text = F.col(digest) if digest else F.xxhash64("text")
     names = [c for c in mixed.columns if c != "position"]
     h, i, t, k, b, n = (fresh(mixed, c) for c in ("_h", "_id", "_t", "_source", "_block", "_before"))
-    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), text.cast("string")))
     hashed = F.md5(F.concat_ws("|", F.lit(seed), F.col("pass").cast("string"), own))
-    rows = mixed.select(*names, F.coalesce(F.col("source"), F.lit("\u0000")).alias(k), hashed.alias(h), own.alias(i), F.xxhash64("text").alias(t))
+    rows = mixed.select(*names, F.coalesce(F.col("source"), F.lit("\u0000")).alias(k), hashed.alias(h), own.alias(i), text.alias(t))
     rows = rows.withColumn(b, F.substring(h, 1, digits))
     block = [k, "pass", b]
     counts = Scratch(mixed.sparkSession).save(rows.groupBy(*block).agg(F.count("*").alias("held")))

@@ -30,7 +30,8 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.positions(mixing.mix(table(spark, sf_dir, "documents"), **MIX)).select("doc_id", "source", "pass", "n_tokens", "position")
+    docs = table(spark, sf_dir, "documents").withColumn("digest", F.xxhash64("text"))
+    return mixing.positions(mixing.mix(docs, **MIX), digest="digest").select("doc_id", "source", "pass", "n_tokens", "position")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
