@@ -50,10 +50,17 @@ def bcubed(pairs: DataFrame) -> DataFrame:
 
 
 def nearest_gold(candidates: DataFrame, gold: DataFrame) -> DataFrame:
-    """For each candidate, the gold form of its concept that is nearest by normalised distance, distance, tokens."""
-    pairs = candidates.join(gold.select("concept_id", F.col("segments").alias("gold")), "concept_id")
+    """For each candidate, the gold form of its concept that is nearest by normalised distance, distance, tokens.
+
+    Different forms of a concept meet its different gold forms; copies take what was found for their form.
+    """
+    each = candidates.select("concept_id", "segments").distinct()
+    pairs = each.join(gold.select("concept_id", F.col("segments").alias("gold")).distinct(), "concept_id")
     scored = pairs.withColumns({"ned": normalized_edit_distance(F.col("segments"), F.col("gold")), "ed": edit_distance(F.col("segments"), F.col("gold"))})
-    return scored.groupBy(*candidates.columns).agg(F.min(F.struct("ned", "ed", "gold")).alias("_b")).select(*candidates.columns, F.col("_b.gold").alias("nearest"), F.col("_b.ed").alias("ed"), F.col("_b.ned").alias("ned"))
+    best = scored.groupBy("concept_id", "segments").agg(F.min(F.struct("ned", "ed", "gold")).alias("_b"))
+    c, b = candidates.distinct().alias("c"), best.alias("b")
+    joined = c.join(b, (F.col("c.concept_id") == F.col("b.concept_id")) & F.col("c.segments").eqNullSafe(F.col("b.segments")))
+    return joined.select("c.*", F.col("b._b.gold").alias("nearest"), F.col("b._b.ed").alias("ed"), F.col("b._b.ned").alias("ned"))
 
 
 def distribution(df: DataFrame, value: str, keys: list[str]) -> DataFrame:

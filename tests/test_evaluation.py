@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql.functions import udf
 
 from lexloom.operators import alignment, evaluation, selection
 
@@ -130,3 +131,24 @@ def test_long_chain_of_changes(spark):
     """As many rounds as there are changes."""
     chain = spark.createDataFrame([("b", f"s{i:03d}", f"s{i + 1:03d}") for i in range(250)], "child_id string, source string, target string")
     assert [r.source for r in alignment.oracle_rules(chain, ["child_id"]).orderBy("rule_ordinal").collect()] == [f"s{i:03d}" for i in range(249, -1, -1)]
+
+
+def test_copies_meet_gold_once(spark, monkeypatch):
+    """Pairs are of different forms: a thousand copies against a thousand are as many pairs as their forms."""
+    rows = [(i, f"k{i % 2}", list("ab") if i % 4 < 2 else list("abc")) for i in range(1000)] + [(1000, "k9", ["a"]), (1001, "k0", None), (1002, "k1", []), (0, "k0", list("ab"))]
+    forms = spark.createDataFrame(rows, "form_id long, concept_id string, segments array<string>")
+    gold = spark.createDataFrame([(f"k{i % 2}", list("xb") if i % 3 else list("abd")) for i in range(1000)], "concept_id string, segments array<string>")
+    asked = spark.sparkContext.accumulator(0)
+
+    @udf("int")
+    def counted(a, b):
+        asked.add(1)
+        return 1
+
+    got = evaluation.nearest_gold(forms, gold).collect()
+    monkeypatch.setattr(evaluation, "edit_distance", counted)
+    assert len(evaluation.nearest_gold(forms, gold).collect()) == len(got) == 1002  # a copy of a whole row counts once; a concept without gold is left out
+    assert asked.value <= 20
+    near = {("a", "b"): (["a", "b", "d"], 1, 1 / 3), ("a", "b", "c"): (["a", "b", "d"], 1, 1 / 3)}
+    want = {(i, c, tuple(s)): near[tuple(s)] for i, c, s in rows[:1000]}
+    assert {(r.form_id, r.concept_id, tuple(r.segments)): (r.nearest, r.ed, pytest.approx(r.ned)) for r in got if r.segments} == want
