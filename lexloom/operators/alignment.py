@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -63,16 +63,47 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("left"), part.column("right"), pa.array([r[0] for r in rows], kind), pa.array([r[1] for r in rows], kind)], ["left", "right", "aligned_left", "aligned_right"])
 
 
+def each_pair(pairs: DataFrame, solve: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``pairs`` with what ``solve`` adds to their different ``left, right``."""
+    found = solve(pairs.select("left", "right").distinct())
+    p, e = pairs.alias("p"), found.alias("e")
+    joined = p.join(e, F.col("p.left").eqNullSafe(F.col("e.left")) & F.col("p.right").eqNullSafe(F.col("e.right")), "left")
+    return joined.select("p.*", *[F.col(f"e.{c}") for c in found.columns if c not in ("left", "right")])
+
+
+def align_different(pairs: DataFrame) -> DataFrame:
+    """:func:`align_pairs` of ``left, right`` alone, without a look for equal rows."""
+    kind = "array<string>"
+    return pairs.select("left", "right").mapInArrow(_aligned, f"left {kind}, right {kind}, aligned_left {kind}, aligned_right {kind}")
+
+
 def align_pairs(pairs: DataFrame) -> DataFrame:
     """Add ``aligned_left, aligned_right`` (gaps are null) to ``pairs(left, right)``; each different pair is aligned once.
 
     Null arrays count as empty; two empty ones align to nothing.
     """
-    kind = "array<string>"
-    each = pairs.select("left", "right").distinct().mapInArrow(_aligned, f"left {kind}, right {kind}, aligned_left {kind}, aligned_right {kind}")
-    p, e = pairs.alias("p"), each.alias("e")
-    joined = p.join(e, F.col("p.left").eqNullSafe(F.col("e.left")) & F.col("p.right").eqNullSafe(F.col("e.right")), "left")
-    return joined.select("p.*", "e.aligned_left", "e.aligned_right")
+    return each_pair(pairs, align_different)
+
+
+def class_pairs(forms: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Forms against the gold forms of their concept, by classes of equal ones: pairs of classes, and the members of each.
+
+    Both inputs hold ``form_id, concept_id, segments``. The first table, ``concept_id, class_id, gold_class_id, left,
+    right``, has a row for each two different forms; a class is named by its smallest form_id. The second, ``part, form_id,
+    concept_id, class_id``, has a row for each form (``form``) and gold form (``gold``). Pairs of forms are both tables
+    joined by class.
+    """
+
+    def classes(rows: DataFrame, part: str) -> tuple[DataFrame, DataFrame]:
+        named = rows.groupBy("concept_id", "segments").agg(F.min("form_id").alias("class_id"))
+        r, n = rows.alias("r"), named.alias("n")
+        same = F.col("r.concept_id").eqNullSafe(F.col("n.concept_id")) & F.col("r.segments").eqNullSafe(F.col("n.segments"))
+        return named, r.join(n, same).select(F.lit(part).alias("part"), "r.form_id", "r.concept_id", "n.class_id")
+
+    (own, members), (right, gold_members) = classes(forms, "form"), classes(gold, "gold")
+    right = right.select("concept_id", F.col("class_id").alias("gold_class_id"), F.col("segments").alias("right"))
+    pairs = own.withColumnRenamed("segments", "left").join(right, "concept_id")
+    return pairs.select("concept_id", "class_id", "gold_class_id", "left", "right"), members.unionByName(gold_members)
 
 
 def alignment_inputs(forms: DataFrame, memberships: DataFrame, respect: bool = True) -> DataFrame:

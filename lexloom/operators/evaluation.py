@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lexloom.functions.binding import let
-from lexloom.operators.alignment import align_pairs, segment_map
+from lexloom.operators.alignment import align_different, align_pairs, each_pair, segment_map
 from lexloom.operators.selection import BOUNDARIES, phonetic_segments
 
 #: Characters that stand for the different tokens of two forms, by their number.
@@ -33,9 +33,14 @@ def normalized_edit_distance(a: Column, b: Column) -> Column:
 def bcubed(pairs: DataFrame) -> DataFrame:
     """Add ``precision, recall, f1`` to ``pairs(left, right)``: B-Cubed over the columns of their alignment.
 
-    Columns with one symbol on a side are a class of it; gaps are one symbol. Two empty forms score 1.
+    Columns with one symbol on a side are a class of it; gaps are one symbol. Two empty forms score 1. Each different pair is
+    scored once.
     """
-    aligned = align_pairs(pairs)
+    return each_pair(pairs, _bcubed)
+
+
+def _bcubed(pairs: DataFrame) -> DataFrame:
+    aligned = align_different(pairs)
     every = F.when(F.size("aligned_left") > 0, F.sequence(F.lit(0), F.size("aligned_left") - 1)).otherwise(F.array().cast("array<int>"))
     alike = lambda side, i, j: F.get(side, i).eqNullSafe(F.get(side, j))
     n = F.size("aligned_left")

@@ -113,11 +113,16 @@ def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_groups(inputs)
 
 
+def _gold_pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    forms = views.forms(spark, sf_dir).select("variety_id", "form_id", "concept_id", "segments")
+    gold = F.col("variety_id") == GOLD
+    return alignment.class_pairs(forms.where(~gold).drop("variety_id"), forms.where(gold).drop("variety_id"))
+
+
 def aligned_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forms of each concept against the gold ones of it."""
-    forms = views.forms(spark, sf_dir)
-    gold = forms.where(F.col("variety_id") == GOLD).select("concept_id", F.col("segments").alias("right"))
-    return alignment.align_pairs(forms.where(F.col("variety_id") != GOLD).select("form_id", "concept_id", F.col("segments").alias("left")).join(gold, "concept_id"))
+    """Forms of each concept against the gold ones of it: pairs of different forms (``pair``), and every form's class."""
+    pairs, members = _gold_pairs(spark, sf_dir)
+    return alignment.align_pairs(pairs).withColumn("part", F.lit("pair")).unionByName(members, allowMissingColumns=True)
 
 
 def aligned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -219,7 +224,9 @@ def token_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bcubed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bcubed(aligned_pairs(spark, sf_dir).select("form_id", "left", "right"))
+    """Scores of each two different forms (``pair``) of :func:`aligned_pairs`, and every form's class."""
+    pairs, members = _gold_pairs(spark, sf_dir)
+    return evaluation.bcubed(pairs).withColumn("part", F.lit("pair")).unionByName(members, allowMissingColumns=True)
 
 
 def graded_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexloom import queries_history
 from lexloom.operators import alignment, clustering, evaluation
+from lexloom.sources import views
 
 FORM = "concept_id string, cognate_set_id string, form_id long, variety_id string, segments array<string>"
 
@@ -115,3 +117,20 @@ def test_clustering(spark):
             assert min(x[n] + y[n] for n in x.keys() & y.keys()) == pytest.approx(d)
     with pytest.raises(Exception, match="lacks a pair"):
         clustering.cluster_trees(spark.createDataFrame([("x", "a", "b", 1.0), ("x", "b", "c", 1.0)], "g string, taxon_a string, taxon_b string, distance double"), ["g"]).collect()
+
+
+def test_pairs_of_classes(spark, tmp_path):
+    """Twice the forms are twice the members and the same pairs; both joined give each form with each gold form."""
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.withColumn("p_partkey", F.col("p_partkey") + 1000).union(part).write.parquet(str(tmp_path / "part.parquet"))
+    for query, solved in ((queries_history.aligned_pairs, ["aligned_left", "aligned_right"]), (queries_history.bcubed_scores, ["precision", "recall", "f1"])):
+        once, twice = query(spark, "/root/testdata/sf0.001").cache(), query(spark, str(tmp_path)).cache()
+        pairs = lambda rows: sorted(map(str, rows.where("part = 'pair'").select("concept_id", "left", "right", *solved).collect()))
+        assert pairs(once) == pairs(twice) and pairs(once)
+        assert twice.where("part <> 'pair'").count() == 2 * once.where("part <> 'pair'").count() == 2 * part.count()
+        own, gold = twice.where("part = 'form'").select("form_id", "class_id"), twice.where("part = 'gold'").select(F.col("class_id").alias("gold_class_id"))
+        got = twice.where("part = 'pair'").drop("form_id").join(own, "class_id").join(gold, "gold_class_id").select("form_id", "concept_id", "left", "right")
+        forms = views.forms(spark, str(tmp_path))
+        right = forms.where("variety_id = 'Brand#25'").select("concept_id", F.col("segments").alias("right"))
+        want = forms.where("variety_id <> 'Brand#25'").select("form_id", "concept_id", F.col("segments").alias("left")).join(right, "concept_id")
+        assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
