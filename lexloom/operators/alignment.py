@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -221,7 +223,13 @@ def correspondence_sets(members: DataFrame, varieties: list[str], examples: int
     """
     if "is_anchor" in members.columns:
         members = members.where("not is_anchor")
-    cells = columns(members).groupBy(*GROUP, "col", "variety_id").agg(F.max(F.struct("form_id", "segment"))["segment"].alias("segment"))
+    # Of members of one width the last decides every column, so that few rows are taken apart.
+    each = members.select(*GROUP, "variety_id", "form_id", "aligned", F.size("aligned").alias("_w"))
+    keys = [*GROUP, "variety_id", "_w"]
+    last = each.groupBy(*keys).agg(F.max("form_id").alias("form_id"))
+    on = [F.col(f"m.{c}").eqNullSafe(F.col(f"l.{c}")) for c in (*keys, "form_id")]
+    kept = each.alias("m").join(last.alias("l"), reduce(and_, on), "left_semi")
+    cells = columns(kept).groupBy(*GROUP, "col", "variety_id").agg(F.max(F.struct("form_id", "segment"))["segment"].alias("segment"))
     tuples = cells.groupBy(*GROUP, "col").pivot("variety_id", varieties).agg(F.first("segment"))
     tuples = tuples.select("concept_id", F.array(*[F.col(f"`{v}`") for v in varieties]).alias("segments")).where(F.exists("segments", lambda s: s.isNotNull()))
     per = tuples.groupBy("segments", "concept_id").agg(F.count("*").alias("n"))

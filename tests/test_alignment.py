@@ -132,5 +132,25 @@ def test_pairs_of_classes(spark, tmp_path):
         got = twice.where("part = 'pair'").drop("form_id").join(own, "class_id").join(gold, "gold_class_id").select("form_id", "concept_id", "left", "right")
         forms = views.forms(spark, str(tmp_path))
         right = forms.where("variety_id = 'Brand#25'").select("concept_id", F.col("segments").alias("right"))
-        want = forms.where("variety_id <> 'Brand#25'").select("form_id", "concept_id", F.col("segments").alias("left")).join(right, "concept_id")
+        want = forms.where("variety_id <> 'Brand#25'").select("form_id", "concept_id", F.col("segments").alias("left")).join(right, "concept_id").select(got.columns)
         assert want.exceptAll(got).isEmpty() and got.exceptAll(want).isEmpty()
+
+
+def test_copies_of_members(spark, monkeypatch):
+    """The last member of a variety decides a column, of whatever width; members that decide none are not taken apart."""
+    rng = random.Random(5)
+    rows = [("c", f"s{i % 2}", i, f"v{i % 3}", [rng.choice(["a", "b", None]) for _ in range(3 + i % 2 * (i % 5 == 0))]) for i in range(300)]
+    rows += [("c", "s0", None, "v0", ["q", "q", "q", "q", "q"]), ("c", None, 999, "v1", ["z"]), ("c", "s0", 297, "v0", ["b", "b", "b"])]
+    members, plain, seen = spark.createDataFrame(rows, FORM.replace("segments", "aligned")), alignment.columns, []
+    monkeypatch.setattr(alignment, "columns", lambda m: (seen.append(m), plain(m))[1])
+    got = {tuple(r.segments): r.support for r in alignment.correspondence_sets(members, ["v0", "v1", "v2"]).collect()}
+    cells = {}
+    for c, s, form, v, aligned in rows:
+        for i, segment in enumerate(aligned):
+            cells[c, s, i, v] = max(cells.get((c, s, i, v), ((-1, ""), None)), ((-1 if form is None else form, segment or ""), segment), key=lambda x: x[0])
+    want = {}
+    for key in {k[:3] for k in cells}:
+        shown = tuple(cells.get((*key, v), (None, None))[1] for v in ("v0", "v1", "v2"))
+        if any(shown):
+            want[shown] = want.get(shown, 0) + 1
+    assert got == want and seen[0].count() <= 20
