@@ -306,11 +306,15 @@ def polarize_candidates(witnesses: DataFrame) -> DataFrame:
 def segment_map(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, source, target, n``: the gold segment (null: none) that most often stands where a source segment does.
 
-    ``pairs(keys, left, right, ordinal)`` are source and gold forms; of equal counts the one seen first wins.
+    ``pairs(keys, left, right, ordinal)`` are source and gold forms; of equal counts the one seen first wins. Equal pairs
+    are counted before they are taken apart.
     """
+    # A null ordinal is the first.
+    first = F.when(~F.bool_or(F.col("ordinal").isNull()), F.min("ordinal")).alias("ordinal")
+    different = pairs.groupBy(*keys, "left", "right").agg(F.count("*").alias("_n"), first)
     both = F.posexplode(F.arrays_zip(F.col("aligned_left").alias("source"), F.col("aligned_right").alias("target")))
-    cells = align_pairs(pairs).select(*keys, "ordinal", both.alias("at", "c")).where("c.source is not null")
-    counts = cells.groupBy(*keys, F.col("c.source").alias("source"), F.col("c.target").alias("target")).agg(F.count("*").alias("n"), F.min(F.struct("ordinal", "at")).alias("_first"))
+    cells = align_pairs(different).select(*keys, "ordinal", "_n", both.alias("at", "c")).where("c.source is not null")
+    counts = cells.groupBy(*keys, F.col("c.source").alias("source"), F.col("c.target").alias("target")).agg(F.sum("_n").alias("n"), F.min(F.struct("ordinal", "at")).alias("_first"))
     best = F.row_number().over(Window.partitionBy(*keys, "source").orderBy(F.desc("n"), "_first"))
     return counts.withColumn("_r", best).where("_r = 1").select(*keys, "source", "target", "n")
 

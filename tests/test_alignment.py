@@ -154,3 +154,17 @@ def test_copies_of_members(spark, monkeypatch):
         if any(shown):
             want[shown] = want.get(shown, 0) + 1
     assert got == want and seen[0].count() <= 20
+
+
+def test_copies_of_pairs(spark, monkeypatch):
+    """Equal pairs are counted before they are aligned, and count as often as they are there; a null ordinal is the first."""
+    kind = "child_id string, concept_id string, ordinal int, left array<string>, right array<string>"
+    rows = [("b", "k", 5 + i, ["x", "y"], ["p", "q"]) for i in range(100)] + [("b", "k", i + 1000, ["x", "x"], ["r", "p"]) for i in range(99)] + [("d", "k", 1, ["x"], ["p"]), ("d", "k", None, ["x"], ["r"])]
+    pairs, plain, seen = spark.createDataFrame(rows, kind), alignment.align_pairs, []
+    for m in (alignment, evaluation):
+        monkeypatch.setattr(m, "align_pairs", lambda p: (seen.append(p), plain(p))[1])
+    got = {(r.child_id, r.source): (r.target, r.n) for r in alignment.segment_map(pairs, ["child_id"]).collect()}
+    assert got == {("b", "x"): ("p", 199), ("b", "y"): ("q", 100), ("d", "x"): ("r", 1)}
+    _, deletions = evaluation.recoverability(pairs)
+    assert {tuple(r) for r in deletions.collect()} == {("b", 199, 0), ("d", 2, 0)}
+    assert [s.count() for s in seen] == [4, 4, 4]
