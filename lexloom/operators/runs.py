@@ -211,17 +211,22 @@ def inspected_concepts(
     Strings and numbers under ``concept_keys`` count if they are ids of concepts, those under ``form_keys`` if they are ids of
     forms, whose concept counts then; others are dropped. A call of a tool in ``whole`` that names none looks at all concepts.
     """
-    named = named_values(calls)
+    scratch = Scratch(calls.sparkSession)
+    # Equal arguments name the same concepts; each text is taken apart once.
+    digest = F.sha2("arguments", 256)
+    own_calls = calls.select("session_id", "event_id", "tool", digest.alias("_d"))
+    texts = calls.select(digest.alias("_d"), "arguments").dropDuplicates(["_d"])
+    named = named_values(texts.select(F.col("_d").alias("session_id"), F.lit(None).cast("long").alias("event_id"), "arguments")).select(F.col("session_id").alias("_d"), "key", "value")
     ids = concepts.select("concept_id").distinct()
     by_concept = named.where(F.col("key").isin(*concept_keys)).withColumnRenamed("value", "concept_id").join(ids, "concept_id")
     own = forms.select(F.col("form_id").cast("string").alias("value"), "concept_id").distinct()
     by_form = named.where(F.col("key").isin(*form_keys)).join(own, "value")
-    columns = ["session_id", "event_id", "concept_id"]
-    found = Scratch(calls.sparkSession).save(by_concept.select(columns).unionByName(by_form.select(columns)).distinct())
-    open_ = calls.where(F.col("tool").isin(*whole)).join(found, ["session_id", "event_id"], "left_anti").select("session_id").distinct()
+    found = scratch.save(by_concept.select("_d", "concept_id").unionByName(by_form.select("_d", "concept_id")).distinct())
+    open_ = own_calls.where(F.col("tool").isin(*whole)).join(found, "_d", "left_anti").select("session_id").distinct()
     # The result of a call without names is every concept.
     everything = paired(open_, ids).select("session_id", "concept_id")
-    return found.select("session_id", "concept_id").unionByName(everything).distinct()
+    told = own_calls.select("session_id", "_d").distinct().join(found, "_d").select("session_id", "concept_id")
+    return told.unionByName(everything).distinct()
 
 
 def directionality_evidence(calls: DataFrame, claims: DataFrame, tools: tuple[str, ...]) -> DataFrame:

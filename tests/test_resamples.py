@@ -88,3 +88,13 @@ def test_inspected(spark):
         named |= {by_form[v] for k, v in pairs if k in ("form_id", "form_ids", "supporting_form_ids") and v in by_form}
         want |= {(i % 5, c) for c in (named or (concepts if i % 2 else ()))}
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_equal_arguments_are_taken_apart_once(spark, monkeypatch):
+    texts = ['{"concept_id": "k1"}', '{"form_id": 7}', "[]", None]
+    calls = spark.createDataFrame([(i // 100, i, "all" if i % 200 < 100 else "one", texts[i // 100 % 4]) for i in range(800)], "session_id long, event_id long, tool string, arguments string")
+    plain, seen = runs.named_values, []
+    monkeypatch.setattr(runs, "named_values", lambda c: (seen.append(c.count()), plain(c))[1])
+    got = runs.inspected_concepts(calls, spark.createDataFrame([(7, "k2")], "form_id long, concept_id string"), spark.createDataFrame([("k1",), ("k2",)], "concept_id string"), ("all",))
+    assert sorted(map(tuple, got.collect())) == [(0, "k1"), (1, "k2"), (2, "k1"), (2, "k2"), (4, "k1"), (5, "k2"), (6, "k1"), (6, "k2")]
+    assert seen == [4]
