@@ -79,7 +79,8 @@ def stream_json_lines(spark: SparkSession, path: str, schema: str, folder: str,
     return tuple(spark.read.schema(f"{fields}, number long").parquet(out).drop("number") for fields, out in ((schema, good), ("source_file string, value string", bad)))
 
 
-CALL = "event_id long, ts timestamp, tool string, code string, rejected boolean"
+# The calls of a micro-batch are one entry; its arrays hold an element a call.
+CALLS = "event_id array<long>, us array<long>, tool array<string>, code array<string>, rejected array<boolean>"
 WINDOW = "signatures array<string>, protocol array<boolean>, corrected array<string>, saturated boolean, last_ms long"
 INTERVENTIONS = "session_id long, event_id long, occurrences int, failures int, reason string, action string"
 
@@ -96,27 +97,26 @@ class FailureWindows(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", CALL)
+        self.waiting = handle.getListState("waiting", CALLS)
         self.window = handle.getValueState("window", WINDOW)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        self.waiting.appendList([(int(e), t.to_pydatetime(), tool, code, bool(r)) for e, t, tool, code, r in zip(new.event_id, new.ts, new.tool, new.code, new.rejected, strict=True)])
-        self._wake(int(new.ts.min().value // 1_000_000))
+        us = new.ts.astype("datetime64[us]").astype("int64")
+        self.waiting.appendValue((new.event_id.tolist(), us.tolist(), new.tool.tolist(), new.code.tolist(), [bool(r) for r in new.rejected]))
+        self._wake(int(us.min()) // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        calls = [(pd.Timestamp(c[1]), *c) for c in (self.waiting.get() if self.waiting.exists() else ())]
-        due = [c for c in calls if c[0].value // 1_000_000 < now]
-        rest = [c[1:] for c in calls if c[0].value // 1_000_000 >= now]
-        signatures, protocol, corrected, saturated, last = [], [], [], False, 0
-        if self.window.exists():
-            signatures, protocol, corrected, saturated, last = self.window.get()
-            signatures, protocol, corrected = list(signatures), list(protocol), list(corrected)
+        calls = [call for entry in self.waiting.get() for call in zip(*entry, strict=True)]
+        due = [c for c in calls if c[1] // 1000 < now]
+        rest = [c for c in calls if c[1] // 1000 >= now]
+        signatures, protocol, corrected, saturated, last = self.window.get() or ([], [], [], False, 0)
+        signatures, protocol, corrected = list(signatures), list(protocol), list(corrected)
         rows = []
-        for ts, event, _, tool, code, rejected in sorted(due, key=lambda c: (c[0], c[1])):
-            last = max(last, int(ts.value // 1_000_000))
+        for event, us, tool, code, rejected in sorted(due, key=lambda c: (c[1], c[0])):
+            last = max(last, us // 1000)
             own = f"{tool}|{code}" if rejected else ""
             signatures = [*signatures, own][-self.width :]
             protocol = [*protocol, rejected and code not in self.exploratory][-self.width :]
@@ -128,14 +128,14 @@ class FailureWindows(StatefulProcessor):
                 rows.append((key[0], event, n, failures, "window", "stall" if saturated else "correct"))
                 saturated = True
         if rest:
-            self.waiting.put(rest)
+            self.waiting.put([tuple(map(list, zip(*rest, strict=True)))])
         else:
             self.waiting.clear()
         if not rest and last + self.idle_ms < now:
             self.window.clear()
         else:
             self.window.update((signatures, protocol, corrected, saturated, last))
-            self._wake(min(int(pd.Timestamp(c[1]).value // 1_000_000) for c in rest) if rest else last + self.idle_ms)
+            self._wake(min(c[1] for c in rest) // 1000 if rest else last + self.idle_ms)
         yield pd.DataFrame(rows, columns=["session_id", "event_id", "occurrences", "failures", "reason", "action"])
 
     def _wake(self, at: int) -> None:

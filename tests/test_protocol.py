@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from lexloom.operators import runs
@@ -89,3 +90,36 @@ def test_superseded(spark):
         if later and a[3] != "w":
             want[a[0], a[1]] = min(later, key=lambda b: (b[2], b[1]))[1]
     assert got == want and got[7, 901] == 902 and len(got) > 60
+
+
+def test_calls_of_a_batch_are_one_entry():
+    class Handle:
+        def __init__(self):
+            self.entries, self.timers = [], []
+
+        def getListState(self, *_):
+            return self
+
+        def getValueState(self, *_):
+            return self
+
+        def appendValue(self, value):
+            self.entries.append(value)
+
+        def appendList(self, values):
+            self.entries += values
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    handle, processor = Handle(), events.FailureWindows(8, 3, 3, (), 1000)
+    processor.init(handle)
+    times = pd.to_datetime([datetime(2024, 1, 1, 0, 0, i, 5) for i in range(50)])
+    calls = pd.DataFrame({"event_id": range(50), "ts": times, "tool": ["t"] * 50, "code": [None, "x"] * 25, "rejected": [True] * 50})
+    assert list(processor.handleInputRows((1,), iter([calls[:20], calls[20:]]), None)) == []
+    ((ids, us, tools, codes, rejected),) = handle.entries
+    assert ids == list(range(50)) and us[1] - us[0] == 1_000_000 and us[0] % 1_000_000 == 5 and codes[:2] == [None, "x"] and all(rejected) and len(tools) == 50
+    assert handle.timers == [us[0] // 1000]
