@@ -1,10 +1,13 @@
 """Phrases whose words keep company, by dynamic itemset counting over shards of the corpus.
 
-Texts are dealt into shards once, and the shards are read in a cycle, one a step. Words are counted from the
-first step. A phrase is counted from the step after both its subphrases (all but the last word, all but the
-first) have reached the threshold, wherever in the cycle that is, until it has seen every shard once; so long
+Texts are dealt into shards once, and the shards are read in a cycle, one a step. Words are counted in the first
+cycle. A longer phrase is counted from the step after both its subphrases (all but the last word, all but the
+first) have reached the threshold, wherever in a cycle that is, until it has seen every shard once; so long
 phrases start while shorter ones are still being counted. Reading stops when no phrase has shards left.
 
+The first cycle also sums the occurrences of two-word phrases by a part of their hash, the sieve. A phrase whose
+sum stays below the threshold does so itself, so it is never counted by its words; most rare phrases are of this kind.
+
 What has reached the threshold goes to the tasks as Bloom filters of a fixed size. A wrong hit only counts a
 phrase that will stay below the threshold: a shard's count of a phrase is the same in any step, and each phrase
 marks the shards that it has, so nothing is counted twice. Filters that fill up cost time and no result.
@@ -13,10 +16,13 @@ marks the shards that it has, so nothing is counted twice. Filters that fill up
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -25,27 +31,28 @@ from lexloom.plans.scratch import Scratch
 
 SHARDS = 2
 LONGEST = 4
-#: Words of one language that a task holds before it counts them.
+#: Words of one language, about, that a task holds before it counts them.
 HELD = 750_000
 #: Bits of a filter, a power of two: 8 MiB, whatever the corpus; it is gathered in pieces of so many 64-bit words.
-FILTER_BITS, PIECE = 1 << 26, 512
-#: A byte that no UTF-8 text holds marks the ends of pieces; A-Z become a-z.
+FILTER_BITS, PIECE = 1 << 26, 4096
+#: Bits of the sieve's sums that reached the threshold (8 MiB), and those by which more sums are told apart; the first ones deal the sums into pieces.
+SIEVE, APART, SIEVE_PIECES = 26, 6, 10
+#: A byte that no UTF-8 text holds marks the ends of pieces; tabs become spaces and A-Z a-z.
 BREAK = b"\xff"
-PIECES = bytes(255 if c in b".,;:!?" or 10 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+PIECES = bytes(255 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers, to tell the places of a phrase and the two probes of a filter apart.
 PLACE, PROBE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 COUNTS = "lang string, words int, phrase string, f long"
+#: Sums of one piece of the sieve: keys in ascending order, 4 bytes each, and occurrences, one byte each.
+SUMS = "piece int, keys binary, times binary"
 
 
-class Words(dict):
-    """Word (bytes) to its number among the words of the batch; 0 is the end of a piece."""
-
-    def __init__(self):
-        self[BREAK] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+def _numbered(texts: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Words of translated texts as numbers, 0 before, between and after the pieces, and the words by number."""
+    whole = BREAK.join([b"", *texts, b""]).replace(BREAK, b" \xff ")
+    found = pc.split_pattern(pa.array([whole], pa.large_binary()), " ").flatten().dictionary_encode()
+    numbers = found.indices.to_numpy()  # 0 are the empty words between spaces, 1 the breaks
+    return numbers[numbers > 0].astype(np.int64) - 1, found.dictionary.to_pylist()[1:]
 
 
 class Filter:
@@ -67,10 +74,6 @@ class Filter:
         return out
 
 
-def _seed(lang: str) -> np.uint64:
-    return np.uint64(WordHashes()[b"lang " + lang.encode()])
-
-
 def _hashes(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Hashes of the phrases that start at some places of a row of word hashes; a word's is its own."""
     if length == 1:
@@ -101,21 +104,55 @@ def _phrase_hashes(langs: list[str], lengths: np.ndarray, phrases: list[str]) ->
     return own, head, tail
 
 
-def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached: Filter | None, recent: Filter | None):
-    """Counts of one language's words, and of the phrases to count in this step: ``words, phrases, f``.
+def _sieve_keys(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64((1 << SIEVE + APART) - 1)).astype(np.uint32)
+
+
+def _in_sieve(sieve: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bit = _sieve_keys(hashes) >> np.uint32(APART)
+    return (sieve[bit >> 3] >> (bit & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sums(ids: np.ndarray, hashes: np.ndarray, most: int):
+    """Occurrences of two-word phrases by key, in the pieces of the sieve: ``piece, keys, times``; from ``most`` on they count as ``most``."""
+    pairs = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+    keys, times = np.unique(_sieve_keys(_hashes(hashes[ids], pairs, 2)), return_counts=True)
+    times = np.minimum(times, most).astype(np.uint8)
+    ends = np.searchsorted(keys >> np.uint32(SIEVE + APART - SIEVE_PIECES), np.arange(1 << SIEVE_PIECES), "right")
+    for piece, (begin, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+        if begin < end:
+            yield piece, keys[begin:end].astype("<u4").tobytes(), times[begin:end].tobytes()
+
+
+def _sieve(sums: list[DataFrame], most: int) -> np.ndarray:
+    """Bits of the sums that reach ``most``: each piece is summed on its own, the driver gets the bits."""
+    size = 1 << SIEVE - SIEVE_PIECES
+
+    def summed(table: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u4")
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), np.uint8)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        enough = keys[first[np.add.reduceat(times[order], first, dtype=np.int64) >= most]]
+        bits = np.zeros(size, bool)
+        bits[(enough >> np.uint32(APART)) & np.uint32(size - 1)] = True
+        return pa.table({"piece": table.column("piece").slice(0, 1), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    all_ = reduce(DataFrame.unionByName, [s.where("piece is not null").select("piece", "keys", "times") for s in sums])
+    rows = all_.groupBy("piece").applyInArrow(summed, "piece int, bits binary").toArrow()
+    bits = np.zeros((1 << SIEVE_PIECES, size // 8), np.uint8)
+    for at, raw in zip(rows.column("piece").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        bits[at] = np.frombuffer(raw, np.uint8)
+    return bits.reshape(-1)
+
+
+def _windows(ids: np.ndarray, words: pa.Array, hashes: np.ndarray, reached: Filter, recent: Filter, sieve: np.ndarray):
+    """Counts of one language's phrases that this step counts: ``words, phrases, f``.
 
     Phrases of one length are numbered by the pair (number of the phrase without its last word, last word), so
     they are told apart exactly.
     """
-    known = WordHashes()
-    hashes = mixed(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)) ^ _seed(lang, known))
-    if step < SHARDS:
-        f = np.bincount(ids, minlength=len(words))
-        f[0] = 0
-        at = np.flatnonzero(f)
-        yield 1, [words[i].decode() for i in at], f[at]
-    if reached is None:
-        return
     # At each place, the number of the phrase that starts there, or -1.
     number, of_number, placed = np.where(ids == 0, -1, ids), hashes, hashes[ids]
     for length in range(2, LONGEST + 1):
@@ -124,6 +161,8 @@ def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached:
         here = (a >= 0) & (b >= 0)
         here[here] = there[a[here]] & there[b[here]]
         starts = np.flatnonzero(here)
+        if length == 2:
+            starts = starts[_in_sieve(sieve, _hashes(placed, starts, 2))]
         counted = late[a[starts]] | late[b[starts]]
         if not counted.all():
             # A phrase that this step does not count is only of use where longer ones may be built on it.
@@ -135,41 +174,51 @@ def _windows(lang: str, ids: np.ndarray, words: list[bytes], step: int, reached:
         head, tail = number[at], number[at + 1]
         new = _hashes(placed, at, length)
         counted = np.flatnonzero(late[head] | late[tail])
-        phrases = [b" ".join([words[w] for w in ids[h : h + length]]).decode() for h in at[counted]]
-        yield length, phrases, f[counted]
+        yield length, pc.binary_join_element_wise(*(words.take(pa.array(ids[at[counted] + i])) for i in range(length)), " "), f[counted]
         number = np.full(len(number) - 1, -1, np.int64)
         number[starts] = inverse
         of_number = new
 
 
-def _counts(shard: DataFrame, step: int, filters: tuple[Broadcast, Broadcast] | None) -> DataFrame:
-    """Partial counts of a shard, by task and language."""
-    most = HELD
-
-    def emit(lang: str, ids: list[np.ndarray], words: Words):
-        both = [Filter(b.value) for b in filters] if filters else [None, None]
-        for length, phrases, f in _windows(lang, np.concatenate(ids), list(words), step, *both):
-            n = len(phrases)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([length] * n, pa.int32()), pa.array(phrases, pa.string()), pa.array(f.astype(np.int64))]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "words", "phrase", "f"])
+def _counts(shard: DataFrame, step: int, most: int, filters: tuple[Broadcast, Broadcast, Broadcast] | None) -> DataFrame:
+    """Partial counts of a shard, by task and language; without filters, those of words, and the sums of the sieve."""
+    held_most = HELD
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        kinds = {"lang": pa.string(), "words": pa.int32(), "phrase": pa.string(), "f": pa.int64(), "piece": pa.int32(), "keys": pa.binary(), "times": pa.binary()}
+        kinds = kinds if filters is None else {c: kinds[c] for c in ("lang", "words", "phrase", "f")}
+        return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in kinds.items()], list(kinds))
+
+    def emit(lang: str, texts: list[bytes]):
+        ids, raw = _numbered(texts)
+        hashes = mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, raw), np.uint64, len(raw)) ^ _seed(lang, WordHashes()))
+        words = pa.array([b"", *raw[1:]], pa.binary()).cast(pa.string())
+        if filters is None:
+            f = np.bincount(ids, minlength=len(raw))[1:]
+            yield rows(len(f), lang=[lang] * len(f), words=[1] * len(f), phrase=words[1:], f=f)
+            sums = list(_sums(ids, hashes, most))
+            if sums:
+                yield rows(len(sums), **dict(zip(("piece", "keys", "times"), zip(*sums, strict=True), strict=True)))
+            return
+        reached, recent, sieve = (b.value for b in filters)
+        for length, phrases, f in _windows(ids, words, hashes, Filter(reached), Filter(recent), sieve):
+            yield rows(len(f), lang=[lang] * len(f), words=[length] * len(f), phrase=phrases, f=f)
 
     def run(batches):
-        held: dict[str, tuple[list[np.ndarray], Words]] = {}
+        held: dict[str, list[bytes]] = {}
         sizes: dict[str, int] = {}
         for batch in batches:
             for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = raw.translate(PIECES).replace(BREAK, b" \xff ").split()
-                found.append(BREAK)
-                ids, words = held.setdefault(lang, ([np.zeros(1, np.int64)], Words()))
-                ids.append(np.fromiter(map(words.__getitem__, found), np.int64, len(found)))
-                sizes[lang] = sizes.get(lang, 0) + len(found)
-                if sizes[lang] >= most:
+                text = raw.translate(PIECES)
+                held.setdefault(lang, []).append(text)
+                sizes[lang] = sizes.get(lang, 0) + text.count(b" ") + text.count(BREAK) + 1
+                if sizes[lang] >= held_most:
                     sizes[lang] = 0
-                    yield from emit(lang, *held.pop(lang))
-        for lang, (ids, words) in held.items():
-            yield from emit(lang, ids, words)
+                    yield from emit(lang, held.pop(lang))
+        for lang, texts in held.items():
+            yield from emit(lang, texts)
 
-    return shard.mapInArrow(run, COUNTS)
+    return shard.mapInArrow(run, COUNTS if filters else f"{COUNTS}, {SUMS}")
 
 
 def _filters(state: DataFrame, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +264,7 @@ def _merged(state: DataFrame | None, found: DataFrame, step: int, min_count: int
     rows = found.select(*columns, F.lit(0).cast("long").alias("f"), F.col("f").alias("more"), F.lit(0).alias("seen"), none.cast("int").alias("reached"))
     if state is not None:
         if step > SHARDS:
-            reached, recent = filters
+            reached, recent, _ = filters
 
             @F.pandas_udf("boolean")
             def counted(lang: pd.Series, words: pd.Series, phrase: pd.Series) -> pd.Series:
@@ -233,7 +282,7 @@ def _merged(state: DataFrame | None, found: DataFrame, step: int, min_count: int
     f = F.col("f") + F.when(F.col("seen").bitwiseAND(bit) == 0, F.col("more")).otherwise(0)
     seen = F.when(F.col("more") > 0, F.col("seen").bitwiseOR(bit)).otherwise(F.col("seen"))
     sums = sums.select(*columns, f.alias("f"), seen.alias("seen"), "reached")
-    return sums.withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= min_count, F.lit(step + 1))))
+    return sums.withColumn("reached", F.coalesce("reached", F.when(F.col("f") >= min_count, F.lit(max(step + 1, SHARDS)))))  # phrases start in the second cycle
 
 
 def frequent_phrases(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, DataFrame]:
@@ -249,26 +298,33 @@ def frequent_phrases(docs: DataFrame, min_count: int = 30) -> tuple[DataFrame, D
     dealt.write.option("compression", "zstd").partitionBy("shard").parquet(root)
     shards = spark.read.schema("lang string, text binary, shard int").parquet(root)
 
-    state = totals = filters = None
+    state = totals = filters = sieve = None
+    most, sums = max(1, min(min_count, 255)), []
     for step in range(LONGEST * SHARDS):
-        if step:
+        if step >= SHARDS:
             reached, recent = _filters(state, step)
-            if step >= SHARDS and not recent.any():
+            if not recent.any():
                 break
-            filters = spark.sparkContext.broadcast(reached), spark.sparkContext.broadcast(recent)
-        found = _counts(shards.where(F.col("shard") == step % SHARDS).select("lang", "text"), step, filters)
+            filters = spark.sparkContext.broadcast(reached), spark.sparkContext.broadcast(recent), sieve
+        found = _counts(shards.where(F.col("shard") == step % SHARDS).select("lang", "text"), step, most, filters)
+        if step < SHARDS:
+            sums.append(scratch.save(found))
+            found = sums[-1].where("piece is null")
         after = scratch.save(_merged(state, found, step, min_count, filters))
         if state is not None:
             scratch.drop(state)
-        for old in filters or ():
+        for old in filters[:2] if filters else ():
             old.destroy()
         state = after
+        if step == SHARDS - 1:
+            totals = scratch.save(state.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
+            sieve = spark.sparkContext.broadcast(_sieve(sums, most))
+            scratch.drop(*sums)
         # The shuffle files of a step go when the driver's heap is swept, which it seldom is by itself.
         found = None
         gc.collect()
         spark._jvm.System.gc()
-        if step == SHARDS - 1:
-            totals = scratch.save(state.where("words = 1").groupBy("lang").agg(F.sum("f").alias("n")))
+    sieve.destroy()
     kept = scratch.save(state.where(F.col("f") >= min_count).select("lang", "words", "phrase", "f"))
     scratch.drop(state)
     return kept, totals

@@ -124,3 +124,18 @@ def test_phrases_that_start_late(spark):
 def test_collocations_empty(spark):
     assert collocations.collocations(frame(spark, ODD).where("doc_id < 0")).collect() == []
     assert collocations.collocations(frame(spark, [(None, None, None), ("", "en", "s")])).collect() == []
+
+
+def test_rare_pairs_are_sieved(spark, monkeypatch):
+    """Frequent words in rare pairs: only the frequent pair is counted by its words; thresholds above a byte hold."""
+    rows = [(f"a{i % 30} b{i // 30}", "en", "s") for i in range(900)] + [("often together", "en", "s")] * 320
+    counted, merged = set(), collocations._merged
+
+    def seen(state, found, *more):
+        counted.update(r.phrase for r in found.where("words = 2").collect())
+        return merged(state, found, *more)
+
+    monkeypatch.setattr(collocations, "_merged", seen)
+    for least in (30, 300):
+        assert sorted(map(tuple, collocations.collocations(frame(spark, rows, 3), min_count=least).collect())) == plain_collocations(rows, least)
+    assert counted == {"often together"}
