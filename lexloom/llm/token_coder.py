@@ -19,10 +19,10 @@ import zlib
 
 import numpy as np
 
-BLOCK = 4096
+BLOCK = 2048
 #: Blocks that are coded in step, at most.
-LANES = 1024
-SLOTS1, SLOTS2 = 1024, 2048
+LANES = 2048
+SLOTS1, SLOTS2 = 512, 1024
 #: Bits of a distribution's total, of the sum of the two weights, and of both.
 TOTAL, WEIGHT = 16, 4
 MIXED = TOTAL + WEIGHT

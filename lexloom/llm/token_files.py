@@ -7,6 +7,7 @@ order-0 model, payload, block ends and checksums of ``token_coder``; a document
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from lexloom.llm import token_coder
 
 #: Ids after which a frame is closed.
-FRAME = token_coder.BLOCK * 1024
+FRAME = token_coder.BLOCK * token_coder.LANES
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
 KEPT_WORDS = 500_000
 #: Bytes of text that are split into words at once, at least one text.
@@ -32,25 +33,72 @@ FRAMES = "part int, frame int, doc_ids array<long>, lengths array<int>, n_ids lo
 #: Texts that show whether a tokenizer keeps words apart.
 PROBES = ("a b", "Abc def", "don't stop", "x1 2y", "a\tb", "a\nb", "a\x0bb\x0cc\rd", " lead", "trail ", "two  gaps", "é ü", "... !?", "a. b", "the the", "<| |>")
 
+#: Words of such letters are in lower case and composed once these are; an apostrophe may bind what follows it.
+LATIN = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
+PLAIN = re.compile(r"[!-&(-@\[-~\u00DF-\u00F6\u00F8-\u00FF]+")
+#: Parts of plain words that a tokenizer may keep apart: letters, single digits, other marks.
+PART = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
+#: Parts that are encoded in one call.
+PARTS_AT_ONCE = 50_000
+
+
+def _gather(flat: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` at some places, one after another, and the end of each."""
+    begin = ends[place]
+    size = ends[place + 1] - begin
+    last = np.cumsum(size)
+    return flat[np.repeat(begin - last + size, size) + np.arange(int(last[-1]) if len(last) else 0)], last
+
 
 class WordIds:
     """Ids of texts, from the ids of their words (runs without ASCII white space), each of which is encoded once.
 
     That holds for tokenizers that drop white space and have no rule that reaches across it, which is tried
-    on some texts at the start; with any other tokenizer texts are encoded whole.
+    on some texts at the start; with any other tokenizer texts are encoded whole. If the tokenizer also keeps the
+    parts of plain words apart, which is tried on every mark, its model encodes each different part once.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core already
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
         self.apart = all(encode(t) == [i for w in t.encode().split() for i in encode(w.decode())] for t in PROBES)
-        self.fold = encode("ABCDEFGHIJKLMNOPQRSTUVWXYZ") == encode("abcdefghijklmnopqrstuvwxyz")  # it lower-cases
-        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        both = lambda a, b: encode(a) == encode(b)
+        self.fold = both("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # it lower-cases
+        self.fold_latin = self.fold and all(both(f"{chr(c)}x{chr(c)}", f"{chr(c + 32)}x{chr(c + 32)}") for c in range(0xC0, 0xDF) if c != 0xD7)
+        added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added) or "(?!)")
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        marks = [c for c in map(chr, [*range(33, 127), *range(0xDF, 0x100)]) if PLAIN.fullmatch(c)]
+        probes = [w for a in marks for b in ("a", "1", ",", "\u00e9", "<", a) for w in (a + b, b + a, b + a + b, b + b + a + a)] + ["abc123def", "!?a1!?", "x--y", "\u00e9t\u00e9s,", "n.b."]
+        probes = [w for w in probes if not self.added.search(w)]
+        self.parts_apart = self.apart and all(e.ids == own for e, own in zip(self.tokenizer.encode_batch_fast(probes, add_special_tokens=False), self._by_parts(probes), strict=True))
         self.start()
 
+    def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words from those of their parts, one after another, and the end of each word."""
+        found = [PART.findall(w) for w in words]
+        numbers: dict[str, int] = {}
+        which = np.fromiter((numbers.setdefault(p, len(numbers)) for parts in found for p in parts), np.int64)
+        different, ids, sizes = list(numbers), [np.zeros(0, np.uint32)], []
+        for first in range(0, len(different), PARTS_AT_ONCE):
+            some = different[first : first + PARTS_AT_ONCE]
+            encoded = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(encoded.ids, np.uint32))
+            sizes.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(some)))
+        flat, last = _gather(np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64), which)
+        return flat, last[np.cumsum([len(p) for p in found]) - 1] if found else last
+
+    def _by_parts(self, words: list[str]) -> list[list[int]]:
+        try:
+            flat, ends = self._parts(words)
+        except Exception:  # noqa: BLE001  a model that cannot stand alone
+            return [[]] * len(words)
+        return [x.tolist() for x in np.split(flat, ends[:-1])]
+
     def start(self) -> None:
         self.places: dict[str, int] = {}
         self.n = 0
@@ -58,24 +106,31 @@ class WordIds:
 
     def _key(self, word: str) -> str:
         """A word in lower case where case makes no difference: added tokens are matched, and characters composed, before it is dropped."""
-        if not self.fold or not word.isascii():
+        if not self.fold or not (word.isascii() or self.fold_latin and LATIN.fullmatch(word)):
             return word
         lower = word.lower()
-        return word if any(t in lower for t in self.added) else lower
+        return word if self.added.search(lower) else lower
 
     def _encode(self, words: list[str]) -> None:
         """Append the ids of new words to the store."""
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        last = self.n + len(found)
+        plain = np.fromiter((self.parts_apart and PLAIN.fullmatch(w) is not None and not self.added.search(w) for w in words), bool, len(words))
+        parts, part_ends = self._parts([w for w, p in zip(words, plain, strict=True) if p])
+        found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
+        whole = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        held = np.concatenate([np.fromiter(chain.from_iterable(found), np.uint32), parts])
+        ends = np.concatenate([[0], whole, part_ends + len(held) - len(parts)])
+        place = np.empty(len(words), np.int64)
+        place[~plain], place[plain] = np.arange(len(found)), np.arange(len(found), len(words))
+        flat, stops = _gather(held, ends, place)
+        last = self.n + len(words)
         if last >= len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(last, np.int64)])
         begin = int(self.ends[self.n])
-        self.ends[self.n + 1 : last + 1] = begin + np.cumsum(sizes)
+        self.ends[self.n + 1 : last + 1] = begin + stops
         end = int(self.ends[last])
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(end, np.uint32)])
-        self.flat[begin:end] = np.fromiter(chain.from_iterable(found), np.uint32, end - begin)
+        self.flat[begin:end] = flat
         self.n = last
 
     def _place(self, words: list[str]) -> np.ndarray:
@@ -105,12 +160,9 @@ class WordIds:
         parts = pc.ascii_split_whitespace(texts)
         words = parts.flatten().dictionary_encode()
         place = self._place(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
-        begin = self.ends[place]
-        size = self.ends[place + 1] - begin
-        ends = np.cumsum(size)
-        source = np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        flat, ends = _gather(self.flat, self.ends, place)
         of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])]
-        return self.flat[source], np.diff(of_text)
+        return flat, np.diff(of_text)
 
 
 def _pieces(texts: pa.Array) -> Iterator[tuple[int, int]]:

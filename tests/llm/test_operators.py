@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,3 +384,25 @@ def test_quality(spark, empty):
     assert all(got[i].predicted == q for i, _, q in rows) and 0 <= got[999].score <= 1 and got[998].score == got[999].score
     assert quality.classify(empty, labels).count() == 0
     assert {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_parts_of_plain_words_are_encoded_once():
+    """Plain words get their ids from their parts, others from the whole word; all as the library has them."""
+    import public_tokenizers
+
+    words = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    whole, rng = words.tokenizer, random.Random(3)
+    signs = [*map(chr, range(33, 0x180)), *"Σςé²中ﬁ’ab12", "<|endoftext|>", "é"]
+    texts = [" ".join("".join(rng.choice(signs) for _ in range(rng.randint(1, 8))) for _ in range(9)) for _ in range(2000)] + ["It's plain, x2 plain!", "", "Été été,ÉTÉ"]
+    asked = []
+
+    class Seen:
+        def encode_batch_fast(self, some, **more):
+            asked.extend(some)
+            return whole.encode_batch_fast(some, **more)
+
+    words.tokenizer = Seen()
+    ids, sizes = words.ids(pa.array(texts))
+    want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert words.parts_apart and not {"plain,", "plain!", "x2", "été", "été,été"} & set(asked) and "it's" in asked
