@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PLACES = 12
 
 
-def merge_prune_normalize(raw: DataFrame, keys: list[str], k: int) -> DataFrame:
+def merge_prune_normalize(raw: DataFrame, keys: list[str], k: int | Column) -> DataFrame:
     """``keys, segments, log_score`` rows to ``keys, segments, log_score, rank, probability``.
 
     Equal segments merge by log-sum-exp; the k best by score, then segments, stay; empty forms and
@@ -29,10 +29,20 @@ def candidate_id() -> Column:
     return F.substring(F.sha2(F.array_join("segments", "\u241f"), 256), 1, 12)
 
 
-def leaf_beam(forms: DataFrame, k: int) -> DataFrame:
-    """Observed forms of each (variety, concept), at minus log of their number each."""
-    n = F.count("*").over(Window.partitionBy("variety_id", "concept_id"))
-    return merge_prune_normalize(forms.select("variety_id", "concept_id", "segments", (-F.log(n)).alias("log_score")), ["variety_id", "concept_id"], k)
+def counted(forms: DataFrame) -> DataFrame:
+    """Different forms, and how often each occurs: ``variety_id, concept_id, segments, copies``."""
+    copies = F.sum("copies") if "copies" in forms.columns else F.count("*")
+    return forms.groupBy("variety_id", "concept_id", "segments").agg(copies.alias("copies"))
+
+
+def leaf_beam(forms: DataFrame, k: int | Column) -> DataFrame:
+    """Observed forms of each (variety, concept), at minus log of their number each; equal ones are counted first.
+
+    A form of :func:`counted` stands for its copies.
+    """
+    n = F.sum("copies").over(Window.partitionBy("variety_id", "concept_id"))
+    scored = counted(forms).select("variety_id", "concept_id", "segments", (-F.log(n) + F.log("copies")).alias("log_score"))
+    return merge_prune_normalize(scored, ["variety_id", "concept_id"], k)
 
 
 def tie_count(candidates: DataFrame, keys: list[str], within: float = 1e-9) -> DataFrame:

@@ -83,10 +83,10 @@ def distributions(df: DataFrame, values: list[str], keys: list[str]) -> DataFram
 def evaluate_targets(candidates: DataFrame, gold: DataFrame) -> DataFrame:
     """Per gold concept: missing, top exact, beam exact; distances of the top and of the best candidate.
 
-    ``candidates(concept_id, segments, rank)``; several gold forms are alternatives. The graded columns are
-    null where no candidate is.
+    ``candidates(concept_id, segments, rank)``; several gold forms are alternatives, each different one met once. The
+    graded columns are null where no candidate is.
     """
-    marked = gold.select("concept_id", F.col("segments").alias("gold")).join(candidates, "concept_id", "left")
+    marked = gold.select("concept_id", F.col("segments").alias("gold")).distinct().join(candidates, "concept_id", "left")
     exact = F.coalesce(F.col("segments") == F.col("gold"), F.lit(False))
     there, top = F.col("segments").isNotNull(), F.col("rank") == 1
     scored = marked.withColumn("_d", F.when(there, F.struct(normalized_edit_distance(F.col("segments"), F.col("gold")).alias("ned"), edit_distance(F.col("segments"), F.col("gold")).alias("ed"))))

@@ -38,6 +38,10 @@ def transform_children(beams: DataFrame, edges: DataFrame, rules: DataFrame) ->
     return done.select("parent_id", "child_id", "child_ordinal", "concept_id", "segments", "rank", "output", (F.col("log_score") + gain).alias("score"), (F.size(fired) > 0).alias("fired"), "trace")
 
 
+def _kept(k: int | Callable[[Column], Column], node: str) -> int | Column:
+    return k(F.col(node)) if callable(k) else k
+
+
 def _provenance_rows(children: DataFrame) -> list[Column]:
     """What a child's candidate brings to a derivation: the child, the candidate's id and rank, and the rules that fired on it."""
     fired = F.transform(F.filter("trace", lambda t: t["n_matches"] > 0), lambda t: t["rule_id"])
@@ -45,7 +49,7 @@ def _provenance_rows(children: DataFrame) -> list[Column]:
 
 
 def combine_children(
-    children: DataFrame, k: int, anchors: DataFrame | None = None, policy: str = "advisory", factor: float = 100.0, provenance: bool = False
+    children: DataFrame, k: int | Callable[[Column], Column], anchors: DataFrame | None = None, policy: str = "advisory", factor: float = 100.0, provenance: bool = False
 ) -> DataFrame:
     """Transformed children to the beam of each parent: ``node_id, concept_id, segments, log_score, rank, probability``.
 
@@ -53,7 +57,7 @@ def combine_children(
     partial state counts, for each output, the children that gave it; states with equal counts and anchors
     merge by log-sum-exp, and the k best stay. At the end each output of a state gets the state's score plus
     the log of its share of children, plus the boost of matched anchors: those of ``anchors(node_id,
-    concept_id, segments)`` that equal it, if a rule fired to reach it.
+    concept_id, segments)`` that equal it, if a rule fired to reach it. ``k`` may be a function of the parent's id.
 
     With ``provenance`` there are also ``supporting_child_ids``, the children that gave the candidate in the best state that
     has it, and ``derivations``, at most k of ``(child_candidate_ids, rule_ids, supporting_child_ids)``. Where states merge,
@@ -83,12 +87,12 @@ def combine_children(
             way = F.struct("_before_rank", "_at")
             first = F.struct(F.col("score"), -F.col("_before_rank"), -F.col("_at"))
             listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(way.alias("way"), F.col("derivations").alias("d")))), lambda x: x["d"]))
-            more = [F.max_by("supports", first).alias("supports"), F.slice(listed, 1, k).alias("derivations")]
+            more = [F.max_by("supports", first).alias("supports"), F.slice(listed, 1, _kept(k, "parent_id")).alias("derivations")]
         merged = states.withColumn("_m", F.max("score").over(same)).groupBy(*KEY, "state", "_m").agg(F.sum(F.exp(F.col("score") - F.col("_m"))).alias("_s"), *more)
         merged = merged.select(*KEY, "state", (F.col("_m") + F.log("_s")).alias("score"), *(["supports", "derivations"] if provenance else []))
         best = F.round(F.col("score") + F.array_max(F.transform("state", lambda s: s["hits"])) * boost, beam.PLACES)
         order = Window.partitionBy(*KEY).orderBy(F.desc(best), "state")
-        ranked = merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k)
+        ranked = merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= _kept(k, "parent_id"))
         return ranked if provenance else ranked.drop("_r")
 
     def begun(here: DataFrame) -> DataFrame:
@@ -130,19 +134,19 @@ def combine_children(
     outputs = states.select(F.col("parent_id").alias("node_id"), "concept_id", "score", total.alias("total"), F.explode("state").alias("s"), *(["_r", "supports", "derivations"] if provenance else []))
     log_score = F.col("score") + F.log("s.n") - F.log("total") + F.col("s.hits") * boost
     raw = outputs.select("node_id", "concept_id", F.col("s.seg").alias("segments"), log_score.alias("log_score"))
-    found = beam.merge_prune_normalize(raw, ["node_id", "concept_id"], k)
+    found = beam.merge_prune_normalize(raw, ["node_id", "concept_id"], _kept(k, "node_id"))
     if not provenance:
         return found
     support = F.element_at("supports", F.col("s.seg"))
     told = F.transform("derivations", lambda d: F.struct(d["child_candidate_ids"].alias("child_candidate_ids"), d["rule_ids"].alias("rule_ids"), support.alias("supporting_child_ids")))
     each = outputs.select("node_id", "concept_id", F.col("s.seg").alias("segments"), "_r", support.alias("supporting"), told.alias("d"))
     listed = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_r", "d"))), lambda x: x["d"]))
-    per = each.groupBy("node_id", "concept_id", "segments").agg(F.min_by("supporting", "_r").alias("supporting_child_ids"), F.slice(listed, 1, k).alias("derivations"))
+    per = each.groupBy("node_id", "concept_id", "segments").agg(F.min_by("supporting", "_r").alias("supporting_child_ids"), F.slice(listed, 1, _kept(k, "node_id")).alias("derivations"))
     return found.join(per, ["node_id", "concept_id", "segments"])
 
 
 def reconstruct_tree(
-    forms: DataFrame, edges: DataFrame, rules: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], k: int, anchors: DataFrame | None = None,
+    forms: DataFrame, edges: DataFrame, rules: DataFrame | Callable[[DataFrame, DataFrame], DataFrame], k: int | Callable[[Column], Column], anchors: DataFrame | None = None,
     policy: str = "advisory", factor: float = 100.0, provenance: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Beams of all nodes, from the leaves up, and the transformed children of all parents.
@@ -150,13 +154,14 @@ def reconstruct_tree(
     All nodes of a height are one job, saved before the next height reads it. Rules are compiled, and may be
     scoped by ``source_child_ids``; a node without rules passes its children's forms on. ``rules`` may also make them from
     what has been rebuilt so far: it gets the beams of the children of the next height's nodes, and the edges to them.
+    ``k`` may be a function of a node's id.
     With ``provenance`` inner nodes have the columns of :func:`combine_children`; leaves have nulls there.
     """
     scratch = Scratch(forms.sparkSession)
     edges = scratch.save(edges)
     levels = scratch.save(tree.node_levels(edges).where("height > 0").select(F.col("node_id").alias("parent_id"), "height"))
     columns = ["node_id", "concept_id", "segments", "log_score", "rank", "probability"] + (["supporting_child_ids", "derivations"] if provenance else [])
-    leaves = beam.leaf_beam(forms, k).withColumnRenamed("variety_id", "node_id")
+    leaves = beam.leaf_beam(forms, _kept(k, "variety_id")).withColumnRenamed("variety_id", "node_id")
     if provenance:
         ways = "array<struct<child_candidate_ids:array<string>,rule_ids:array<string>,supporting_child_ids:array<string>>>"
         leaves = leaves.withColumns({"supporting_child_ids": F.lit(None).cast("array<string>"), "derivations": F.lit(None).cast(ways)})
@@ -171,6 +176,20 @@ def reconstruct_tree(
     return reduce(DataFrame.unionByName, beams), reduce(DataFrame.unionByName, traces) if traces else None
 
 
+def oracle_trees(forms: DataFrame, edges: DataFrame, gold: DataFrame, widths: list[int]) -> DataFrame:
+    """:func:`oracle_tree` at several widths at once, as one forest with a tree for each; adds ``width``.
+
+    Different forms are counted once for all trees.
+    """
+    trees = F.explode(F.array(*map(F.lit, sorted(set(widths))))).alias("_width")
+    name = lambda node: F.concat_ws(":", "_width", node).alias(node)
+    width = lambda node: F.split_part(node, F.lit(":"), F.lit(1)).cast("int")
+    each = Scratch(forms.sparkSession).save(beam.counted(forms)).select("*", trees).select(name("variety_id"), "concept_id", "segments", "copies")
+    forest = edges.select("*", trees).select(name("parent_id"), name("child_id"), "child_ordinal", "branch_length")
+    beams = _oracle_forest(each, forest, gold, width)
+    return beams.withColumns({"width": width(F.col("node_id")), "node_id": F.substring("node_id", F.locate(":", "node_id") + 1, F.length("node_id"))})
+
+
 def oracle_tree(forms: DataFrame, edges: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """Beams of all nodes under the best rules that single segments allow: those that lead each branch to the gold forms.
 
@@ -178,6 +197,10 @@ def oracle_tree(forms: DataFrame, edges: DataFrame, gold: DataFrame, k: int) ->
     become ordered rules, and the children are combined under these; then follows the next height. A branch's rules hold for
     it alone. The best form of a leaf is its most frequent one.
     """
+    return _oracle_forest(forms, edges, gold, k)
+
+
+def _oracle_forest(forms: DataFrame, edges: DataFrame, gold: DataFrame, k: int | Callable[[Column], Column]) -> DataFrame:
     want = gold.groupBy("concept_id").agg(F.min("segments").alias("right"))
 
     def learned(below: DataFrame, own: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.operators import alignment, reconstruction, rules
 
@@ -225,6 +226,32 @@ def test_oracle_tree(spark, k):
     assert sum(list(got["proto"][c][1][0]) == w for c, w in gold.items()) >= 8
 
 
+def test_oracle_trees(spark):
+    """A forest of several widths gives each width's own tree, also with copies of forms and colons in ids, in no more jobs than one tree."""
+    edges = family(spark).withColumns({c: F.concat(F.lit("x:"), c) for c in ("parent_id", "child_id")})
+    rows = [(f"x:{d}", c, list(w)) for d, words in (("d1", "fat kus"), ("d2", "pat kos"), ("d3", "pax kas"), ("d4", "pot tus")) for c, w in zip("ab", words.split(), strict=True) for _ in range(1 + (d == "d2"))]
+    rows += [("x:d1", "a", list("pat")), ("x:d3", "b", list("kus")), ("x:d4", "a", list("pat"))]
+    leaves = spark.createDataFrame(rows, "variety_id string, concept_id string, segments array<string>")
+    gold = spark.createDataFrame([("a", list("pat")), ("b", list("kus"))], "concept_id string, segments array<string>")
+
+    def jobs(build):
+        spark.sparkContext.setJobGroup(group := f"trees-{id(build)}", "")
+        found = build().collect()
+        spark.sparkContext.setJobGroup("none", "")
+        return found, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    columns = ("node_id", "concept_id", "rank", "segments")
+    got, many = jobs(lambda: reconstruction.oracle_trees(leaves, edges, gold, [1, 5]))
+    one = 0
+    for k in (1, 5):
+        want, one = jobs(lambda k=k: reconstruction.oracle_tree(leaves, edges, gold, k))
+        want = {tuple(map(str, (r[c] for c in columns))): (r.log_score, r.probability) for r in want}
+        mine = {tuple(map(str, (r[c] for c in columns))): (r.log_score, r.probability) for r in got if r.width == k}
+        assert set(mine) == set(want)
+        assert all(mine[x] == pytest.approx(want[x]) for x in want)
+    assert many <= one + 8
+
+
 def test_circle_of_edges(spark):
     edges = spark.createDataFrame([("a", "b", 1, 1.0), ("b", "a", 1, 1.0)], EDGES)
     proto = spark.createDataFrame([("a", "k", ["x"])], "node_id string, concept_id string, segments array<string>")
