@@ -19,24 +19,26 @@ import zlib
 
 import numpy as np
 
-BLOCK = 2048
+BLOCK = 1536
 #: Blocks that are coded in step, at most.
-LANES = 2048
+LANES = 2730
 SLOTS1, SLOTS2 = 512, 1024
 #: Bits of a distribution's total, of the sum of the two weights, and of both.
 TOTAL, WEIGHT = 16, 4
 MIXED = TOTAL + WEIGHT
 #: Shifts by which the two distributions and the weight learn.
-RATES, STEP = (5, 5), 12
+RATES, STEP = (4, 4), 12
 #: Of each event: places of its bounds in a distribution (64: none).
 LOWER, UPPER = np.array([64, 0, 32], np.uint64), np.array([0, 32, 64], np.uint64)
 FIELD = 0xFFFFFFFF
 #: Of each total: where the last event ends.
 LAST = {b: np.array([0, 0, 1 << b], np.uint64) for b in (TOTAL, MIXED)}
-#: Ids after which a weight learns.
-EVERY = 4
+#: Ids after which the distributions learn, and after which a weight does.
+LEARNS, EVERY = 2, 8
 #: Different ids of a frame, at most: the least width that an event leaves still tells their counts apart.
 MOST_IDS = 1 << 19
+#: Ids below this are counted and ranked by tables, others by sorting.
+DENSE = 1 << 20
 
 
 def _fields(first: int, second: int) -> int:
@@ -48,8 +50,8 @@ def _fields(first: int, second: int) -> int:
 MOVED = [_fields((1 << 32 - r) - 1, (1 << 32 - r) - 1) for r in RATES]
 ADDED = [np.array([_fields((1 << TOTAL - r) - 2, (1 << TOTAL - r) - 1), _fields(1, (1 << TOTAL - r) - 1), _fields(1, 2)], np.uint64) for r in RATES]
 START = _fields((1 << TOTAL) // 3, 2 * (1 << TOTAL) // 3)
-#: Confidence (2 bits) after a miss and after a hit.
-SURE = np.array([0, 0, 0, 1, 1, 2, 3, 3], np.uint32)
+#: Confidence (2 bits) after a hit, by the one before; and, last, after a miss.
+SURE = np.array([1, 2, 3, 3, 0], np.uint32)
 
 
 class _Models:
@@ -77,18 +79,19 @@ class _Models:
         self.c1, self.c2 = self.by_trust.take(self.row1), self.by_events.take(self.row2)
         return s2, s1, (self.c2 << WEIGHT) + (self.c1 - self.c2) * self.share[:m]
 
-    def learn(self, m: int, ranks: np.ndarray, slot: np.ndarray, event: np.ndarray, s2: np.ndarray, s1: np.ndarray) -> None:
-        """``slot`` is the slot of ``ranks`` without confidence."""
-        self.by_trust[self.row1] = self.c1 - ((self.c1 >> RATES[0]) & MOVED[0]) + ADDED[0].take(event)
-        self.by_events[self.row2] = self.c2 - ((self.c2 >> RATES[1]) & MOVED[1]) + ADDED[1].take(event)
+    def learn(self, m: int, ranks: np.ndarray, slot: np.ndarray, event: np.ndarray, x2: np.ndarray, x1: np.ndarray) -> None:
+        """``slot`` is the slot of ``ranks`` without confidence; ``x2`` and ``x1`` are its bits that differ from the predictions (of a hit: the confidence)."""
         self.steps += 1
+        if self.steps % LEARNS == 0:
+            self.by_trust[self.row1] = self.c1 - ((self.c1 >> RATES[0]) & MOVED[0]) + ADDED[0].take(event)
+            self.by_events[self.row2] = self.c2 - ((self.c2 >> RATES[1]) & MOVED[1]) + ADDED[1].take(event)
         if self.steps % EVERY == 0:
             # The distribution that gave the event more gains weight; neither ever has all or none of it.
             more = (_interval(self.c1, event, TOTAL)[1] > _interval(self.c2, event, TOTAL)[1]).astype(np.int64)
             self.weight = np.clip(self.weight[:m] + (((more << STEP) - self.weight[:m]) >> 5), 1 << STEP - WEIGHT, (1 << STEP) - (1 << STEP - WEIGHT) - 1)
             self.share = (self.weight >> STEP - WEIGHT).astype(np.uint64)
-        for table, at, old in ((self.order1, self.at1, s1), (self.order2, self.at2, s2)):
-            table[at] = slot + SURE.take((old & 3) + 4 * ((old ^ slot) < 4))
+        for table, at, x in ((self.order1, self.at1, x1), (self.order2, self.at2, x2)):
+            table[at] = slot + SURE.take(x, mode="clip")
         self.prev2, self.prev1, self.recent = self.prev1, ranks, (self.recent[:m] & 3) * 4 + event
 
 
@@ -100,7 +103,12 @@ def _interval(bounds: np.ndarray, event: np.ndarray, bits: int) -> tuple[np.ndar
 
 def order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The frame's ids, the most frequent first, and their counts scaled to a sum of a power of two, 1 at least."""
-    found, counts = np.unique(ids, return_counts=True)
+    if ids.max() < DENSE:
+        counts = np.bincount(ids)
+        found = np.flatnonzero(counts).astype(np.uint32)
+        counts = counts[found]
+    else:
+        found, counts = np.unique(ids, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     found, counts = found[order], counts[order].astype(np.int64)
     bits = max(15, len(found).bit_length() + 1)
@@ -150,14 +158,14 @@ def _encode_lanes(rows: np.ndarray, lengths: np.ndarray, model: _Order0) -> list
         now = by_place[t, :m]
         s2, s1, bounds = models.predict(m)
         slot = ((now + 1) << 2).astype(np.uint32)
-        hit2 = (s2 ^ slot) < 4
-        event = np.where(hit2, 0, 2 - ((s1 ^ slot) < 4))
+        x2, x1 = s2 ^ slot, s1 ^ slot
+        event = np.where(x2 < 4, 0, 2 - (x1 < 4))
         start, size = _interval(bounds, event, MIXED)
         step = width[:m] >> MIXED
         size *= step
         part, drawn = size >> model.bits, event == 2
         narrow(m, step * start + part * (model.starts.take(now) * drawn), np.where(drawn, part * model.sizes.take(now), size))
-        models.learn(m, now, slot, event, s2, s1)
+        models.learn(m, now, slot, event, x2, x1)
     for _ in range(2):
         out[at] = low >> 32
         at += 1
@@ -197,7 +205,8 @@ def _decode_lanes(payloads: list[bytes], lengths: np.ndarray, model: _Order0) ->
         now = np.where(drawn, rank, (np.where(event == 0, s2, s1) >> 2).astype(np.int64) - 1)
         narrow(m, rest - part * (model.starts.take(rank) * drawn), np.where(drawn, part * model.sizes.take(rank), size))
         out[t, :m] = now
-        models.learn(m, now, ((now + 1) << 2).astype(np.uint32), event, s2, s1)
+        slot = ((now + 1) << 2).astype(np.uint32)
+        models.learn(m, now, slot, event, s2 ^ slot, s1 ^ slot)
     return out.T
 
 
@@ -209,8 +218,13 @@ def encode(ids: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray,
     found, counts = order0(ids)
     if len(found) > MOST_IDS:
         raise ValueError(f"a frame has more than {MOST_IDS} different ids")
-    by_id = np.argsort(found)
-    ranks = by_id[np.searchsorted(found[by_id], ids)]
+    if ids.max() < DENSE:
+        of_id = np.zeros(int(ids.max()) + 1, np.int64)
+        of_id[found] = np.arange(len(found))
+        ranks = of_id.take(ids)
+    else:
+        by_id = np.argsort(found)
+        ranks = by_id[np.searchsorted(found[by_id], ids)]
     starts = np.arange(0, len(ids), BLOCK)
     lengths = np.minimum(BLOCK, len(ids) - starts)
     model, payloads = _Order0(counts), []

@@ -11,7 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from lexloom.llm import token_coder
 #: Ids after which a frame is closed.
 FRAME = token_coder.BLOCK * token_coder.LANES
 #: Distinct words whose ids a Python worker keeps before it starts afresh.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 700_000
 #: Bytes of text that are split into words at once, at least one text.
 PIECE = 8 << 20
 #: Frames whose offsets are broadcast, at most (some 16 bytes each); more of them are joined.
@@ -40,6 +40,17 @@ PLAIN = re.compile(r"[!-&(-@\[-~\u00DF-\u00F6\u00F8-\u00FF]+")
 PART = re.compile(r"[a-z\u00DF-\u00F6\u00F8-\u00FF]+|[0-9]|[^a-z0-9\u00DF-\u00F6\u00F8-\u00FF]+")
 #: Parts that are encoded in one call.
 PARTS_AT_ONCE = 50_000
+#: Of these, parts that are joined to one text.
+JOINED = 1000
+#: Of each byte of UTF-8: white space 0, letter 1 (all that is not ASCII too), digit 2, mark 3; and its lower case.
+KIND, LOWER = np.full(256, 3, np.uint8), np.arange(256, dtype=np.uint8)
+KIND[[9, 10, 11, 12, 13, 32]] = 0
+KIND[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+KIND[48:58] = 2
+LOWER[65:91] += 32
+#: Bytes of which a plain word has none: apostrophe, controls, and what begins a character beyond U+00FF or below U+00C0.
+ODD = np.zeros(256, bool)
+ODD[[*range(9), *range(14, 32), 39, 127, *range(0xC0, 0xC3), *range(0xC4, 256)]] = True
 
 
 def _gather(flat: np.ndarray, ends: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,7 +66,8 @@ class WordIds:
 
     That holds for tokenizers that drop white space and have no rule that reaches across it, which is tried
     on some texts at the start; with any other tokenizer texts are encoded whole. If the tokenizer also keeps the
-    parts of plain words apart, which is tried on every mark, its model encodes each different part once.
+    parts of plain words apart, which is tried on every mark, its model encodes each different part once; if it drops the
+    case of Latin letters too, texts are split into such parts at once.
     """
 
     def __init__(self, path: str):
@@ -70,26 +82,47 @@ class WordIds:
         self.fold_latin = self.fold and all(both(f"{chr(c)}x{chr(c)}", f"{chr(c + 32)}x{chr(c + 32)}") for c in range(0xC0, 0xDF) if c != 0xD7)
         added = [re.escape(t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added) or "(?!)")
-        self.model = Tokenizer(self.tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.added_bytes = re.compile("|".join(added).encode() or b"(?!)")
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytes = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100)}  # the other characters of parts stand for themselves
+        self.model, self.joined = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.joined.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        # Where a mark ends every word of the model, ids tell where parts end.
+        mark, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
         marks = [c for c in map(chr, [*range(33, 127), *range(0xDF, 0x100)]) if PLAIN.fullmatch(c)]
         probes = [w for a in marks for b in ("a", "1", ",", "\u00e9", "<", a) for w in (a + b, b + a, b + a + b, b + b + a + a)] + ["abc123def", "!?a1!?", "x--y", "\u00e9t\u00e9s,", "n.b."]
         probes = [w for w in probes if not self.added.search(w)]
         self.parts_apart = self.apart and all(e.ids == own for e, own in zip(self.tokenizer.encode_batch_fast(probes, add_special_tokens=False), self._by_parts(probes), strict=True))
+        self.split = self.parts_apart and self.fold_latin
         self.start()
 
-    def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain words from those of their parts, one after another, and the end of each word."""
-        found = [PART.findall(w) for w in words]
-        numbers: dict[str, int] = {}
-        which = np.fromiter((numbers.setdefault(p, len(numbers)) for parts in found for p in parts), np.int64)
-        different, ids, sizes = list(numbers), [np.zeros(0, np.uint32)], []
+    def _encode_parts(self, different: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts, one after another, and the end of each."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        different = [p if p.isascii() else p.translate(self.bytes) for p in different]
         for first in range(0, len(different), PARTS_AT_ONCE):
             some = different[first : first + PARTS_AT_ONCE]
+            texts = [" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+            found = np.fromiter(chain.from_iterable(e.ids for e in self.joined.encode_batch_fast(texts, add_special_tokens=False)), np.uint32)
+            ends = np.flatnonzero(self.last[found])
+            if len(ends) == len(some) and ends[-1] == len(found) - 1:
+                ids.append(found)
+                sizes.append(np.diff(ends, prepend=-1))
+                continue
             encoded = self.model.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids.append(np.array(encoded.ids, np.uint32))
             sizes.append(np.bincount(np.array(encoded.word_ids, np.int64), minlength=len(some)))
-        flat, last = _gather(np.concatenate(ids), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) if sizes else np.zeros(1, np.int64), which)
+        return np.concatenate(ids), np.cumsum(np.concatenate(sizes))
+
+    def _parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words from those of their parts, one after another, and the end of each word."""
+        found = [PART.findall(w) for w in words]
+        numbers: dict[str, int] = {}
+        which = np.fromiter((numbers.setdefault(p, len(numbers)) for parts in found for p in parts), np.int64)
+        ids, ends = self._encode_parts(list(numbers))
+        flat, last = _gather(ids, np.concatenate([[0], ends]), which)
         return flat, last[np.cumsum([len(p) for p in found]) - 1] if found else last
 
     def _by_parts(self, words: list[str]) -> list[list[int]]:
@@ -111,10 +144,12 @@ class WordIds:
         lower = word.lower()
         return word if self.added.search(lower) else lower
 
-    def _encode(self, words: list[str]) -> None:
-        """Append the ids of new words to the store."""
-        plain = np.fromiter((self.parts_apart and PLAIN.fullmatch(w) is not None and not self.added.search(w) for w in words), bool, len(words))
-        parts, part_ends = self._parts([w for w, p in zip(words, plain, strict=True) if p])
+    def _plain(self, word: str) -> bool:
+        return self.parts_apart and PLAIN.fullmatch(word) is not None and not self.added.search(word)
+
+    def _encode(self, words: list[str], plain: np.ndarray) -> None:
+        """Append the ids of new words, some of them plain, to the store."""
+        parts, part_ends = (self._encode_parts if self.split else self._parts)([w for w, p in zip(words, plain, strict=True) if p])
         found = [e.ids for e in self.tokenizer.encode_batch_fast([w for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
         whole = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
         held = np.concatenate([np.fromiter(chain.from_iterable(found), np.uint32), parts])
@@ -135,18 +170,60 @@ class WordIds:
 
     def _place(self, words: list[str]) -> np.ndarray:
         """Places of different words in the store; what is new is encoded in one go."""
-        places, new = self.places, []
-        for w in words:
-            if w not in places:
-                key = self._key(w)
-                at = places.get(key)
-                if at is None:
-                    at = places[key] = self.n + len(new)
-                    new.append(key)
-                places[w] = at
+        places, new, plain = self.places, [], []
+        found = np.fromiter(map(places.get, words, repeat(-1)), np.int64, len(words))
+        for i in np.flatnonzero(found < 0).tolist():
+            w = words[i]
+            # Parts are in lower case already; whole words are not taken for parts.
+            ready = self.split and PART.fullmatch(w) is not None and self._plain(w)
+            key = w if ready else self._key(w)
+            at = None if ready else places.get(key)
+            if at is None:
+                at = places[key] = self.n + len(new)
+                new.append(key)
+                plain.append(ready if self.split else self._plain(key))
+            found[i] = places[w] = at
         if new:
-            self._encode(new)
-        return np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+            self._encode(new, np.array(plain))
+        return found
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of the texts' plain words, in lower case, and their other words whole; and how many come before each text and the end."""
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at = at - at[0]
+        if not len(raw):
+            return pa.array([], pa.string()), np.zeros(len(at), np.int64)
+        data, kind, odd = LOWER[raw], KIND[raw], ODD[raw]
+        latin = np.flatnonzero(raw[:-1] == 0xC3) + 1
+        second = raw[latin]
+        odd[latin[(second == 0x97) | (second == 0xB7)]] = True
+        data[latin] = np.where(second < 0x9F, second + np.uint8(0x20), second)
+        for m in self.added_bytes.finditer(data.tobytes()):
+            odd[m.start() : m.end()] = True  # also across two texts, whose words are whole then
+        black = kind > 0
+        first = np.ones(len(raw), bool)
+        first[1:] = ~black[:-1]
+        first[at[:-1][at[:-1] < len(raw)]] = True
+        first &= black
+        begin = np.empty(len(raw), bool)
+        begin[0] = True
+        np.not_equal(kind[1:], kind[:-1], out=begin[1:])
+        begin = (begin | (kind == 2) | first) & black
+        # From here on without white space: begins of words and of parts.
+        places = np.cumsum(black, dtype=np.int32)
+        total = int(places[-1])
+        tokens = np.flatnonzero(begin)
+        of_word = first[tokens]
+        words = places[tokens[of_word]] - 1
+        strange = np.zeros(len(words), bool)
+        strange[np.searchsorted(words, places[np.flatnonzero(odd & black)] - 1, "right") - 1] = True
+        data = data[black]
+        if strange.any():
+            data = np.where(np.repeat(strange, np.diff(words, append=total)), raw[black], data)
+            tokens = tokens[of_word | ~strange[np.cumsum(of_word) - 1]]
+        offsets = np.append(places[tokens] - 1, total).astype(np.int32)
+        return pa.StringArray.from_buffers(len(tokens), pa.py_buffer(offsets), pa.py_buffer(data)), np.searchsorted(tokens, at)
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: empty) one after another, and the number of each."""
@@ -157,11 +234,15 @@ class WordIds:
             return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
         if self.n > KEPT_WORDS:
             self.start()
-        parts = pc.ascii_split_whitespace(texts)
-        words = parts.flatten().dictionary_encode()
-        place = self._place(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)]
+        if self.split:
+            words, before = self._split(texts)
+        else:
+            parts = pc.ascii_split_whitespace(texts)
+            words, before = parts.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])
+        words = words.dictionary_encode()
+        place = self._place(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy(zero_copy_only=False)]
         flat, ends = _gather(self.flat, self.ends, place)
-        of_text = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))])]
+        of_text = np.concatenate([[0], ends])[before]
         return flat, np.diff(of_text)
 
 

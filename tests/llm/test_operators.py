@@ -406,3 +406,17 @@ def test_parts_of_plain_words_are_encoded_once():
     want = [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
     assert words.parts_apart and not {"plain,", "plain!", "x2", "été", "été,été"} & set(asked) and "it's" in asked
+
+
+def test_texts_are_split_into_parts_at_once():
+    """Words that differ in case or marks share their parts, texts do not run into each other, and slices and nulls count as such."""
+    import public_tokenizers
+
+    words = token_files.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["left out", "Plain", "plain, (PLAIN)x2 plain22", "", None, " \t", "Été", "été×÷ÀÞß", "É", "don't Plain's", "<|endof", "text|> a", "a<|ENDOFTEXT|>B c\x1cD e", "中文 plain", "́x", "12ab\x0b\n3"]
+    array = pa.array(texts)[1:]
+    ids, sizes = words.ids(array)
+    want = [words.tokenizer.encode(t or "", add_special_tokens=False).ids for t in array.to_pylist()]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert words.split and {"plain", "(", ")", "2", "été"} <= set(words.places) and not {"Plain", "plain,", "plain22", "Été", "left"} & set(words.places)
+    assert [len(x) for x in words.ids(pa.array(["", None], pa.string()))] == [0, 2]
